@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, labelled, media, mixing, quality, rules, scratch, sharding, token_files
+from . import bpe, labelled, media, mixing, passages, quality, rules, scratch, sharding, simhash, token_files, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANKS, WORD_TOKENIZER, END_ID = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", 2
@@ -42,6 +42,22 @@ def op4_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_prints(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, radius=2)
+    return near.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine, drop_text=True).select("doc_id", labelled.held_out().alias("held_out"), "score", "predicted")
+
+
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = passages.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, drop_text=True)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +76,7 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", "nearest")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op3_token_files, op4_shard, op8_quality, op9_telephony, op10_divergence_rules)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op3_token_files, op4_shard, op5_simhash, op6_toxicity, op7_passages, op8_quality, op9_telephony, op10_divergence_rules)}
 
 #: DuckDB SQL, where a query can be said in it.
 ORACLE_SQL: dict[str, str] = {}
