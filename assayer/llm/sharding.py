@@ -25,9 +25,9 @@ class _Ranges:
     the number of groups.
     """
 
-    def __init__(self, groups: DataFrame):
+    def __init__(self, groups: DataFrame, rows: list[tuple[int, int, int, int]] | None = None):
         self.groups = groups
-        self.rows = self._sizes(groups, 64 - FIRST_BITS)
+        self.rows = self._sizes(groups, 64 - FIRST_BITS) if rows is None else rows
         self._index()
 
     @staticmethod
@@ -93,19 +93,48 @@ def first_keys(ranges: _Ranges, shards: int) -> tuple[int, list[int]]:
             break
         ranges.refine(unsure)
     at = [ranges.ends.index(low) for low, _ in cuts[:-1] if low < ranges.total]
-    return capacity, [ranges.rows[i][0] for i in at]
+    keys = [ranges.rows[i][0] for i in at]
+    giant = next((i for i, r in enumerate(ranges.rows) if ranges.single[i] and r[2] == capacity), None)
+    if giant is not None and len(keys) < shards - 1:
+        keys = _around(ranges, giant, capacity, shards) or keys
+    return capacity, keys
+
+
+def _around(ranges: _Ranges, giant: int, capacity: int, shards: int) -> list[int] | None:
+    """Cuts that give a group as large as the capacity a shard of its own, and deal the others to the shards left.
+
+    Else the greedy cut would fill few shards up to that group's size. None if a side doesn't fit its shards.
+    """
+    before, after = ranges.rows[:giant], ranges.rows[giant + 1 :]
+    sizes = [sum(r[2] for r in part) for part in (before, after)]
+    if not sum(sizes):
+        return None
+    first = min(shards - 1 - bool(after), max(int(bool(before)), round((shards - 1) * sizes[0] / sum(sizes))))
+    keys: list[int] = []
+    for part, n, begins in ((before, first, None), ([ranges.rows[giant]], 1, None if not before else ranges.rows[giant][0]), (after, shards - 1 - first, None)):
+        if part and n < 1:
+            return None
+        if not part:
+            continue
+        if part is after:
+            begins = after[0][0]
+        top, inner = first_keys(_Ranges(ranges.groups, part), n)
+        if top > capacity:
+            return None
+        keys += ([] if begins is None else [begins]) + inner
+    return keys
 
 
 def shard(docs: DataFrame, shards: int = 16, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Deal documents to shards of near equal bytes, equal texts together.
 
     Groups of equal texts are atomic. They are ordered by a 64-bit hash of the text, and cut into contiguous
-    runs so that the largest shard is as small as that order allows. Returns the id column, ``size`` (UTF-8
+    runs so that the largest shard is as small as that order allows. A group of that size has its shard to itself. Returns the id column, ``size`` (UTF-8
     bytes plus 1; null text: 1), ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot`` (0, 1, ... in each shard
     by id) and ``grown_shard`` (null: this law moves rows when the shard count changes).
 
     Null texts are one group, apart from empty ones. Rows that repeat an id keep a slot each. With fewer groups
-    than shards the last shards stay empty; an empty table gives no rows. Other columns are not read.
+    than shards some shards stay empty; an empty table gives no rows. Other columns are not read.
     """
     row = F.struct(F.col(text).isNull(), F.col(text))
     slim = docs.select(
