@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,8 +28,12 @@ HEADER = len(MAGIC) + 1 + 32
 #: Documents that the dictionary is trained on, at most, and its bytes. It bears on sizes alone.
 DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
 LEVEL = 3
-#: Words whose ids a Python worker remembers; with more, it starts anew.
-REMEMBERED = 600_000
+#: Words whose ids a Python worker remembers at most, in two generations: those used since the last change, and before.
+REMEMBERED = 800_000
+#: Words that go through the library in one line, if it is known into how many tokens' ends each of them turns.
+LINE = 256
+#: Words of letters that stay single letters in lower case and under NFC, and signs after them: one piece, or two.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*").fullmatch
 
 
 class WordEncoder:
@@ -46,6 +52,44 @@ class WordEncoder:
         self.type = np.dtype(f"<u{self.width}")
         self.by_word = self.parts_at_spaces()
         self.known: dict[bytes, bytes] = {}
+        self.former: dict[bytes, bytes] = {}
+        suffix = json.loads(content)["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix and self.by_word:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[n for t, n in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+            probe = ["Ab", "été.", "x!?", "ÇA", "ß", "word,", "ÿ"]
+            if self._lines(probe) != self._ids(probe):
+                self.ends = None
+
+    def _lines(self, words: list[str]) -> list[bytes]:
+        """Ids of PLAIN words, many to a line; the tokens that end a piece tell the words apart."""
+        out: list[bytes] = []
+        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
+        for own, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.type)
+            pieces = np.cumsum([1 if w[-1].isalpha() else 2 for w in own])
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) != pieces[-1]:
+                out += self._ids(own)
+                continue
+            raw, cut = ids.tobytes(), (at[pieces - 1] * self.width).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.known) > REMEMBERED // 2:
+            self.former, self.known = self.known, {}
+        new = words.difference(self.known)
+        again = new.intersection(self.former)
+        self.known.update((w, self.former[w]) for w in again)
+        plain, odd = [], []
+        for w in map(bytes.decode, new - again):
+            (plain if self.ends is not None and PLAIN(w) else odd).append(w)
+        for own, ids in ((plain, self._lines), (odd, self._ids)):
+            for i in range(0, len(own), 64 * LINE):
+                part = own[i : i + 64 * LINE]
+                self.known.update(zip((w.encode() for w in part), ids(part), strict=True))
 
     def _ids(self, rows: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
@@ -60,12 +104,7 @@ class WordEncoder:
         if not self.by_word:
             return self._ids([t.decode() for t in rows])
         words = [t.split() for t in rows]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*words).difference(self.known)) if words else []
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, self._ids([w.decode() for w in part]), strict=True))
+        self._learn(set().union(*words))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
 
 
