@@ -18,7 +18,7 @@ def first_coding(concept: Column, or_text: bool = True) -> Column:
 
 def codings(concepts: Column) -> Column:
     """The codings of a list of concepts, those without one left out."""
-    return F.filter(F.transform(concepts, first_coding), lambda c: c.isNotNull())
+    return F.filter(F.transform(concepts, lambda c: first_coding(c)), lambda c: c.isNotNull())
 
 
 def reference_id(reference: Column) -> Column:

@@ -79,3 +79,46 @@ def detection_reward(flagged: Column, bad: Column, confidence: Column) -> Column
     """1 for right calls, -1 for a missed bad answer, -0.5 for a false alarm; surer right calls earn up to 0.3 more."""
     right = F.when(flagged & bad, 1.0 + 0.3 * (1 - confidence)).when(~flagged & ~bad, 1.0 + 0.3 * confidence)
     return right.when(bad, -1.0).otherwise(-0.5)
+
+
+def verifier_flags(output: Column) -> Column:
+    """Whether a verifier's output rejects an answer; one that doesn't parse does not."""
+    return F.lower(F.regexp_extract(output, r'"verdict"\s*:\s*"(\w+)"', 1)).isin("not_supported", "partial")
+
+
+def challenger_flags(output: Column) -> Column:
+    """Whether a challenger's output has a challenge and no empty list."""
+    return F.contains(output, F.lit("challenge_type")) & ~F.contains(output, F.lit("[]"))
+
+
+def call_reward(flagged: Column, bad: Column) -> Column:
+    """1 for a right call, -1 for a missed bad answer, -0.5 for a false alarm."""
+    return F.when(flagged == bad, 1.0).when(bad, -1.0).otherwise(-0.5)
+
+
+def hybrid_rewards(verifier: Column, challenger: Column, bad: Column) -> tuple[Column, Column]:
+    """Rewards of two agents' flags: half the pair's, 0.3 their own, 0.2 what they add to the other alone."""
+    pair = call_reward(verifier | challenger, bad)
+    mixed = lambda own, other: 0.5 * pair + 0.3 * call_reward(own, bad) + 0.2 * (pair - call_reward(other, bad))
+    return mixed(verifier, challenger), mixed(challenger, verifier)
+
+
+def shared_rewards(verifier: Column, challenger: Column, bad: Column) -> tuple[Column, Column, Column]:
+    """The pair's reward (1 or -1, 0.3 further from 0 if both agree), and each agent's: 0.2 more or less by its own call."""
+    base = F.when((verifier | challenger) == bad, 1.0).otherwise(-1.0)
+    base = base + F.when(verifier == challenger, 0.3 * F.signum(base)).otherwise(0.0)
+    own = lambda flag: base + F.when(flag == bad, 0.2).otherwise(-0.2)
+    return base, own(verifier), own(challenger)
+
+
+def trajectory_reward(verifier_right: Column, challenger_right: Column) -> Column:
+    """1 if both agents are right, 0 if one is, -1 if neither."""
+    return F.when(verifier_right & challenger_right, 1.0).when(verifier_right | challenger_right, 0.0).otherwise(-1.0)
+
+
+def detection_output_reward(output: Column, bad: Column) -> Column:
+    """``detection_reward`` of a verifier's output, 0.1 more if its first line is JSON, else less; -0.5 if it has no verdict."""
+    said = F.regexp_extract(output, r'"verdict"\s*:\s*"(\w+)"', 1)
+    sure = F.coalesce(F.regexp_extract(output, r'"confidence"\s*:\s*([\d.]+)', 1).try_cast("double"), F.lit(0.5))
+    form = F.when(F.try_parse_json(F.substring_index(F.trim(output), "\n", 1)).isNotNull(), 0.1).otherwise(-0.1)
+    return F.when(said == "", -0.5).otherwise(detection_reward(verifier_flags(output), bad, F.least(F.greatest(sure, F.lit(0.0)), F.lit(1.0))) + form)

@@ -37,3 +37,25 @@ def answer_rows(pairs: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("ground_truth").alias("answer"), F.lit(False).alias("is_hallucinated")), F.struct(F.col("hallucinated").alias("answer"), F.lit(True).alias("is_hallucinated")))
     rest = [c for c in pairs.columns if c not in ("ground_truth", "hallucinated")]
     return pairs.select(*rest, F.explode(both).alias("a")).select(*rest, "a.answer", "a.is_hallucinated")
+
+
+def preference_pairs(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """(patient_id, query_index, chosen, rejected): verdicts to prefer for saved answers.
+
+    A grounded answer (nothing hallucinated, F1 of 0.5 or more) should be approved, not abstained from; one with over 0.1
+    hallucinated should be revised, not approved. Reads hallucination_rate and f1 of ``truth``; a missing one counts as 0.
+    """
+    joined = results.join(truth.select("patient_id", "query_index", "hallucination_rate", "f1"), ["patient_id", "query_index"], "left").na.fill(0.0, ["hallucination_rate", "f1"])
+    pair = lambda cond, a, b: joined.where(cond).select("patient_id", "query_index", F.lit(a).alias("chosen"), F.lit(b).alias("rejected"))
+    return pair("hallucination_rate = 0 and f1 >= 0.5", "APPROVED", "ABSTAINED").unionByName(pair("hallucination_rate > 0.1", "REVISED", "APPROVED"))
+
+
+def trajectories(pairs: DataFrame) -> DataFrame:
+    """Two rows for each question pair with the targets that agents are trained to: low confidence and a challenge for the
+    hallucinated answer, the reverse for the true one."""
+    bad = F.col("is_hallucinated")
+    rows = answer_rows(pairs)
+    return rows.select(
+        "*", F.when(bad, "not_supported").otherwise("supported").alias("expected_verdict"), F.when(bad, 0.1).otherwise(0.95).alias("verifier_target_confidence"),
+        bad.alias("challenger_should_challenge"), F.when(bad, 0.0).otherwise(1.0).alias("judge_target_score"),
+    )
