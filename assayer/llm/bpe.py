@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 128, 256, 512)
 #: Cells of one matrix.
 CELLS = 1 << 19
 #: Pieces whose ids a Python worker remembers; with more, it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: No rank.
 NONE = np.iinfo(np.int32).max
 
@@ -31,10 +32,9 @@ def load_ranks(content: bytes) -> dict[bytes, int]:
 class PairTable:
     """Open-addressing hash table from a pair of ids to the id of their concatenation."""
 
-    def __init__(self, pairs: dict[tuple[int, int], int]):
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
-        values = np.fromiter(pairs.values(), np.int32, len(pairs))
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        """``keys`` are distinct: the left id in the upper half of 64 bits, the right id in the lower."""
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
         self.probes, slot, left = 0, self._slot(keys), np.arange(len(keys))
@@ -73,9 +73,13 @@ class Vocabulary:
         self.ranks = load_ranks(content)
         self.split = regex.compile(pattern).findall
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pairs = PairTable({
-            (self.ranks[t[:i]], self.ranks[t[i:]]): n for t, n in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks
-        })
+        keys, values = array("q"), array("i")
+        for t, n in self.ranks.items():
+            for i in range(1, len(t)):
+                left, right = self.ranks.get(t[:i]), self.ranks.get(t[i:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right), values.append(n)
+        self.pairs = PairTable(np.array(keys, np.int64), np.array(values, np.int32))
         tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, n in self.ranks.items():
             tokens[n] = t

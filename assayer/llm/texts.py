@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import scratch
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _TEXT = "__text"
 
