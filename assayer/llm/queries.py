@@ -79,4 +79,13 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op3_token_files, op4_shard, op5_simhash, op6_toxicity, op7_passages, op8_quality, op9_telephony, op10_divergence_rules)}
 
 #: DuckDB SQL, where a query can be said in it.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op7_passages": r"""
+with words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+windows as (select doc_id, i, array_to_string(ws[i : i + 34], ' ') as w from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from words)),
+again as (select w from windows group by w having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(i, i + 35)) as p from windows where w in (select w from again)),
+placed as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as p from words),
+left_over as (select placed.doc_id, string_agg(word, ' ' order by placed.p) filter (gone.p is null) as kept, count(gone.p) as n from placed left join gone on gone.doc_id = placed.doc_id and gone.p = placed.p group by 1)
+select words.doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from words left join left_over on left_over.doc_id = words.doc_id""",
+}
