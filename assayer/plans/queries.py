@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codings, dates, parsing, text, units
-from ..operators import audit, chunking, metrics, records, retrieval, sampling
+from ..operators import answers, audit, chunking, citations, debate, metrics, records, retrieval, sampling, scoring
 from ..streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,3 +527,157 @@ select doc_id, unnest([false, true]) as is_hallucinated, unnest([md5(text), md5(
 def qa_answer_rows(t: Tables) -> DataFrame:
     pairs = t.documents.select("doc_id", F.md5(F.col("text").cast("binary")).alias("ground_truth"), F.md5(F.col("lang").cast("binary")).alias("hallucinated"))
     return sampling.answer_rows(pairs).select("doc_id", "is_hallucinated", "answer")
+
+
+# -- sections, claims, citations, verdicts ----------------------------------------------------------------------------------
+
+
+@query("""
+select o_orderkey, 0 as pos, 'other' as section, 'Seen by ' || o_orderstatus as body from orders union all
+select o_orderkey, 1, 'chief_complaint', o_orderpriority || chr(10) || 'and more' from orders union all
+select o_orderkey, 2, 'medications', 'item ' || o_custkey || chr(10) || chr(10) || 'item again' from orders union all
+select o_orderkey, 3, 'labs_results', 'value ' || o_orderkey from orders""")
+def note_sections(t: Tables) -> DataFrame:
+    nl = "\n"
+    note = F.concat(
+        F.lit("Seen by "), "o_orderstatus", F.lit(nl + "Chief Complaint:" + nl), "o_orderpriority", F.lit(nl + "and more" + nl + "MEDICATIONS" + nl + "item "), F.col("o_custkey").cast("string"),
+        F.lit(nl + " Lab Results : " + nl + "value "), F.col("o_orderkey").cast("string"), F.lit(nl + "Medications" + nl + "item again" + nl + nl),
+    )
+    return chunking.sections(t.orders.select("o_orderkey", note.alias("text")), "o_orderkey")
+
+
+@query("""
+select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as claim_id, case when n > 1 then 'item ' || l_partkey else '1. item ' || l_partkey end as claim
+from (select *, count(*) over (partition by l_orderkey) as n from lineitem)""")
+def answer_claims(t: Tables) -> DataFrame:
+    items = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("ls"))
+    said = F.array_join(F.transform("ls", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". item "), x["l_partkey"].cast("string"))), "\n")
+    got = debate.split_claims(items.select("l_orderkey", said.alias("answer")), "l_orderkey")
+    return got.select("l_orderkey", F.col("claim_id").cast("long").alias("claim_id"), "claim")
+
+
+@query("""
+with d as (select doc_id, text, length(text) as n from documents)
+select doc_id, start, md5(substr(text, start + 1, 500)) as window_md5 from (select doc_id, text, unnest(case when n <= 500 then [0] else range(0, n - 500 + 1, 125) end) as start from d)""")
+def citation_windows(t: Tables) -> DataFrame:
+    got = citations.windows(t.documents.select("doc_id", "text"))
+    return got.select("doc_id", F.col("start").cast("long").alias("start"), F.md5(F.col("window").cast("binary")).alias("window_md5"))
+
+
+@query(r"""
+select doc_id, case when length(f) <= 120 then f else rtrim(substr(f, 1, 117)) || '...' end as excerpt from (select doc_id, trim(replace(text, chr(10), ' ')) as f from documents)""")
+def reference_excerpts(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", citations.excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""
+select event_id, case when event_id % 3 = 0 then 'SUPPORTED' when event_id % 3 = 1 then 'NOT_SUPPORTED' else 'PARTIAL' end as verdict, round(case when event_id % 3 < 2 then least(value / 100, 1.0) else 0.5 end, 6) as confidence from events""")
+def verified_claims(t: Tables) -> DataFrame:
+    claims = t.events.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("claim_id"))
+    said = t.events.where("event_id % 3 < 2").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("claim_id"), F.when(F.col("event_id") % 3 == 0, "SUPPORTED").otherwise("NOT_SUPPORTED").alias("verdict"), (F.col("value") / 100).alias("confidence"))
+    return debate.verified(claims, said).select(F.col("claim_id").alias("event_id"), "verdict", r6("confidence").alias("confidence"))
+
+
+@query("""
+select lang as model, count(*) as n, count(*) filter (toxic is null) as answerable, round(avg(n_chars / 1e5) filter (toxic is null), 4) as precision, coalesce(round(avg(n_chars / 1e6) filter (toxic is null and n_chars / 1e6 > 0.001), 4), 0) as rouge_l,
+  coalesce(round(count(*) filter (toxic = 1) / nullif(count(*) filter (toxic is not null), 0), 3), 0) as abstention_accuracy from documents left join labels using (doc_id) group by 1""")
+def model_axes(t: Tables) -> DataFrame:
+    rows = t.documents.join(t.labels, "doc_id", "left").withColumn("abstained", F.col("toxic") == 1).withColumn("precision", F.col("n_chars") / 1e5).withColumn("rouge_l", F.when(F.col("n_chars") / 1e6 > 0.001, F.col("n_chars") / 1e6))
+    none = ["recall", "f1", "hallucination_rate", "semantic_sim", "context_precision", "context_recall", "citation_accuracy", "safety_error_rate", "latency_ms"]
+    for c in none:
+        rows = rows.withColumn(c, F.lit(None).cast("double"))
+    return scoring.roll_up(rows, "lang").select(F.col("lang").alias("model"), "n", "answerable", "precision", "rouge_l", "abstention_accuracy")
+
+
+@query("""
+select event_id, case when (v or c) = b then 1.0 else -1.0 end + case when v = c then case when (v or c) = b then 0.3 else -0.3 end else 0 end as shared,
+  round(0.5 * p + 0.3 * case when v = b then 1 when b then -1 else -0.5 end + 0.2 * (p - case when c = b then 1 when b then -1 else -0.5 end), 6)::double as verifier
+from (select *, case when (v or c) = b then 1.0 when b then -1.0 else -0.5 end as p from (select event_id, event_type = 'click' as v, value > 50 as c, event_id % 2 = 0 as b from events))""")
+def agent_rewards(t: Tables) -> DataFrame:
+    said = F.concat(F.lit('{"verdict": "'), F.when(F.col("event_type") == "click", "partial").otherwise("supported"), F.lit('"}'))
+    challenge = F.when(F.col("value") > 50, '[{"challenge_type": "dose"}]').otherwise("[]")
+    v, c, b = parsing.verifier_flags(said), parsing.challenger_flags(challenge), F.col("event_id") % 2 == 0
+    return t.events.select("event_id", parsing.shared_rewards(v, c, b)[0].alias("shared"), r6(parsing.hybrid_rewards(v, c, b)[0]).alias("verifier"))
+
+
+@query("""
+select count(*) filter (flagged and bad) as tp, count(*) filter (flagged and not bad) as fp, count(*) filter (not flagged and not bad) as tn, count(*) filter (not flagged and bad) as fn
+from (select doc_id, false as bad, quality = 0 as flagged from labels union all select doc_id, true, toxic = 1 or quality = 0 from labels)""")
+def pair_detection(t: Tables) -> DataFrame:
+    rows = sampling.answer_rows(t.labels.select("doc_id", "quality", "toxic", F.lit("a").alias("ground_truth"), F.lit("b").alias("hallucinated")))
+    flagged = (F.col("quality") == 0) | (F.col("is_hallucinated") & (F.col("toxic") == 1))
+    return metrics.confusion(rows, flagged, F.col("is_hallucinated")).select("tp", "fp", "tn", "fn")
+
+
+@query("""
+select doc_id, 'APPROVED' as chosen, 'ABSTAINED' as rejected from labels where toxic = 0 and quality = 1 union all select doc_id, 'REVISED', 'APPROVED' from labels where toxic = 1""")
+def preference_pairs(t: Tables) -> DataFrame:
+    results = t.labels.select(F.lit("p").alias("patient_id"), F.col("doc_id").alias("query_index"))
+    truth = t.labels.select(F.lit("p").alias("patient_id"), F.col("doc_id").alias("query_index"), (F.col("toxic") * 0.5).alias("hallucination_rate"), (F.col("quality") * 0.8).alias("f1"))
+    return sampling.preference_pairs(results, truth).select(F.col("query_index").alias("doc_id"), "chosen", "rejected")
+
+
+@query("""
+select doc_id, bad as is_hallucinated, case when bad then 'not_supported' else 'supported' end as expected_verdict, case when bad then 0.0 else 1.0 end::double as judge_target_score from documents, (values (false), (true)) v(bad)""")
+def trajectories(t: Tables) -> DataFrame:
+    rows = sampling.trajectories(t.documents.select("doc_id", F.lit("x").alias("ground_truth"), F.lit("y").alias("hallucinated")))
+    return rows.select("doc_id", "is_hallucinated", "expected_verdict", "judge_target_score")
+
+
+@query(f"with {_DENSE} select query_id, round(max(greatest(score, 0)), 6) as faithfulness from ranked where vec_id <> query_id group by 1")
+def semantic_faithfulness(t: Tables) -> DataFrame:
+    queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding")
+    got = retrieval.dense_top_k(queries, t.embeddings, ["label"], None, chunk="vec_id").where("vec_id <> query_id")
+    return got.groupBy("query_id").agg(r6(F.max(F.greatest("score", F.lit(0.0)))).alias("faithfulness"))
+
+
+@query("select conv_id, turn, case when role = 'user' then 'numeric' when role = 'assistant' then 'summary' else 'unknown' end as query_type, case when role = 'user' then 0.9 when role = 'assistant' then 0.4 else 0.0 end::double as router_confidence from conversations")
+def routed_questions(t: Tables) -> DataFrame:
+    rules = t.spark.createDataFrame([(1, "[user]", '{"query_type": "numeric", "confidence": 0.9}'), (2, "[assistant]", 'So:\n```json\n{"query_type": "summary", "confidence": 0.4}\n```')], "priority int, keyword string, response string")
+    prompts = t.conversations.select("conv_id", "turn", F.concat(F.lit("["), "role", F.lit("] ")).alias("prompt"))
+    return answers.route(answers.mock_model(prompts, rules, "no idea")).select("conv_id", "turn", "query_type", "router_confidence")
+
+
+@query("select l_orderkey, l_linenumber, cast(o_orderdate as date) = cast(l_shipdate as date) as valid, case when cast(o_orderdate as date) = cast(l_shipdate as date) then 0 else 1 end as issues from lineitem join orders on l_orderkey = o_orderkey")
+def temporal_validity(t: Tables) -> DataFrame:
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    said = t.lineitem.select(key.alias("query_id"), F.concat(F.lit("Given on "), F.date_format("l_shipdate", "MMMM d, yyyy"), F.lit(".")).alias("answer"))
+    known = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(key.alias("query_id"), F.lit("no dates here").alias("text"), F.col("o_orderdate").alias("encounter_date"))
+    got = answers.temporal_check(said, known)
+    return got.select("query_id.l_orderkey", "query_id.l_linenumber", "valid", F.size("issues").alias("issues"))
+
+
+@query()
+def entity_scores(t: Tables) -> DataFrame:
+    """Item names of an order against what an answer lists of them: the first two, and one that is in no order."""
+    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 10 = 0")
+    truth = items.select(F.col("l_orderkey").alias("query_id"), F.col("p_name").alias("entity"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("code"))
+    held = items.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.slice(F.array_sort(F.collect_set("p_name")), 1, 2).alias("ns"))
+    said = held.select("query_id", F.concat(F.lit("1. quixotic zephyr\n2. "), F.array_join("ns", "\n3. ")).alias("answer"))
+    return scoring.entity_scores(said, truth)
+
+
+@query()
+def rouge_of_replies(t: Tables) -> DataFrame:
+    a = t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer"))
+    u = t.conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("reference"))
+    return a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", scoring.rouge_l(F.col("answer"), F.col("reference")).alias("rouge_l"))
+
+
+@query()
+def cleaned_notes(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.clean(F.col("text")).alias("cleaned"))
+
+
+@query()
+def verified_answers(t: Tables) -> DataFrame:
+    """Replies whose listed names must stand in what was asked."""
+    said = t.conversations.where("role = 'assistant'").select("conv_id", F.concat(F.lit("1. "), F.substring("text", 1, 40), F.lit("\n2. quixotic zephyr")).alias("answer")).dropDuplicates(["conv_id"])
+    return answers.verify_entities(said, t.conversations.where("role = 'assistant'").select("conv_id", "text"), "conv_id")
+
+
+@query()
+def cited_replies(t: Tables) -> DataFrame:
+    said = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 400).alias("answer"))
+    chunks = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(1).alias("rank"), "text")
+    return citations.cite(said, chunks)
