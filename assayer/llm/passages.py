@@ -8,7 +8,8 @@ The work runs over shards of documents of about SHARD_BYTES, and exchanges packe
    occurrence of each recurring window speaks for it, and the shards where it occurs are known.
 3. Automata. The runs of recurring windows around those occurrences are the passages. A shard gets the passages that
    bear on it, cuts them into tiles that no window misses, and compiles the tiles with pyahocorasick.
-4. Location. All documents of a shard go through its automaton. A tile's match is extended word by word along its
+4. Location. All documents of a shard go through its automaton, but for stretches that by a table of hashes cannot hold
+   a tile. A tile's match is extended word by word along its
    passage; where a whole window matches, its words are covered.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import ahocorasick
 import numpy as np
@@ -32,13 +33,15 @@ from . import scratch, texts
 
 WINDOW, ANCHOR = 35, 16
 #: Bytes of text in a shard, about, and bytes of text whose values share a bucket.
-SHARD_BYTES, BUCKET_BYTES, LEAST_SHARDS = 8 << 20, 16 << 20, 8
+SHARD_BYTES, BUCKET_BYTES, LEAST_SHARDS = 4 << 20, 16 << 20, 8
 #: Words of a passage at most; longer ones are cut with an overlap of a window.
 PASSAGE = 512
+#: Words of a tile, a power of two, and the bits of the table by which most stretches are known to hold none.
+TILE, TABLE_BITS = 8, 22
 #: Letters by which automata spell words: few, since a state searches its successors one by one.
 BASE = 32
 #: Words whose hashes a Python worker remembers; with more, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -101,7 +104,7 @@ class _Slice:
         self.words = [t.split() for t in rows]
         self.n = np.array([len(w) for w in self.words], np.int64)
         self.start = np.cumsum(self.n) - self.n
-        flat = np.fromiter((_hashes[w] for ws in self.words for w in ws), np.uint64, int(self.n.sum()))
+        flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, int(self.n.sum()))
         self.window, self.span = window, window - ANCHOR + 1
         self.full = len(flat) >= window and bool((self.n >= window).any())
         if not self.full:
@@ -273,17 +276,19 @@ class Locator:
     """An automaton over tiles of passages, and the passages to extend its matches along."""
 
     def __init__(self, passages: list[bytes], window: int):
-        self.window, self.tile = window, (window + 1) // 2
+        self.window, self.tile, step = window, TILE, window - TILE + 1  # each window holds a whole tile
         split = [p.split() for p in sorted(set(passages))]
         self.place: dict[bytes, int] = {}
         self.passages = [np.array([self.place.setdefault(w, len(self.place)) for w in ws], np.int64) for ws in split]
         self.letters = max(1, math.ceil(math.log(max(2, len(self.place)), BASE)))
         self.tiles: list[list[tuple[int, int]]] = []
         known: dict[tuple, int] = {}
+        self.table = np.zeros(1 << TABLE_BITS, bool)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for n, p in enumerate(self.passages):
             spelled = self._spell(p).tolist()
-            for at in range(0, len(p) - self.tile + 1, self.tile):
+            self.table[self._slots(p)[::step]] = True
+            for at in range(0, len(p) - self.tile + 1, step):
                 word = tuple(spelled[at * self.letters : (at + self.tile) * self.letters])
                 if word not in known:
                     known[word] = len(self.tiles)
@@ -293,6 +298,15 @@ class Locator:
         if self.tiles:
             self.automaton.make_automaton()
 
+    @staticmethod
+    def _slots(ids: np.ndarray) -> np.ndarray:
+        """A place in the table for each TILE words in a row."""
+        level, size = (ids + 1).astype(np.uint64) * _ODD, 1
+        while size < TILE:
+            level = level[:-size] * _power(size) + level[size:]
+            size *= 2
+        return _mixed(level) >> np.uint64(64 - TABLE_BITS)
+
     def _spell(self, ids: np.ndarray) -> np.ndarray:
         """Each word as letters, those of different places of a word different; an unknown word has one of no tile."""
         k = np.arange(self.letters)
@@ -304,9 +318,18 @@ class Locator:
         if not self.tiles or len(words) < self.window:
             return out
         ids = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        hit = np.flatnonzero(self.table[self._slots(ids)])
+        if not len(hit):
+            return out
+        near = np.zeros(len(ids), bool)
+        for k in range(self.tile):
+            near[hit + k] = True
+        at_word = np.flatnonzero(near)  # the automaton reads the stretches that may hold tiles, with a break between two
+        breaks = np.flatnonzero(np.diff(at_word) > 1) + 1
+        read, at_word = np.insert(ids[at_word], breaks, -1), np.insert(at_word, breaks, -1)
         reached: dict[tuple[int, int], int] = {}
-        for end, tile in self.automaton.iter(tuple(self._spell(ids).tolist())):
-            at = (end + 1) // self.letters - self.tile
+        for end, tile in self.automaton.iter(tuple(self._spell(read).tolist())):
+            at = int(at_word[(end + 1) // self.letters - 1]) + 1 - self.tile
             for n, place in self.tiles[tile]:
                 if reached.get((n, at - place), -1) >= at + self.tile:
                     continue
