@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codings, dates, parsing, text, units
-from ..operators import answers, audit, chunking, citations, debate, metrics, records, retrieval, sampling, scoring
+from ..operators import answers, audit, chunking, citations, debate, filters, metrics, records, retrieval, sampling, scoring, truth
 from ..streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -681,3 +681,81 @@ def cited_replies(t: Tables) -> DataFrame:
     said = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 400).alias("answer"))
     chunks = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.lit(1).alias("rank"), "text")
     return citations.cite(said, chunks)
+
+
+# -- scope and truth --------------------------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, case when o_orderkey % 11 = 0 then 400 when o_custkey % 3 = 0 then 422 else 200 end as status from orders")
+def scope_gate(t: Tables) -> DataFrame:
+    asked = t.orders.select("o_orderkey", F.col("o_custkey").alias("patient_id"), (F.col("o_orderkey") % 11 != 0).alias("body_ok"))
+    loaded = t.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("patient_id"))
+    return filters.scoped(asked, loaded).select("o_orderkey", "status")
+
+
+@query("select event_id, event_type from events where user_id = 7 and ts <= timestamp '2024-01-20' and event_type <> 'view'")
+def session_lookup(t: Tables) -> DataFrame:
+    log = t.events.withColumn("session_id", F.col("user_id").cast("string"))
+    held = filters.audit_entries(filters.timeline(log, "ts", end=F.lit("2024-01-20").cast("timestamp"), kind=F.col("event_type") != "view"), session="7")
+    return held.select("event_id", "event_type")
+
+
+@query("select vec_id, vec_id % 7 <> 0 as ok from embeddings")
+def index_input(t: Tables) -> DataFrame:
+    cut = t.embeddings.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding")))
+    good, bad = filters.indexable(cut, 64)
+    return good.select("vec_id", F.lit(True).alias("ok")).unionByName(bad.select("vec_id", F.lit(False).alias("ok")))
+
+
+@query("select doc_id, place as \"at\", md5(substr(substr(text, 1, 5000), place + 1, 500)) as segment_md5 from (select doc_id, text, unnest(range(0, least(length(text), 5000), 500)) as place from documents)")
+def record_segments(t: Tables) -> DataFrame:
+    return filters.segments(t.documents, "doc_id").select("doc_id", F.col("at").cast("long").alias("at"), F.md5(F.col("segment").cast("binary")).alias("segment_md5"))
+
+
+@query("""
+with c as (select o_custkey as patient_id, o_orderkey as encounter_id, o_orderdate as start from orders), l as (select c.patient_id, c.encounter_id, 'item ' || l_partkey % 50 as entity from lineitem join c on l_orderkey = encounter_id where l_linenumber > 1),
+last as (select patient_id, encounter_id from (select *, row_number() over (partition by patient_id order by start desc, encounter_id) as n from c) where n = 1),
+m as (select l.*, l.encounter_id = last.encounter_id as recent from l join last using (patient_id)), s as (select patient_id, bool_or(recent) as has_recent from m group by 1)
+select distinct m.patient_id, entity from m join s using (patient_id) where recent or not has_recent""")
+def recent_conditions(t: Tables) -> DataFrame:
+    enc = t.orders.select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("encounter_id"), F.col("o_orderdate").alias("start"))
+    name = F.concat(F.lit("item "), (F.col("l_partkey") % 50).cast("string"))
+    cond = t.lineitem.where("l_linenumber > 1").join(enc, F.col("l_orderkey") == F.col("encounter_id")).select("patient_id", "encounter_id", name.alias("display"), F.lit(None).cast("string").alias("code"))
+    return truth.recent_conditions(cond, enc).select("patient_id", "entity")
+
+
+@query("""
+select l_suppkey as patient_id, 'lab ' || p || ' ' || cast(q as integer) || ' mg' as entity from (
+  select l_suppkey, l_partkey % 40 as p, l_quantity as q, row_number() over (partition by l_suppkey, l_partkey % 40 order by l_shipdate desc, l_orderkey * 10 + l_linenumber, l_partkey) as n from lineitem) where n = 1""")
+def lab_entities(t: Tables) -> DataFrame:
+    pos = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
+    labs = t.lineitem.select(F.col("l_suppkey").alias("patient_id"), F.concat(F.lit("lab "), (F.col("l_partkey") % 40).cast("string")).alias("display"), F.col("l_quantity").cast("int").alias("value"), F.lit("mg").alias("unit"), F.col("l_shipdate").alias("date"), pos.alias("pos"))
+    return truth.lab_entities(labs).select("patient_id", "entity")
+
+
+@query("""
+select o_orderpriority as type, count(*) as n, count(*) filter (o_orderkey % 10 = 0) as errors, round(avg(o_totalprice) filter (o_orderkey % 10 <> 0)) as avg_latency_ms, list_sort(list(o_totalprice) filter (o_orderkey % 10 <> 0))[count(*) filter (o_orderkey % 10 <> 0) // 2 + 1] as median_latency_ms,
+  round(count(*) filter (o_orderstatus = 'F') / count(*), 3) as abstention_rate, round(count(*) filter (o_orderkey % 10 <> 0 and o_orderkey % 4 > 0) / count(*) filter (o_orderkey % 10 <> 0), 3) as citation_coverage, round(avg(case when o_orderkey % 6 > 0 then o_orderkey % 6 end), 2) as quality from orders group by 1""")
+def run_statistics(t: Tables) -> DataFrame:
+    id = F.col("o_orderkey")
+    rows = t.orders.select(
+        F.col("o_orderpriority").alias("type"), F.when(id % 10 == 0, "failed").alias("error"), F.col("o_totalprice").alias("latency_ms"), (id % 4).alias("n_citations"),
+        F.when(F.col("o_orderstatus") == "F", "abstained").otherwise("approved").alias("verdict"), (id % 6).alias("judge_score"), F.lit(-1.0).alias("faithfulness"),
+    )
+    return truth.run_stats(rows, "type").select("type", "n", "errors", "avg_latency_ms", "median_latency_ms", "abstention_rate", "citation_coverage", "quality")
+
+
+@query("""
+select e as expected, count(*) filter (p = 'APPROVED') as "APPROVED", count(*) filter (p = 'REVISED') as "REVISED", count(*) filter (p = 'ABSTAINED') as "ABSTAINED", count(*) filter (p not in ('APPROVED', 'REVISED', 'ABSTAINED')) as "UNKNOWN", round(avg((p = e)::integer), 6) as accuracy
+from (select ['APPROVED','REVISED','ABSTAINED'][cast(event_id % 3 + 1 as integer)] as e, case event_type when 'click' then 'APPROVED' when 'view' then 'REVISED' when 'purchase' then 'ABSTAINED' else 'hm' end as p from events) group by 1""")
+def verdict_matrix(t: Tables) -> DataFrame:
+    expected = F.element_at(F.array(F.lit("APPROVED"), F.lit("REVISED"), F.lit("ABSTAINED")), (F.col("event_id") % 3 + 1).cast("int"))
+    kind = F.col("event_type")
+    said = F.when(kind == "click", "APPROVED").when(kind == "view", "REVISED").when(kind == "purchase", "ABSTAINED").otherwise("hm")
+    got = truth.verdict_matrix(t.events, expected, said)
+    return got.select("expected", "APPROVED", "REVISED", "ABSTAINED", "UNKNOWN", r6("accuracy").alias("accuracy"))
+
+
+@query("select p_partkey, round((contains(lower(p_name), 'a')::integer + contains(lower(p_name), 'e')::integer + contains(lower(p_name), 'zz')::integer) / 3, 6) as relevance from part")
+def answer_relevance(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", r6(truth.relevance(F.col("p_name"), F.array(F.lit("A"), F.lit("e"), F.lit("zz")))).alias("relevance"))

@@ -319,3 +319,26 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     running.awaitTermination(60)
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(spark.table("counted")) == key(events.windowed_counts(rows))
+
+
+def test_filters_and_truth(spark):
+    from assayer.operators import filters, truth
+
+    df = spark.createDataFrame([(1, "Serum Creatinine"), (2, " "), (3, None), (4, "Glucose")], "id long, text string")
+    assert filters.not_blank(df).count() == 2 and [r.id for r in df.where(filters.named_like(F.col("text"))).collect()] == [1]
+    asked = spark.createDataFrame([("a", True), ("z", True), (None, True), ("a", False)], "patient_id string, body_ok boolean")
+    got = filters.scoped(asked, spark.createDataFrame([("a",), ("a",)], "patient_id string"))
+    assert sorted(r.status for r in got.collect()) == [200, 400, 422, 422]
+    good, bad = filters.indexable(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "id long, embedding array<double>"), 2)
+    assert [r.id for r in good.collect()] == [1] and bad.count() == 2
+    enc = spark.createDataFrame([("p", 1, "2024-01-01"), ("p", 2, "2024-02-01"), ("q", 3, "2024-01-01")], "patient_id string, encounter_id long, start string")
+    cond = spark.createDataFrame([("p", 1, "old", "1"), ("p", 2, "new", "2"), ("q", 9, "other", None), ("r", None, "lone", None)], "patient_id string, encounter_id long, display string, code string")
+    recent = truth.recent_conditions(cond, enc)
+    assert sorted((r.patient_id, r.entity) for r in recent.collect()) == [("p", "new"), ("q", "other"), ("r", "lone")]
+    labs = spark.createDataFrame([("p", "BUN", 5, "mg", "2024-01-01", 0), ("p", "BUN", 7, "mg", "2024-01-01", 1), ("p", "Iron", None, "mg", "2024-01-01", 2)], "patient_id string, display string, value int, unit string, date string, pos int")
+    assert sorted(r.entity for r in truth.lab_entities(labs).collect()) == ["BUN 5 mg", "Iron"] and truth.lab_entities(labs, kidney=True).count() == 2
+    assert truth.all_entities(recent, truth.lab_entities(labs), recent).count() == 5
+    runs = spark.createDataFrame([("m", None, 10, 1, "approved", 4, 0.5), ("m", None, 30, 0, "abstained", 0, -1.0), ("m", "x", 99, 0, None, 0, -1.0)], "model string, error string, latency_ms long, n_citations int, verdict string, judge_score int, faithfulness double")
+    r = truth.run_stats(runs, "model").first()
+    assert (r.n, r.errors, r.avg_latency_ms, r.median_latency_ms, r.abstention_rate, r.citation_coverage, r.quality, r.faithfulness) == (3, 1, 20, 30, 0.333, 0.5, 4, 0.5) and r.verdicts == {"approved": 1, "abstained": 1, "unknown": 1}
+    assert [r.segment for r in filters.segments(spark.createDataFrame([(1, "abcdefg"), (2, "")], "id long, text string"), "id", size=3).orderBy("at").collect()] == ["abc", "def", "g"]
