@@ -246,7 +246,7 @@ def document_chunks(t: Tables) -> DataFrame:
 
 
 @query(rf"""
-select doc_id, n, sum(l) over (partition by doc_id order by n) - wl as char_start, sum(l) over (partition by doc_id order by n) as char_end from (
+select doc_id, n, cast(sum(l) over (partition by doc_id order by n) - wl as bigint) as char_start, cast(sum(l) over (partition by doc_id order by n) as bigint) as char_end from (
   select doc_id, generate_subscripts(ps, 1) - 1 as n, length(unnest(ps)) as l, length(regexp_extract(unnest(ps), '{WORD}')) as wl from (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*{WORD}') as ps from documents))""")
 def word_places(t: Tables) -> DataFrame:
     got = chunking.word_offsets(t.documents, "doc_id", "text")
@@ -543,7 +543,8 @@ def note_sections(t: Tables) -> DataFrame:
         F.lit("Seen by "), "o_orderstatus", F.lit(nl + "Chief Complaint:" + nl), "o_orderpriority", F.lit(nl + "and more" + nl + "MEDICATIONS" + nl + "item "), F.col("o_custkey").cast("string"),
         F.lit(nl + " Lab Results : " + nl + "value "), F.col("o_orderkey").cast("string"), F.lit(nl + "Medications" + nl + "item again" + nl + nl),
     )
-    return chunking.sections(t.orders.select("o_orderkey", note.alias("text")), "o_orderkey")
+    got = chunking.sections(t.orders.select("o_orderkey", note.alias("text")), "o_orderkey")
+    return got.withColumn("pos", F.col("pos").cast("int"))
 
 
 @query("""
@@ -590,7 +591,7 @@ def model_axes(t: Tables) -> DataFrame:
 
 
 @query("""
-select event_id, case when (v or c) = b then 1.0 else -1.0 end + case when v = c then case when (v or c) = b then 0.3 else -0.3 end else 0 end as shared,
+select event_id, case when (v or c) = b then 1.0 else -1.0 end + case when v = c then case when (v or c) = b then 0.3 else -0.3 end else 0 end::double as shared,
   round(0.5 * p + 0.3 * case when v = b then 1 when b then -1 else -0.5 end + 0.2 * (p - case when c = b then 1 when b then -1 else -0.5 end), 6)::double as verifier
 from (select *, case when (v or c) = b then 1.0 when b then -1.0 else -0.5 end as p from (select event_id, event_type = 'click' as v, value > 50 as c, event_id % 2 = 0 as b from events))""")
 def agent_rewards(t: Tables) -> DataFrame:
