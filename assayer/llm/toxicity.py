@@ -20,9 +20,11 @@ MARKING, LEAST_DOCS, LEAST_SHARE, COVER = 48, 3, 0.03, 6
 #: Words with the best odds whose stems are candidates, the lengths of stems, and the least odds of a stem.
 CANDIDATES, STEMS, ODDS = 1_500, (4, 9), 4.0
 #: The kernel: length of subsequences and what each character of their spans weighs.
-LENGTH, DECAY = 3, 0.7
+LENGTH, DECAY = 3, 0.6
 #: A word is compared with a landmark if it has this share of its characters; smaller kernel values count as 0.
 SHARE, FLOOR = 0.8, 0.3
+#: Sentences of a lesson that the machine is fitted on, at most: those with the largest kernel values.
+WORST = 4
 #: Single characters in a row, from which on they are read as one word.
 SPELLED = 3
 CUT = 0.5
@@ -46,19 +48,16 @@ def kernel(chars: np.ndarray, other: np.ndarray) -> np.ndarray:
     Sums, over common subsequences of LENGTH characters, DECAY to the power of both spans, so gaps and inserted
     characters weaken a match but don't break it. All rows advance together through the recursion.
     """
-    n = len(chars)
-    before = [np.ones((n, other.shape[1] + 1))] + [np.zeros((n, other.shape[1] + 1)) for _ in range(LENGTH - 1)]
+    n, m = len(chars), other.shape[1]
+    gap = np.arange(m)[None, :] - np.arange(m)[:, None]
+    spread = np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0.0)  # a match weighs less the further on its span reaches
+    before = [np.ones((n, m + 1))] + [np.zeros((n, m + 1)) for _ in range(LENGTH - 1)]
     total = np.zeros(n)
     for i in range(chars.shape[1]):
-        same = (chars[:, i : i + 1] == other) & (chars[:, i : i + 1] != 0)
-        total += np.where(same, DECAY**2 * before[LENGTH - 1][:, :-1], 0).sum(1)
+        same = ((chars[:, i : i + 1] == other) & (chars[:, i : i + 1] != 0)) * DECAY**2
+        total += (same * before[LENGTH - 1][:, :-1]).sum(1)
         for q in range(LENGTH - 1, 0, -1):
-            step = np.where(same, DECAY**2 * before[q - 1][:, :-1], 0)
-            run = np.empty_like(step)
-            held = np.zeros(n)
-            for j in range(step.shape[1]):
-                held = DECAY * held + step[:, j]
-                run[:, j] = held
+            run = (same * before[q - 1][:, :-1]) @ spread
             before[q] *= DECAY
             before[q][:, 1:] += run
     return total
@@ -270,23 +269,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     prior = (shares.toxic + 1) / (shares.n + 2)
     told = texts.with_columns(lessons, words, "words array<binary>", drop_text=True)
     counts = told.select(F.explode("words").alias("word"), "label").where(F.octet_length("word") >= LENGTH).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
+    counts = scratch.cut(counts, "words")
     telling = counts.where((F.col("toxic") >= 2) & (F.col("toxic") * (shares.n - shares.toxic) > 8 * (F.col("n") - F.col("toxic")) * shares.toxic))
     telling = telling.orderBy(F.desc(F.col("toxic") * F.col("toxic") / F.col("n")), "word").limit(CANDIDATES).collect()
     candidates = frozenset(set().union(*(stems(bytes(r.word)) for r in telling)))
 
+    def stem_counts(batches):
+        for batch in batches:
+            found: dict[bytes, list[int]] = {}
+            for word, n, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for x in candidates & stems(word):
+                    held = found.setdefault(x, [0, 0])
+                    held[0] += n
+                    held[1] += toxic
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in (0, 1))], names=["stem", "n", "toxic"])
+
+    stemmed = counts.select("word", "n", F.col("toxic").cast("long")).mapInArrow(stem_counts, "stem binary, n long, toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    marking = stemmed.where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * (shares.n - shares.toxic + 1) > ODDS * (F.col("n") - F.col("toxic") + 0.5) * (shares.toxic + 1))).collect()
+    odds = {bytes(r.stem): r.toxic / (shares.toxic + 1) / ((r.n - r.toxic + 0.5) / (shares.n - shares.toxic + 1)) for r in marking}
+    known = frozenset(odds)
+
     def parts():
         def found(rows: list[bytes]) -> list[pa.Array]:
-            own = [[x for w in sorted({bare(w) for w in words_of(t)}) for x in sorted(candidates & stems(w))] for t in rows]
+            own = [[x for w in sorted({bare(w) for w in words_of(t)}) for x in sorted(known & stems(w))] for t in rows]
             return [pa.array(own, pa.list_(pa.binary()))]
 
         return found
 
-    stemmed = scratch.cut(texts.with_columns(lessons, parts, "stems array<binary>", drop_text=True), "stems")
-    counts = stemmed.select(F.explode(F.array_distinct("stems")).alias("stem"), "label").groupBy("stem").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
-    marking = counts.where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * (shares.n - shares.toxic + 1) > ODDS * (F.col("n") - F.col("toxic") + 0.5) * (shares.toxic + 1))).collect()
-    odds = {bytes(r.stem): r.toxic / (shares.toxic + 1) / ((r.n - r.toxic + 0.5) / (shares.n - shares.toxic + 1)) for r in marking}
-    own = stemmed.where("label = 1").select("stems").collect()
-    landmarks = choose_landmarks([[bytes(w) for w in r.stems if bytes(w) in odds] for r in own], odds)
+    own = texts.with_columns(lessons.where("label = 1"), parts, "stems array<binary>", drop_text=True).select("stems").collect()
+    landmarks = choose_landmarks([[bytes(w) for w in r.stems] for r in own], odds)
     if not landmarks or shares.toxic in (0, shares.n):
         return prior
 
@@ -294,13 +305,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         reader = Reader(landmarks)
 
         def largest(rows: list[bytes]) -> list[pa.Array]:
-            found, n_words = reader.sentences(rows)
-            ranked = [s[np.argsort(-s.sum(1), kind="stable")] for s in found]
-            return [pa.array([s.tolist() for s in ranked], pa.list_(pa.list_(pa.float64()))), pa.array(n_words, pa.int64())]
+            found, _ = reader.sentences(rows)
+            ranked = [s[np.argsort(-s.sum(1), kind="stable")[:WORST]] for s in found]
+            return [pa.array([s.tolist() for s in ranked], pa.list_(pa.list_(pa.float64())))]
 
         return largest
 
-    made = texts.with_columns(lessons, kernels, "sentences array<array<double>>, n_words long", drop_text=True).toPandas().sort_values("id", kind="stable")
+    made = texts.with_columns(lessons, kernels, "sentences array<array<double>>", drop_text=True).toPandas().sort_values("id", kind="stable")
     nothing = np.zeros((0, len(landmarks)))
     sentences = [np.array([list(x) for x in s]).reshape(-1, len(landmarks)) if len(s) else nothing for s in made["sentences"]]
     y = made["label"].to_numpy(float)
@@ -310,11 +321,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     chosen, marks = [], []
     for s, top, own in zip(sentences, first, y, strict=True):
         part = top if not own or len(s) < 2 else np.concatenate([top, s[1:][s[1:] @ nystroem @ w + b > 0]])
-        part = s[:4] if not own and len(s) else part
+        part = s if not own and len(s) else part
         chosen.append(part), marks.append(np.full(len(part), own))
     w, b = fit_svm(np.concatenate(chosen) @ nystroem, np.concatenate(marks))
     machine = Machine(landmarks, nystroem, w, b, np.zeros(5))
-    return replace(machine, sigmoid=fit_sigmoid(machine.evidence(sentences, made["n_words"].tolist()), y))
+
+    def evidence():
+        reader = Reader(landmarks)
+        return lambda rows: [pa.array(machine.evidence(*reader.sentences(rows)).tolist(), pa.list_(pa.float64()))]
+
+    told = texts.with_columns(lessons, evidence, "evidence array<double>", drop_text=True).toPandas().sort_values("id", kind="stable")
+    return replace(machine, sigmoid=fit_sigmoid(np.array(told["evidence"].tolist()), told["label"].to_numpy(float)))
 
 
 def score(docs: DataFrame, machine: Machine | float, cut: float = CUT, text: str = "text", drop_text: bool = False) -> DataFrame:
