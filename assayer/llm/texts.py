@@ -19,11 +19,11 @@ SLICE_BYTES = 2 << 20
 _TEXT = "__text"
 
 
-def slices(batch: pa.RecordBatch, lengths: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about SLICE_BYTES of text each; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, lengths: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     start = held = 0
     for i, n in enumerate(lengths.to_pylist()):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -31,6 +31,21 @@ def slices(batch: pa.RecordBatch, lengths: pa.Array) -> Iterator[pa.RecordBatch]
         yield batch.slice(start)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of about ``most`` bytes of text, across the bounds of batches."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, pc.binary_length(batch.column(column)), most):
+            n = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if held and size + n > most:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held and sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def with_columns(df: DataFrame, work: Callable[[], Callable[[list[bytes]], list[pa.Array]]], schema: str, text: str = "text", drop_text: bool = False) -> DataFrame:
     """Append the columns of ``schema``, computed from whole texts as UTF-8 (null: empty).
 

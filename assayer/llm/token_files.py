@@ -25,9 +25,11 @@ from . import scratch, texts
 #: A file begins with MAGIC, the bytes of an id (2 or 4) and the sha256 of the dictionary.
 MAGIC = b"TIDF1"
 HEADER = len(MAGIC) + 1 + 32
-#: Documents that the dictionary is trained on, at most, and its bytes. It bears on sizes alone.
-DICTIONARY_DOCS, DICTIONARY_BYTES = 2000, 64 << 10
+#: Documents that the dictionary is trained on and bytes of their texts, at most, and its bytes. It bears on sizes alone.
+DICTIONARY_DOCS, DICTIONARY_TEXT, DICTIONARY_BYTES = 2000, 64 << 10, 64 << 10
 LEVEL = 3
+#: Bytes of text that are encoded at once: the more, the fewer words are looked for twice.
+GATHERED = 8 << 20
 #: Words whose ids a Python worker remembers at most, in two generations: those used since the last change, and before.
 REMEMBERED = 800_000
 #: Words that go through the library in one line, if it is known into how many tokens' ends each of them turns.
@@ -140,12 +142,14 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", id: str = "doc_id", most: int = DICTIONARY_DOCS) -> bytes:
-    """A dictionary from the id arrays of at most ``most`` documents, those with the smallest hashed ids.
+    """A dictionary from the id arrays of at most ``most`` documents, those with the smallest hashed ids; texts
+    longer than DICTIONARY_TEXT are left out of the training.
 
     Tables too small to train on get none (no bytes).
     """
     chosen = docs.select(F.col(id).alias("__id")).distinct().orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most)
-    sample = docs.select(F.col(id).alias("__own"), F.col(text).alias("__doc")).join(F.broadcast(chosen), F.col("__own") == F.col("__id"), "left_semi")
+    short = docs.where(F.octet_length(text) <= DICTIONARY_TEXT)
+    sample = short.select(F.col(id).alias("__own"), F.col(text).alias("__doc")).join(F.broadcast(chosen), F.col("__own") == F.col("__id"), "left_semi")
 
     def work():
         known = encoder(tokenizer)
@@ -185,19 +189,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
         fs, place = _open(f"{path}/{name}")
         file, at, ahead = None, HEADER, 0
         try:
-            for batch in batches:
-                for own in texts.slices(batch, pc.binary_length(batch.column(2))):
-                    if file is None:
-                        file = fs.open_output_stream(place)
-                        file.write(MAGIC + bytes([known.width]) + hashlib.sha256(raw).digest())
-                    found = [x + end for x in known.encode(own.column(2).to_pylist())]
-                    frames = [press.compress(x) for x in found]
-                    file.write(b"".join(frames))
-                    sizes, counts = np.array([len(x) for x in frames], np.int64), np.array([len(x) // known.width for x in found], np.int64)
-                    n = len(frames)
-                    columns = [np.full(n, part, np.int32), [name] * n, own.column(0), at + np.cumsum(sizes) - sizes, sizes, counts, ahead + np.cumsum(counts) - counts]
-                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
-                    at, ahead = at + int(sizes.sum()), ahead + int(counts.sum())
+            for own in texts.gathered(batches, 2, GATHERED):
+                if file is None:
+                    file = fs.open_output_stream(place)
+                    file.write(MAGIC + bytes([known.width]) + hashlib.sha256(raw).digest())
+                found = [x + end for x in known.encode(own.column(2).to_pylist())]
+                frames = [press.compress(x) for x in found]
+                file.write(b"".join(frames))
+                sizes, counts = np.array([len(x) for x in frames], np.int64), np.array([len(x) // known.width for x in found], np.int64)
+                n = len(frames)
+                columns = [np.full(n, part, np.int32), [name] * n, own.column(0), at + np.cumsum(sizes) - sizes, sizes, counts, ahead + np.cumsum(counts) - counts]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+                at, ahead = at + int(sizes.sum()), ahead + int(counts.sum())
         finally:
             if file is not None:
                 file.close()
