@@ -651,7 +651,7 @@ def temporal_validity(t: Tables) -> DataFrame:
 @query()
 def entity_scores(t: Tables) -> DataFrame:
     """Item names of an order against what an answer lists of them: the first two, and one that is in no order."""
-    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).where("l_orderkey % 10 = 0")
+    items = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     truth = items.select(F.col("l_orderkey").alias("query_id"), F.col("p_name").alias("entity"), F.col("p_type").alias("name"), F.lit(None).cast("string").alias("code"))
     held = items.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.slice(F.array_sort(F.collect_set("p_name")), 1, 2).alias("ns"))
     said = held.select("query_id", F.concat(F.lit("1. quixotic zephyr\n2. "), F.array_join("ns", "\n3. ")).alias("answer"))

@@ -342,3 +342,15 @@ def test_filters_and_truth(spark):
     r = truth.run_stats(runs, "model").first()
     assert (r.n, r.errors, r.avg_latency_ms, r.median_latency_ms, r.abstention_rate, r.citation_coverage, r.quality, r.faithfulness) == (3, 1, 20, 30, 0.333, 0.5, 4, 0.5) and r.verdicts == {"approved": 1, "abstained": 1, "unknown": 1}
     assert [r.segment for r in filters.segments(spark.createDataFrame([(1, "abcdefg"), (2, "")], "id long, text string"), "id", size=3).orderBy("at").collect()] == ["abc", "def", "g"]
+
+
+def test_entity_scores_of_all_orders(spark, tmp_path):
+    from assayer.plans import queries
+
+    names = ["crimson walnut", "silver harbour", "gentle meadow", "frozen lantern"]
+    spark.createDataFrame([(i, n, f"KIND {i}") for i, n in enumerate(names)], "p_partkey long, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    orders = {k: [(k + i) % 4 for i in range(1 + k % 4)] for k in range(1, 13)}
+    spark.createDataFrame([(k, p) for k, ps in orders.items() for p in ps], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.query_id: (r.total_gt, r.found, r.total_answer, r.hallucinated, r.precision, r.recall) for r in queries.QUERIES["entity_scores"](spark, str(tmp_path)).collect()}
+    said = {k: min(2, len(ps)) for k, ps in orders.items()}
+    assert got == {k: (len(ps), said[k], said[k] + 1, 1, round(said[k] / (said[k] + 1), 4), round(said[k] / len(ps), 4)) for k, ps in orders.items()}
