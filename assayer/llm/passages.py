@@ -363,7 +363,7 @@ def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str =
     added = T.StructType.fromDDL("n_words long, n_removed long, kept string")
     kept = [c for c in docs.columns if c not in added.names and not (drop_text and c == text)]
     key = F.xxhash64(F.col(id).cast("string"), F.col(text))
-    keyed = docs.select(*(docs[c] for c in kept), key.alias("__key"), F.pmod(key, F.lit(shards)).alias("__shard"), F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("__text"))
+    keyed = docs.select(*(docs[c] for c in kept), key.alias("__key"), F.pmod(key, F.lit(shards)).alias("__shard"), texts.utf8(docs, text).alias("__text"))
     slim = keyed.select("__shard", "__key", "__text")
     passages = scratch.cut(_confirm(slim, _anchors(slim, window, buckets), window, buckets), "passages")
     schema = T.StructType([*(keyed.schema[c] for c in kept), *added.fields])

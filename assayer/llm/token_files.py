@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import os
-import re
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -21,103 +19,16 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import scratch, texts
+from .encoder import encoder
 
 #: A file begins with MAGIC, the bytes of an id (2 or 4) and the sha256 of the dictionary.
 MAGIC = b"TIDF1"
 HEADER = len(MAGIC) + 1 + 32
-#: Documents that the dictionary is trained on and bytes of their texts, at most, and its bytes. It bears on sizes alone.
-DICTIONARY_DOCS, DICTIONARY_TEXT, DICTIONARY_BYTES = 2000, 64 << 10, 64 << 10
+#: Documents that the dictionary is trained on and bytes of their ids, at most, and its own bytes. It bears on sizes alone.
+DICTIONARY_DOCS, DICTIONARY_IDS, DICTIONARY_BYTES = 2000, 8 << 20, 64 << 10
 LEVEL = 3
-#: Bytes of text that are encoded at once: the more, the fewer words are looked for twice.
-GATHERED = 8 << 20
-#: Words whose ids a Python worker remembers at most, in two generations: those used since the last change, and before.
-REMEMBERED = 800_000
-#: Words that go through the library in one line, if it is known into how many tokens' ends each of them turns.
-LINE = 256
-#: Words of letters that stay single letters in lower case and under NFC, and signs after them: one piece, or two.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*").fullmatch
-
-
-class WordEncoder:
-    """Ids of whole texts from a tokenizer for which ASCII white space always parts tokens and is dropped.
-
-    Then a text's ids are those of its words, one after another, and each distinct word goes through the tokenizers
-    library once. ``parts_at_spaces`` tells whether a tokenizer is of that kind; texts of another go in whole.
-    """
-
-    def __init__(self, content: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(content)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.type = np.dtype(f"<u{self.width}")
-        self.by_word = self.parts_at_spaces()
-        self.known: dict[bytes, bytes] = {}
-        self.former: dict[bytes, bytes] = {}
-        suffix = json.loads(content)["model"].get("end_of_word_suffix")
-        self.ends = None
-        if suffix and self.by_word:
-            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-            self.ends[[n for t, n in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
-            probe = ["Ab", "été.", "x!?", "ÇA", "ß", "word,", "ÿ"]
-            if self._lines(probe) != self._ids(probe):
-                self.ends = None
-
-    def _lines(self, words: list[str]) -> list[bytes]:
-        """Ids of PLAIN words, many to a line; the tokens that end a piece tell the words apart."""
-        out: list[bytes] = []
-        lines = [words[i : i + LINE] for i in range(0, len(words), LINE)]
-        for own, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.type)
-            pieces = np.cumsum([1 if w[-1].isalpha() else 2 for w in own])
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) != pieces[-1]:
-                out += self._ids(own)
-                continue
-            raw, cut = ids.tobytes(), (at[pieces - 1] * self.width).tolist()
-            out += [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) > REMEMBERED // 2:
-            self.former, self.known = self.known, {}
-        new = words.difference(self.known)
-        again = new.intersection(self.former)
-        self.known.update((w, self.former[w]) for w in again)
-        plain, odd = [], []
-        for w in map(bytes.decode, new - again):
-            (plain if self.ends is not None and PLAIN(w) else odd).append(w)
-        for own, ids in ((plain, self._lines), (odd, self._ids)):
-            for i in range(0, len(own), 64 * LINE):
-                part = own[i : i + 64 * LINE]
-                self.known.update(zip((w.encode() for w in part), ids(part), strict=True))
-
-    def _ids(self, rows: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)]
-
-    def parts_at_spaces(self) -> bool:
-        probe = ["don't", "re", "3.5", "É", "á", "''", "s", "　x"]
-        parts = self._ids(probe)
-        return all(b"".join(parts) == self._ids([gap.join(probe)])[0] for gap in (" ", "\n", "\t", "  ", "\x0b\x0c", "\r\n")) and self._ids([" \n"])[0] == b""
-
-    def encode(self, rows: list[bytes]) -> list[bytes]:
-        """Ids of each text, as the bytes of a little-endian array."""
-        if not self.by_word:
-            return self._ids([t.decode() for t in rows])
-        words = [t.split() for t in rows]
-        self._learn(set().union(*words))
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
-
-
-_loaded: dict[int, WordEncoder] = {}
-
-
-def encoder(content: str) -> WordEncoder:
-    if hash(content) not in _loaded:
-        _loaded.clear()
-        _loaded[hash(content)] = WordEncoder(content)
-    return _loaded[hash(content)]
+#: Bytes of text that are encoded at once: the more, the fewer pieces are looked for twice.
+GATHERED = 4 << 20
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -141,23 +52,46 @@ def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(content) if content else None
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", id: str = "doc_id", most: int = DICTIONARY_DOCS) -> bytes:
-    """A dictionary from the id arrays of at most ``most`` documents, those with the smallest hashed ids; texts
-    longer than DICTIONARY_TEXT are left out of the training.
+def encode(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(id, tie, ids): each text's ids and the end id, as the bytes of a little-endian array of 2 or 4 bytes each.
 
-    Tables too small to train on get none (no bytes).
+    ``tokenizer`` is the content of a tokenizers file; special tokens are not added. Null texts have the end id alone;
+    bytes that aren't UTF-8 count as U+FFFD. ``tie`` is a hash of the text.
     """
-    chosen = docs.select(F.col(id).alias("__id")).distinct().orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(most)
-    short = docs.where(F.octet_length(text) <= DICTIONARY_TEXT)
-    sample = short.select(F.col(id).alias("__own"), F.col(text).alias("__doc")).join(F.broadcast(chosen), F.col("__own") == F.col("__id"), "left_semi")
+    spark = docs.sparkSession
+    scratch.short_batches(spark)
+    shared = spark.sparkContext.broadcast(tokenizer)  # a tokenizer file
+    sent = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("tie"), texts.utf8(docs, text).alias("text"))
+    schema = T.StructType([sent.schema["id"], *T.StructType.fromDDL("tie long, ids binary").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = encoder(shared.value)
+        for own in texts.gathered(batches, 2, GATHERED):
+            flat, counts = known.encode(*texts.flat(own.column(2)))
+            ends = np.cumsum(counts)
+            made = np.insert(flat, ends, end_id)
+            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * known.type.itemsize
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), texts.binary(offsets, made)], names=["id", "tie", "ids"])
 
-    def work():
-        known = encoder(tokenizer)
-        return lambda rows: [pa.array([x + np.array([end_id], known.type).tobytes() for x in known.encode(rows)], pa.binary())]
+    return sent.mapInArrow(run, schema)
 
-    rows = texts.with_columns(sample, work, "frame binary", "__doc", drop_text=True).orderBy("__own").limit(most).collect()
+
+def train_dictionary(encoded: DataFrame, most: int = DICTIONARY_DOCS, most_bytes: int = DICTIONARY_IDS) -> bytes:
+    """A dictionary from the whole id arrays of a sample: about ``most`` rows of (id, tie, ids) at most, by the hash of id and
+    text, as far as they fit into ``most_bytes`` together (the driver trains it). A sample too small to train on gives no bytes.
+    """
+    share = min(1.0, most / max(1, encoded.count()))
+    lot = F.pmod(F.xxhash64(F.col("id").cast("string"), "tie", F.lit(11)), F.lit(1 << 30))
+    sample = scratch.cut(encoded.select(lot.alias("lot"), F.octet_length("ids").alias("n"), "ids").where(F.col("lot") < int(share * (1 << 30))).limit(2 * most), "sample")
+    left, chosen = most_bytes, set()
+    for r in sample.select("lot", "n").orderBy("lot", "n").collect():
+        if r.n <= left:
+            left -= r.n
+            chosen.add((r.lot, r.n))
+    told = encoded.sparkSession.createDataFrame(sorted(chosen), "lot long, n int")  # at most 2 * most rows
+    rows = sample.join(F.broadcast(told), ["lot", "n"]).dropDuplicates(["lot", "n"]).orderBy("lot", "n").collect()
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.frame) for r in rows], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(r.ids) for r in rows], level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
@@ -165,39 +99,36 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text: str = "
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", id: str = "doc_id") -> None:
     """Encode whole texts and write them to files below ``path`` in ascending order of id.
 
-    ``tokenizer`` is the content of a tokenizers file; special tokens are not added, ``end_id`` ends every document.
-    A task sorts a range of ids and writes one file: header, then a zstandard frame for each document. The table
+    ``encode`` says how. A task sorts a range of ids and writes one file: header, then a zstandard frame for each document. The table
     ``index`` tells a document's file, offset, bytes, number of ids and the ids before it in the file; ``dictionary``
-    holds what the frames refer to. A file of a failed task is in no index row. Null texts are documents with the
-    end id alone; null ids come first; rows that repeat an id stand side by side, by the hash of their text.
-    An empty table has an index without rows.
+    holds what the frames refer to. A file of a failed task is in no index row. Null ids come first; rows that repeat an
+    id stand side by side, by the hash of their text. An empty table has an index without rows.
     """
     spark = docs.sparkSession
-    scratch.short_batches(spark)
-    dictionary = train_dictionary(docs, tokenizer, end_id, text, id)
+    encoded = scratch.cut(encode(docs, tokenizer, end_id, text, id).withColumn("row", F.monotonically_increasing_id()), "ids")
+    dictionary = train_dictionary(encoded)
     _put(f"{path}/dictionary", dictionary)
-    shared = spark.sparkContext.broadcast((tokenizer, dictionary))  # a tokenizer file and at most DICTIONARY_BYTES
-    sent = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    sent = sent.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
+    width = encoder(tokenizer).type.itemsize
+    shared = spark.sparkContext.broadcast(dictionary)  # at most DICTIONARY_BYTES
+    sent = encoded.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "ids")
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("file", T.StringType()), sent.schema["id"], *T.StructType.fromDDL("offset long, size long, n_tokens long, ahead long").fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, raw = shared.value
-        known, press = encoder(content), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_checksum=True, write_content_size=True)
-        end, part, name = np.array([end_id], known.type).tobytes(), TaskContext.get().partitionId(), f"part-{uuid.uuid4().hex}.tid"
+        raw = shared.value
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(raw), write_checksum=True, write_content_size=True)
+        part, name = TaskContext.get().partitionId(), f"part-{uuid.uuid4().hex}.tid"
         fs, place = _open(f"{path}/{name}")
         file, at, ahead = None, HEADER, 0
         try:
-            for own in texts.gathered(batches, 2, GATHERED):
+            for own in batches:
                 if file is None:
                     file = fs.open_output_stream(place)
-                    file.write(MAGIC + bytes([known.width]) + hashlib.sha256(raw).digest())
-                found = [x + end for x in known.encode(own.column(2).to_pylist())]
-                frames = [press.compress(x) for x in found]
+                    file.write(MAGIC + bytes([width]) + hashlib.sha256(raw).digest())
+                flat, bounds = texts.flat(own.column(1))
+                frames = [press.compress(flat[a:b]) for a, b in itertools.pairwise(bounds.tolist())]
                 file.write(b"".join(frames))
-                sizes, counts = np.array([len(x) for x in frames], np.int64), np.array([len(x) // known.width for x in found], np.int64)
-                n = len(frames)
+                n, counts, sizes = len(frames), np.diff(bounds) // width, np.fromiter(map(len, frames), np.int64, len(frames))
                 columns = [np.full(n, part, np.int32), [name] * n, own.column(0), at + np.cumsum(sizes) - sizes, sizes, counts, ahead + np.cumsum(counts) - counts]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
                 at, ahead = at + int(sizes.sum()), ahead + int(counts.sum())

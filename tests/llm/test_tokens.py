@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assayer.llm import bpe, scratch, token_files
+from assayer.llm import bpe, encoder, scratch, token_files
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
@@ -94,14 +94,34 @@ def test_files_of_nothing(spark, nothing):
     assert token_files.read(spark, path).count() == 0
 
 
-def test_words_are_enough(known):
-    encoder = token_files.WordEncoder(open(WORDS).read())
-    assert encoder.by_word and encoder.ends is not None
-    library = Tokenizer.from_file(WORDS)
-    texts = ["Don't stop,  word's 3.5 naïve İstanbul ﬁne <|endoftext|>x é   y z ΑΣ ab?! 12ab", "", " \t\n"]
-    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+def test_pieces_of_odd_texts_encode_like_the_library():
+    content = open(WORDS).read()
+    known, library = encoder.PieceEncoder(content), Tokenizer.from_str(content)
+    rng = random.Random(1)
+    units = ["the", "The", "é", "É", "ÿ", "×", "÷", "ß", "'", "'s", "'S", "'re", "’", "…", ".", ",", "!?", "|", "%%%", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\t", "\u00a0", "\u3000", "漢字", "\u0301", "e\u0301", "İ", "5", "12", "_", "-", "s", "t", "ll", "\x00", "\x1c", "\x85", "\u0338", "<", ">", "😀", "\u200b", "x" * 70, "Σ"]
+    texts = ["".join(rng.choice(units) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    raw = [t.encode() for t in texts]
+    for _ in range(2):  # new pieces, then known ones
+        flat, counts = known.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+        got = np.split(flat, np.cumsum(counts)[:-1])
+        assert all(g.tolist() == library.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
+
+
+def test_pieces_beyond_the_memory(monkeypatch):
+    monkeypatch.setattr(encoder, "REMEMBERED", 50)
+    content = open(WORDS).read()
+    known, library = encoder.PieceEncoder(content), Tokenizer.from_str(content)
+    rng = random.Random(3)
+    for _ in range(4):
+        t = " ".join("".join(rng.choice("abcde") for _ in range(6)) for _ in range(90))
+        flat, _ = known.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert flat.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
-def test_digests_are_of_the_ids(spark, docs):
-    row = bpe.encode(docs.where("doc_id = 66"), RANKS, P.PATTERN).select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("h"), "ids").first()
-    assert row.h == hashlib.sha256(",".join(map(str, row.ids)).encode()).hexdigest()
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(x'61FF62' as string) as text")
+    content = open(WORDS).read()
+    path = scratch.folder(spark, "bad")
+    token_files.write(df, path, content, 2)
+    assert np.frombuffer(token_files.read(spark, path).first().frame, "<u4").tolist() == Tokenizer.from_str(content).encode("a\ufffdb", add_special_tokens=False).ids + [2]
+    assert bytes(bpe.decode(bpe.encode(df, RANKS, P.PATTERN), RANKS, P.PATTERN).first().decoded) == "a\ufffdb".encode()
