@@ -75,52 +75,72 @@ def build(sample: np.ndarray, depth: int, radius: int) -> Tree:
     return Tree(vantage, limit, depth)
 
 
-def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n points the smallest point that the links (a, b) connect it to."""
-    label = np.arange(n)
+def spanned(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of n points the smallest point that the links (a, b) connect it to, and the places of links that are enough for that."""
+    label, used = np.arange(n), [np.zeros(0, np.int64)]
     while True:
         low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
-        apart = low < high
-        if not apart.any():
-            return label
+        apart = np.flatnonzero(low < high)
+        if not len(apart):
+            return label, np.concatenate(used)
         np.minimum.at(label, high[apart], low[apart])
+        hooks = apart[label[high[apart]] == low[apart]]
+        used.append(hooks[np.unique(high[hooks], return_index=True)[1]])
         while (label[label] != label).any():
             label = label[label]
 
 
+def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest point that the links (a, b) connect it to."""
+    return spanned(n, a, b)[0]
+
+
 class Leaf:
-    """All links between the home points of a leaf, and between them and its visitors.
+    """Links between the home points of a leaf, and between them and its visitors.
 
     ``prints`` are compared within ``radius``; with ``checks`` (rows of uint64), a link also needs their distance to be
-    at most ``most``. The result is one star for each component, which loses no connection.
+    at most ``most``. ``a`` and ``b`` are links enough to connect what all links connect; ``label`` is the smallest
+    point of a point's component. With ``roots``, links of points with equal roots are left out, and ``a`` and ``b``
+    are all others or, for ``nearest``, of each point and each root one of those with the least distance of checks.
     """
 
-    def __init__(self, prints: np.ndarray, home: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 0):
-        self.prints, self.radius, self.checks, self.most = prints, radius, checks, most
+    def __init__(self, prints: np.ndarray, home: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 0, roots: np.ndarray | None = None, nearest: bool = False):
+        self.prints, self.radius, self.checks, self.most, self.roots, self.nearest = prints, radius, checks, most, roots, nearest
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held, self.least = 0, HELD
+        self.label = np.arange(len(prints))
         self._search(np.flatnonzero(home), np.arange(len(prints)), 0)
-        self.label = self._reduce()
-
-    def _reduce(self) -> np.ndarray:
-        n = len(self.prints)
-        if self.links:
-            a, b = (np.concatenate(x) for x in zip(*self.links, strict=True))
-            label = stars(n, a, b)
+        self._reduce()
+        self.a, self.b = self.links[0]
+
+    def _reduce(self) -> None:
+        none = np.zeros(0, np.int64)
+        a, b = (np.concatenate(x) for x in zip(*self.links, (none, none), strict=True))
+        if self.roots is None:
+            self.label, used = spanned(len(self.prints), a, b)
+            a, b = a[used], b[used]
+        elif self.nearest:
+            a, b = np.concatenate([a, b]), np.concatenate([b, a])
+            order = np.lexsort((b, distance(self.checks[a], self.checks[b]).sum(-1, dtype=np.int64), self.roots[b], a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (self.roots[b[1:]] != self.roots[b[:-1]])])[: len(a)])
+            a, b = a[first], b[first]
         else:
-            label = np.arange(n)
-        moved = np.flatnonzero(label != np.arange(n))
-        self.links, self.held = [(moved, label[moved])], len(moved)
-        return label
+            codes = np.unique(np.minimum(a, b) * len(self.prints) + np.maximum(a, b))
+            a, b = codes // max(1, len(self.prints)), codes % max(1, len(self.prints))
+        self.links, self.held = [(a, b)], len(a)
+        self.least = max(HELD, 2 * len(a))
 
     def _add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.links.append((a, b))
         self.held += len(a)
-        if self.held > HELD:
+        if self.held > self.least:
             self._reduce()
 
     def _linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         near = distance(self.prints[a], self.prints[b]) <= self.radius
+        if self.roots is not None:
+            near &= self.roots[a] != self.roots[b]
         if self.checks is not None:
             at = np.nonzero(near)
             wide = np.broadcast_arrays(a, b)
@@ -141,6 +161,9 @@ class Leaf:
             self._compare(home, other)
             return
         vantage, limit, cost = _split(self.prints[home], self.radius, 4, depth)
+        if cost >= 0.97 and self.roots is not None:
+            self._compare(home, other)
+            return
         if cost >= 0.97:  # a dense cluster: its members need no comparison with one another, only with the rest
             centre = home[:1]
             near = self._linked(centre, other)

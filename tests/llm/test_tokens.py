@@ -94,12 +94,18 @@ def test_files_of_nothing(spark, nothing):
     assert token_files.read(spark, path).count() == 0
 
 
+def test_digests_are_of_the_ids(spark, docs):
+    row = bpe.encode(docs.where("doc_id = 66"), RANKS, P.PATTERN).select(F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("h"), "ids").first()
+    assert row.h == hashlib.sha256(",".join(map(str, row.ids)).encode()).hexdigest()
+
+
 def test_pieces_of_odd_texts_encode_like_the_library():
     content = open(WORDS).read()
     known, library = encoder.PieceEncoder(content), Tokenizer.from_str(content)
     rng = random.Random(1)
     units = ["the", "The", "é", "É", "ÿ", "×", "÷", "ß", "'", "'s", "'S", "'re", "’", "…", ".", ",", "!?", "|", "%%%", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "\n", "\t", "\u00a0", "\u3000", "漢字", "\u0301", "e\u0301", "İ", "5", "12", "_", "-", "s", "t", "ll", "\x00", "\x1c", "\x85", "\u0338", "<", ">", "😀", "\u200b", "x" * 70, "Σ"]
     texts = ["".join(rng.choice(units) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    texts += ["Don't stop,  word's 3.5 naïve İstanbul ﬁne <|endoftext|>x é   y z ΑΣ ab?! 12ab", "", " \t\n"]
     raw = [t.encode() for t in texts]
     for _ in range(2):  # new pieces, then known ones
         flat, counts = known.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
