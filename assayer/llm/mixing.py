@@ -16,6 +16,8 @@ RATE_BITS = 32
 #: Newton ends when the expected words are this near a target, as a share of it.
 NEAR = 1e-7
 MOST_STEPS = 60
+#: The type of sums over a whole corpus.
+_WIDE = "decimal(38,0)"
 #: Phases of the systematic rounding that are tried for each source.
 PHASES = 64
 
@@ -81,8 +83,8 @@ def solve(cells: DataFrame, sources: list[Source], most: float) -> None:
         own = cells.join(known, cells["source"].eqNullSafe(known["source"])).select(known["source"], "size", "n", "mean", rate(F.col("size"), F.col("mean"), F.col("tilt"), most).alias("rate"))
         words = F.floor(F.col("rate") * F.col("size") / F.lit(float(1 << (RATE_BITS - 10)))).cast("long") * F.col("n")
         slope = F.floor(words * F.col("size") / F.col("mean")).cast("long")
-        found = own.groupBy("source").agg(F.sum(words).alias("words"), F.sum(F.when(F.col("rate") < F.lit(int(most * whole)), slope).otherwise(0)).alias("slope")).collect()
-        by_name = {r["source"]: (r["words"] / 1024, r["slope"] / 1024) for r in found}
+        found = own.groupBy("source").agg(F.sum(words.cast(_WIDE)).alias("words"), F.sum(F.when(F.col("rate") < F.lit(int(most * whole)), slope).otherwise(0).cast(_WIDE)).alias("slope")).collect()
+        by_name = {r["source"]: (int(r["words"]) / 1024, int(r["slope"]) / 1024) for r in found}
         for s in open_:
             words_now, slope_now = by_name.get(s.name, (0.0, 0.0))
             if abs(words_now - s.target) <= max(NEAR * s.target, 0.01):
@@ -106,10 +108,9 @@ def _copies(phase: Column) -> Column:
 def _phases(placed: DataFrame, sources: list[Source]) -> dict[str | None, int]:
     """For each source the phase whose rounding comes nearest the target, from one aggregation over all of them."""
     tried = [k << (RATE_BITS - PHASES.bit_length() + 1) for k in range(PHASES)]
-    words = F.col("size") * F.col("n_rows")
-    sums = placed.groupBy("source").agg(*(F.sum(_copies(F.lit(p)) * words).alias(f"p{k}") for k, p in enumerate(tried))).collect()
+    sums = placed.groupBy("source").agg(*(F.sum((_copies(F.lit(p)) * F.col("size")).cast(_WIDE)).alias(f"p{k}") for k, p in enumerate(tried))).collect()
     target = {s.name: s.target for s in sources}
-    return {r["source"]: min(tried, key=lambda p: (abs(r[f"p{tried.index(p)}"] - target[r["source"]]), p)) for r in sums}
+    return {r["source"]: min(tried, key=lambda p: (abs(int(r[f"p{tried.index(p)}"]) - target[r["source"]]), p)) for r in sums}
 
 
 def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (1.0,), budget: float = 1.5, most: float = 2.0, source: str = "source", id: str = "doc_id") -> DataFrame:
@@ -119,15 +120,15 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (1.0,), budget
     ``budget`` times all tokens; a source's target stops at ``most`` times its tokens and the excess is shared anew.
     Entropy balancing gives each document the expected copies exp(tilt * size / mean size), at most ``most``, that meet
     the target; systematic rounding along (source, size, id) turns them into copies, from the phase that brings a source's
-    tokens nearest its target. Returns a row for each distinct (id, source, size): ``n_rows``,
-    ``source_size``, ``target``, ``copies`` (0 to ``most``) and ``taken`` (copies * size). Rows that repeat an id with the
-    same source and size share the decision. Null ids and sources are values like others; documents without tokens have
-    expected copies of one. An empty table gives no rows.
+    tokens nearest its target. Returns a row for each row given: its id, source and size, ``source_size``, ``target``,
+    ``copies`` (0 to ``most``) and ``taken`` (copies * size). Rows that repeat an id are rounded each by itself; of equal
+    rows it is open which gets which copies, but how many get how many is not. Null ids and sources are values like
+    others; documents without tokens have expected copies of one. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    slim = scratch.cut(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size")).groupBy("id", "source", "size").agg(F.count("*").alias("n_rows")), "sizes")
-    cells = scratch.cut(slim.groupBy("source", "size").agg(F.sum("n_rows").alias("n")), "cells")
-    totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n")).collect()
+    slim = scratch.cut(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    cells = scratch.cut(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    totals = cells.groupBy("source").agg(F.sum((F.col("size") * F.col("n")).cast(_WIDE)).cast("long").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("n")).collect()
     sources = [Source(r["source"], r["size"], r["size"] / max(1, r["n"]) or 1.0) for r in sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))]
     shares = share_out([s.size for s in sources], [weights[i % len(weights)] for i in range(len(sources))], budget * sum(s.size for s in sources), most)
     for s, target in zip(sources, shares, strict=True):
@@ -136,21 +137,30 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (1.0,), budget
     told = spark.createDataFrame([(s.name, s.size, s.mean, s.target, s.tilt) for s in sources], "source string, source_size long, mean double, target double, tilt double")
     tilt = F.when(F.col("size") > 0, F.col("tilt") * 1.0).otherwise(0.0)
     rated = slim.join(told, slim["source"].eqNullSafe(told["source"])).select(
-        slim["id"], slim["source"], slim["size"], "n_rows", "source_size", "target",
+        slim["id"], slim["source"], slim["size"], "row", "source_size", "target",
         F.when(F.col("size") == 0, F.lit(1 << RATE_BITS)).otherwise(rate(F.col("size"), F.col("mean"), tilt, most)).alias("rate"),
     )
-    placed = scratch.cut(prefix.running(rated, ["source"], ["size", "id"], "rate", "ahead"), "rates")
+    placed = scratch.cut(prefix.running(rated, ["source"], ["size", "id", "row"], "rate", "ahead", 1 << RATE_BITS), "rates")
     best = _phases(placed, sources)
     phases = spark.createDataFrame([(s.name, best.get(s.name, 0)) for s in sources], "__source string, phase long")
     placed = placed.join(phases, placed["source"].eqNullSafe(phases["__source"]))
     copies = _copies(F.col("phase"))
-    return placed.select(F.col("id").alias(id), F.col("source").alias(source), "size", "n_rows", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def repeat(docs: DataFrame, size: Column, **options) -> DataFrame:
-    """The mixed documents themselves: each row as often as ``mix`` says, with its own columns."""
+    """The mixed documents themselves: each row as often as ``mix`` says, with its own columns.
+
+    Rows of one id, source and size share what ``mix`` gives to all of them as evenly as whole copies allow.
+    """
     source, id = options.get("source", "source"), options.get("id", "doc_id")
-    told = mix(docs, size, **options).select(F.col(id).alias("__id"), F.col(source).alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")).where("__copies > 0")
+    told = mix(docs, size, **options).groupBy(F.col(id).alias("__id"), F.col(source).alias("__source"), F.col("size").alias("__size")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
+    told = scratch.cut(told.where("__copies > 0"), "copies")
     own = docs.withColumn("__own", size.cast("long"))
     joined = own.join(told, own[id].eqNullSafe(told["__id"]) & own[source].cast("string").eqNullSafe(told["__source"]) & (own["__own"] == told["__size"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    if told.where("__rows > 1").limit(1).count():
+        joined = scratch.cut(joined.withColumn("__row", F.monotonically_increasing_id()).withColumn("__one", F.lit(1).cast("long")), "repeated")
+        placed = prefix.running(joined.where("__rows > 1"), ["__id", "__source", "__size"], ["__row"], "__one", "__at")
+        spread = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__at") < F.col("__copies") % F.col("__rows")).cast("long")
+        joined = joined.where("__rows = 1").unionByName(placed.withColumn("__copies", spread).drop("__at")).where("__copies > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

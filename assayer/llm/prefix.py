@@ -18,19 +18,19 @@ def same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return reduce(Column.__and__, (left[c].eqNullSafe(right[c]) for c in names))
 
 
-def running(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Add ``out``: the sum of the long ``value`` over the rows of the same ``key`` that come before in ``order``.
+def running(df: DataFrame, key: Sequence[str], order: Sequence[str], value: str, out: str, modulo: int = 1 << 62) -> DataFrame:
+    """Add ``out``: the sum, modulo ``modulo``, of the long ``value`` over the rows of the same ``key`` that come before in ``order``.
 
     Rows are dealt by ranges of (key, order), so a key with a third of all rows spreads over a third of the
     partitions. What a range starts with comes from the per-range sums: a row for each range and each key in it.
-    Integer sums make the outcome independent of where the ranges lie. ``order`` should tell rows apart; rows
+    Sums of whole numbers, of 38 digits, make the outcome independent of where the ranges lie. ``order`` should tell rows apart; rows
     it cannot tell apart share their values in any order. Null keys form one key. An empty table stays empty.
     """
     placed = scratch.cut(df.repartitionByRange(*key, *order).withColumn(_PART, F.spark_partition_id()), "ranges")
-    keys = [*key, _PART]
+    keys, wide, none = [*key, _PART], F.col(value).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")
     ahead = Window.partitionBy(*key).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    base = placed.groupBy(*keys).agg(F.sum(value).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
+    base = placed.groupBy(*keys).agg(F.sum(wide).alias("__sum")).withColumn("__base", F.pmod(F.coalesce(F.sum("__sum").over(ahead), none), F.lit(modulo)).cast("long")).drop("__sum")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    told = placed.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    told = placed.withColumn("__inside", F.pmod(F.coalesce(F.sum(wide).over(inside), none), F.lit(modulo)).cast("long"))
     joined = told.join(base, same(told, base, keys), "left")
-    return joined.select(*(told[c] for c in df.columns), (told["__inside"] + base["__base"]).cast("long").alias(out))
+    return joined.select(*(told[c] for c in df.columns), F.pmod(told["__inside"] + base["__base"], F.lit(modulo)).alias(out))

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)), weights=(5, 2, 1), budget=1.5, most=2.0)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.explode(F.sequence(F.lit(1), F.col("n_rows"))).alias("nth")).drop("nth")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,10 +141,10 @@ def shard(docs: DataFrame, shards: int = 16, text: str = "text", id: str = "doc_
         F.col(id), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("text_crc32"), F.xxhash64(row).alias("__key"),
     )
-    slim = scratch.cut(slim, "sizes")
+    slim = scratch.cut(slim.withColumn("__row", F.monotonically_increasing_id()), "sizes")
     groups = scratch.cut(slim.groupBy(F.col("__key").alias("key")).agg(F.sum("size").alias("size")), "groups")
     _, keys = first_keys(_Ranges(groups), shards)
     begun = F.size(F.filter(F.array(*map(F.lit, keys)), lambda k: k <= F.col("__key"))) if keys else F.lit(0)
     dealt = slim.withColumn("shard", begun.cast("int")).withColumn("__one", F.lit(1).cast("long"))
-    slots = prefix.running(dealt, ["shard"], [id, "__key"], "__one", "slot")
+    slots = prefix.running(dealt, ["shard"], [id, "__key", "__row"], "__one", "slot")
     return slots.select(id, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

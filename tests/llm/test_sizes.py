@@ -65,11 +65,28 @@ def test_mix_meets_targets_and_follows_the_rates(spark):
 
 def test_mix_of_odd_rows(docs, nothing):
     got = mixing.mix(docs, size(), weights=(5, 2, 1)).toPandas()
-    assert got.n_rows.sum() == docs.count() and (got.taken <= 2 * got["size"]).all()
+    assert len(got) == docs.count() and (got.taken <= 2 * got["size"]).all()
     assert mixing.mix(nothing, size()).count() == 0
     mixed = mixing.repeat(docs, size(), weights=(5, 2, 1))
     assert mixed.columns == docs.columns
-    assert mixed.count() == (got.copies * got.n_rows).sum()
+    assert mixed.count() == got.copies.sum()
+
+
+def test_totals_beyond_64_bits_stay_right_modulo(spark):
+    df = spark.range(40).select(F.lit("a").alias("k"), F.col("id").alias("i"), F.lit((1 << 61) + 12345).alias("v")).repartition(40, "i")
+    got = {r.i: r.total for r in prefix.running(df, ["k"], ["i"], "v", "total", 1 << 32).collect()}
+    assert got == {i: i * ((1 << 61) + 12345) % (1 << 32) for i in range(40)}
+
+
+def test_rows_that_repeat_an_id_meet_the_target_together(spark):
+    rows = [(None, "a", 10, "same words")] * 1000 + [(i, s, 10, f"text {i}") for i, s in enumerate(["b", "c"] * 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n long, text string")
+    got = mixing.mix(docs, F.col("n"), weights=(5, 2, 1)).toPandas()
+    assert len(got) == 2000
+    sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert ((sums.taken - sums.target).abs() / sums.target < 0.01).all()
+    mixed = mixing.repeat(docs, F.col("n"), weights=(5, 2, 1)).groupBy("source").count().toPandas().set_index("source")["count"].sort_index()
+    assert (mixed * 10 == sums.taken).all()
 
 
 def brute_capacity(sizes, shards):
