@@ -4,10 +4,11 @@ The work runs over shards of documents of about SHARD_BYTES, and exchanges packe
 
 1. Anchors. Of the ANCHOR-word sequences in a window of words, the one with the smallest hash is an anchor. Equal
    windows have equal anchors, so a window can recur only if its anchors do. Anchors are counted over all documents.
-2. Confirmation. Each shard hashes its windows with recurring anchors; windows are counted over all shards. One
-   occurrence of each recurring window speaks for it, and the shards where it occurs are known.
-3. Automata. The runs of recurring windows around those occurrences are the passages. A shard gets the passages that
-   bear on it, cuts them into tiles that no window misses, and compiles the tiles with pyahocorasick.
+2. Confirmation. Each shard hashes its windows with recurring anchors; windows are counted over all shards, by hashes
+   of 64 bits. One occurrence of each recurring window speaks for it, and the shards where it occurs are known.
+3. Automata. The runs of recurring windows around those occurrences are the passages, cut at fixed places of a document.
+   Each is made once, and a join takes it to the shards that have a window of it, however many. A shard cuts its
+   passages into tiles that no window misses, and compiles the tiles with pyahocorasick.
 4. Location. All documents of a shard go through its automaton, but for stretches that by a table of hashes cannot hold
    a tile. A tile's match is extended word by word along its
    passage; where a whole window matches, its words are covered.
@@ -24,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,7 +36,7 @@ from . import scratch, texts
 WINDOW, ANCHOR = 35, 16
 #: Bytes of text in a shard, about, and bytes of text whose values share a bucket.
 SHARD_BYTES, BUCKET_BYTES, LEAST_SHARDS = 4 << 20, 16 << 20, 8
-#: Words of a passage at most; longer ones are cut with an overlap of a window.
+#: Words of a passage at most; longer ones are cut with an overlap of a window less a word.
 PASSAGE = 512
 #: Words of a tile, a power of two, and the bits of the table by which most stretches are known to hold none.
 TILE, TABLE_BITS = 8, 22
@@ -230,7 +232,8 @@ def _confirm(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) ->
         return _table(rows, arrow)
 
     hashed = scratch.cut(docs.select("__shard", "__key", "__text").groupBy("__shard").cogroup(anchors.groupBy("shard")).applyInArrow(hash_windows, schema), "windows")
-    chosen, chosen_arrow = _arrow("shard long, keys binary, places binary, targets binary")
+    chosen, chosen_arrow = _arrow("shard long, asks boolean, keys binary, places binary")
+    stride = PASSAGE - window + 1
 
     def decide(rows: pa.Table) -> pa.Table:
         sizes = np.array(pc.binary_length(rows["twice"]).to_pylist(), np.int64)
@@ -240,36 +243,53 @@ def _confirm(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) ->
         v, k, p, shard, twice = v[order], k[order], p[order], shard[order], twice[order]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         n = np.diff(np.append(first, len(v)))
-        recurs = np.repeat(np.add.reduceat(1 + twice.astype(np.int64), first) > 1, n)
-        speaker = np.repeat(first, n)[recurs]
-        made = (k[speaker], p[speaker], shard[recurs])
-        return _table([(s, *(x[i].tobytes() for x in made)) for s, i in _groups(shard[speaker])], chosen_arrow)
+        recurs = np.add.reduceat(1 + twice.astype(np.int64), first) > 1
+        speaker = first[recurs]
+        rows = [(s, False, k[speaker][i].tobytes(), p[speaker][i].tobytes()) for s, i in _groups(shard[speaker])]
+        heard, told = np.flatnonzero(np.repeat(recurs, n)), np.repeat(first, n)
+        for s, i in _groups(shard[heard]):
+            rows.append((s, True, *(x.tobytes() for x in _distinct(k[told[heard[i]]], p[told[heard[i]]] // stride))))
+        return _table(rows, chosen_arrow)
 
-    speakers = hashed.where("bucket is not null").select("bucket", "shard", "values", "keys", "places", "twice").groupBy("bucket").applyInArrow(decide, chosen)
-    passage, passage_arrow = _arrow("shard long, passage binary")
+    decided = scratch.cut(hashed.where("bucket is not null").select("bucket", "shard", "values", "keys", "places", "twice").groupBy("bucket").applyInArrow(decide, chosen), "speakers")
+    piece, piece_arrow = _arrow("key long, piece int, passage binary")
 
     def cut(runs: pa.Table, said: pa.Table) -> pa.Table:
         if not said.num_rows:
-            return passage_arrow.empty_table()
+            return piece_arrow.empty_table()
         by_key: dict[int, dict[int, list[bytes]]] = {}
         for key, start, run in zip(runs["key"].to_pylist(), runs["start"].to_pylist(), runs["run"].to_pylist(), strict=True):
             by_key.setdefault(key, {}).setdefault(start, run.split())
         starts = {key: np.array(sorted(own)) for key, own in by_key.items()}
-        k, p, t = _blobs(said["keys"], np.int64), _blobs(said["places"], np.int32), _blobs(said["targets"], np.int64)
-        order = np.lexsort((p, k, t))
-        k, p, t = k[order], p[order], t[order]
-        breaks = np.flatnonzero((np.diff(t) != 0) | (np.diff(k) != 0) | (np.diff(p) > 1)) + 1
+        k, p = _blobs(said["keys"], np.int64), _blobs(said["places"], np.int32)
+        order = np.lexsort((p, k))
+        k, p = k[order], p[order]
+        breaks = np.flatnonzero((np.diff(k) != 0) | (np.diff(p) > 1) | (np.diff(p // stride) != 0)) + 1
         firsts, lasts = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(k)]]) - 1
         rows = []
         for a, b in zip(firsts.tolist(), lasts.tolist(), strict=True):
             key = int(k[a])
             start = int(starts[key][np.searchsorted(starts[key], p[a], side="right") - 1])
-            words = by_key[key][start][int(p[a]) - start : int(p[b]) - start + window]
-            rows += [(int(t[a]), b" ".join(words[i : i + PASSAGE])) for i in range(0, max(1, len(words) - window + 1), PASSAGE - window + 1)]
-        return _table(rows, passage_arrow)
+            rows.append((key, int(p[a]) // stride, b" ".join(by_key[key][start][int(p[a]) - start : int(p[b]) - start + window])))
+        return _table(rows, piece_arrow)
+
+    asked, asked_arrow = _arrow("shard long, key long, piece int")
+
+    def ask(rows: pa.Table) -> pa.Table:
+        k, p = _distinct(_blobs(rows["keys"], np.int64), _blobs(rows["places"], np.int32))
+        return pa.table([pa.array(np.full(len(k), rows["shard"][0].as_py())), pa.array(k), pa.array(p)], schema=asked_arrow)
 
     runs = hashed.where("run is not null").select("shard", "key", "start", "run")
-    return runs.groupBy("shard").cogroup(speakers.groupBy("shard")).applyInArrow(cut, passage)
+    pieces = runs.groupBy("shard").cogroup(decided.where("not asks").groupBy("shard")).applyInArrow(cut, piece)
+    asks = decided.where("asks").select("shard", "keys", "places").groupBy("shard").applyInArrow(ask, asked)
+    return asks.join(pieces, ["key", "piece"]).select("shard", "passage")
+
+
+def _distinct(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (places[1:] != places[:-1])])[: len(keys)]
+    return keys[first], places[first]
 
 
 class Locator:
@@ -346,13 +366,27 @@ class Locator:
         return out
 
 
-def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str = "doc_id", drop_text: bool = False) -> DataFrame:
+def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    """Documents, and a hash of each row that differs between equal rows and is the same whenever the rows are read.
+
+    Rows of files are told apart by their place there; other rows are written first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+        place = F.struct("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        docs = scratch.cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        place = F.col("__row")
+    return docs, F.xxhash64(place, F.col(text))
+
+
+def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", drop_text: bool = False) -> DataFrame:
     """Append ``n_words``, ``n_removed`` and ``kept`` (string) to documents.
 
     A word is removed if it lies in ``window`` consecutive words of one document whose sequence also starts anywhere
     else, in another document or the same. All windows are judged on the input. ``kept`` has the other words, joined by
     one space; words are runs of anything but the six ASCII white-space characters. Null texts have no words. Rows that
-    repeat an id and a text are occurrences of their own. Shorter texts than a window keep all words. An empty table
+    repeat an id and a text are occurrences of their own, dealt to different shards. Shorter texts than a window keep all words. An empty table
     gives no rows. Columns of the same names are replaced. ``window`` is at least 2 * ANCHOR - 1 words.
     """
     if window < 2 * ANCHOR - 1:
@@ -362,7 +396,7 @@ def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", id: str =
     shards, buckets = max(LEAST_SHARDS, -(-size // SHARD_BYTES)), max(LEAST_SHARDS, -(-size // BUCKET_BYTES))
     added = T.StructType.fromDDL("n_words long, n_removed long, kept string")
     kept = [c for c in docs.columns if c not in added.names and not (drop_text and c == text)]
-    key = F.xxhash64(F.col(id).cast("string"), F.col(text))
+    docs, key = _keyed(docs, text)
     keyed = docs.select(*(docs[c] for c in kept), key.alias("__key"), F.pmod(key, F.lit(shards)).alias("__shard"), texts.utf8(docs, text).alias("__text"))
     slim = keyed.select("__shard", "__key", "__text")
     passages = scratch.cut(_confirm(slim, _anchors(slim, window, buckets), window, buckets), "passages")

@@ -147,3 +147,23 @@ def test_near_documents_are_those_of_all_pairs(spark):
         some = (at >= low) & (at < high)
         assert some.sum() >= 15 and joined[some].mean() >= least
     assert np.mean([got[i] == got[j] for i, j in links]) >= 0.97
+
+
+def test_passages_of_many_equal_rows_and_of_every_document(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    shared, same = word(60), word(80)
+    rows = [(None, same)] * 3000 + [(i, f"{word(20)} {shared} {word(20)}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = passages.remove(docs).collect()
+    assert len(got) == 3600
+    assert {(r.n_words, r.n_removed) for r in got if r.doc_id is None} == {(80, 80)}
+    assert {(r.n_words, r.n_removed) for r in got if r.doc_id is not None} == {(100, 60)}
+
+
+def test_equal_rows_have_different_keys(spark, tmp_path):
+    spark.createDataFrame([(None, "same text")] * 200, "doc_id long, text string").write.parquet(str(tmp_path / "same"))
+    for docs in (spark.read.parquet(str(tmp_path / "same")).select("text"), spark.createDataFrame([("same text",)] * 200, "text string")):
+        read, key = passages._keyed(docs, "text")
+        first = [r.k for r in read.select(key.alias("k")).collect()]
+        assert len(set(first)) == 200 and sorted(first) == sorted(r.k for r in read.select("text", key.alias("k")).collect())
