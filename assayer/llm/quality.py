@@ -22,14 +22,14 @@ STATISTICS = ["log_words", "word_length", "long_words", "distinct_words", "repea
 def statistics(text: bytes, common: stats.CommonWords) -> list[float]:
     """The statistics of one text, in the order of STATISTICS. All are 0 for an empty text."""
     counts = stats.byte_counts(text)
-    classes, words = stats.class_counts(counts), text.split()
+    classes, words = stats.class_counts(text, counts), text.split()
     n, chars = len(words), max(1, int(classes.sum()))
     frequent = common.counts(text)
     by_language = sorted((frequent[of].sum() / max(1, frequent.sum()) for of in common.of), reverse=True)
     p = counts[counts > 0] / max(1, len(text))
     return [
         np.log1p(n), len(text) / max(1, n), sum(len(w) > 12 for w in words) / max(1, n), len(set(words)) / max(1, n), stats.repeat_words(words) / max(1, n),
-        stats.dup_lines(text) / max(1, text.count(b"\n") + 1), n / max(1, text.count(b"\n") + 1) if n else 0.0, 1 - frequent[-1] / max(1, frequent.sum()), *by_language[:2], float(-(p * np.log2(p)).sum()), *(classes / chars),
+        stats.dup_lines(text) / max(1, text.count(b"\n") + 1), n / max(1, text.count(b"\n") + 1) if n else 0.0, 1 - frequent[-1] / frequent.sum() if frequent.any() else 0.0, *by_language[:2], float(-(p * np.log2(p)).sum()), *(classes / chars),
     ]
 
 

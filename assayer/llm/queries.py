@@ -66,14 +66,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    heard = media.listen(stored, keep_pcm=False)
+    heard = media.listen(stored)
     feature = F.concat_ws(";", *(F.concat_ws("=", F.lit(c), F.col(c).cast("string")) for c in ("coding", "n_samples", "rms", "peak", "crossings", "pcm_crc32")))
-    return heard.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"))
+    return heard.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", "nearest")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", "nearest", "script")
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_byte_bpe, op3_token_files, op4_shard, op5_simhash, op6_toxicity, op7_passages, op8_quality, op9_telephony, op10_divergence_rules)}

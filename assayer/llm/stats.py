@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from itertools import repeat
 
 import numpy as np
@@ -15,35 +17,82 @@ COMMON_WORDS = {
 }
 LANGUAGES = sorted(COMMON_WORDS)
 
-#: Classes of bytes; the rest of a character beyond its first byte counts in none.
-CLASSES = ["lower", "upper", "digit", "space", "break", "stop", "symbol", "other", "control", "two_byte", "three_byte", "four_byte"]
+#: Classes of characters: letters by case and without case, marks, digits, white space, stops and quotes, SYMBOLS, other signs, the rest.
+CLASSES = ["lower", "upper", "letter", "mark", "digit", "space", "break", "stop", "symbol", "sign", "control"]
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
+#: Classes of Unicode's general categories, by their first letter where all of them go together.
+_CATEGORIES = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "L": "letter", "M": "mark", "N": "digit", "Z": "space", "P": "stop", "S": "sign", "C": "control"}
+
+
+def _class_of(char: str) -> int:
+    if char in "\t\n\x0b\x0c\r":
+        return CLASSES.index("break")
+    if ord(char) < 128 and char.encode() in SYMBOLS:
+        return CLASSES.index("symbol")
+    if char in "@/\\_[]{}":
+        return CLASSES.index("sign")
+    category = unicodedata.category(char)
+    return CLASSES.index(_CATEGORIES.get(category) or _CATEGORIES[category[0]])
+
+
+CLASS_TABLE = np.array([_class_of(chr(b)) for b in range(128)])
+
+
+@cache
+def _unicode() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Of each code point its class and the number of its script (0: no letter), and the scripts' names: the first word of their letters' names."""
+    kinds, scripts, names = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8), [""]
+    places: dict[str, int] = {}
+    for code in range(0x110000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        char = chr(code)
+        kinds[code] = _class_of(char)
+        if kinds[code] <= 2:
+            name = unicodedata.name(char, "").split("-")[0].split(" ")[0]
+            name = "CJK" if name in ("HIRAGANA", "KATAKANA") else name
+            if name and name not in places and len(names) < 256:
+                places[name] = len(names)
+                names.append(name)
+            scripts[code] = places.get(name, 0)
+    return kinds, scripts, names
+
+
+def _beyond_ascii(text: bytes, counts: np.ndarray) -> np.ndarray:
+    """Code points of the characters that aren't ASCII."""
+    if not counts[0x80:].any():
+        return np.zeros(0, np.uint32)
+    codes = np.frombuffer(text.decode().encode("utf-32-le"), "<u4")
+    return codes[codes >= 128]
 
 
-def _class_of(byte: int) -> int:
-    if 0x80 <= byte < 0xC0:
-        return len(CLASSES)
-    if byte >= 0x80:
-        return 9 if byte < 0xE0 else 10 if byte < 0xF0 else 11
-    char = bytes([byte])
-    for n, known in enumerate((char.islower(), char.isupper(), char.isdigit(), char == b" ", char in SPACES, char in b".,;:!?'\"()-", char in SYMBOLS, 0x20 < byte < 0x7F)):
-        if known:
-            return n
-    return 8
+def byte_counts(text: bytes) -> np.ndarray:
+    return np.bincount(np.frombuffer(text, np.uint8), minlength=256)
 
 
-CLASS_TABLE = np.array([_class_of(b) for b in range(256)])
-#: Makes words comparable: punctuation and symbols part words, letters A-Z are lower-cased.
-PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+def class_counts(text: bytes, counts: np.ndarray) -> np.ndarray:
+    """Characters of each class; ``counts`` are those of the text's bytes."""
+    own = np.bincount(CLASS_TABLE, weights=counts[:128], minlength=len(CLASSES)).astype(np.int64)
+    codes = _beyond_ascii(text, counts)
+    return own + np.bincount(_unicode()[0][codes], minlength=len(CLASSES)) if len(codes) else own
 
 
-def byte_counts(text: bytes) -> np.ndarray:
-    return np.bincount(np.frombuffer(text, np.uint8), minlength=256)
+def script(text: bytes, counts: np.ndarray) -> str:
+    """The script of most letters ('LATIN', 'CYRILLIC', ...); of equals the first by name, '' without letters."""
+    latin = int(counts[65:91].sum() + counts[97:123].sum())
+    codes = _beyond_ascii(text, counts)
+    if not len(codes):
+        return "LATIN" if latin else ""
+    _, scripts, names = _unicode()
+    seen = np.bincount(scripts[codes], minlength=len(names))
+    seen[0] = 0
+    seen[names.index("LATIN")] += latin
+    return min((-n, name) for n, name in zip(seen.tolist(), names, strict=True))[1] if seen.any() else ""
 
 
-def class_counts(counts: np.ndarray) -> np.ndarray:
-    return np.bincount(CLASS_TABLE, weights=counts, minlength=len(CLASSES) + 1)[: len(CLASSES)].astype(np.int64)
+#: Makes words comparable: punctuation and symbols part words, letters A-Z are lower-cased.
+PLAIN = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
 
 
 def n_chars(counts: np.ndarray) -> int:

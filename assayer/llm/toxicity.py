@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import labelled, scratch, texts
 
-#: Labelled documents that the machine is fitted on, at most.
-MAX_LESSONS = 6_000
-#: Landmarks at most, how many documents of label 1 each marks at least and as a share of them, and how many landmarks
-#: a document should have.
-MARKING, LEAST_DOCS, LEAST_SHARE, COVER = 48, 3, 0.03, 6
-#: Words with the best odds whose stems are candidates, the lengths of stems, and the least odds of a stem.
-CANDIDATES, STEMS, ODDS = 1_500, (4, 9), 4.0
-#: The kernel: length of subsequences and what each character of their spans weighs.
-LENGTH, DECAY = 3, 0.6
-#: A word is compared with a landmark if it has this share of its characters; smaller kernel values count as 0.
-SHARE, FLOOR = 0.8, 0.3
-#: Sentences of a lesson that the machine is fitted on, at most: those with the largest kernel values.
-WORST = 4
+#: Labelled documents that the machine is fitted on, and sentences of each label, at most.
+MAX_LESSONS, MAX_SENTENCES = 6_000, 20_000
+#: Landmarks of each label, and bytes that a word has at least to be one.
+LANDMARKS, LANDMARK_BYTES = 128, 5
+#: The kernel of two words: common subsequences of three bytes with spans of at most SPAN bytes, each byte of a span
+#: weighing DECAY; that sum, normalised on both sides, to the power of POWER.
+SPAN, DECAY, POWER = 6, 0.6, 3
+#: Words of a sentence; a longer stretch without a stop is read as several sentences.
+LONGEST = 40
+#: Times that the sentences of label 1 are chosen anew, and the margin from which on one counts besides a document's first.
+TURNS, CLEAR = 5, 0.5
 #: Single characters in a row, from which on they are read as one word.
 SPELLED = 3
 CUT = 0.5
@@ -34,106 +33,72 @@ REMEMBERED = 400_000
 #: ASCII characters that are left out of words, and what marks a word's ends instead.
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 START, END = b"<", b">"
+STOPS = b".!?"
 
+#: Numbers of bytes, under 64: letters a-z, digits as one, the marks, bytes of other letters by their lowest five bits.
+_LETTER = np.array([b - 96 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 if b == 60 else 29 if b == 62 else 30 + (b & 31) if 0x80 <= b < 0xC0 else 62 if b >= 0xC0 else 0 for b in range(256)], np.uint64)
+_CODES = 1 << 18
+_SHAPES = [(middle, last) for last in range(2, SPAN) for middle in range(1, last)]
+_WEIGHT = DECAY ** np.arange(1, SPAN + 1)
 
-def _padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(w) for w in words], np.int64)
-    width = int(lengths.max(initial=1))
-    return np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width), lengths
 
+def subsequences(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, subsequence, value): for each word its subsequences of three bytes, and the sum of DECAY to the power of their spans.
 
-def kernel(chars: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Subsequence kernel of each row of ``chars`` with the same row of ``other`` (padded with 0; one row fits all).
-
-    Sums, over common subsequences of LENGTH characters, DECAY to the power of both spans, so gaps and inserted
-    characters weaken a match but don't break it. All rows advance together through the recursion.
+    These are a word's features: the kernel of two words is the sum of the products of their values.
     """
-    n, m = len(chars), other.shape[1]
-    gap = np.arange(m)[None, :] - np.arange(m)[:, None]
-    spread = np.where(gap >= 0, DECAY ** np.maximum(gap, 0), 0.0)  # a match weighs less the further on its span reaches
-    before = [np.ones((n, m + 1))] + [np.zeros((n, m + 1)) for _ in range(LENGTH - 1)]
-    total = np.zeros(n)
-    for i in range(chars.shape[1]):
-        same = ((chars[:, i : i + 1] == other) & (chars[:, i : i + 1] != 0)) * DECAY**2
-        total += (same * before[LENGTH - 1][:, :-1]).sum(1)
-        for q in range(LENGTH - 1, 0, -1):
-            run = (same * before[q - 1][:, :-1]) @ spread
-            before[q] *= DECAY
-            before[q][:, 1:] += run
-    return total
-
-
-def _letters(chars: np.ndarray) -> np.ndarray:
-    """The set of each row's characters as bits of 64, by their lowest six bits."""
-    bits = np.uint64(1) << (chars & 63).astype(np.uint64)
-    return np.bitwise_or.reduce(np.where(chars != 0, bits, np.uint64(0)), axis=1)
+    letters, sizes = _LETTER[np.frombuffer(b"".join(words), np.uint8)], np.fromiter(map(len, words), np.int64, len(words))
+    word = np.repeat(np.arange(len(words), dtype=np.uint64), sizes)
+    keys = [np.zeros(0, np.uint64)]
+    for middle, last in _SHAPES:
+        at = np.flatnonzero(word[: max(0, len(word) - last)] == word[last:])
+        code = letters[at] << np.uint64(12) | letters[at + middle] << np.uint64(6) | letters[at + last]
+        keys.append(word[at] << np.uint64(21) | code << np.uint64(3) | np.uint64(last))
+    key = np.sort(np.concatenate(keys))
+    own = key >> np.uint64(3)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    value = np.add.reduceat(_WEIGHT[(key & np.uint64(7)).astype(np.int64)], first)
+    return (own[first] >> np.uint64(18)).astype(np.int64), (own[first] & np.uint64(_CODES - 1)).astype(np.int64), value
 
 
 class Landmarks:
-    """Kernel values of words with a fixed set of landmarks."""
+    """Kernel values of words with a fixed set of words."""
 
     def __init__(self, words: list[bytes]):
         self.words = words
-        chars, _ = _padded(words) if words else (np.zeros((0, 1), np.uint8), None)
-        self.masks = _letters(chars)
-        self.need = np.ceil(SHARE * np.bitwise_count(self.masks)).astype(np.int64)
-        self.own = kernel(chars, chars) if words else np.zeros(0)
-
-    def values(self, words: list[bytes]) -> np.ndarray:
-        """(words, landmarks): the square of the kernel's share of the landmark's with itself, at most 1; 0 below FLOOR.
-
-        So an inflected or compounded landmark keeps its value, however long the word around it.
-        """
-        out = np.zeros((len(words), len(self.words)))
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), 20_000):
-            part = np.array(order[at : at + 20_000])
-            chars, lengths = _padded([words[i] for i in part])
-            near = (np.bitwise_count(_letters(chars)[:, None] & self.masks) >= self.need) & (lengths >= LENGTH)[:, None]
-            for k, mark in enumerate(self.words):
-                rows = np.flatnonzero(near[:, k])
-                if len(rows):
-                    out[part[rows], k] = np.minimum(1.0, kernel(chars[rows], np.frombuffer(mark, np.uint8)[None, :]) / self.own[k])
-        return np.where(out >= FLOOR, out**2, 0.0)
-
-
-class Reader:
-    """Kernel values of the sentences of texts; each distinct word is compared once."""
-
-    def __init__(self, landmarks: list[bytes]):
-        self.landmarks = Landmarks(landmarks)
-        self.seen: set[bytes] = set()
-        self.active: dict[bytes, np.ndarray] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear(), self.active.clear()
-        new = sorted(words - self.seen)
-        self.seen.update(new)
-        values = self.landmarks.values([bare(w) for w in new])
-        for i in np.flatnonzero(values.any(1)):
-            self.active[new[i]] = values[i]
-
-    def sentences(self, rows: list[bytes]) -> tuple[list[np.ndarray], list[int]]:
-        """For each text (sentences, landmarks): the largest values of the words of those sentences that have any.
-
-        And each text's number of words.
-        """
-        split = [words_of(t) for t in rows]
-        self.learn(set().union(*split) if split else set())
-        return [self._pooled(words) for words in split], [len(words) for words in split]
-
-    def _pooled(self, words: list[bytes]) -> np.ndarray:
-        hits = [i for i, w in enumerate(words) if w in self.active]
-        if not hits:
-            return np.zeros((0, len(self.landmarks.words)))
-        found: dict[int, np.ndarray] = {}
-        sentence, at = 0, 0
-        for i in hits:
-            sentence += sum(w[-1] in b".!?" for w in words[at:i])
-            at = i
-            found[sentence] = np.maximum(found[sentence], self.active[words[i]]) if sentence in found else self.active[words[i]]
-        return np.stack(list(found.values()))
+        word, code, value = subsequences(words)
+        length = np.sqrt(np.bincount(word, value * value, minlength=len(words)))
+        codes = np.unique(code)
+        self.place = np.full(_CODES, -1, np.int64)
+        self.place[codes] = np.arange(len(codes))
+        self.values = np.zeros((len(codes), len(words)), np.float32)
+        self.values[self.place[code], word] = value / length[word]
+
+    def kernel(self, words: list[bytes]) -> np.ndarray:
+        """(words, landmarks): the kernel, from 0 to 1; 0 for words of fewer than three bytes."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        start, held = 0, 0
+        for i in range(len(words) + 1):  # some words at a time
+            if i == len(words) or held > 1 << 15:
+                self._some(words[start:i], out[start:i])
+                start, held = i, 0
+            held += len(words[i]) if i < len(words) else 0
+        return np.minimum(out, 1.0) ** POWER
+
+    def _some(self, words: list[bytes], out: np.ndarray) -> None:
+        word, code, value = subsequences(words)
+        length = np.sqrt(np.bincount(word, value * value, minlength=len(words)))
+        row = self.place[code]
+        known = np.flatnonzero(row >= 0)
+        if not len(known):
+            return
+        for part in np.array_split(known, -(-len(known) // (1 << 15))):
+            products = self.values[row[part]] * value[part, None].astype(np.float32)
+            first = np.flatnonzero(np.concatenate([[True], word[part][1:] != word[part][:-1]]))
+            out[word[part[first]]] += np.add.reduceat(products, first, axis=0)
+        out /= np.maximum(length, 1e-12)[:, None].astype(np.float32)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -154,39 +119,110 @@ def bare(word: bytes) -> bytes:
     return START + core + END if core else b""
 
 
+def sentences(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For words of texts, one after another, the number of each word's sentence, and of each sentence its text.
+
+    A sentence ends after a word that ends in a stop, after LONGEST words, and with its text.
+    """
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    flat = list(chain.from_iterable(rows))
+    stop = np.fromiter((w[-1] in STOPS for w in flat), bool, len(flat))
+    return _sentences(stop, sizes)
+
+
+def _sentences(stop: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    begins = np.concatenate([[True], stop[:-1] | (text[1:] != text[:-1])])[: len(stop)]
+    at = np.arange(len(stop))
+    begins |= (at - np.maximum.accumulate(np.where(begins, at, 0))) % LONGEST == 0
+    return np.cumsum(begins) - 1, text[begins]
+
+
 @dataclass(frozen=True)
 class Machine:
+    """The kernel of two sentences is the sum of the kernels of their words, by the root of the product of their numbers of words.
+
+    A sentence's features are its kernel with the landmarks (sentences of one word) times ``nystroem``, so its margin is the sum
+    over its words of ``kernel @ nystroem @ weights``, by the root of their number, and ``bias``.
+    """
+
     landmarks: list[bytes]
     nystroem: np.ndarray
     weights: np.ndarray
     bias: float
-    sigmoid: np.ndarray
+    slope: float = 1.0
+    shift: float = 0.0
+
+    def score(self, margins: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
 
-    def evidence(self, sentences: list[np.ndarray], n_words: list[int]) -> np.ndarray:
-        """Of each text: its worst sentence's margin above the bias, the sum over its sentences, that sum for its length,
-        and its length; without words of value all but the length are 0."""
-        out = np.zeros((len(sentences), 4))
-        for i, s in enumerate(sentences):
-            if len(s):
-                above = np.maximum(s @ self.nystroem @ self.weights, 0)
-                out[i, :3] = above.max(), np.log1p(above.sum()), above.sum() / np.sqrt(1 + n_words[i] / 50)
-        out[:, 3] = np.log1p(n_words)
-        return out
 
-    def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(evidence @ self.sigmoid[:-1] + self.sigmoid[-1], -500, 500)))
+class Reader:
+    """What words add to the margins of their sentences; each distinct word is compared with the landmarks once."""
 
+    def __init__(self, machine: Machine):
+        self.landmarks, self.bias = Landmarks(machine.landmarks), machine.bias
+        self.by_word = machine.nystroem @ machine.weights
+        self.places: dict[bytes, int] = {}
+        self.adds, self.counts, self.stops = (np.zeros(1 << 12, kind) for kind in (np.float64, bool, bool))
 
-def _nystroem(landmarks: list[bytes]) -> np.ndarray:
+    def learn(self, words: set[bytes]) -> None:
+        if len(self.places) > REMEMBERED:
+            self.places = {}
+        new = sorted(words.difference(self.places))
+        known = {w: i for i, w in enumerate(sorted({bare(w) for w in new}))}
+        adds = np.zeros(len(known))
+        held = list(known)
+        for i in range(0, len(held), 1 << 14):
+            adds[i : i + (1 << 14)] = self.landmarks.kernel(held[i : i + (1 << 14)]) @ self.by_word
+        n = len(self.places)
+        while n + len(new) > len(self.adds):
+            self.adds, self.counts, self.stops = (np.concatenate([x, x]) for x in (self.adds, self.counts, self.stops))
+        own = slice(n, n + len(new))
+        at = np.fromiter((known[bare(w)] for w in new), np.int64, len(new))
+        self.adds[own] = adds[at]
+        self.counts[own] = np.fromiter((held[i] != b"" for i in at), bool, len(new))
+        self.stops[own] = np.fromiter((w[-1] in STOPS for w in new), bool, len(new))
+        self.places.update(zip(new, range(n, n + len(new)), strict=True))
+
+    def margins(self, rows: list[bytes]) -> np.ndarray:
+        """The largest margin of each text's sentences; the bias alone for a text without words."""
+        split = [words_of(t) for t in rows]
+        self.learn(set().union(*split) if split else set())
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        out = np.full(len(rows), -np.inf)
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if len(at):
+            sentence, text = _sentences(self.stops[at], sizes)
+            n = np.bincount(sentence, self.counts[at])
+            margin = np.bincount(sentence, self.adds[at]) / np.sqrt(np.maximum(n, 1)) + self.bias
+            np.maximum.at(out, text, margin)
+        return np.where(np.isinf(out), self.bias, out)
+
+
+def nystroem(landmarks: Landmarks) -> np.ndarray:
     """K^(-1/2) of the landmarks' own kernel matrix."""
-    chars, _ = _padded(landmarks)
-    raw = np.stack([kernel(chars, np.frombuffer(m, np.uint8)[None, :]) for m in landmarks])
-    norm = np.sqrt(np.diag(raw))
-    values, vectors = np.linalg.eigh(((raw + raw.T) / 2 / np.outer(norm, norm)) ** 2)
-    keep = values > 1e-8
+    raw = landmarks.kernel(landmarks.words).astype(float)
+    values, vectors = np.linalg.eigh((raw + raw.T) / 2)
+    keep = values > 1e-6
     return vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
 
 
+def sentence_features(rows: list[bytes], landmarks: Landmarks, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sentences, landmarks) features of all sentences of texts, and each sentence's text."""
+    split = [words_of(t) for t in rows]
+    if not any(split):
+        return np.zeros((0, len(landmarks.words)), np.float32), np.zeros(0, np.int64)
+    known = {w: i for i, w in enumerate(sorted({bare(w) for ws in split for w in ws}))}
+    mapped = (landmarks.kernel(list(known)) @ root).astype(np.float32)
+    at = np.fromiter((known[bare(w)] for ws in split for w in ws), np.int64)
+    sentence, text = sentences(split)
+    n = np.bincount(sentence, at != known.get(b"", -1))
+    first = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+    parts = [np.add.reduceat(mapped[at[a:b]], first[i : i + 4096] - a, axis=0) for i, a, b in ((i, first[i], first[i + 4096] if i + 4096 < len(first) else len(at)) for i in range(0, len(first), 4096))]
+    return np.concatenate(parts) / np.sqrt(np.maximum(n, 1))[:, None].astype(np.float32), text
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the squared hinge loss, classes weighing alike; Newton steps in the primal."""
     wide, sign = np.hstack([x, np.ones((len(x), 1))]), 2.0 * y - 1
@@ -204,148 +240,113 @@ def fit_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarra
     return w[:-1], float(w[-1])
 
 
-def fit_sigmoid(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Weights and, last, shift of a sigmoid over the evidence, with Platt's smoothed targets; Newton steps."""
+def fit_sentences(x: np.ndarray, y: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, float]:
+    """A machine for sentences whose documents (``bag``) have the labels ``y``.
+
+    At first a document's label is its sentences'. Then of a document of label 1 those stay that the machine before finds
+    clearly positive, and the one that it finds most so; the others say nothing.
+    """
+    use, label = np.ones(len(y), bool), y
+    for _ in range(TURNS):
+        w, b = fit_svm(x[use].astype(float), label[use])
+        margin = x @ w + b
+        most = np.full(int(bag.max(initial=0)) + 1, -np.inf)
+        np.maximum.at(most, bag, margin)
+        use = (y == 0) | (margin >= most[bag]) | (margin > CLEAR)
+    return w, b
+
+
+def fit_sigmoid(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a sigmoid over margins, with Platt's smoothed targets; Newton steps."""
     positive = y.sum()
     target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
-    wide, penalty = np.hstack([x, np.ones((len(x), 1))]), ridge * np.eye(x.shape[1] + 1)
-    w = np.zeros(wide.shape[1])
+    wide, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(wide @ w, -500, 500)))
-        step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + penalty, wide.T @ (target - p) - penalty @ w)
+        step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + 1e-6 * np.eye(2), wide.T @ (target - p) - 1e-6 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return w
-
-
-def stems(word: bytes) -> set[bytes]:
-    """Parts of a word of STEMS characters; a word shorter than that is its own stem."""
-    chars = word.decode(errors="ignore")
-    found = {chars[i : i + n] for n in range(STEMS[0], STEMS[1] + 1) for i in range(len(chars) - n + 1)}
-    return {x.encode() for x in found or {chars}}
-
+    return float(w[0]), float(w[1])
 
-def choose_landmarks(docs: list[list[bytes]], odds: dict[bytes, float]) -> list[bytes]:
-    """Stems that between them mark the documents of label 1 (candidate stems, once for each word they are in).
 
-    Each is the stem that gains most, by documents with fewer than COVER landmarks and by its odds, or a longer one that stands for nearly all of its words. Then stems that share four characters in a
-    row with it are out. So the words that copies of a document share beside the telling ones add none. Equals go by
-    length, then the stem itself.
-    """
-    left, chosen = [(set(d), 0) for d in docs if d], []
-    least, words = max(LEAST_DOCS, LEAST_SHARE * len(docs)), Counter(w for d in docs for w in d)
-    while left and len(chosen) < MARKING:
-        times = Counter(w for d, _ in left for w in d)
-        gain = {w: n * (1 - ODDS / odds[w]) for w, n in times.items() if n >= least}
-        if not gain:
-            break
-        word = min(gain, key=lambda w: (-gain[w], -len(w), w))
-        word = min((w for w in times if word in w and words[w] >= 0.95 * words[word]), key=lambda w: (-len(w), -words[w], w))
-        chosen.append(word)
-        parts = [word[i : i + 4] for i in range(max(1, len(word) - 3))]
-        out = {w for w in times if any(p in w for p in parts)}
-        left = [(d - out, n + (word in d)) for d, n in left]
-        left = [(d, n) for d, n in left if n < COVER and d]
-    return sorted(chosen)
+def _chosen(counted: list, most: int) -> Iterator[tuple]:
+    """Of rows (lot, label, n) in order of their lots those that fit into ``most`` sentences of their label together."""
+    left = {}
+    for r in sorted(counted, key=lambda r: (r["lot"], r["n"])):
+        if r["n"] <= left.setdefault(r["label"], most):
+            left[r["label"]] -= r["n"]
+            yield r["lot"], r["n"]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LESSONS, text: str = "text", id: str = "doc_id") -> Machine | float:
     """Fit a machine on at most ``most`` labelled documents.
 
-    Landmarks come from the documents' words. A document's label goes to its sentences with the largest kernel values
-    (of label 1: to each that a first machine finds positive). With one label only, or no landmark, the (smoothed)
-    share of label 1 is returned, which scores all texts alike.
+    Landmarks are the words that most lessons of each label have. The machine learns from all sentences of the lessons that
+    fit into MAX_SENTENCES for each label, by the hash of their id; the sigmoid turns the largest margin of a document into
+    its score, and is fitted on all lessons. Equal counts go by the word. With one label only, or no landmark, the
+    (smoothed) share of label 1 is returned, which scores all texts alike.
     """
-    lessons = scratch.cut(labelled.lessons(docs, labels, label, most, text, id), "lessons")
+    lessons = scratch.cut(labelled.lessons(docs, labels, label, most, text, id).withColumn("lot", F.xxhash64(F.col("id").cast("string"), F.lit(5))), "lessons")
 
     def words():
-        def count(rows: list[bytes]) -> list[pa.Array]:
-            return [pa.array([sorted({bare(w) for w in words_of(t)}) for t in rows], pa.list_(pa.binary()))]
-
-        return count
-
-    shares = lessons.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
-    prior = (shares.toxic + 1) / (shares.n + 2)
-    told = texts.with_columns(lessons, words, "words array<binary>", drop_text=True)
-    counts = told.select(F.explode("words").alias("word"), "label").where(F.octet_length("word") >= LENGTH).groupBy("word").agg(F.count("*").alias("n"), F.sum("label").alias("toxic"))
-    counts = scratch.cut(counts, "words")
-    telling = counts.where((F.col("toxic") >= 2) & (F.col("toxic") * (shares.n - shares.toxic) > 8 * (F.col("n") - F.col("toxic")) * shares.toxic))
-    telling = telling.orderBy(F.desc(F.col("toxic") * F.col("toxic") / F.col("n")), "word").limit(CANDIDATES).collect()
-    candidates = frozenset(set().union(*(stems(bytes(r.word)) for r in telling)))
-
-    def stem_counts(batches):
-        for batch in batches:
-            found: dict[bytes, list[int]] = {}
-            for word, n, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for x in candidates & stems(word):
-                    held = found.setdefault(x, [0, 0])
-                    held[0] += n
-                    held[1] += toxic
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in (0, 1))], names=["stem", "n", "toxic"])
-
-    stemmed = counts.select("word", "n", F.col("toxic").cast("long")).mapInArrow(stem_counts, "stem binary, n long, toxic long").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
-    marking = stemmed.where((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * (shares.n - shares.toxic + 1) > ODDS * (F.col("n") - F.col("toxic") + 0.5) * (shares.toxic + 1))).collect()
-    odds = {bytes(r.stem): r.toxic / (shares.toxic + 1) / ((r.n - r.toxic + 0.5) / (shares.n - shares.toxic + 1)) for r in marking}
-    known = frozenset(odds)
-
-    def parts():
         def found(rows: list[bytes]) -> list[pa.Array]:
-            own = [[x for w in sorted({bare(w) for w in words_of(t)}) for x in sorted(known & stems(w))] for t in rows]
-            return [pa.array(own, pa.list_(pa.binary()))]
+            split = [words_of(t) for t in rows]
+            counts = np.bincount(sentences(split)[1], minlength=len(rows)) if any(split) else np.zeros(len(rows), np.int64)
+            return [pa.array(counts.astype(np.int64)), pa.array([sorted({bare(w) for w in ws}) for ws in split], pa.list_(pa.binary()))]
 
         return found
 
-    own = texts.with_columns(lessons.where("label = 1"), parts, "stems array<binary>", drop_text=True).select("stems").collect()
-    landmarks = choose_landmarks([[bytes(w) for w in r.stems] for r in own], odds)
-    if not landmarks or shares.toxic in (0, shares.n):
-        return prior
+    told = scratch.cut(texts.with_columns(lessons, words, "n long, words array<binary>", drop_text=True), "words")
+    counted = told.select("lot", "label", "n").collect()
+    y = np.array([r["label"] for r in counted], float)
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
+    common = told.select("label", F.explode("words").alias("word")).where(F.octet_length("word") >= LANDMARK_BYTES + 2).groupBy("label", "word").agg(F.count("*").alias("n"))
+    chosen = sorted({bytes(r["word"]) for r in common.withColumn("place", place).where(F.col("place") <= LANDMARKS).collect()})
+    if not chosen or len(set(y)) < 2:
+        return float((y.sum() + 1) / (len(y) + 2))
+    root = nystroem(Landmarks(chosen))
 
-    def kernels():
-        reader = Reader(landmarks)
+    def features():
+        landmarks = Landmarks(chosen)
 
-        def largest(rows: list[bytes]) -> list[pa.Array]:
-            found, _ = reader.sentences(rows)
-            ranked = [s[np.argsort(-s.sum(1), kind="stable")[:WORST]] for s in found]
-            return [pa.array([s.tolist() for s in ranked], pa.list_(pa.list_(pa.float64())))]
+        def found(rows: list[bytes]) -> list[pa.Array]:
+            x, of = sentence_features(rows, landmarks, root)
+            ends = np.searchsorted(of, np.arange(1, len(rows) + 1))
+            return [texts.binary(np.concatenate([[0], ends]) * 4 * x.shape[1], x)]
 
-        return largest
+        return found
 
-    made = texts.with_columns(lessons, kernels, "sentences array<array<double>>", drop_text=True).toPandas().sort_values("id", kind="stable")
-    nothing = np.zeros((0, len(landmarks)))
-    sentences = [np.array([list(x) for x in s]).reshape(-1, len(landmarks)) if len(s) else nothing for s in made["sentences"]]
-    y = made["label"].to_numpy(float)
-    nystroem = _nystroem(landmarks)
-    first = [s[:1] if len(s) else np.zeros((1, len(landmarks))) for s in sentences]
-    w, b = fit_svm(np.concatenate(first) @ nystroem, y)
-    chosen, marks = [], []
-    for s, top, own in zip(sentences, first, y, strict=True):
-        part = top if not own or len(s) < 2 else np.concatenate([top, s[1:][s[1:] @ nystroem @ w + b > 0]])
-        part = s if not own and len(s) else part
-        chosen.append(part), marks.append(np.full(len(part), own))
-    w, b = fit_svm(np.concatenate(chosen) @ nystroem, np.concatenate(marks))
-    machine = Machine(landmarks, nystroem, w, b, np.zeros(5))
+    few = docs.sparkSession.createDataFrame(sorted(set(_chosen(counted, MAX_SENTENCES))), "lot long, n long")
+    held = told.join(F.broadcast(few), ["lot", "n"], "left_semi").select("lot")
+    made = texts.with_columns(lessons.join(F.broadcast(held), "lot", "left_semi"), features, "x binary", drop_text=True).select("lot", "label", "x").orderBy("lot").collect()
+    x = [np.frombuffer(r["x"], np.float32).reshape(-1, len(chosen)) for r in made]
+    bag, own = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat([float(r["label"]) for r in made], [len(s) for s in x])
+    if len(set(own)) < 2:
+        return float((y.sum() + 1) / (len(y) + 2))
+    machine = Machine(chosen, root, *fit_sentences(np.concatenate(x), own, bag))
 
-    def evidence():
-        reader = Reader(landmarks)
-        return lambda rows: [pa.array(machine.evidence(*reader.sentences(rows)).tolist(), pa.list_(pa.float64()))]
+    def largest():
+        reader = Reader(machine)
+        return lambda rows: [pa.array(reader.margins(rows))]
 
-    told = texts.with_columns(lessons, evidence, "evidence array<double>", drop_text=True).toPandas().sort_values("id", kind="stable")
-    return replace(machine, sigmoid=fit_sigmoid(np.array(told["evidence"].tolist()), told["label"].to_numpy(float)))
+    margins = texts.with_columns(lessons, largest, "margin double", drop_text=True).select("lot", "label", "margin").orderBy("lot").toPandas()
+    slope, shift = fit_sigmoid(margins["margin"].to_numpy(), margins["label"].to_numpy(float))
+    return replace(machine, slope=slope, shift=shift)
 
 
 def score(docs: DataFrame, machine: Machine | float, cut: float = CUT, text: str = "text", drop_text: bool = False) -> DataFrame:
     """Append ``score`` (0 to 1) and ``predicted`` (1 if score >= cut) to documents; a null text scores as empty.
 
-    A text scores by its worst sentence, by how much all of them give, and by its length. Only the text has a say. Equal texts score alike; columns
-    of the same names are replaced.
+    A text scores by the largest margin of its sentences, one without words by the machine's bias. Only the text has a say.
+    Equal texts score alike; columns of the same names are replaced.
     """
 
     def work():
-        reader = Reader(machine.landmarks) if isinstance(machine, Machine) else None
+        reader = Reader(machine) if isinstance(machine, Machine) else None
 
         def scores(rows: list[bytes]) -> list[pa.Array]:
-            found = machine.score(machine.evidence(*reader.sentences(rows))) if reader else np.full(len(rows), machine)
+            found = machine.score(reader.margins(rows)) if reader else np.full(len(rows), float(machine))
             return [pa.array(found), pa.array((found >= cut).astype(np.int32))]
 
         return scores

@@ -1,7 +1,9 @@
 """Quality rules, the two classifiers, and telephony media."""
 
 import hashlib
+import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -43,12 +45,102 @@ def test_rules_keep_prose_and_reject_garble(spark):
     assert all(got[i].kept for i in range(80)) and not any(got[i].kept for i in got if i >= 100)
 
 
+def plain_distance(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    m = [(a + b) / 2 for a, b in zip(p, q)]
+    kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a)
+    return math.sqrt(max(0, (kl(p) + kl(q)) / 2))
+
+
+def plain_kind(c):
+    if c in "\t\n\x0b\x0c\r":
+        return "break"
+    if c in "#*$%&|<>":
+        return "symbol"
+    if c in "@/\\_[]{}":
+        return "sign"
+    k = unicodedata.category(c)
+    return {"Ll": "lower", "Lu": "upper", "Lt": "upper"}.get(k) or {"L": "letter", "M": "mark", "N": "digit", "Z": "space", "P": "stop", "S": "sign", "C": "control"}[k[0]]
+
+
+def test_distances_are_those_of_plain_counts(spark):
+    rng = random.Random(7)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    russian = [" ".join(word("абвгдежзиклмно", rng.randint(1, 7)) for _ in range(90)).capitalize() + "." for _ in range(30)]
+    rows = [(i, " ".join(sentence(rng, 12) for _ in range(rng.randint(5, 14))), "en") for i in range(60)] + [(100 + i, t, "ru") for i, t in enumerate(russian)]
+    rows += [(200, garbled(rng), "en"), (201, "Ὅτι é ñ 漢字 \u0301 ½ €" * 30, None), (202, "", "en"), (203, None, None), (204, "Кот " * 3, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lists = rules.word_lists(df)
+    assert set(lists) == {"de", "en", "es", "fr", "ru", "xx"} and set(lists["ru"].split()) <= {w for t in russian for w in t.lower().strip(".").split()}
+    known = rules.references(df, lists=lists)
+    assert known["ru"].script == "CYRILLIC" and known["en"].script == "LATIN"
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+    common = stats.CommonWords(lists)
+    for i, t, _ in rows:
+        chars = [sum(plain_kind(c) == k for c in t or "") for k in stats.CLASSES]
+        plain = "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in t or "").split()
+        plain = [w.encode().lower() for w in plain]
+        by_char, by_word = [], []
+        for name, ref in known.items():
+            own = [w.encode() for w in lists[name].split()]
+            own = [w for w in sorted({x.encode() for ws in lists.values() for x in ws.split()}) if w in own]
+            k = common.languages.index(name)
+            order = sorted(range(len(common.of[k])), key=lambda j: common.of[k][j])
+            words = [sum(w == x for w in plain) for x in own]
+            ref_words = [int(ref.words[j]) for j in order] + [int(ref.words[-1])]
+            by_char.append(plain_distance(chars, ref.classes.tolist()) if t else 1)
+            by_word.append(plain_distance([*words, len(plain) - sum(words)], ref_words) if plain else 1)
+        assert got[i].char_distance == pytest.approx(min(by_char), abs=1e-9) and got[i].word_distance == pytest.approx(min(by_word), abs=1e-9)
+        far = (len(t or "") >= 200 and min(by_char) > rules.MAX_CHAR_DISTANCE) or (got[i].n_words >= 50 and min(by_word) > rules.MAX_WORD_DISTANCE)
+        written = {r.script for r in known.values()} | {""}
+        assert got[i].kept == (not got[i].base_failed and not (far and got[i].script in written))
+
+
+def test_prose_of_a_script_without_reference_stays(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(sentence(rng, 12) for _ in range(12)), "en") for i in range(60)]
+    rows += [(100, " ".join("".join(rng.choice("абвгдежзиклмно") for _ in range(rng.randint(1, 8))) for _ in range(120)), "en"), (101, " ".join("".join(rng.choice("αβγδεζηθικλμν") for _ in range(rng.randint(1, 8))) for _ in range(120)), None)]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100].kept and got[101].kept and got[100].script == "CYRILLIC" and got[101].script == "GREEK"
+
+
 def test_jensen_shannon_is_a_distance():
     p, q = np.array([[1, 0], [1, 1], [0, 0]]), np.array([0, 3])
     assert stats.jensen_shannon(p, q).tolist() == pytest.approx([1, 0.5579230452841438, 1])
     assert stats.jensen_shannon(q, q)[0] == 0
 
 
+def test_trees_walk_like_a_plain_tree():
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(800, 4)), 1)  # many ties
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    forest = quality.fit(x, y, trees=12, depth=3)
+
+    def plain(row):
+        total = forest.base
+        for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += leaf[at - len(feature)]
+        return 1 / (1 + math.exp(-total))
+
+    assert forest.score(x) == pytest.approx([plain(r) for r in x])
+
+
+def test_statistics_of_odd_texts_and_scores_in_tables(spark):
+    common = stats.CommonWords()
+    assert quality.statistics(b"", common) == [0.0] * len(quality.STATISTICS)
+    text = "The cat and the dog.\nThe cat and the dog.\n"
+    told = dict(zip(quality.STATISTICS, quality.statistics(text.encode(), common), strict=True))
+    assert told["log_words"] == pytest.approx(math.log(11)) and told["distinct_words"] == pytest.approx(0.5) and told["dup_lines"] == pytest.approx(1 / 3)
+    docs, labels = labelled_corpus(spark, 200)
+    odd = docs.limit(3).selectExpr("doc_id", "case doc_id % 3 when 0 then null when 1 then '' else repeat('x y ', 300000) end as text", "'clash' as score", "'clash' as predicted", "1 as extra")
+    forest = quality.train(docs, labels.union(labels))
+    got = quality.score(odd, forest).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.extra == 1 for r in got)
+
+
 def test_trees_fit_and_answer_without_lessons(spark, docs):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 5))
@@ -92,24 +184,77 @@ def test_toxicity_on_held_out_and_disguised_texts(spark):
     assert odd.predicted.tolist()[:4] == [1, 1, 1, 1] and odd.predicted.tolist()[5:] == [0, 0, 0] and odd.score.between(0, 1).all()
 
 
+def test_toxicity_of_long_and_clashing_rows(spark):
+    docs, labels = labelled_corpus(spark, 300)
+    machine = toxicity.train(docs.union(docs), labels.union(labels))
+    odd = spark.createDataFrame([(1, "the plain house " * 200000, "clash"), (2, "a b " * 100000 + "you blockhead. " + "a b " * 100000, "clash"), (3, "a" * 300000, "clash")], "doc_id long, text string, predicted string")
+    got = {r.doc_id: r for r in toxicity.score(odd, machine).collect()}
+    assert [got[i].predicted for i in (1, 2, 3)] == [0, 1, 0]
+
+
 def test_toxicity_without_lessons(spark, docs):
     none = spark.createDataFrame([(1, 1, 0), (2, 1, None)], "doc_id long, quality int, toxic int")
     got = toxicity.score(docs, toxicity.train(docs, none)).toPandas()
     assert got.score.nunique() == 1 and len(got) == docs.count()
 
 
-def plain_kernel(s, t, n=toxicity.LENGTH, decay=toxicity.DECAY):
+def plain_kernel(s, t):
     from itertools import combinations
 
-    spans = lambda x: [("".join(x[i] for i in c), c[-1] - c[0] + 1) for c in combinations(range(len(x)), n)]
-    return sum(decay ** (a + b) for u, a in spans(s) for v, b in spans(t) if u == v)
+    def values(x):
+        out = {}
+        for c in combinations(range(len(x)), 3):
+            span = c[2] - c[0] + 1
+            if span <= toxicity.SPAN:
+                key = tuple(int(toxicity._LETTER[x[i]]) for i in c)
+                out[key] = out.get(key, 0) + toxicity.DECAY**span
+        return out
+
+    a, b = values(s), values(t)
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    return (sum(v * b.get(k, 0) for k, v in a.items()) / (size(a) * size(b))) ** toxicity.POWER if a and b else 0.0
 
 
 def test_kernel_counts_gapped_subsequences():
-    words = ["idiot", "idxiot", "i", "tidioti", "clean"]
-    chars, _ = toxicity._padded([w.encode() for w in words])
-    got = toxicity.kernel(chars, np.frombuffer(b"idiot", np.uint8)[None, :])
-    assert got.tolist() == pytest.approx([plain_kernel(w, "idiot") for w in words])
+    words = ["<idiot>", "<idxiot>", "<>", "<tidioti>", "<clean>", "", "<" + "ab" * 400 + ">", "<é漢>"]
+    words = [w.encode() for w in words]
+    marks = [b"<idiot>", b"<mean>", b"<abab>"]
+    assert toxicity.Landmarks(marks).kernel(words) == pytest.approx(np.array([[plain_kernel(w, m) for m in marks] for w in words]), abs=1e-5)
+
+
+def test_margins_are_those_of_a_plain_kernel_machine():
+    rng = np.random.default_rng(1)
+    marks = sorted(b"<" + w.encode() + b">" for w in ("blockhead", "wretch", "people", "before", "house"))
+    root = toxicity.nystroem(toxicity.Landmarks(marks))
+    machine = toxicity.Machine(marks, root, rng.normal(size=len(marks)), -0.3)
+    rows = ["You blockheads, people! Go home. " + "word " * 50, "", "... !", "One house before wretched people", "b l o c k h e a d ?"]
+    alpha = root @ machine.weights
+
+    def margin(sentence):
+        own = [toxicity.bare(w) for w in sentence]
+        own = [w for w in own if w]
+        return sum(plain_kernel(w, m) * a for w in own for m, a in zip(marks, alpha)) / math.sqrt(max(1, len(own))) + machine.bias
+
+    want = []
+    for t in rows:
+        found, now = [], []
+        for w in toxicity.words_of(t.encode()):
+            now.append(w)
+            if w[-1:] in (b".", b"!", b"?") or len(now) == toxicity.LONGEST:
+                found.append(margin(now))
+                now = []
+        want.append(max([*found, *([margin(now)] if now else [])], default=machine.bias))
+    assert toxicity.Reader(machine).margins([t.encode() for t in rows]) == pytest.approx(want, abs=1e-5)
+    x, of = toxicity.sentence_features([t.encode() for t in rows], toxicity.Landmarks(marks), root)
+    assert [max([x[i] @ machine.weights + machine.bias for i in np.flatnonzero(of == k)], default=machine.bias) for k in range(len(rows))] == pytest.approx(want, abs=1e-4)
+
+
+def test_lessons_are_one_for_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
+    got = labelled.lessons(docs, labels, "toxic", 10).collect()
+    held = {i for i in (1, 2) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert {(r.id, r.label) for r in got} == {(1, 1), (2, 0)} - {(i, y) for i, y in ((1, 1), (2, 0)) if i in held} and len(got) == 2 - len(held)
 
 
 def test_folds_follow_the_id(spark):
@@ -132,6 +277,52 @@ def test_media_hold_the_text(docs, rows):
     assert media.listen(media.store(docs.limit(0))).count() == 0
 
 
+def plain_adpcm(block):
+    steps, changes = media.STEPS.tolist(), [-1, -1, -1, -1, 2, 4, 6, 8]
+    value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+    out = [value]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = steps[index]
+            change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            value = max(-32768, min(32767, value - change if code & 8 else value + change))
+            index = max(0, min(88, index + changes[code & 7]))
+            out.append(value)
+    return out
+
+
+def plain_mulaw(code):
+    code = ~code & 255
+    size = (((code & 15) * 2 + 33) << (code >> 4 & 7)) * 4 - 132
+    return -size if code & 128 else size
+
+
+def plain_alaw(code):
+    code ^= 0x55
+    low, high = code & 15, code >> 4 & 7
+    size = (2 * low + 1) * 8 if not high else (2 * low + 33) * 8 << high - 1
+    return size if code & 128 else -size
+
+
+def plain_double_rate(x):
+    at = lambda i: x[max(0, min(len(x) - 1, i))]
+    out = []
+    for i, v in enumerate(x):
+        out += [v, (-at(i - 1) + 9 * v + 9 * at(i + 1) - at(i + 2)) / 16]
+    return [max(-32768, min(32767, round(v))) for v in out]
+
+
+def test_features_are_those_of_a_plain_decoder(docs):
+    for r in media.listen(media.store(docs.where("doc_id < 67 or doc_id > 69").select("doc_id", "text"))).collect():
+        tag, _, block, stored = media.read_wav(bytes(r.media))
+        plain = {media.MULAW: lambda p: [plain_mulaw(c) for c in p], media.ALAW: lambda p: [plain_alaw(c) for c in p], media.IMA_ADPCM: lambda p: [v for i in range(0, len(p), block) for v in plain_adpcm(p[i : i + block])]}
+        samples = plain[tag](stored)
+        pcm = np.frombuffer(media.read_wav(bytes(r.pcm))[3], "<i2").tolist()
+        assert max(abs(a - b) for a, b in zip(pcm, plain_double_rate(samples), strict=True)) <= 1
+        assert r.n_samples == len(pcm) and r.pcm_crc32 == zlib.crc32(np.array(pcm, "<i2").tobytes()) and r.peak == max(map(abs, samples))
+        assert r.rms == pytest.approx(math.sqrt(sum(v * v for v in samples) / len(samples))) and r.crossings == sum((a < 0) != (b < 0) for a, b in zip(samples, samples[1:]))
+
+
 def test_codecs(spark):
     assert media.MULAW_TABLE[[0x00, 0x80, 0x7F, 0xFF]].tolist() == [-32124, 32124, 0, 0]
     assert media.ALAW_TABLE[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
