@@ -19,8 +19,9 @@ SEED = 42
 LEAF, SAMPLE = 4096, 50_000
 #: Tables of a 32-bit fingerprint each, the radius within them, words that check a pair at first, and points of a leaf.
 TABLES, RADIUS, FIRST_WORDS, SKETCH_LEAF = 32, 2, 2, 32_768
-#: Standard errors that a pair's sketches may be off: from a similarity that is asked for, and above it for links that are tried first.
-ASTRAY, SURE = 2.5, 2.5
+#: Standard errors by which the sketches of candidates may be further apart than those of a pair of the similarity that
+#: is asked for: in turns for pairs enough to connect all such pairs, and at last for all pairs that are left.
+TURNS, LIKELY = (-2.5, 0.0, 2.5), 1.5
 
 
 def _lanes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -165,13 +166,14 @@ def _half(words: np.ndarray, table: int) -> np.ndarray:
     return words[:, table // 2] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)
 
 
-def sketch_links(points: DataFrame, tables: int, most: int, checks: int, nearest: bool | None = None) -> DataFrame:
+def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole: bool = False) -> DataFrame:
     """Links (a, b) of ``node`` whose ``sketch`` of tables / 2 words has a 32-bit print within RADIUS bits in one of ``tables``, and ``checks`` further words within ``most`` bits.
 
-    Each table has a vantage-point tree, which deals prints to leaves as in ``print_links``. The links are enough to
-    connect what all of them connect; or, with ``nearest`` true or false, those described in ``vptree.Leaf`` for the column ``root``.
+    Each table has a vantage-point tree, which deals prints to leaves as in ``print_links``. Links of points with
+    equal ``root`` (if there is this column) are left out. They are enough to connect what all of them connect; with ``whole`` (for
+    tables / 2 checks) they are all of them.
     """
-    n, n_words, rooted = points.count(), tables // 2, nearest is not None
+    n, n_words, rooted = points.count(), tables // 2, "root" in points.columns
     depth = _depth(n, SKETCH_LEAF)
     known = np.frombuffer(b"".join(bytes(x) for x in _sample(points, "node", "sketch", n, SAMPLE // 5)), np.uint64).reshape(-1, n_words)
     trees = [vptree.build(np.sort(_half(known, t)), depth, RADIUS) for t in range(tables)]
@@ -191,8 +193,15 @@ def sketch_links(points: DataFrame, tables: int, most: int, checks: int, nearest
     def search(rows: pa.Table) -> pa.Table:
         words = texts.flat(rows["checks"].combine_chunks())[0].copy().view(np.uint64).reshape(-1, checks)
         node, roots = rows["node"].to_numpy(), rows["root"].to_numpy() if rooted else None
-        found = vptree.Leaf(rows["print"].to_numpy().view(np.uint64), rows["home"].to_numpy(), RADIUS, words, most, roots, bool(nearest))
-        a, b = node[found.a], node[found.b]
+        found = vptree.Leaf(rows["print"].to_numpy().view(np.uint64), rows["home"].to_numpy(), RADIUS, words, most, roots, whole)
+        a, b = found.a, found.b
+        if whole:  # a pair that meets in several tables is told by the first
+            table, order = rows["leaf"][0].as_py() >> 40, np.empty(n_words, np.int64)
+            order[(table // 2 + 1 + np.arange(n_words)) % n_words] = np.arange(n_words)
+            apart = np.ascontiguousarray((words[a] ^ words[b])[:, order]).view(np.uint32)
+            meets = (np.bitwise_count(apart) <= RADIUS).argmax(1) == table
+            a, b = a[meets], b[meets]
+        a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     dealt = points.select("node", F.col("root") if rooted else F.lit(0).cast("long").alias("root"), "sketch").mapInArrow(deal, "leaf long, print long, home boolean, node long, root long, checks binary")
@@ -213,10 +222,11 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tex
     Similarity is that of the sets of lower-cased shingles. One 64-bit print would find few pairs at 0.8, and a
     vantage-point tree cannot prune the radius that it would take. So each distinct set has ``tables`` 32-bit SimHash
     prints with a tree each, searched within RADIUS bits. Pairs found there whose whole sketches may be that
-    similar are candidates; a link is a candidate whose two sets were compared exactly, by joins. First those are compared that are likely links and
-    enough to connect all likely links; then, of what no links connect yet, each set with its nearest of each
-    other component, and at last all candidates that are left. So components are those of all candidates that are
-    alike. By calculation a pair at 0.8 is a candidate in 97 cases of 100, at 0.85 nearly always; none below ``similarity`` is a link.
+    similar are candidates; a link is a candidate whose two sets were compared exactly, by joins. First those are compared that are enough
+    to connect all likely links, then all less likely ones, each time of what no links connect yet; and at last all
+    candidates between components that are left. So components are those of all candidates that are alike, but for pairs that
+    only the widest of these turns takes for candidates and does not need for its connections. By calculation a pair at 0.8 is a candidate in 97
+    cases of 100 (91 in the last turn), at 0.85 nearly always; none below ``similarity`` is a link.
     Documents with equal sets are one class, whatever their number. ``component`` is the smallest id of the component.
     Texts without words are one class; null texts count as empty; null ids name a component only if it has no other.
     """
@@ -225,15 +235,15 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tex
     own = scratch.cut(texts.with_columns(keyed, work, "name binary, sketch binary", drop_text=True), "sketches")
     classes = own.groupBy("name").agg(F.min("id").alias("first"), F.min("key").alias("key"), F.min("sketch").alias("sketch"))
     classes = scratch.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    first = scratch.cut(sketch_links(classes, tables, _astray(similarity, 64 * FIRST_WORDS, ASTRAY), FIRST_WORDS), "first")
+    first = scratch.cut(sketch_links(classes, tables, _astray(similarity, 64 * FIRST_WORDS, TURNS[-1]), FIRST_WORDS), "first")
     live = scratch.cut(first.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "key", "sketch"), "node"), "live")
     texts_of = live.select("node", F.col("key").alias("own")).join(keyed.select("key", "text"), F.col("own") == F.col("key")).select("node", "text").dropDuplicates(["node"])
     hashes = lambda: lambda rows: [pa.array([np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in rows], pa.list_(pa.int64()))]
     sets = scratch.cut(texts.with_columns(texts_of, hashes, "set array<long>", drop_text=True), "sets")
     links, tried, found = None, None, None
-    for most, nearest in ((_astray(similarity, bits, -SURE), None), (_astray(similarity, bits, ASTRAY), True), (_astray(similarity, bits, ASTRAY), False)):
+    for errors, whole in (*((x, False) for x in TURNS), (LIKELY, True)):
         points = live if found is None else scratch.cut(live.join(found.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("node", "sketch", F.coalesce("root", "node").alias("root")), "points")
-        pairs = sketch_links(points, tables, most, tables // 2, nearest)
+        pairs = sketch_links(points, tables, _astray(similarity, bits, errors), tables // 2, whole)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs, "pairs")

@@ -8,18 +8,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, scratch, texts
 
 #: Labelled documents that the machine is fitted on, and sentences of each label, at most.
 MAX_LESSONS, MAX_SENTENCES = 6_000, 20_000
-#: Landmarks of each label, and bytes that a word has at least to be one.
-LANDMARKS, LANDMARK_BYTES = 128, 5
+#: Landmarks for each label, and bytes that a word has at least to be one.
+LANDMARKS, LANDMARK_BYTES = 64, 3
 #: The kernel of two words: common subsequences of three bytes with spans of at most SPAN bytes, each byte of a span
 #: weighing DECAY; that sum, normalised on both sides, to the power of POWER.
-SPAN, DECAY, POWER = 6, 0.6, 3
+SPAN, DECAY, POWER = 6, 0.6, 4
 #: Words of a sentence; a longer stretch without a stop is read as several sentences.
 LONGEST = 40
 #: Times that the sentences of label 1 are chosen anew, and the margin from which on one counts besides a document's first.
@@ -27,6 +27,10 @@ TURNS, CLEAR = 5, 0.5
 #: Single characters in a row, from which on they are read as one word.
 SPELLED = 3
 CUT = 0.5
+#: Ridge of the sigmoid's fit.
+RIDGE = 1e-3
+#: Cells of a matrix of words by subsequences.
+CELLS = 1 << 21
 #: Words that a Python worker remembers; with more, it starts anew.
 REMEMBERED = 400_000
 
@@ -79,27 +83,18 @@ class Landmarks:
     def kernel(self, words: list[bytes]) -> np.ndarray:
         """(words, landmarks): the kernel, from 0 to 1; 0 for words of fewer than three bytes."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        start, held = 0, 0
-        for i in range(len(words) + 1):  # some words at a time
-            if i == len(words) or held > 1 << 15:
-                self._some(words[start:i], out[start:i])
-                start, held = i, 0
-            held += len(words[i]) if i < len(words) else 0
+        step = max(1, CELLS // max(1, len(self.values)))
+        for i in range(0, len(words), step):
+            part = words[i : i + step]
+            word, code, value = subsequences(part)
+            length = np.sqrt(np.bincount(word, value * value, minlength=len(part)))
+            row = self.place[code]
+            known = row >= 0
+            wide = np.zeros((len(part), len(self.values)), np.float32)
+            wide[word[known], row[known]] = value[known]
+            out[i : i + step] = wide @ self.values / np.maximum(length, 1e-12)[:, None]
         return np.minimum(out, 1.0) ** POWER
 
-    def _some(self, words: list[bytes], out: np.ndarray) -> None:
-        word, code, value = subsequences(words)
-        length = np.sqrt(np.bincount(word, value * value, minlength=len(words)))
-        row = self.place[code]
-        known = np.flatnonzero(row >= 0)
-        if not len(known):
-            return
-        for part in np.array_split(known, -(-len(known) // (1 << 15))):
-            products = self.values[row[part]] * value[part, None].astype(np.float32)
-            first = np.flatnonzero(np.concatenate([[True], word[part][1:] != word[part][:-1]]))
-            out[word[part[first]]] += np.add.reduceat(products, first, axis=0)
-        out /= np.maximum(length, 1e-12)[:, None].astype(np.float32)
-
 
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased words; SPELLED or more single characters in a row are one word more."""
@@ -152,9 +147,10 @@ class Machine:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    floor: float = 0.0
 
     def score(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
+        return self.floor + (1 - self.floor) / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
 
 
 class Reader:
@@ -244,7 +240,7 @@ def fit_sentences(x: np.ndarray, y: np.ndarray, bag: np.ndarray) -> tuple[np.nda
     """A machine for sentences whose documents (``bag``) have the labels ``y``.
 
     At first a document's label is its sentences'. Then of a document of label 1 those stay that the machine before finds
-    clearly positive, and the one that it finds most so; the others say nothing.
+    clearly positive, and the one that it finds most so if it is positive; the others say nothing.
     """
     use, label = np.ones(len(y), bool), y
     for _ in range(TURNS):
@@ -252,22 +248,27 @@ def fit_sentences(x: np.ndarray, y: np.ndarray, bag: np.ndarray) -> tuple[np.nda
         margin = x @ w + b
         most = np.full(int(bag.max(initial=0)) + 1, -np.inf)
         np.maximum.at(most, bag, margin)
-        use = (y == 0) | (margin >= most[bag]) | (margin > CLEAR)
+        use = (y == 0) | ((margin >= most[bag]) & (margin > 0)) | (margin > CLEAR)
     return w, b
 
 
-def fit_sigmoid(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a sigmoid over margins, with Platt's smoothed targets; Newton steps."""
-    positive = y.sum()
-    target = np.where(y > 0, (positive + 1) / (positive + 2), 1 / (len(y) - positive + 2))
-    wide, w = np.stack([x, np.ones(len(x))], 1), np.zeros(2)
-    for _ in range(200):
+def fit_sigmoid(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """Slope and shift of a sigmoid over margins, and its floor: the share of label 1 that no margin tells of.
+
+    By expectation maximisation: how far a label 1 is due to its margin, then a logistic fit of that (Newton steps).
+    """
+    wide, w, floor = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0]), 0.5 * y.mean()
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(wide @ w, -500, 500)))
-        step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + 1e-6 * np.eye(2), wide.T @ (target - p) - 1e-6 * w)
-        w += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0]), float(w[1])
+        due = y * (1 - floor) * p / (floor + (1 - floor) * p)
+        floor = float((y - due).sum() / ((1 - y).sum() + (y - due).sum() + 1))
+        for _ in range(20):
+            p = 1 / (1 + np.exp(-np.clip(wide @ w, -500, 500)))
+            step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + RIDGE * np.eye(2), wide.T @ (due - p) - RIDGE * w)
+            w = w + np.clip(step, -1, 1)
+            if np.abs(step).max() < 1e-6:
+                break
+    return float(w[0]), float(w[1]), floor
 
 
 def _chosen(counted: list, most: int) -> Iterator[tuple]:
@@ -282,9 +283,9 @@ def _chosen(counted: list, most: int) -> Iterator[tuple]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LESSONS, text: str = "text", id: str = "doc_id") -> Machine | float:
     """Fit a machine on at most ``most`` labelled documents.
 
-    Landmarks are the words that most lessons of each label have. The machine learns from all sentences of the lessons that
+    Landmarks are the words whose share of the lessons of one label exceeds that of the other most, LANDMARKS for each. The machine learns from all sentences of the lessons that
     fit into MAX_SENTENCES for each label, by the hash of their id; the sigmoid turns the largest margin of a document into
-    its score, and is fitted on all lessons. Equal counts go by the word. With one label only, or no landmark, the
+    its score, and is fitted on all lessons. Equals go by the word. With one label only, or no landmark, the
     (smoothed) share of label 1 is returned, which scores all texts alike.
     """
     lessons = scratch.cut(labelled.lessons(docs, labels, label, most, text, id).withColumn("lot", F.xxhash64(F.col("id").cast("string"), F.lit(5))), "lessons")
@@ -300,9 +301,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     told = scratch.cut(texts.with_columns(lessons, words, "n long, words array<binary>", drop_text=True), "words")
     counted = told.select("lot", "label", "n").collect()
     y = np.array([r["label"] for r in counted], float)
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "word"))
-    common = told.select("label", F.explode("words").alias("word")).where(F.octet_length("word") >= LANDMARK_BYTES + 2).groupBy("label", "word").agg(F.count("*").alias("n"))
-    chosen = sorted({bytes(r["word"]) for r in common.withColumn("place", place).where(F.col("place") <= LANDMARKS).collect()})
+    words_told = told.select("label", F.explode("words").alias("word")).where(F.octet_length("word") >= LANDMARK_BYTES + 2)
+    share = F.sum("label") / float(max(1.0, y.sum())) - F.sum(1 - F.col("label")) / float(max(1.0, (1 - y).sum()))
+    common = scratch.cut(words_told.groupBy("word").agg(share.alias("excess")), "common")
+    tops = [common.orderBy(order, "word").limit(LANDMARKS).collect() for order in (F.desc("excess"), F.asc("excess"))]
+    chosen = sorted({bytes(r["word"]) for top in tops for r in top})
     if not chosen or len(set(y)) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
     root = nystroem(Landmarks(chosen))
@@ -331,8 +334,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         return lambda rows: [pa.array(reader.margins(rows))]
 
     margins = texts.with_columns(lessons, largest, "margin double", drop_text=True).select("lot", "label", "margin").orderBy("lot").toPandas()
-    slope, shift = fit_sigmoid(margins["margin"].to_numpy(), margins["label"].to_numpy(float))
-    return replace(machine, slope=slope, shift=shift)
+    slope, shift, floor = fit_sigmoid(margins["margin"].to_numpy(), margins["label"].to_numpy(float))
+    return replace(machine, slope=slope, shift=shift, floor=floor)
 
 
 def score(docs: DataFrame, machine: Machine | float, cut: float = CUT, text: str = "text", drop_text: bool = False) -> DataFrame:

@@ -99,13 +99,14 @@ class Leaf:
     """Links between the home points of a leaf, and between them and its visitors.
 
     ``prints`` are compared within ``radius``; with ``checks`` (rows of uint64), a link also needs their distance to be
-    at most ``most``. ``a`` and ``b`` are links enough to connect what all links connect; ``label`` is the smallest
-    point of a point's component. With ``roots``, links of points with equal roots are left out, and ``a`` and ``b``
-    are all others or, for ``nearest``, of each point and each root one of those with the least distance of checks.
+    at most ``most``. Links of points with equal ``roots`` are left out. ``a`` and ``b`` are links enough to connect the
+    roots that all links connect, or all links if ``whole`` is set; ``label`` is the smallest point that a point is
+    connected with, if there are no roots.
     """
 
-    def __init__(self, prints: np.ndarray, home: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 0, roots: np.ndarray | None = None, nearest: bool = False):
-        self.prints, self.radius, self.checks, self.most, self.roots, self.nearest = prints, radius, checks, most, roots, nearest
+    def __init__(self, prints: np.ndarray, home: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 0, roots: np.ndarray | None = None, whole: bool = False):
+        self.prints, self.radius, self.checks, self.most, self.roots, self.whole = prints, radius, checks, most, roots, whole
+        self.own = np.arange(len(prints)) if roots is None else np.unique(roots, return_inverse=True)[1]
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.least = 0, HELD
         self.label = np.arange(len(prints))
@@ -116,18 +117,12 @@ class Leaf:
     def _reduce(self) -> None:
         none = np.zeros(0, np.int64)
         a, b = (np.concatenate(x) for x in zip(*self.links, (none, none), strict=True))
-        if self.roots is None:
-            self.label, used = spanned(len(self.prints), a, b)
-            a, b = a[used], b[used]
-        elif self.nearest:
-            a, b = np.concatenate([a, b]), np.concatenate([b, a])
-            order = np.lexsort((b, distance(self.checks[a], self.checks[b]).sum(-1, dtype=np.int64), self.roots[b], a))
-            a, b = a[order], b[order]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (self.roots[b[1:]] != self.roots[b[:-1]])])[: len(a)])
-            a, b = a[first], b[first]
-        else:
+        if self.whole:
             codes = np.unique(np.minimum(a, b) * len(self.prints) + np.maximum(a, b))
             a, b = codes // max(1, len(self.prints)), codes % max(1, len(self.prints))
+        else:
+            self.label, used = spanned(len(self.prints), self.own[a], self.own[b])
+            a, b = a[used], b[used]
         self.links, self.held = [(a, b)], len(a)
         self.least = max(HELD, 2 * len(a))
 
@@ -161,7 +156,7 @@ class Leaf:
             self._compare(home, other)
             return
         vantage, limit, cost = _split(self.prints[home], self.radius, 4, depth)
-        if cost >= 0.97 and self.roots is not None:
+        if cost >= 0.97 and self.whole:
             self._compare(home, other)
             return
         if cost >= 0.97:  # a dense cluster: its members need no comparison with one another, only with the rest
