@@ -10,6 +10,12 @@ from ..functions import dates, parsing, text
 DECOMPOSED = ["comparison", "temporal_numeric", "summary"]
 
 
+def in_order(df: DataFrame, body: str) -> Column:
+    """A group's texts by ``rank``, if there is one, and by themselves."""
+    keys = [c for c in ("rank", body) if c in df.columns]
+    return F.transform(F.array_sort(F.collect_list(F.struct(*keys))), lambda x: x[body])
+
+
 def mock_model(prompts: DataFrame, rules: DataFrame, default: str, prompt: str = "prompt") -> DataFrame:
     """Append ``response``: that of the rule with the smallest priority whose keyword the prompt contains, else the default.
 
@@ -58,11 +64,11 @@ def verify_entities(answers: DataFrame, evidence: DataFrame, query: str = "query
     """(query, cleaned, grounded, removed): answers without lines that name an entity which no evidence has.
 
     Values and clauses are given the benefit of the doubt. A line goes if it contains such an entity, or four fifths of its
-    words if it has two or more. Numbered lines are counted anew. ``evidence`` has a row (query, text) for each chunk.
+    words if it has two or more. Numbered lines are counted anew. ``evidence`` has a row (query, text) for each chunk, in order of ``rank`` if it has that column, else of the texts.
     """
     asked = answers.select(query, "answer", F.posexplode_outer(text.extract_entities(F.col("answer"))).alias("at", "entity"))
     spare = text.is_numeric_entity(F.col("entity")) | text.is_descriptive(F.col("entity"))
-    joined = evidence.groupBy(query).agg(F.array_join(F.collect_list("text"), " ").alias("all"))
+    joined = evidence.groupBy(query).agg(F.array_join(in_order(evidence, "text"), " ").alias("all"))
     tested = asked.where("entity is not null").join(joined, query, "left").withColumn("fast", spare | F.coalesce(text.entity_in_text(F.col("entity"), F.col("all")), F.lit(False)))
     slow = tested.where("not fast").join(evidence.select(query, "text"), query).groupBy(query, "at").agg(F.bool_or(text.entity_in_text(F.col("entity"), F.col("text"))).alias("slow"))
     told = tested.join(slow, [query, "at"], "left").withColumn("ok", F.col("fast") | F.coalesce("slow", F.lit(False)))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(**fields: Column) -> Column:
@@ -14,30 +19,38 @@ def canonical_json(**fields: Column) -> Column:
 def build_chain(df: DataFrame, key: str, seq: str, data: str) -> DataFrame:
     """Append previous_hash ('' at first) and entry_hash = sha256(previous_hash + data), a chain for each key in order of ``seq``.
 
-    A chain is a fold over its key's ordered rows, held in one row: chain by session, not by a key with a large share of
-    all rows.
+    Rows are dealt by key and sorted; a task goes through them once and holds the last hash alone. A chain can't be split,
+    since each entry needs the one before: chain by session. Null data count as empty text; rows with a null key are one chain.
     """
-    rest = [c for c in df.columns if c != key]
-    held = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("__seq"), *rest))).alias("rows"))
-    none = F.lit("").cast("string")
-    start = F.struct(none.alias("h"), F.array().cast("array<struct<p:string,e:string>>").alias("out"))
-
-    def link(state: Column, row: Column) -> Column:
-        entry = F.sha2(F.concat(state["h"], row[data]), 256)
-        return F.struct(entry.alias("h"), F.concat(state["out"], F.array(F.struct(state["h"].alias("p"), entry.alias("e")))).alias("out"))
-
-    linked = held.withColumn("links", F.aggregate("rows", start, link, lambda s: s["out"]))
-    flat = linked.select(key, F.explode(F.arrays_zip("rows", "links")).alias("z"))
-    return flat.select(key, *(F.col(f"z.rows.{c}").alias(c) for c in rest), F.col("z.links.p").alias("previous_hash"), F.col("z.links.e").alias("entry_hash"))
+    kept = [df.schema[c] for c in df.columns if c not in ("previous_hash", "entry_hash")]
+    out = T.StructType([*kept, T.StructField("previous_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    sent = df.select(*(f.name for f in kept)).repartition(key).sortWithinPartitions(key, seq)
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, last = None, None
+        for batch in batches:
+            before, after = [], []
+            for k, d in zip(batch.column(names.index(key)).to_pylist(), batch.column(names.index(data)).to_pylist(), strict=True):
+                last = last if last is not None and k == owner else ""
+                owner = k
+                before.append(last)
+                last = hashlib.sha256((last + (d or "")).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*names, "previous_hash", "entry_hash"])
+
+    return sent.mapInArrow(run, out)
 
 
 def verify_chain(df: DataFrame, key: str, seq: str, data: str, first_empty: bool = True) -> DataFrame:
     """(key, entries, valid, first_bad): whether each entry's hash is right and names its predecessor's.
 
-    ``first_empty`` also asks that a chain begins with an empty previous hash.
+    ``first_empty`` also asks that a chain begins with an empty previous hash. An entry without a hash, or without the previous one, is bad.
     """
-    before = F.lag("entry_hash").over(Window.partitionBy(key).orderBy(seq))
-    good = (F.col("entry_hash") == F.sha2(F.concat("previous_hash", data), 256)) & F.when(before.isNull(), F.lit(True) if not first_empty else F.col("previous_hash") == "").otherwise(F.col("previous_hash") == before)
+    order = Window.partitionBy(key).orderBy(seq)
+    first, before = F.row_number().over(order) == 1, F.lag("entry_hash").over(order)
+    linked = F.when(first, F.col("previous_hash") == "" if first_empty else F.lit(True)).otherwise(F.col("previous_hash") == before)
+    good = F.coalesce((F.col("entry_hash") == F.sha2(F.concat("previous_hash", F.coalesce(F.col(data), F.lit(""))), 256)) & linked, F.lit(False))
     return df.withColumn("__good", good).groupBy(key).agg(F.count("*").alias("entries"), F.bool_and("__good").alias("valid"), F.min(F.when(~F.col("__good"), F.col(seq))).alias("first_bad"))
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Answers of an evaluation that is resampled, at most.
+MOST_ANSWERS = 100_000
+
+
 def confusion(df: DataFrame, flagged: Column, truth: Column, by: Sequence[str] = ()) -> DataFrame:
     """tp, fp, tn, fn, precision, recall, f1 and accuracy; a denominator of 0 counts as 1 (1e-8 for f1)."""
     cells = df.groupBy(*by).agg(
@@ -34,8 +38,10 @@ def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.
     """(mean, ci_low, ci_high) of resampled means.
 
     Draw j of resample b is row md5(b:j) mod n, so runs agree. The resamples are spread over the cluster: values go along
-    as one array, as the sample of a bootstrap is an evaluation's few thousand answers.
+    as one array, so an evaluation of more than MOST_ANSWERS answers is an error.
     """
+    if df.count() > MOST_ANSWERS:
+        raise ValueError(f"a bootstrap takes {MOST_ANSWERS} answers at most")
     held = df.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("vs"), F.avg(value).alias("mean"))
     drawn = df.sparkSession.range(draws).join(F.broadcast(held))
     pick = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(":"), j.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.size("vs"))
@@ -60,9 +66,8 @@ def set_scores(found: Column, wanted: Column) -> tuple[Column, Column]:
 
 
 def upper_median(value: str) -> Column:
-    """The middle value; the upper of two."""
-    held = F.array_sort(F.collect_list(value))
-    return F.element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
+    """The middle value; the upper of two. Values are counted before the shuffle, and so are equal ones of a group."""
+    return F.expr(f"percentile_disc(0.5) within group (order by `{value}` desc)")
 
 
 def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:

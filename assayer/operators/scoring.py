@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import answers
 
 ROUGE_TOKENS = 2000
 
 
-def entity_scores(answers: DataFrame, truth: DataFrame, query: str = "query_id") -> DataFrame:
+def entity_scores(said: DataFrame, truth: DataFrame, query: str = "query_id") -> DataFrame:
     """(query, total_gt, found, total_answer, hallucinated, precision, recall, f1) of answers against true entities.
 
     ``truth`` has a row (query, entity, name, code) for each; an entity is found by its text, its name, or a code of three
@@ -23,11 +24,11 @@ def entity_scores(answers: DataFrame, truth: DataFrame, query: str = "query_id")
     """
     asked = truth.select(query, F.monotonically_increasing_id().alias("gt"), "entity", "name", "code")
     hit = text.entity_mentioned(F.col("entity"), F.col("answer")) | F.coalesce(text.entity_mentioned(F.col("name"), F.col("answer")), F.lit(False)) | F.coalesce((F.length("code") >= 3) & F.contains(F.col("answer"), F.col("code")), F.lit(False))
-    recall = asked.join(answers.select(query, "answer"), query).groupBy(query).agg(F.count("*").alias("total_gt"), F.count_if(hit).alias("found"))
-    own = answers.select(query, F.posexplode(text.extract_entities(F.col("answer"))).alias("at", "said"))
+    recall = asked.join(said.select(query, "answer"), query).groupBy(query).agg(F.count("*").alias("total_gt"), F.count_if(hit).alias("found"))
+    own = said.select(query, F.posexplode(text.extract_entities(F.col("answer"))).alias("at", "said"))
     same = text.entity_matches(F.col("said"), F.col("entity")) | F.coalesce(text.entity_matches(F.col("said"), F.col("name")), F.lit(False))
     matched = own.join(truth.select(query, "entity", "name"), query).groupBy(query, "at").agg(F.bool_or(same).alias("ok")).groupBy(query).agg(F.count("*").alias("total_answer"), F.count_if("ok").alias("matched"))
-    told = answers.select(query).join(recall, query, "left").join(matched, query, "left").na.fill(0, ["total_gt", "found", "total_answer", "matched"])
+    told = said.select(query).join(recall, query, "left").join(matched, query, "left").na.fill(0, ["total_gt", "found", "total_answer", "matched"])
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     told = told.withColumn("recall", F.coalesce(share("found", "total_gt"), F.lit(0.0)))
     told = told.withColumn("precision", F.when(F.col("total_gt") == 0, 0.0).otherwise(F.coalesce(share("matched", "total_answer"), (F.col("found") > 0).cast("double"))))
@@ -41,7 +42,7 @@ def grounding(evidence: DataFrame, truth: DataFrame, query: str = "query_id") ->
     hit = text.entity_mentioned(F.col("entity"), F.col("text")) | F.coalesce(text.entity_mentioned(F.col("name"), F.col("text")), F.lit(False))
     rows = evidence.select(query, F.monotonically_increasing_id().alias("ev"), "text")
     used = rows.join(truth.select(query, "entity", "name"), query, "left").groupBy(query, "ev").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("ok")).groupBy(query).agg(F.round(F.avg(F.col("ok").cast("double")), 4).alias("context_precision"))
-    held = rows.groupBy(query).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    held = evidence.groupBy(query).agg(F.array_join(answers.in_order(evidence, "text"), " ").alias("text"))
     seen = truth.join(held, query, "left").groupBy(query).agg(F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), 4).alias("context_recall"))
     return used.join(seen, query, "full").na.fill(0.0, ["context_precision", "context_recall"])
 
