@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def prompt(question: Column, evidence: Column, task: Column) -> Column:
 def route(df: DataFrame, response: str = "response") -> DataFrame:
     """Append ``query_type`` and ``router_confidence`` from a router's response; 'unknown' and 0 if it doesn't parse."""
     kind, sure = parsing.json_field(F.col(response), "query_type"), parsing.json_field(F.col(response), "confidence")
-    return df.withColumn("query_type", F.when(kind.isNotNull(), parsing.enum_value(kind)).otherwise("unknown")).withColumn("router_confidence", F.when(kind.isNotNull(), parsing.number(sure)).otherwise(0.0))
+    return df.withColumn("query_type", F.when(kind.isNotNull(), parsing.enum_value(kind)).otherwise("unknown")).withColumn("router_confidence", F.when(kind.isNotNull(), parsing.clipped(parsing.number(sure))).otherwise(0.0))
 
 
 def sub_queries(df: DataFrame, query: str = "query_id", question: str = "question", response: str = "response") -> DataFrame:
@@ -93,6 +95,57 @@ def verify_entities(answers: DataFrame, evidence: DataFrame, query: str = "query
     return kept.select(query, F.when(F.size("removed") > 0, F.coalesce("__cleaned", F.lit(""))).otherwise(F.col("answer")).alias("cleaned"), "grounded", "removed")
 
 
+def sufficiency(df: DataFrame, response: str = "response") -> DataFrame:
+    """Append ``retrieval_verdict``, ``coverage``, ``missing`` and ``reformulated`` from an evaluator's response.
+
+    One that doesn't parse counts as sufficient at 0.5, and so does an unknown verdict with the coverage that it states.
+    """
+    held, said = parsing.json_object(F.col(response)), F.lower(parsing.json_field(F.col(response), "verdict"))
+    field = lambda name: F.get_json_object(held, f"$.{name}")
+    told = df.withColumn("retrieval_verdict", F.when(said.isin("sufficient", "insufficient", "ambiguous"), said).otherwise("sufficient"))
+    told = told.withColumn("coverage", F.coalesce(field("coverage_score").try_cast("double"), F.lit(0.5)))
+    return told.withColumn("missing", F.coalesce(F.from_json(field("missing_aspects"), "array<string>"), F.array().cast("array<string>"))).withColumn("reformulated", field("reformulated_query"))
+
+
+def retry(evaluated: DataFrame, found: DataFrame, retrieve: Callable[[DataFrame], DataFrame], query: str = "query_id", question: str = "question", chunk: str = "chunk_id") -> DataFrame:
+    """(query, chunk, rank): a query's chunks, and for insufficient ones, after them, what a second retrieval finds beside them.
+
+    ``retrieve`` takes (query, text) of the queries to ask again (the reformulated question, else their own) and gives (query, chunk, rank).
+    There is one retry.
+    """
+    again = evaluated.where("retrieval_verdict = 'insufficient'").select(query, F.coalesce("reformulated", question).alias("text"))
+    rows = found.select(query, chunk, F.lit(0).alias("__turn"), "rank").unionByName(retrieve(again).select(query, chunk, F.lit(1).alias("__turn"), "rank"))
+    first = rows.groupBy(query, chunk).agg(F.min(F.struct("__turn", "rank")).alias("__at"))
+    return first.select(query, chunk, F.row_number().over(Window.partitionBy(query).orderBy("__at", chunk)).alias("rank"))
+
+
+def numeric_check(df: DataFrame, response: str = "response") -> DataFrame:
+    """Append ``numeric_valid``, ``numeric_issues`` and ``corrections`` from a validator's response; one that doesn't parse is
+    invalid and says so."""
+    held = parsing.json_object(F.col(response))
+    many = lambda name: F.coalesce(F.from_json(F.get_json_object(held, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+    told = df.withColumn("numeric_valid", F.coalesce(F.get_json_object(held, "$.valid").try_cast("boolean"), F.lit(False)))
+    failed = F.array(F.lit("Numeric validation could not be completed (parse error)"))
+    return told.withColumn("numeric_issues", F.when(held.isNull(), failed).otherwise(many("issues"))).withColumn("corrections", many("corrections"))
+
+
+def critic_turns(df: DataFrame, responses: Sequence[str], query: str = "query_id") -> DataFrame:
+    """Append ``verdict``, ``final`` and ``attempts``: a critic's responses in turn, the next only after a revision.
+
+    A revision replaces the answer for the next attempt and stands if it was the last.
+    """
+    none = F.lit(None).cast("string")
+    out = df.withColumn("__answer", F.col("answer")).withColumn("__open", F.lit(True)).withColumn("verdict", none).withColumn("final", none).withColumn("attempts", F.lit(0))
+    for i, response in enumerate(responses):
+        told = finish(out.select(query, F.col("__answer").alias("answer"), response, F.lit(i).alias("attempt")), response, len(responses) - 1)
+        told = told.select(F.col(query).alias("__q"), F.col("verdict").alias("__v"), F.col("final").alias("__f"))
+        joined = out.join(told, F.col(query) == F.col("__q"), "left")
+        now = lambda new, old: F.when(F.col("__open"), new).otherwise(F.col(old))
+        out = joined.withColumn("attempts", F.col("attempts") + F.col("__open").cast("int")).withColumn("verdict", now(F.col("__v"), "verdict")).withColumn("final", now(F.col("__f"), "final"))
+        out = out.withColumn("__answer", now(F.col("__f"), "__answer")).withColumn("__open", F.col("__open") & (F.col("__v") == "revised")).select(*df.columns, "__answer", "__open", "verdict", "final", "attempts")
+    return out.drop("__answer", "__open")
+
+
 def finish(df: DataFrame, response: str = "response", attempts: int = 2) -> DataFrame:
     """Append ``verdict`` and ``final`` from a critic's response: a revision replaces the answer, an abstention its reason.
 

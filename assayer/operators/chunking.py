@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,27 +11,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Tokens of a chunk, of its overlap, and the least that a further chunk of a section needs.
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 512, 128, 50
 
-#: Section headers: patterns in the order in which they are tried.
+#: Section headers, patterns in the order in which they are tried.
 HEADERS = [
-    ("chief_complaint", r"chief\s+complaint|reason\s+for\s+(visit|consultation|admission)"), ("history_present_illness", r"history\s+of\s+(the\s+)?present\s+illness|present\s+illness"),
-    ("past_medical_history", r"past\s+medical\s+history|medical\s+history|past\s+history"), ("medications", r"medications?"), ("allergies", r"allergi(es|c\s+reactions?)|nkda"),
-    ("social_history", r"social\s+history"), ("family_history", r"family\s+history"), ("review_of_systems", r"review\s+of\s+systems?"), ("physical_exam", r"physical\s+exam(ination)?|vital\s+signs?"),
-    ("assessment_plan", r"(assessment|impression)\s+(and|&)\s+plan"), ("labs_results", r"lab(oratory)?\s+results?|pertinent\s+(labs?|results?)"), ("imaging", r"imaging|radiology"),
-    ("procedures", r"procedures?|operative\s+(note|findings|report)|surgical\s+history"),
+    ("chief_complaint", r"chief\s+complaint"), ("chief_complaint", r"cc\s*:"), ("chief_complaint", r"reason\s+for\s+(visit|consultation|admission)"),
+    ("history_present_illness", r"history\s+of\s+present\s+illness"), ("history_present_illness", r"hpi\s*:"), ("history_present_illness", r"history\s+of\s+the\s+present\s+illness"), ("history_present_illness", r"present\s+illness"),
+    ("past_medical_history", r"past\s+medical\s+history"), ("past_medical_history", r"pmh\s*:"), ("past_medical_history", r"medical\s+history"), ("past_medical_history", r"past\s+history"),
+    ("medications", r"medications?\s*(on\s+admission|at\s+home|list)?"), ("medications", r"current\s+medications?"), ("medications", r"home\s+medications?"), ("medications", r"discharge\s+medications?"),
+    ("allergies", r"allergi(es|c\s+reactions?)"), ("allergies", r"drug\s+allergies"), ("allergies", r"nkda"),
+    ("social_history", r"social\s+history"), ("social_history", r"sh\s*:"), ("family_history", r"family\s+history"), ("family_history", r"fh\s*:"), ("family_history", r"fhx\s*:"),
+    ("review_of_systems", r"review\s+of\s+systems?"), ("review_of_systems", r"ros\s*:"),
+    ("physical_exam", r"physical\s+exam(ination)?"), ("physical_exam", r"pe\s*:"), ("physical_exam", r"exam\s*:"), ("physical_exam", r"vital\s+signs?\s*"),
+    ("assessment_plan", r"assessment\s+(and|&)\s+plan"), ("assessment_plan", r"a\s*/\s*p\s*:"), ("assessment_plan", r"a&p\s*:"), ("assessment_plan", r"assessment\s*:"), ("assessment_plan", r"plan\s*:"), ("assessment_plan", r"impression\s+(and|&)\s+plan"), ("assessment_plan", r"impression\s*:"),
+    ("labs_results", r"lab(oratory)?\s+results?"), ("labs_results", r"labs?\s*:"), ("labs_results", r"results?\s*:"), ("labs_results", r"pertinent\s+(labs?|results?)"),
+    ("imaging", r"imaging\s*(results?|studies|findings)?"), ("imaging", r"radiology\s*(results?|findings)?"), ("imaging", r"diagnostic\s+imaging"),
+    ("procedures", r"procedures?\s*(performed)?"), ("procedures", r"operative\s+(note|findings|report)"), ("procedures", r"surgical\s+history"),
 ]
 
 
+def _known_header(line: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(HEADERS):
+        out = F.when(line.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
+    return out
+
+
 def sections(notes: DataFrame, id: str = "document_id", body: str = "text") -> DataFrame:
     """(id, pos, section, body): a note's sections by first appearance.
 
-    A line that has only a capitalised header of a known section, with or without a colon, begins it. Lines before the
+    A line that has only a capitalised header of a known section begins it; a header that no pattern knows is tried again
+    with the colon after it, which abbreviations need. Lines before the
     first header are of section 'other'; a section that recurs goes on after an empty line. Empty sections are left out.
     """
     lines = notes.select(id, F.posexplode(F.split(body, "\n")).alias("at", "line"))
     header = F.regexp_extract("line", r"^[ \t]*([A-Z][A-Za-z &/\-]+)[ \t]*:?[ \t]*$", 1)
-    kind = F.lit(None).cast("string")
-    for name, pattern in reversed(HEADERS):
-        kind = F.when(header.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(kind)
+    kind = F.coalesce(_known_header(F.trim(header)), _known_header(F.trim("line")))
     order = Window.partitionBy(id).orderBy("at")
     marked = lines.withColumn("head", F.when(header != "", kind)).withColumn("run", F.count("head").over(order)).withColumn("section", F.coalesce(F.last("head", True).over(order), F.lit("other")))
     runs = marked.where(F.col("head").isNull()).groupBy(id, "section", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("part"))

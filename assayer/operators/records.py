@@ -10,12 +10,27 @@ from pyspark.sql import functions as F
 from ..functions import codings, dates
 
 
+#: Classes of encounters by their codes, of either record version; all others are 'other'.
+CLASSES = {"AMB": "ambulatory", "ambulatory": "ambulatory", "EMER": "emergency", "emergency": "emergency", "EW": "emergency", "IMP": "inpatient", "inpatient": "inpatient", "ACUTE": "inpatient", "OBSENC": "inpatient", "SS": "outpatient", "outpatient": "outpatient", "wellness": "wellness"}
+
+
+def _codes(items: Column) -> Column:
+    """Codings of a list of concepts, or of concepts behind references."""
+    plain = lambda c: F.struct(c["coding"].alias("coding"), c["text"].alias("text"))
+    return codings.codings(F.transform(items, lambda c: F.coalesce(c["concept"], plain(c))))
+
+
 def encounters(df: DataFrame) -> DataFrame:
-    """Encounter rows of resources: class and type, times of either record version."""
+    """Encounter rows of resources: class, type, times, reasons and the first named participant, of either record version."""
     period = F.coalesce("actualPeriod", "period")
+    code = F.coalesce(F.get_json_object("class", "$[0].coding[0].code"), F.get_json_object("class", "$.coding[0].code"), F.get_json_object("class", "$.code"))
+    reasons = F.when(F.size("reason") > 0, _codes(F.col("reason"))).otherwise(codings.codings(F.col("reasonCode")))
+    named = F.filter(F.transform("participant", lambda p: p["individual"]["display"]), lambda n: n.isNotNull() & (n != ""))
+    kinds = F.create_map(*(F.lit(x) for kv in CLASSES.items() for x in kv))
     return df.where("resourceType = 'Encounter'").select(
-        codings.reference_id(F.col("subject.reference")).alias("patient_id"), F.col("id").alias("encounter_id"), "status", codings.first_coding(F.try_element_at("type", F.lit(1)))["display"].alias("type"),
-        dates.record_date(period["start"]).alias("start"), dates.record_date(period["end"]).alias("end"), F.transform(codings.codings(F.col("reasonCode")), lambda c: c["display"]).alias("reasons"),
+        codings.reference_id(F.col("subject.reference")).alias("patient_id"), F.col("id").alias("encounter_id"), "status", F.coalesce(kinds[code], F.lit("other")).alias("class"),
+        codings.first_coding(F.try_element_at("type", F.lit(1)))["display"].alias("type"), dates.record_date(period["start"]).alias("start"), dates.record_date(period["end"]).alias("end"),
+        F.transform(reasons, lambda c: c["display"]).alias("reasons"), F.try_element_at(named, F.lit(1)).alias("provider"),
     )
 
 
@@ -29,29 +44,119 @@ def conditions(df: DataFrame) -> DataFrame:
     )
 
 
+def shown_number(value: Column) -> Column:
+    """A number as records write it: whole ones without a point."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def measured(quantity: Column) -> Column:
+    """'value unit' of a quantity, the unit's code without a unit; null without a value or at 0."""
+    return F.when(F.coalesce(quantity["value"], F.lit(0.0)) != 0, F.concat(shown_number(quantity["value"]), F.lit(" "), F.coalesce(F.nullif(quantity["unit"], F.lit("")), quantity["code"], F.lit(""))))
+
+
 def observations(df: DataFrame) -> DataFrame:
-    """Observation rows; the shown value is the quantity, else the coded value, else the string, else 'N/A'."""
+    """Observation rows; the shown value is the quantity, else the coded value, else the string, else 'N/A'.
+
+    ``parts`` has the components that have a value, as 'name: value unit', joined by commas (null without components).
+    """
     code, coded, bounds = codings.first_coding(F.col("code")), codings.first_coding(F.col("valueCodeableConcept"))["display"], F.try_element_at("referenceRange", F.lit(1))
     quantity = F.when(F.col("valueQuantity.value").isNotNull(), F.concat_ws(" ", F.col("valueQuantity.value").cast("string"), F.col("valueQuantity.unit")))
+    part = lambda c: F.concat(F.coalesce(codings.first_coding(c["code"])["display"], F.lit("component")), F.lit(": "), measured(c["valueQuantity"]))
+    parts = F.filter(F.transform("component", part), lambda p: p.isNotNull())
     return df.where("resourceType = 'Observation'").where(code.isNotNull()).select(
         codings.reference_id(F.col("subject.reference")).alias("patient_id"), F.col("id").alias("observation_id"), code["display"].alias("display"), F.col("valueQuantity.value").alias("value"), F.col("valueQuantity.unit").alias("unit"),
         F.coalesce(quantity, coded, F.col("valueString"), F.lit("N/A")).alias("shown"), bounds["low"]["value"].alias("low"), bounds["high"]["value"].alias("high"),
         dates.record_date(F.coalesce("effectiveDateTime", "issued")).alias("effective"), codings.reference_id(F.col("encounter.reference")).alias("encounter_id"),
+        F.when(F.size("component") > 0, F.array_join(parts, ", ")).alias("parts"), F.coalesce(measured(F.col("valueQuantity")), F.nullif("valueString", F.lit(""))).alias("plain"), "issued", "effectiveDateTime",
     )
 
 
 def medications(df: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
-    """Medication rows; the name is the inline coding's, else the looked-up one's (id, name), else 'Unknown medication'."""
-    inline = codings.first_coding(F.col("medicationCodeableConcept"))["display"]
-    rows = df.where("resourceType = 'MedicationRequest'").withColumn("__med", codings.reference_id(F.col("medicationReference.reference")))
-    named = rows if lookup is None else rows.join(lookup.select(F.col("id").alias("__id"), F.col("name").alias("__name")), F.col("__med") == F.col("__id"), "left")
-    name = F.coalesce(inline, F.lit("Unknown medication")) if lookup is None else F.coalesce(inline, F.col("__name"), F.lit("Unknown medication"))
+    """Medication rows: name, dosage (its text, else the first dose), status ('active' without one), reasons.
+
+    The name is the inline coding's of either record version, else the looked-up one's (id, name), else 'Unknown medication'; without a
+    lookup, rows without an inline code go.
+    """
+    own = F.coalesce(F.col("medication.concept"), F.when(F.col("medication").isNotNull(), F.struct(F.col("medication.coding").alias("coding"), F.col("medication.text").alias("text"))), F.col("medicationCodeableConcept"))
+    inline = codings.first_coding(own)
+    rows = df.where("resourceType = 'MedicationRequest'").withColumn("__med", codings.reference_id(F.coalesce("medicationReference.reference", "medication.reference.reference")))
+    if lookup is None:
+        named, name = rows.where(inline.isNotNull()), inline["display"]
+    else:
+        named = rows.join(lookup.select(F.col("id").alias("__id"), F.col("name").alias("__name")), F.col("__med") == F.col("__id"), "left")
+        name = F.coalesce(inline["display"], F.col("__name"), F.lit("Unknown medication"))
+    first = F.try_element_at("dosageInstruction", F.lit(1))
+    dose = F.try_element_at(first["doseAndRate"], F.lit(1))["doseQuantity"]
+    dosage = F.coalesce(F.nullif(first["text"], F.lit("")), F.trim(F.concat(dose["value"].cast("string"), F.lit(" "), F.coalesce(dose["unit"], F.lit("")))))
+    reasons = F.when(F.size("reason") > 0, _codes(F.col("reason"))).otherwise(codings.codings(F.col("reasonCode")))
     return named.select(
-        codings.reference_id(F.col("subject.reference")).alias("patient_id"), "id", name.alias("name"), F.try_element_at("dosageInstruction", F.lit(1))["text"].alias("dosage"), "status",
-        dates.record_date(F.col("authoredOn")).alias("authored"), codings.reference_id(F.col("encounter.reference")).alias("encounter_id"),
+        codings.reference_id(F.col("subject.reference")).alias("patient_id"), "id", name.alias("name"), dosage.alias("dosage"), F.coalesce("status", F.lit("active")).alias("status"),
+        dates.record_date(F.col("authoredOn")).alias("authored"), codings.reference_id(F.col("encounter.reference")).alias("encounter_id"), F.transform(reasons, lambda c: c["display"]).alias("reasons"),
     )
 
 
+def lab_line(display: Column, value: Column, issued: Column) -> Column:
+    """'- test: value (date)'; null without a value."""
+    return F.concat(F.lit("- "), F.coalesce(display, F.lit("Unknown test")), F.lit(": "), value, F.lit(" ("), F.substring(F.coalesce(issued, F.lit("")), 1, 10), F.lit(")"))
+
+
+def condition_line(display: Column, code: Column) -> Column:
+    return F.concat(F.lit("- "), F.coalesce(display, F.lit("Unknown condition")), F.coalesce(F.concat(F.lit(" ["), F.nullif(code, F.lit("")), F.lit("]")), F.lit("")))
+
+
+def vital_line(display: Column, parts: Column, value: Column) -> Column:
+    """'- sign: ' and its components or, without any, its value; null if neither has a value."""
+    return F.concat(F.lit("- "), F.coalesce(display, F.lit("Vital sign")), F.lit(": "), F.when(parts.isNotNull(), F.nullif(parts, F.lit(""))).otherwise(value))
+
+
+def medication_line(name: Column, dosage: Column, status: Column) -> Column:
+    within = lambda c, a, b: F.coalesce(F.concat(F.lit(a), F.nullif(c, F.lit("")), F.lit(b)), F.lit(""))
+    return F.concat(F.lit("- "), name, within(dosage, " (", ")"), within(status, " [", "]"))
+
+
+def procedure_line(display: Column, performed: Column) -> Column:
+    return F.concat(F.lit("- "), F.coalesce(display, F.lit("Unknown procedure")), F.coalesce(F.concat(F.lit(" ("), F.nullif(F.substring(performed, 1, 10), F.lit("")), F.lit(")")), F.lit("")))
+
+
+#: Sections of an encounter's document in order, with their labels.
+ENCOUNTER_SECTIONS = [("ASSESSMENT_PLAN", "Diagnoses"), ("LABS", "Laboratory Results"), ("PHYSICAL_EXAM", "Vital Signs"), ("MEDICATIONS", "Medications"), ("PROCEDURES", "Procedures")]
+
+
+def encounter_documents(encounters: DataFrame, lines: DataFrame) -> DataFrame:
+    """(encounter_id, title, text): a document for each encounter (encounter_id, class, type, start, end), with or without lines.
+
+    ``lines`` has encounter_id, section (of ENCOUNTER_SECTIONS), ordinal and line; null lines are left out, equal ordinals go by the line.
+    """
+    body = section_document(lines.where("line is not null"), ["encounter_id"], ENCOUNTER_SECTIONS).withColumnRenamed("text", "__body")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    title = F.concat(F.initcap("class"), F.lit(" Encounter on "), F.coalesce(at("start"), F.lit("Unknown date")))
+    head = F.concat_ws("\n", F.concat(F.lit("Type: "), F.nullif("type", F.lit(""))), F.concat(F.lit("Start: "), at("start")), F.concat(F.lit("End: "), at("end")))
+    told = encounters.join(body, "encounter_id", "left")
+    text = F.concat(title, F.lit("\n\n"), F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(F.lit("")), F.lit("\n"), F.coalesce(F.concat("__body", F.lit("\n")), F.lit("")))
+    return told.select("encounter_id", title.alias("title"), text.alias("text"))
+
+
+def encounter_summaries(encounters: DataFrame, lines: DataFrame) -> DataFrame:
+    """(encounter_id, title, text): the shorter document of a bundle's encounter (encounter_id, class, type, start, provider, reasons).
+
+    ``lines`` has section (Conditions, Observations or Medications), ordinal and line; they keep their order, without counts.
+    """
+    order = F.when(F.col("section") == "Conditions", 0).when(F.col("section") == "Observations", 1).otherwise(2)
+    held = lines.groupBy("encounter_id", "section").agg(F.array_sort(F.collect_list(F.struct("ordinal", "line"))).alias("ls"))
+    block = F.concat("section", F.lit(":\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    body = held.select("encounter_id", F.struct(order.alias("at"), block.alias("b")).alias("s")).groupBy("encounter_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["b"]), "\n\n").alias("__body"))
+    title = F.concat(F.initcap("class"), F.lit(" "), F.coalesce("type", F.lit("Encounter")), F.lit(" on "), F.coalesce(F.date_format("start", "yyyy-MM-dd"), F.lit("Unknown date")), F.coalesce(F.concat(F.lit(" (Provider: "), "provider", F.lit(")")), F.lit("")))
+    why = F.array_join(F.filter("reasons", lambda r: r.isNotNull() & (r != "")), ", ")
+    told = encounters.join(body, "encounter_id", "left")
+    return told.select("encounter_id", title.alias("title"), F.concat_ws("\n\n", title, F.concat(F.lit("Reason for visit: "), F.nullif(why, F.lit(""))), "__body").alias("text"))
+
+
+def lab_summaries(labs: DataFrame, key: str = "patient_id") -> DataFrame:
+    """(key, text): all results of a patient that belong to no encounter; reads issued and line (null: left out of the text, not of the patients)."""
+    held = labs.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct(F.coalesce("issued", F.lit("")).alias("issued"), "line")))).alias("ls"))
+    return held.select(key, F.concat(F.lit("Standalone Laboratory Results ("), F.size("ls").cast("string"), F.lit("):\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("text"))
+
+
 def with_children(parents: DataFrame, key: Sequence[str], children: dict[str, DataFrame], order: Sequence[str]) -> DataFrame:
     """Parents with an ordered list of each kind of child; parents without children keep empty lists.
 

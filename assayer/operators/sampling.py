@@ -59,3 +59,37 @@ def trajectories(pairs: DataFrame) -> DataFrame:
         "*", F.when(bad, "not_supported").otherwise("supported").alias("expected_verdict"), F.when(bad, 0.1).otherwise(0.95).alias("verifier_target_confidence"),
         bad.alias("challenger_should_challenge"), F.when(bad, 0.0).otherwise(1.0).alias("judge_target_score"),
     )
+
+
+def qa_preferences(pairs: DataFrame, count: int, seed: int = 42, id: str = "pair_id") -> DataFrame:
+    """(id, source, evidence, answer, chosen, rejected): two preference pairs of a critic for each question, ``count`` in all, questions by shuffle key.
+
+    A hallucinated answer should be revised to the true one, not approved; a true one approved, not abstained from. Reads
+    knowledge (array), ground_truth, hallucinated, difficulty and category. Verdicts are JSON objects.
+    """
+    passages = F.array_join(F.transform("knowledge", lambda k, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(k, 1, 800))), "\n")
+    none = F.lit(None).cast("string")
+    said = lambda verdict, issues=None, revised=none, reason=None: F.to_json(F.struct(F.lit(verdict).alias("verdict"), (F.array(issues) if issues is not None else F.array().cast("array<string>")).alias("issues"), revised.alias("revised_text"), F.lit(reason).cast("string").alias("abstention_reason")), {"ignoreNullFields": "false"})
+    invented = F.concat(F.lit("Answer contains hallucinated information ("), F.coalesce("category", F.lit("")), F.lit("). Key claims are not supported by the provided evidence."))
+    bad = F.struct(F.lit(0).alias("nth"), F.col("hallucinated").alias("answer"), said("REVISED", invented, F.col("ground_truth")).alias("chosen"), said("APPROVED").alias("rejected"))
+    good = F.struct(F.lit(1).alias("nth"), F.col("ground_truth").alias("answer"), said("APPROVED").alias("chosen"), said("ABSTAINED", F.lit("Insufficient evidence to verify all claims."), reason="Cannot verify claims against provided evidence.").alias("rejected"))
+    rows = pairs.select(id, shuffle_key(seed, id).alias("__key"), F.concat(F.lit("medhallu_"), F.coalesce("difficulty", F.lit("medium"))).alias("source"), passages.alias("evidence"), F.explode(F.array(bad, good)).alias("p"))
+    return rows.orderBy("__key", id, "p.nth").limit(count).select(id, "source", "evidence", "p.answer", "p.chosen", "p.rejected")
+
+
+#: Targets of inference labels: verdict, confidence, judge's score. Numbers stand for labels in some files.
+INFERENCE = {
+    "entailment": ("supported", 0.9, 1.0), "contradiction": ("not_supported", 0.1, 0.0), "neutral": ("partial", 0.5, 0.5),
+    "0": ("entailment", 0.9, 1.0), "1": ("neutral", 0.5, 0.5), "2": ("contradiction", 0.1, 0.0),
+}
+
+
+def inference_trajectories(pairs: DataFrame) -> DataFrame:
+    """A trajectory for each pair (premise, hypothesis, label as text) with both parts: the targets of INFERENCE, partial at 0.5 for others."""
+    known = F.create_map(*(x for k, (v, c, j) in INFERENCE.items() for x in (F.lit(k), F.struct(F.lit(v).alias("v"), F.lit(c).alias("c"), F.lit(j).alias("j")))))
+    told = F.coalesce(known[F.lower(F.trim("label"))], F.struct(F.lit("partial").alias("v"), F.lit(0.5).alias("c"), F.lit(0.5).alias("j")))
+    rows = pairs.where((F.coalesce("premise", F.lit("")) != "") & (F.coalesce("hypothesis", F.lit("")) != "")).withColumn("__t", told)
+    return rows.select(
+        *pairs.columns, F.col("hypothesis").alias("answer"), F.concat(F.lit("[1] "), "premise").alias("evidence"), F.col("__t.v").alias("expected_verdict"), F.col("__t.c").alias("verifier_target_confidence"),
+        (F.col("__t.v") == "not_supported").alias("challenger_should_challenge"), F.col("__t.j").alias("judge_target_score"),
+    )

@@ -37,6 +37,13 @@ def entity_scores(said: DataFrame, truth: DataFrame, query: str = "query_id") ->
     return told.select(query, "total_gt", "found", "total_answer", "hallucinated", *(F.round(c, 4).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def safety_errors(scores: DataFrame, critical: Column, query: str = "query_id") -> DataFrame:
+    """(query, safety_hallucinated, safety_total_entities, safety_error_rate) of the queries that are ``critical`` (on medications),
+    from the rows of ``entity_scores``: hallucinated entities as a share of the answer's, 0 without any."""
+    rate = F.when(F.col("total_answer") > 0, F.round(F.col("hallucinated") / F.col("total_answer"), 4)).otherwise(0.0)
+    return scores.where(critical).select(query, F.col("hallucinated").alias("safety_hallucinated"), F.col("total_answer").alias("safety_total_entities"), rate.alias("safety_error_rate"))
+
+
 def grounding(evidence: DataFrame, truth: DataFrame, query: str = "query_id") -> DataFrame:
     """(query, context_precision, context_recall): evidence texts with a true entity, and true entities that evidence has."""
     hit = text.entity_mentioned(F.col("entity"), F.col("text")) | F.coalesce(text.entity_mentioned(F.col("name"), F.col("text")), F.lit(False))

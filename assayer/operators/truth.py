@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +56,27 @@ def run_stats(results: DataFrame, by: str) -> DataFrame:
     return told.join(verdicts, by)
 
 
+def saved_run_summary(results: DataFrame, unanswerable: Sequence[int]) -> DataFrame:
+    """One row of a saved run: counts, means, abstention accuracy at the positions of unanswerable queries, citation coverage.
+
+    Reads query_index (errors count), error (null: none), latency_ms, judge_score (> 0 counts), faithfulness (>= 0 counts), answer_text,
+    n_citations and verdict. A mean without values is 0.
+    """
+    ok, asked = F.col("error").isNull(), F.col("query_index").isin(list(unanswerable))
+    mean = lambda c, digits, cond=None: F.coalesce(F.round(F.avg(F.when(ok if cond is None else ok & cond, c)), digits), F.lit(0.0))
+    share = lambda a, b: F.coalesce(F.round(F.count_if(a) / F.nullif(F.count_if(b), F.lit(0)), 3), F.lit(0.0))
+    return results.agg(
+        F.count("*").alias("count"), F.count_if(~ok).alias("errors"), mean(F.col("latency_ms"), 0).alias("avg_latency_ms"), mean(F.col("judge_score"), 2, F.col("judge_score") > 0).alias("avg_quality"),
+        mean(F.col("faithfulness"), 4, F.col("faithfulness") >= 0).alias("avg_faithfulness"), mean(F.length("answer_text"), 0).alias("avg_answer_length"),
+        share(asked & F.coalesce(F.col("verdict") == "abstained", F.lit(False)), asked).alias("abstention_accuracy"), share(ok & (F.col("n_citations") > 0), ok).alias("citation_coverage"),
+    )
+
+
+def union_results(*frames: DataFrame) -> DataFrame:
+    """Results of several runs under each other; columns that one lacks are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def verdict_matrix(pairs: DataFrame, expected: Column, predicted: Column) -> DataFrame:
     """(expected, APPROVED, REVISED, ABSTAINED, UNKNOWN, accuracy): predicted verdicts by expected ones; others count as UNKNOWN."""
     known = ["APPROVED", "REVISED", "ABSTAINED"]

@@ -424,7 +424,7 @@ def parsed_output(t: Tables) -> DataFrame:
     shown = F.concat(F.lit("confidence: "), (F.floor(F.col("value") * 10) / 1000).cast("string"), F.lit(" or so"))
     word = F.when(id % 3 == 0, " Approve ").when(id % 3 == 1, "REVISED").otherwise("who knows")
     digit = F.when(id % 9 == 0, "none").otherwise((id % 9).cast("string"))
-    return t.events.select("event_id", parsing.enum_value(said).alias("kind"), parsing.number(shown).alias("confidence"), parsing.json_field(F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```")), "k").alias("k"), parsing.verdict(word).alias("verdict"), parsing.judge_score(digit).alias("judged"))
+    return t.events.select("event_id", parsing.enum_value(said).alias("kind"), parsing.clipped(parsing.number(shown)).alias("confidence"), parsing.json_field(F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```")), "k").alias("k"), parsing.verdict(word).alias("verdict"), parsing.judge_score(digit).alias("judged"))
 
 
 @query("""

@@ -12,22 +12,30 @@ from ..functions.codings import CONCEPT
 
 PERIOD = "struct<start: string, end: string>"
 REFERENCE = "struct<reference: string>"
+QUANTITY = "struct<value: double, unit: string, code: string>"
+#: A coded concept, or one behind a reference to it.
+CODED = f"struct<concept: {CONCEPT}, reference: {REFERENCE}, coding: array<struct<system: string, code: string, display: string>>, text: string>"
 #: DDL of a resource: the fields that any of the operators reads, of both record versions.
 RESOURCE = (
     f"resourceType string, id string, status string, identifier array<struct<system: string, value: string>>, name array<struct<use: string, family: string, given: array<string>>>, gender string, birthDate string, "
     f"deceasedBoolean boolean, deceasedDateTime string, subject {REFERENCE}, encounter {REFERENCE}, code {CONCEPT}, type array<{CONCEPT}>, clinicalStatus {CONCEPT}, period {PERIOD}, actualPeriod {PERIOD}, "
     f"onsetDateTime string, effectiveDateTime string, issued string, authoredOn string, performedDateTime string, performedPeriod {PERIOD}, valueString string, valueCodeableConcept {CONCEPT}, "
-    f"valueQuantity struct<value: double, unit: string, code: string>, referenceRange array<struct<low: struct<value: double>, high: struct<value: double>>>, reasonCode array<{CONCEPT}>, "
-    f"medicationReference {REFERENCE}, medicationCodeableConcept {CONCEPT}, dosageInstruction array<struct<text: string>>, title string, date string, "
+    f"valueQuantity {QUANTITY}, component array<struct<code: {CONCEPT}, valueQuantity: {QUANTITY}>>, class string, medication {CODED}, reason array<{CODED}>, participant array<struct<individual: struct<display: string>>>, referenceRange array<struct<low: struct<value: double>, high: struct<value: double>>>, reasonCode array<{CONCEPT}>, "
+    f"medicationReference {REFERENCE}, medicationCodeableConcept {CONCEPT}, dosageInstruction array<struct<text: string, doseAndRate: array<struct<doseQuantity: {QUANTITY}>>>>, title string, date string, "
     f"content array<struct<attachment: struct<contentType: string, data: string>>>, context struct<encounter: array<{REFERENCE}>>"
 )
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, resource): the entries of bundle files, in order. Files without a patient give no rows."""
-    read = spark.read.option("multiLine", True).schema(f"entry array<struct<resource: struct<{_nested(RESOURCE)}>>>").json(path)
-    held = read.where(F.exists("entry", lambda e: e["resource"]["resourceType"] == "Patient"))
-    return held.select(F.input_file_name().alias("file"), F.posexplode("entry").alias("pos", "entry")).select("file", "pos", F.col("entry.resource").alias("resource"))
+def read_bundles(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """(file, patient_id, pos, resource): the entries of bundle files, in order. The first patient of a file is its patient.
+
+    Files without a patient give no rows; with ``strict`` they are an error.
+    """
+    read = spark.read.option("multiLine", True).schema(f"entry array<struct<resource: struct<{_nested(RESOURCE)}>>>").json(path).withColumn("file", F.input_file_name())
+    own = read.withColumn("patients", F.filter("entry", lambda e: e["resource"]["resourceType"] == "Patient")).withColumn("found", F.coalesce(F.size("patients"), F.lit(0)) > 0)
+    if strict and (bad := own.where(~F.col("found")).select("file").limit(5).collect()):
+        raise ValueError(f"no patient in {', '.join(r.file for r in bad)}")
+    return own.where("found").select("file", F.col("patients")[0]["resource"]["id"].alias("patient_id"), F.posexplode("entry").alias("pos", "entry")).select("file", "patient_id", "pos", F.col("entry.resource").alias("resource"))
 
 
 def _nested(ddl: str) -> str:
@@ -75,6 +83,11 @@ def write_debate(tables: dict[str, DataFrame], path: str) -> None:
 
 
 def patients(df: DataFrame) -> DataFrame:
-    """(patient_id, family, gender, birth_date): the family name, or the id without one."""
-    family = F.try_element_at("name", F.lit(1))["family"]
-    return df.where("resourceType = 'Patient'").select(F.col("id").alias("patient_id"), F.coalesce(family, F.col("id")).alias("family"), "gender", F.col("birthDate").try_cast("date").alias("birth_date"))
+    """(patient_id, family, gender, birth_date, full_name, deceased): the family name, or the id without one; deceased if a flag or a date says so."""
+    name = F.try_element_at("name", F.lit(1))
+    gender = F.when(F.col("gender").isin("male", "female", "other", "unknown"), F.col("gender")).otherwise("unknown")
+    full = F.nullif(F.trim(F.concat_ws(" ", F.concat_ws(" ", name["given"]), name["family"])), F.lit(""))
+    return df.where("resourceType = 'Patient'").select(
+        F.col("id").alias("patient_id"), F.coalesce(name["family"], F.col("id")).alias("family"), gender.alias("gender"), F.col("birthDate").try_cast("date").alias("birth_date"),
+        full.alias("full_name"), (F.coalesce("deceasedBoolean", F.lit(False)) | F.col("deceasedDateTime").isNotNull()).alias("deceased"),
+    )
