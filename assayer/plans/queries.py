@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codings, dates, parsing, text, units
 from ..operators import answers, audit, chunking, citations, debate, filters, metrics, records, retrieval, sampling, scoring, truth
+from ..sources import records as sources
 from ..streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,9 +46,55 @@ def r6(c):
 # -- records ----------------------------------------------------------------------------------------------------------
 
 
-@query("select c_custkey as patient_id, coalesce(nullif(c_name, ''), cast(c_custkey as varchar)) as family, c_mktsegment as gender from customer")
+@query("""
+select c_custkey::varchar as patient_id, c_name as family, case when c_custkey % 3 = 0 then 'female' when c_custkey % 3 = 1 then 'male' else 'unknown' end as gender, make_date(1950 + (c_custkey % 60)::int, 3, 1) as birth_date,
+  'Jo ' || c_mktsegment || ' ' || c_name as full_name, c_custkey % 5 = 0 or c_custkey % 7 = 0 as deceased from customer""")
 def patient_list(t: Tables) -> DataFrame:
-    return t.customer.select(F.col("c_custkey").alias("patient_id"), F.coalesce(F.nullif("c_name", F.lit("")), F.col("c_custkey").cast("string")).alias("family"), F.col("c_mktsegment").alias("gender"))
+    """Patients from nested records."""
+    id = F.col("c_custkey")
+    name = F.array(F.struct(F.col("c_name").alias("family"), F.array(F.lit("Jo"), "c_mktsegment").alias("given")))
+    rows = t.customer.select(
+        F.lit("Patient").alias("resourceType"), id.cast("string").alias("id"), name.alias("name"), F.when(id % 3 == 0, "female").when(id % 3 == 1, "male").otherwise("odd").alias("gender"),
+        F.concat((1950 + id % 60).cast("string"), F.lit("-03-01")).alias("birthDate"), (id % 5 == 0).alias("deceasedBoolean"), F.when(id % 7 == 0, "2020-01-01").alias("deceasedDateTime"),
+    )
+    return sources.patients(rows)
+
+
+@query("""
+with e as (select o_orderkey as k, o_orderdate as d, case o_orderstatus when 'F' then 'Emergency' when 'O' then 'Inpatient' else 'Other' end as class, o_orderpriority as type from orders),
+l as (select l_orderkey as k, 0 as place, lpad(l_linenumber::varchar, 3, '0') as o, '- item ' || l_partkey || ' [' || l_suppkey || ']' as line, 'Diagnoses' as label from lineitem where l_linenumber % 2 = 0
+  union all select l_orderkey, 1, strftime(l_shipdate, '%Y-%m-%d'), '- item ' || l_partkey || ': ' || l_quantity::bigint || ' mg (' || strftime(l_shipdate, '%Y-%m-%d') || ')', 'Laboratory Results' from lineitem
+  union all select l_orderkey, 3, lpad(l_linenumber::varchar, 3, '0'), '- item ' || l_partkey || ' [' || l_linestatus || ']', 'Medications' from lineitem where l_linenumber % 3 = 0),
+s as (select k, place, label || ' (' || count(*) || '):' || chr(10) || string_agg(line, chr(10) order by o, line) as part from l group by k, place, label), b as (select k, string_agg(part, chr(10) || chr(10) order by place) as body from s group by k)
+select e.k as encounter_id, md5(class || ' Encounter on ' || strftime(d, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || 'Type: ' || type || chr(10) || 'Start: ' || strftime(d, '%Y-%m-%d %H:%M') || chr(10) || chr(10) || coalesce(body || chr(10), '')) as text_md5 from e left join b on e.k = b.k""")
+def encounter_notes(t: Tables) -> DataFrame:
+    """Whole documents of encounters: diagnoses, results and medications."""
+    status = F.col("o_orderstatus")
+    resources = t.orders.select(
+        F.lit("Encounter").alias("resourceType"), F.col("o_orderkey").cast("string").alias("id"), F.struct(F.lit("urn:uuid:p").alias("reference")).alias("subject"), F.lit("finished").alias("status"),
+        F.concat(F.lit('{"code": "'), F.when(status == "F", "EMER").when(status == "O", "IMP").otherwise("?"), F.lit('"}')).alias("class"),
+        F.array(F.struct(F.array(F.struct(F.lit("s").alias("system"), F.lit("1").alias("code"), F.col("o_orderpriority").alias("display"))).alias("coding"), F.lit(None).cast("string").alias("text"))).alias("type"),
+        F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), F.lit(None).cast("string").alias("end")).alias("period"),
+        *(F.lit(None).cast(kind).alias(c) for c, kind in (("actualPeriod", sources.PERIOD), ("reason", f"array<{sources.CODED}>"), ("reasonCode", f"array<{codings.CONCEPT}>"), ("participant", "array<struct<individual: struct<display: string>>>"))),
+    )
+    item, day = F.concat(F.lit("item "), F.col("l_partkey").cast("string")), F.date_format("l_shipdate", "yyyy-MM-dd")
+    line = lambda rows, section, order, c: rows.select(F.col("l_orderkey").cast("string").alias("encounter_id"), F.lit(section).alias("section"), order.alias("ordinal"), c.alias("line"))
+    nth, own = F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), t.lineitem
+    lines = line(own.where("l_linenumber % 2 = 0"), "ASSESSMENT_PLAN", nth, records.condition_line(item, F.col("l_suppkey").cast("string")))
+    value = records.measured(F.struct(F.col("l_quantity").cast("double").alias("value"), F.lit("mg").alias("unit"), F.lit("").alias("code")))
+    lines = lines.unionByName(line(own, "LABS", day, records.lab_line(item, value, day))).unionByName(line(own.where("l_linenumber % 3 = 0"), "MEDICATIONS", nth, records.medication_line(item, F.lit(None).cast("string"), F.col("l_linestatus"))))
+    got = records.encounter_documents(records.encounters(resources), lines)
+    return got.select(F.col("encounter_id").cast("long").alias("encounter_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("""
+select l_suppkey as patient_id, md5('Standalone Laboratory Results (' || count(*) || '):' || chr(10) || string_agg(line, chr(10) order by d, line)) as text_md5
+from (select l_suppkey, strftime(l_shipdate, '%Y-%m-%d') as d, '- item ' || l_partkey || ': ' || l_quantity::bigint || ' mg (' || strftime(l_shipdate, '%Y-%m-%d') || ')' as line from lineitem) group by 1""")
+def standalone_labs(t: Tables) -> DataFrame:
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    value = records.measured(F.struct(F.col("l_quantity").cast("double").alias("value"), F.lit("mg").alias("unit"), F.lit("").alias("code")))
+    labs = t.lineitem.select(F.col("l_suppkey").alias("patient_id"), day.alias("issued"), records.lab_line(F.concat(F.lit("item "), F.col("l_partkey").cast("string")), value, day).alias("line"))
+    return records.lab_summaries(labs).select("patient_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("""
@@ -141,7 +188,7 @@ def ages_and_sources(t: Tables) -> DataFrame:
 
 @query("select event_type as type, count(*) as n, min(ts) as first, max(ts) as last from events where ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-12' group by 1")
 def timeline_range(t: Tables) -> DataFrame:
-    held = t.events.where(F.col("ts").between(F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12").cast("timestamp")))
+    held = filters.timeline(t.events, "ts", F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12").cast("timestamp"))
     return held.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
@@ -640,10 +687,10 @@ def preference_pairs(t: Tables) -> DataFrame:
 
 
 @query("""
-select doc_id, bad as is_hallucinated, case when bad then 'not_supported' else 'supported' end as expected_verdict, case when bad then 0.0 else 1.0 end::double as judge_target_score from documents, (values (false), (true)) v(bad)""")
+select doc_id, bad as is_hallucinated, case when bad then 'not_supported' else 'supported' end as expected_verdict, case when bad then 0.0 else 1.0 end::double as judge_target_score, md5(case when bad then 'not ' || lang else text end) as answer_md5 from documents, (values (false), (true)) v(bad)""")
 def trajectories(t: Tables) -> DataFrame:
-    rows = sampling.trajectories(t.documents.select("doc_id", F.lit("x").alias("ground_truth"), F.lit("y").alias("hallucinated")))
-    return rows.select("doc_id", "is_hallucinated", "expected_verdict", "judge_target_score")
+    rows = sampling.trajectories(t.documents.select("doc_id", F.col("text").alias("ground_truth"), F.concat(F.lit("not "), "lang").alias("hallucinated")))
+    return rows.select("doc_id", "is_hallucinated", "expected_verdict", "judge_target_score", F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 
 @query(f"with {_DENSE} select query_id, round(max(greatest(score, 0)), 6) as faithfulness from ranked where vec_id <> query_id group by 1")
@@ -786,3 +833,148 @@ def verdict_matrix(t: Tables) -> DataFrame:
 @query("select p_partkey, round((contains(lower(p_name), 'a')::integer + contains(lower(p_name), 'e')::integer + contains(lower(p_name), 'zz')::integer) / 3, 6) as relevance from part")
 def answer_relevance(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", r6(truth.relevance(F.col("p_name"), F.array(F.lit("A"), F.lit("e"), F.lit("zz")))).alias("relevance"))
+
+
+# -- model output --------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+select conv_id, turn, case when turn % 4 = 0 then 'sufficient' when turn % 4 = 1 then 'insufficient' when turn % 4 = 2 then 'ambiguous' else 'sufficient' end as verdict, case when turn % 4 = 3 then 0.5 else (turn % 5) / 10 end::double as coverage,
+  case when turn % 4 = 3 then 0 else turn % 3 end as n_missing, case when turn % 4 = 1 then 'ask ' || conv_id end as reformulated from conversations""")
+def retrieval_verdicts(t: Tables) -> DataFrame:
+    turn = F.col("turn")
+    word = F.element_at(F.array(*map(F.lit, ("sufficient", "INSUFFICIENT", "ambiguous"))), (turn % 4 + 1).cast("int"))
+    said = F.to_json(F.struct(word.alias("verdict"), (turn % 5 / 10).alias("coverage_score"), F.array_repeat(F.lit("dose"), (turn % 3).cast("int")).alias("missing_aspects"), F.when(turn % 4 == 1, F.concat(F.lit("ask "), F.col("conv_id").cast("string"))).alias("reformulated_query")))
+    rows = t.conversations.select("conv_id", "turn", F.when(turn % 4 == 3, "cannot say {").otherwise(F.concat(F.lit("So:\n"), said, F.lit(" and {more}"))).alias("response"))
+    return answers.sufficiency(rows).select("conv_id", "turn", F.col("retrieval_verdict").alias("verdict"), "coverage", F.size("missing").cast("long").alias("n_missing"), "reformulated")
+
+
+@query("""
+select conv_id, turn, turn % 3 = 0 as valid, case when turn % 3 = 2 then 1 else turn % 2 end as n_issues from conversations""")
+def numeric_checks(t: Tables) -> DataFrame:
+    turn = F.col("turn")
+    said = F.to_json(F.struct((turn % 3 == 0).alias("valid"), F.array_repeat(F.lit("unit"), (turn % 2).cast("int")).alias("issues"), F.array().cast("array<string>").alias("corrections")))
+    rows = t.conversations.select("conv_id", "turn", F.when(turn % 3 == 2, "no JSON").otherwise(said).alias("response"))
+    return answers.numeric_check(rows).select("conv_id", "turn", F.col("numeric_valid").alias("valid"), F.size("numeric_issues").cast("long").alias("n_issues"))
+
+
+@query("""
+select conv_id, turn, case when turn % 3 = 0 then 'approved' when turn % 3 = 1 then 'approved' else 'abstained' end as verdict, case when turn % 3 = 0 then coalesce(text, '') when turn % 3 = 1 then 'better' else 'Insufficient evidence.' end as final, case when turn % 3 = 0 then 1 when turn % 3 = 1 then 2 else 3 end::bigint as attempts from conversations""")
+def critic_attempts(t: Tables) -> DataFrame:
+    """Three attempts of a critic: approved at once, after a revision, or abstained from after two."""
+    turn, key = F.col("turn"), F.concat_ws(":", "conv_id", "turn")
+    say = lambda v, text=None: F.lit('{"verdict": "%s"%s}' % (v, "" if text is None else f', "revised_text": "{text}"'))
+    rows = t.conversations.select("conv_id", "turn", key.alias("query_id"), F.coalesce("text", F.lit("")).alias("answer"), F.when(turn % 3 == 0, say("APPROVED")).otherwise(say("revise", "better")).alias("r1"), F.when(turn % 3 == 1, say("approve")).otherwise(say("REVISED", "best")).alias("r2"), F.lit("none").alias("r3"))
+    return answers.critic_turns(rows, ["r1", "r2", "r3"]).select("conv_id", "turn", "verdict", "final", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query("""
+with c as (select *, case when role = 'user' then 'summary' when role = 'assistant' then 'factual' else 'comparison' end as kind from conversations)
+select conv_id, turn, i as sub_index, case when kind = 'factual' or n < 2 then coalesce(text, '') else 'part ' || i end as sub_question from (select *, turn % 6 as n from c) , lateral (select unnest(range(0, case when kind = 'factual' or n < 2 then 1 else least(n, 4) end)) as i)""")
+def sub_questions(t: Tables) -> DataFrame:
+    n = (F.col("turn") % 6).cast("int")
+    kind = F.when(F.col("role") == "user", "summary").when(F.col("role") == "assistant", "factual").otherwise("comparison")
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.concat(F.lit("part "), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = t.conversations.select(F.struct("conv_id", "turn").alias("query_id"), F.coalesce("text", F.lit("")).alias("question"), kind.alias("query_type"), F.concat(F.lit("Here: "), F.to_json(parts)).alias("response"))
+    return answers.sub_queries(rows).select("query_id.conv_id", "query_id.turn", F.col("sub_index").cast("long").alias("sub_index"), "sub_question")
+
+
+@query("""
+with r as (select doc_id, case when lang = 'en' then 'shown' else trim(text, ' ') end as answer, doc_id % 4 as k from documents)
+select doc_id, md5(answer) as answer_md5, k = 0 as abstains, k <> 2 as benchmark, case when k = 1 then 2 else 0 end as n_listed from r where length(trim(answer)) > 0""")
+def answer_forms(t: Tables) -> DataFrame:
+    """Tagged answers, abstentions by both lists and list items."""
+    k = F.col("doc_id") % 4
+    said = F.when(F.col("lang") == "en", F.concat(F.lit("x <answer> shown </answer> "), "text")).otherwise(F.col("text"))
+    phrase = F.when(k == 0, "There is NO DATA on it.").when(k == 1, "- one\n2. two\nno evidence").when(k == 2, "Unable to say; insufficient sleep.").otherwise("It is not possible to tell.")
+    rows = filters.not_blank(t.documents.withColumn("answer", parsing.answer_part(said)), "answer")
+    return rows.select("doc_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), (parsing.abstains(phrase) & (k == 0)).alias("abstains"), parsing.abstains(phrase, parsing.BENCHMARK_ABSTENTIONS).alias("benchmark"), F.size(parsing.listed(phrase)).cast("long").alias("n_listed"))
+
+
+@query("""
+with c as (select o_orderkey, l_linenumber, l_quantity > 10 as supported, 1 - l_discount as confidence, l_linenumber <= 2 as material from orders join lineitem on l_orderkey = o_orderkey)
+select o_orderkey, bool_and(supported and confidence >= 0.95) as done from c where material group by 1""")
+def early_exits(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.col("l_orderkey").alias("query_id"), F.when(F.col("l_quantity") > 10, "SUPPORTED").otherwise("PARTIAL").alias("verdict"), (1 - F.col("l_discount")).alias("confidence"), F.when(F.col("l_linenumber") <= 2, "material").otherwise("contextual").alias("claim_type"))
+    return debate.early_exit(rows).select(F.col("query_id").alias("o_orderkey"), "done")
+
+
+@query("""
+select count(*) as claims, count(*) filter (l_quantity > 30) as supported, count(*) filter (l_quantity <= 30) as flagged, round(avg((l_quantity <= 30)::int), 6) as flagged_share, round(avg(1 - l_discount), 6) as confidence from lineitem""")
+def debate_totals(t: Tables) -> DataFrame:
+    rows = t.lineitem.select(F.when(F.col("l_quantity") > 30, "SUPPORTED").when(F.col("l_quantity") > 15, "PARTIAL").otherwise("NOT_SUPPORTED").alias("verdict"), (1 - F.col("l_discount")).alias("confidence"))
+    return debate.debate_summary(rows).select("claims", "supported", "flagged", r6("flagged_share").alias("flagged_share"), r6("confidence").alias("confidence"))
+
+
+@query("""
+select o_orderpriority as type, count(*) as n, round(avg(case when total > 0 then round(bad / total, 4) else 0 end), 6) as rate from (
+  select o_orderkey, any_value(o_orderpriority) as o_orderpriority, count(*) as total, count(*) filter (l_returnflag = 'R') as bad from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'F' group by 1) group by 1""")
+def safety_rates(t: Tables) -> DataFrame:
+    counts = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id")).agg(F.count("*").alias("total_answer"), F.count_if(F.col("l_returnflag") == "R").alias("hallucinated"))
+    rows = counts.join(t.orders, F.col("query_id") == F.col("o_orderkey")).select("query_id", "total_answer", "hallucinated", "o_orderstatus", "o_orderpriority")
+    got = scoring.safety_errors(rows, F.col("o_orderstatus") == "F").join(t.orders, F.col("query_id") == F.col("o_orderkey"))
+    return got.groupBy(F.col("o_orderpriority").alias("type")).agg(F.count("*").alias("n"), r6(F.avg("safety_error_rate")).alias("rate"))
+
+
+@query("""
+with r as (select o_orderkey % 8 as q, case when o_orderkey % 10 = 0 then 'failed' end as error, o_totalprice as ms, o_orderkey % 6 as score, o_orderstatus = 'F' as abstained, o_orderkey % 4 as n from orders)
+select count(*) as n, count(error) as errors, round(avg(ms) filter (error is null)) as avg_latency_ms, round(avg(score) filter (error is null and score > 0), 2) as avg_quality, 0.0::double as avg_faithfulness,
+  round(count(*) filter (q in (3, 7) and abstained) / count(*) filter (q in (3, 7)), 3) as abstention_accuracy, round(count(*) filter (error is null and n > 0) / count(*) filter (error is null), 3) as citation_coverage from r""")
+def saved_run(t: Tables) -> DataFrame:
+    """A saved run in two files, one without faithfulness."""
+    id = F.col("o_orderkey")
+    rows = t.orders.select(
+        (id % 8).alias("query_index"), F.when(id % 10 == 0, "failed").alias("error"), F.col("o_totalprice").alias("latency_ms"), (id % 6).alias("judge_score"), F.lit("text").alias("answer_text"),
+        (id % 4).alias("n_citations"), F.when(F.col("o_orderstatus") == "F", "abstained").otherwise("approved").alias("verdict"), (id % 2).alias("half"),
+    )
+    both = truth.union_results(rows.where("half = 0"), rows.where("half = 1").withColumn("faithfulness", F.lit(-1.0)))
+    return truth.saved_run_summary(both, [3, 7]).select(F.col("count").alias("n"), "errors", "avg_latency_ms", "avg_quality", "avg_faithfulness", "abstention_accuracy", "citation_coverage")
+
+
+@query("""
+with e as (select event_id, event_type = 'click' as flagged, event_type = 'view' as unreadable, value > 50 as raised, event_id % 2 = 0 as bad, event_id % 10 / 10 as c from events)
+select event_id, flagged or unreadable as eval_flag, case when unreadable then -0.3 when flagged = bad then 1.0 when bad then -1.0 else -0.5 end::double as pipeline, round(case when raised = bad then 1.0 when bad then -1.0 else -0.5 end + 0.1, 6)::double as challenge,
+  round(case when unreadable then -0.5 else 2 * c * bad::int - c * c end, 6)::double + 0.0 as brier, case when bad then if(raised, 1.0, -0.5) else if(raised, -1.0, 0.5) end::double as training from e""")
+def reward_variants(t: Tables) -> DataFrame:
+    sure, bad = (F.col("event_id") % 10 / 10).cast("string"), F.col("event_id") % 2 == 0
+    said = F.when(F.col("event_type") == "view", "cannot say").otherwise(F.concat(F.lit('{"verdict": "'), F.when(F.col("event_type") == "click", "PARTIAL").otherwise("supported"), F.lit('", "confidence": '), sure, F.lit("}")))
+    raised = F.when(F.col("value") > 50, '[{"challenge_type": "dose"}]').otherwise("[]")
+    brier, training = parsing.training_rewards(said, raised, bad.cast("double"), bad)
+    return t.events.select("event_id", parsing.verifier_flags(said, True).alias("eval_flag"), parsing.pipeline_output_reward(said, bad, "verifier").alias("pipeline"), r6(parsing.challenge_output_reward(raised, bad)).alias("challenge"), (r6(brier) + 0.0).alias("brier"), training.alias("training"))
+
+
+@query("""
+with p as (select doc_id, text, lang from documents), k as (select *, md5(doc_id || '|' || 42) as key from p), r as (select *, row_number() over (order by key, doc_id) as n from k)
+select doc_id, case when i = 0 then 'no ' || lang else text end as answer, case when i = 0 then 'REVISED' else 'APPROVED' end as chosen, case when i = 0 then 'APPROVED' else 'ABSTAINED' end as rejected from r, (values (0), (1)) v(i) where 2 * (n - 1) + i < 301""")
+def critic_preferences(t: Tables) -> DataFrame:
+    pairs = t.documents.select(F.col("doc_id").alias("pair_id"), F.array(F.lit("known")).alias("knowledge"), F.col("text").alias("ground_truth"), F.concat(F.lit("no "), "lang").alias("hallucinated"), F.lit("easy").alias("difficulty"), F.lit("dose").alias("category"))
+    got = sampling.qa_preferences(pairs, 301)
+    return got.select(F.col("pair_id").alias("doc_id"), "answer", parsing.json_field(F.col("chosen"), "verdict").alias("chosen"), parsing.json_field(F.col("rejected"), "verdict").alias("rejected"))
+
+
+@query("""
+select doc_id, case when quality = 1 and toxic = 0 then 'supported' when toxic = 1 then 'not_supported' else 'partial' end as expected_verdict, toxic = 1 as challenge, case when quality = 1 and toxic = 0 then 1.0 when toxic = 1 then 0.0 else 0.5 end::double as target from labels""")
+def inference_targets(t: Tables) -> DataFrame:
+    word = F.when(F.col("toxic") == 1, "Contradiction ").when(F.col("quality") == 1, "entailment").otherwise("neutral")
+    rows = t.labels.select("doc_id", F.lit("p").alias("premise"), F.lit("h").alias("hypothesis"), word.alias("label"))
+    return sampling.inference_trajectories(rows).select("doc_id", "expected_verdict", F.col("challenger_should_challenge").alias("challenge"), F.col("judge_target_score").alias("target"))
+
+
+@query("""
+with r as (select vec_id, label as query_id, row_number() over (partition by label order by vec_id) as rank, vec_id % 7 as score from embeddings)
+select query_id, vec_id, rank from (select query_id, vec_id, row_number() over (partition by query_id order by case when score > 0 then score end desc nulls last, rank, vec_id) as rank from r where rank <= 50) where rank <= 15""")
+def reranked(t: Tables) -> DataFrame:
+    """The first 50 of each label put in order by a scorer, of which 15 stay."""
+    from pyspark.sql import Window
+
+    rows = t.embeddings.select(F.col("label").alias("query_id"), "vec_id", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).alias("rank"), F.lit("?").alias("question"), (F.col("vec_id") % 7).cast("string").alias("text"))
+    got = retrieval.rerank(rows, lambda question, text: F.nullif(text.cast("double"), F.lit(0.0)), chunk="vec_id")
+    return got.select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""
+with d as (select doc_id, 'Intro' || chr(10) || 'HPI:' || chr(10) || lang || chr(10) || 'Labs:' || chr(10) || source || chr(10) || 'Past medical history' || chr(10) || 'x' || doc_id as note, lang, source from documents)
+select doc_id, section, body from (select doc_id, unnest(['other', 'history_present_illness', 'labs_results', 'past_medical_history']) as section, unnest(['Intro', lang, source, 'x' || doc_id]) as body from d)""")
+def abbreviated_sections(t: Tables) -> DataFrame:
+    note = F.concat_ws("\n", F.lit("Intro\nHPI:"), "lang", F.lit("Labs:"), "source", F.lit("Past medical history"), F.concat(F.lit("x"), F.col("doc_id").cast("string")))
+    return chunking.sections(t.documents.select("doc_id", note.alias("text")), "doc_id").select("doc_id", "section", "body")
