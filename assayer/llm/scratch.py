@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -16,9 +17,12 @@ BATCH_ROWS = 1000
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; only without that setting (tests), a local folder."""
+    """A new path below ``spark.checkpoint.dir``. Without that setting a session on one machine (tests) gets a local folder;
+    on a cluster it is an error, since executors could not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="assayer-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/assayer/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
