@@ -60,6 +60,11 @@ def provenance(df: DataFrame, key: str, seq: str, match: Column) -> DataFrame:
     return df.withColumn("__earlier", earlier).where(F.coalesce("__earlier", F.lit(0)) == 0).drop("__earlier")
 
 
+def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
+    """Dollars of a call, from its tokens and the prices of a million tokens."""
+    return (tokens_in * price_in + tokens_out * price_out) / 1e6
+
+
 def cost(df: DataFrame, key: str, seq: str, cost: Column, budget: float) -> DataFrame:
     """Append ``spent`` (so far, this call included) and ``over`` (more than the budget)."""
     spent = F.sum(cost).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))

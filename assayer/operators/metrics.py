@@ -23,6 +23,11 @@ def confusion(df: DataFrame, flagged: Column, truth: Column, by: Sequence[str] =
     return told.withColumn("accuracy", (F.col("tp") + F.col("tn")) / F.greatest(F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"), one))
 
 
+def positive_share(df: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, accuracy): the share of pairs whose score is above 0."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.coalesce(F.col(score), F.lit(0)) > 0).cast("double")).alias("accuracy"))
+
+
 def ranked_quality(df: DataFrame, query: str, k: int) -> DataFrame:
     """(query, recall, precision, mrr, ndcg) at k of rows with ``rank`` and ``relevant`` (0 or 1); 0 without relevant rows."""
     hit, gain = F.col("relevant") * (F.col("rank") <= k).cast("int"), F.col("relevant") / F.log2(F.col("rank") + 1)

@@ -442,6 +442,15 @@ def provenance(t: Tables) -> DataFrame:
     return audit.provenance(t.events.select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "purchase")
 
 
+@query("""
+select user_id, count(*) as calls, round(max(spent), 8) as usd, count(*) filter (spent > 0.002) as over from (select user_id, sum((event_id % 100 * 3 + event_id % 7 * 15) / 1e6) over (partition by user_id order by event_id rows between unbounded preceding and current row) as spent from events) group by 1""")
+def token_costs(t: Tables) -> DataFrame:
+    """Tokens at 3 and 15 dollars a million, with a budget for each session."""
+    id = F.col("event_id")
+    got = audit.cost(t.events.select("event_id", "user_id"), "user_id", "event_id", audit.usd(id % 100, id % 7, F.lit(3.0), F.lit(15.0)), 0.002)
+    return got.groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.max("spent"), 8).alias("usd"), F.count_if("over").alias("over"))
+
+
 @query("""
 select event_id, round(spent, 6) as spent, spent > 500 as over from (select event_id, sum(value) over (partition by user_id order by event_id rows between unbounded preceding and current row) as spent from events)""")
 def running_cost(t: Tables) -> DataFrame:
@@ -647,15 +656,32 @@ def verified_claims(t: Tables) -> DataFrame:
     return debate.verified(claims, said).select(F.col("claim_id").alias("event_id"), "verdict", r6("confidence").alias("confidence"))
 
 
-@query("""
-select lang as model, count(*) as n, count(*) filter (toxic is null) as answerable, round(avg(n_chars / 1e5) filter (toxic is null), 4) as precision, coalesce(round(avg(n_chars / 1e6) filter (toxic is null and n_chars / 1e6 > 0.001), 4), 0) as rouge_l,
-  coalesce(round(count(*) filter (toxic = 1) / nullif(count(*) filter (toxic is not null), 0), 3), 0) as abstention_accuracy from documents left join labels using (doc_id) group by 1""")
+_AXES = """
+with d as (select lang, toxic, doc_id, doc_id * 7 % 11 / 10 as a, doc_id * 3 % 11 / 10 as b, doc_id * 5 % 11 / 10 as c from documents left join labels using (doc_id)),
+r as (select lang, count(*) as n, count(*) filter (toxic is null) as answerable, round(avg(a) filter (toxic is null), 4) as x, round(avg(b) filter (toxic is null), 4) as y, round(avg(c) filter (toxic is null), 4) as z,
+  coalesce(round(avg(a) filter (toxic is null and a > 0), 4), 0) as rouge, coalesce(round(avg(b - 0.1) filter (toxic is null and b - 0.1 >= 0), 4), 0) as sim,
+  coalesce(round(count(*) filter (toxic = 1) / nullif(count(*) filter (toxic is not null), 0), 3), 0) as abs, coalesce(round(avg(doc_id) filter (doc_id > 0)), 0) as ms from d group by 1)"""
+
+
+@query(_AXES + """
+select lang as model, n, answerable, x as precision, y as recall, z as f1, x as hallucination_rate, y as context_precision, z as context_recall, x as citation_accuracy, y as safety_error_rate, rouge as rouge_l, sim as semantic_sim, abs as abstention_accuracy, ms as latency_ms from r""")
+def model_means(t: Tables) -> DataFrame:
+    """All means of each language's documents, as if they were a model's answers."""
+    return scoring.roll_up(_as_results(t), "lang").withColumnRenamed("lang", "model")
+
+
+@query(_AXES + """
+select lang as model, round((x + 1 - x) / 2, 4) as factuality, round((y + z + sim + rouge) / 4, 4) as relevance, round((y + z + x) / 3, 4) as grounding, round((abs + 1 - y) / 2, 4) as safety from r""")
 def model_axes(t: Tables) -> DataFrame:
-    rows = t.documents.join(t.labels, "doc_id", "left").withColumn("abstained", F.col("toxic") == 1).withColumn("precision", F.col("n_chars") / 1e5).withColumn("rouge_l", F.when(F.col("n_chars") / 1e6 > 0.001, F.col("n_chars") / 1e6))
-    none = ["recall", "f1", "hallucination_rate", "semantic_sim", "context_precision", "context_recall", "citation_accuracy", "safety_error_rate", "latency_ms"]
-    for c in none:
-        rows = rows.withColumn(c, F.lit(None).cast("double"))
-    return scoring.roll_up(rows, "lang").select(F.col("lang").alias("model"), "n", "answerable", "precision", "rouge_l", "abstention_accuracy")
+    return scoring.axes(scoring.roll_up(_as_results(t), "lang"), "lang").withColumnRenamed("lang", "model")
+
+
+def _as_results(t: Tables) -> DataFrame:
+    """Documents as results of models: label toxic as abstention, shares made from the id."""
+    share = lambda k: F.col("doc_id") * k % 11 / 10
+    parts = {c: share(k) for c, k in zip(("precision", "recall", "f1", "hallucination_rate", "context_precision", "context_recall", "citation_accuracy", "safety_error_rate"), (7, 3, 5, 7, 3, 5, 7, 3), strict=True)}
+    parts |= {"rouge_l": share(7), "semantic_sim": share(3) - F.lit(0.1), "latency_ms": F.col("doc_id").cast("double")}
+    return t.documents.join(t.labels, "doc_id", "left").select("lang", (F.col("toxic") == 1).alias("abstained"), *(c.alias(n) for n, c in parts.items()))
 
 
 @query("""
@@ -678,6 +704,22 @@ def pair_detection(t: Tables) -> DataFrame:
     return metrics.confusion(rows, flagged, F.col("is_hallucinated")).select("tp", "fp", "tn", "fn")
 
 
+@query("select event_type as type, round(avg((value > 60)::int), 6) as accuracy from events group by 1")
+def pair_accuracy(t: Tables) -> DataFrame:
+    got = metrics.positive_share(t.events.select("event_type", (F.col("value") - 60).alias("score")), "score", ["event_type"])
+    return got.select(F.col("event_type").alias("type"), r6("accuracy").alias("accuracy"))
+
+
+@query("""
+with p as (select lang, list(struct_pack(i := doc_id, e := doc_id % 3 = 0) order by doc_id) as rs from documents group by 1)
+select lang as patient_id, i as query_index, r.i as doc_id from (select lang, unnest(rs) as r, generate_subscripts(rs, 1) - 1 as i from p) where not r.e""")
+def saved_answers(t: Tables) -> DataFrame:
+    """Answers of saved runs: positions count those with an error, which are left out."""
+    one = F.struct("doc_id", F.when(F.col("doc_id") % 3 == 0, "failed").alias("error"))
+    runs = t.documents.groupBy("lang").agg(F.array_sort(F.collect_list(one)).alias("rag_results")).select(F.array(F.struct(F.col("lang").alias("patient_id"), "rag_results")).alias("patient_results"))
+    return sources.flatten_runs(runs).select("patient_id", F.col("query_index").cast("long").alias("query_index"), "result.doc_id")
+
+
 @query("""
 select doc_id, 'APPROVED' as chosen, 'ABSTAINED' as rejected from labels where toxic = 0 and quality = 1 union all select doc_id, 'REVISED', 'APPROVED' from labels where toxic = 1""")
 def preference_pairs(t: Tables) -> DataFrame:
