@@ -12,11 +12,11 @@ MOST_ROUNDS = 50
 
 def _least(edges: DataFrame) -> DataFrame:
     """The smallest neighbour of each ``u``, itself included; counted before the shuffle, so a hub is one row a task."""
-    return scratch.cut(edges.groupBy(F.col("u").alias("w")).agg(F.least(F.col("w"), F.min("v")).alias("m")), "least")
+    return edges.groupBy(F.col("u").alias("w")).agg(F.least(F.col("w"), F.min("v")).alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = scratch.cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both)
     return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
