@@ -151,13 +151,13 @@ def mix(docs: DataFrame, size: Column, weights: Sequence[float] = (1.0,), budget
 def repeat(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mixed documents themselves: each row as often as ``mix`` says, with its own columns.
 
-    Rows of one id, source and size share what ``mix`` gives to all of them as evenly as whole copies allow.
+    What the mix says has a row for each document, so it is joined by a shuffle at any size. Rows of one id, source and size share what ``mix`` gives to all of them as evenly as whole copies allow.
     """
     source, id = options.get("source", "source"), options.get("id", "doc_id")
     told = mix(docs, size, **options).groupBy(F.col(id).alias("__id"), F.col(source).alias("__source"), F.col("size").alias("__size")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
     told = scratch.cut(told.where("__copies > 0"), "copies")
     own = docs.withColumn("__own", size.cast("long"))
-    joined = own.join(told, own[id].eqNullSafe(told["__id"]) & own[source].cast("string").eqNullSafe(told["__source"]) & (own["__own"] == told["__size"]))
+    joined = own.join(told.hint("merge"), own[id].eqNullSafe(told["__id"]) & own[source].cast("string").eqNullSafe(told["__source"]) & (own["__own"] == told["__size"]))
     if told.where("__rows > 1").limit(1).count():
         joined = scratch.cut(joined.withColumn("__row", F.monotonically_increasing_id()).withColumn("__one", F.lit(1).cast("long")), "repeated")
         placed = prefix.running(joined.where("__rows > 1"), ["__id", "__source", "__size"], ["__row"], "__one", "__at")
