@@ -21,12 +21,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the star is made from, written; and the star."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     down = scratch.cut(down, "down")
     least = _least(down)
     told = down.join(least, F.col("u") == F.col("w"))
-    return told.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
+    return down, told.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).where("u > v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -38,7 +39,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and u > v").distinct()
     edges, before = scratch.cut(edges, "edges"), None
     for _ in range(MOST_ROUNDS):
-        edges = scratch.cut(_small_star(_large_star(edges)), "edges")
+        down, small = _small_star(_large_star(edges))
+        old, edges = edges, scratch.cut(small, "edges")
+        scratch.drop(old, down)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

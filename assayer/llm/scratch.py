@@ -54,4 +54,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = folder(spark, name)
     with setting(spark, _KEPT_FILES, "true"):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.__dict__["_assayer_folder"] = path
+    return made
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and that nothing reads any more."""
+    for t in tables:
+        if t is not None and (path := t.__dict__.pop("_assayer_folder", None)):
+            place = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(place, True)

@@ -134,6 +134,7 @@ def near_prints(docs: DataFrame, width: int = 3, radius: int = 2, text: str = "t
     rooted = scratch.cut(distinct.join(found, F.col("print") == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root")), "rooted")
     names = scratch.cut(rooted.groupBy(F.col("root").alias("name_of")).agg(F.min("first").alias("component")), "names")
     named = scratch.cut(rooted.join(names, F.col("root") == F.col("name_of")).select(F.col("print").alias("own"), "component"), "named")
+    scratch.drop(distinct, found, rooted, names)
     return own.join(named, F.col("print") == F.col("own")).select(F.col("id").alias(id), "print", "component")
 
 
@@ -240,7 +241,7 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tex
     texts_of = live.select("node", F.col("key").alias("own")).join(keyed.select("key", "text"), F.col("own") == F.col("key")).select("node", "text").dropDuplicates(["node"])
     hashes = lambda: lambda rows: [pa.array([np.unique(np.array(shingle_hashes(t, width), np.uint64)).view(np.int64) for t in rows], pa.list_(pa.int64()))]
     sets = scratch.cut(texts.with_columns(texts_of, hashes, "set array<long>", drop_text=True), "sets")
-    tried, found = None, None
+    tried, found, done = None, None, []
     for errors, whole in (*((x, False) for x in TURNS), (LIKELY, True)):
         points = live if found is None else scratch.cut(live.join(found.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("node", "sketch", F.coalesce("root", "node").alias("root")), "points")
         pairs = sketch_links(points, tables, _astray(similarity, bits, errors), tables // 2, whole)
@@ -249,10 +250,13 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tex
         pairs = scratch.cut(pairs, "pairs")
         alike = scratch.cut(_alike(pairs, sets, similarity), "links")
         tried = pairs if tried is None else tried.union(pairs)
+        done += [pairs, alike] + [points] * (points is not live)
         if found is None or alike.limit(1).count():
             known = alike if found is None else alike.union(found.select("node", "root"))
-            found = scratch.cut(components.components(known), "components")
+            old, found = found, scratch.cut(components.components(known), "components")
+            done.append(old)
     rooted = scratch.cut(classes.join(found, classes["node"] == found["node"], "left").select("name", "first", F.coalesce("root", classes["node"]).alias("root")), "rooted")
     names = scratch.cut(rooted.groupBy(F.col("root").alias("name_of")).agg(F.min("first").alias("component")), "names")
     named = scratch.cut(rooted.join(names, F.col("root") == F.col("name_of")).select(F.col("name").alias("own"), "component"), "named")
+    scratch.drop(classes, first, live, sets, found, rooted, names, *done)
     return own.join(named, F.col("name") == F.col("own")).select(F.col("id").alias(id), "component")
