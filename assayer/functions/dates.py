@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Formats of record fields, in the order in which they are tried: a pattern that a text must match, and its format.
+#: Formats of record fields, in the order in which they are tried: a pattern that a text must match, and its format.
 RECORD_FORMATS = [
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "yyyy-MM-dd'T'HH:mm:ss"), (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
     (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/y H:mm:ss"), (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-y"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-y"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM y"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, y"), (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, y"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/y"), (r"^\d{8}$", "yyyyMMdd"), (r"^\d{14}$", "yyyyMMddHHmmss"),
 ]
-#: Formats of dates in running text.
+#: Formats of dates in running text.
 NOTE_FORMATS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"), (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-y"), (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy"),
     (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", "MMMM d y"), (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d y"), (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM y"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM y"), (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-y"),
     (r"^[A-Za-z]{4,} \d{4}$", "MMMM y"), (r"^[A-Za-z]{3} \d{4}$", "MMM y"),
 ]
-#: Days of the units of relative times; months and years have fixed lengths.
+#: Days of the units of relative times; months and years have fixed lengths.
 UNIT_DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
 
 

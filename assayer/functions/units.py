@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 #: Unit, dimension, factor to the dimension's base unit, offset after scaling, and how people write it.
 UNITS = [
-    ("mg/dL", "mass density", 0.01, 0.0, "milligrams per deciliter|mg per dl|mg/dl|milligrams/deciliter"), ("g/dL", "mass density", 10.0, 0.0, "grams per deciliter|g/dl"),
-    ("ug/dL", "mass density", 1e-5, 0.0, "micrograms per deciliter|ug/dl|mcg/dl"), ("ng/mL", "mass density", 1e-6, 0.0, "nanograms per milliliter|ng/ml"),
-    ("mmol/L", "amount density", 1.0, 0.0, "millimoles per liter|mmol per l|mmol/l"), ("mEq/L", "equivalents", 1.0, 0.0, "milliequivalents per liter|meq/l|meq per l"),
-    ("IU/L", "activity", 1.0, 0.0, "international units per liter|iu/l"), ("U/L", "activity", 1.0, 0.0, "units per liter|u/l"),
-    ("kg", "mass", 1000.0, 0.0, "kilograms|kilogram"), ("g", "mass", 1.0, 0.0, "grams|gram"), ("mg", "mass", 0.001, 0.0, "milligrams|milligram"), ("ug", "mass", 1e-6, 0.0, "micrograms|microgram|mcg"),
-    ("lb", "mass", 453.59237, 0.0, "pounds|pound|lbs"), ("oz", "mass", 28.349523125, 0.0, "ounces|ounce"),
-    ("m", "length", 1.0, 0.0, "meters|meter"), ("cm", "length", 0.01, 0.0, "centimeters|centimeter"), ("inch", "length", 0.0254, 0.0, "inches|in"), ("ft", "length", 0.3048, 0.0, "feet|foot"),
-    ("L", "volume", 1.0, 0.0, "liters|liter|litres|litre"), ("dL", "volume", 0.1, 0.0, "deciliters|deciliter|dl"), ("mL", "volume", 0.001, 0.0, "milliliters|milliliter|ml"),
-    ("degC", "temperature", 1.0, 273.15, "degrees celsius|celsius|degc"), ("degF", "temperature", 5 / 9, 459.67 * 5 / 9, "degrees fahrenheit|fahrenheit|degf"),
-    ("mmHg", "pressure", 133.322387415, 0.0, "millimeters of mercury|mmhg|mm hg"), ("s", "time", 1.0, 0.0, "seconds|second|sec"), ("min", "time", 60.0, 0.0, "minutes|minute"), ("hr", "time", 3600.0, 0.0, "hours|hour|hr|hrs"),
-    ("%", "share", 0.01, 0.0, "percent|pct"), ("count/min", "rate", 1.0, 0.0, "beats per minute|bpm|breaths per minute"),
+    ("mg/dL", "mass density", 0.01, 0.0, ["milligrams per deciliter", "mg per dl", "mg/dl", "milligrams/deciliter"]), ("g/dL", "mass density", 10.0, 0.0, ["grams per deciliter", "g/dl"]),
+    ("ug/dL", "mass density", 1e-5, 0.0, ["micrograms per deciliter", "ug/dl", "mcg/dl"]), ("ng/mL", "mass density", 1e-6, 0.0, ["nanograms per milliliter", "ng/ml"]),
+    ("mmol/L", "amount density", 1.0, 0.0, ["millimoles per liter", "mmol per l", "mmol/l"]), ("mEq/L", "equivalents", 1.0, 0.0, ["milliequivalents per liter", "meq/l", "meq per l"]),
+    ("IU/L", "activity", 1.0, 0.0, ["international units per liter", "iu/l"]), ("U/L", "activity", 1.0, 0.0, ["units per liter", "u/l"]),
+    ("kg", "mass", 1000.0, 0.0, ["kilograms", "kilogram"]), ("g", "mass", 1.0, 0.0, ["grams", "gram"]), ("mg", "mass", 0.001, 0.0, ["milligrams", "milligram"]), ("ug", "mass", 1e-6, 0.0, ["micrograms", "microgram", "mcg"]),
+    ("lb", "mass", 453.59237, 0.0, ["pounds", "pound", "lbs"]), ("oz", "mass", 28.349523125, 0.0, ["ounces", "ounce"]),
+    ("m", "length", 1.0, 0.0, ["meters", "meter"]), ("cm", "length", 0.01, 0.0, ["centimeters", "centimeter"]), ("inch", "length", 0.0254, 0.0, ["inches", "in"]), ("ft", "length", 0.3048, 0.0, ["feet", "foot"]),
+    ("L", "volume", 1.0, 0.0, ["liters", "liter", "litres", "litre"]), ("dL", "volume", 0.1, 0.0, ["deciliters", "deciliter", "dl"]), ("mL", "volume", 0.001, 0.0, ["milliliters", "milliliter", "ml"]),
+    ("degC", "temperature", 1.0, 273.15, ["degrees celsius", "celsius", "degc"]), ("degF", "temperature", 5 / 9, 459.67 * 5 / 9, ["degrees fahrenheit", "fahrenheit", "degf"]),
+    ("mmHg", "pressure", 133.322387415, 0.0, ["millimeters of mercury", "mmhg", "mm hg"]), ("s", "time", 1.0, 0.0, ["seconds", "second", "sec"]), ("min", "time", 60.0, 0.0, ["minutes", "minute"]), ("hr", "time", 3600.0, 0.0, ["hours", "hour", "hr", "hrs"]),
+    ("%", "share", 0.01, 0.0, ["percent", "pct"]), ("count/min", "rate", 1.0, 0.0, ["beats per minute", "bpm", "breaths per minute"]),
 ]
 #: Unit spellings in running text and their canonical form, in order.
 SPELLINGS = [
@@ -36,7 +36,7 @@ def spell(text: Column) -> Column:
 
 def unit_table(spark: SparkSession) -> DataFrame:
     """(alias, unit, dimension, factor, shift): a row for each lower-case spelling of each unit."""
-    rows = [(alias, u, d, f, o) for u, d, f, o, aliases in UNITS for alias in sorted({*aliases.split("|"), u.lower()})]
+    rows = [(alias, u, d, f, o) for u, d, f, o, aliases in UNITS for alias in sorted({*aliases, u.lower()})]
     return spark.createDataFrame(rows, "alias string, unit string, dimension string, factor double, shift double")
 
 

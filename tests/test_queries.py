@@ -50,3 +50,46 @@ def test_corpus_queries_are_left_out_with_their_folder(tmp_path):
     shutil.copytree(here / "assayer", tmp_path / "assayer", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=120).returncode == 0
+
+
+def test_cited_replies_equal_a_plain_search(spark):
+    import re
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()}
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for i, t in docs.items()}
+    n, mean = len(docs), sum(map(len, split.values())) / len(docs)
+    df: dict[str, int] = {}
+    for ws in split.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+
+    def score(q, i):
+        counts: dict[str, int] = {}
+        for w in split[i]:
+            counts[w] = counts.get(w, 0) + 1
+        return sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * counts[w] * 2.5 / (counts[w] + 1.5 * (0.25 + 0.75 * len(split[i]) / mean)) for w in set(split[q]) & set(counts))
+
+    plain_words = lambda t: set(re.sub(r"\s+", " ", re.sub(r"[^A-Za-z0-9_\s]", " ", t.lower())).split())
+    want = {}
+    for q in (i for i in docs if i % 50 == 0):
+        hits = sorted(((round(score(q, i), 9), i) for i in docs if set(split[q]) & set(split[i])), key=lambda x: (-x[0], x[1]))[:6]
+        hits = [(rank, i) for rank, (_, i) in enumerate(hits) if i != q]
+        for at, sentence in enumerate(s for s in (x.strip(" ") for x in re.split(r"(?<=[.?!])\s+", docs[q])) if s):
+            bare = sentence.rstrip(".").lower()
+            own = plain_words(sentence)
+            if len(bare) < 25 or not own:
+                continue
+            found = [(100.0 * len(own & plain_words(docs[i][a : a + 500])) / len(own), -rank, -a, i) for rank, i in hits for a in ([0] if len(docs[i]) <= 500 else range(0, len(docs[i]) - 500 + 1, 125))]
+            if found and max(found)[0] >= 55:
+                best = max(found)
+                want[q, at] = (str(best[3]), -best[2], round(best[0], 6))
+    got = {(r.query_id, r.sentence_at): (r.chunk_id, r.start, round(r.score, 6)) for r in queries.QUERIES["cited_replies"](spark, FOLDER).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_verified_answers_drop_what_nobody_said(spark):
+    rows = queries.QUERIES["verified_answers"](spark, FOLDER).collect()
+    replies = spark.read.parquet(f"{FOLDER}/conversations.parquet").where("role = 'assistant'").count()
+    assert len(rows) == replies > 0
+    for r in rows:
+        assert "quixotic zephyr" in r.removed and "quixotic" not in r.cleaned and not set(r.grounded) & set(r.removed)
