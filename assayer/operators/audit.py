@@ -6,10 +6,12 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scans import scan
+
 
 def canonical_json(**fields: Column) -> Column:
     """JSON without blanks, keys in order; null fields are left out."""
@@ -46,18 +48,17 @@ def verify_chain(df: DataFrame, key: str, seq: str, data: str, first_empty: bool
     """(key, entries, valid, first_bad): whether each entry's hash is right and names its predecessor's.
 
     ``first_empty`` also asks that a chain begins with an empty previous hash. An entry without a hash, or without the previous one, is bad.
+    A session of any size is spread over many tasks: each entry is checked by itself, its predecessor's hash comes from a scan.
     """
-    order = Window.partitionBy(key).orderBy(seq)
-    first, before = F.row_number().over(order) == 1, F.lag("entry_hash").over(order)
-    linked = F.when(first, F.col("previous_hash") == "" if first_empty else F.lit(True)).otherwise(F.col("previous_hash") == before)
+    told = scan(df, [key], [seq], before={"__before": F.col("entry_hash")}, number="__number")
+    linked = F.when(F.col("__number") == 1, F.col("previous_hash") == "" if first_empty else F.lit(True)).otherwise(F.col("previous_hash") == F.col("__before"))
     good = F.coalesce((F.col("entry_hash") == F.sha2(F.concat("previous_hash", F.coalesce(F.col(data), F.lit(""))), 256)) & linked, F.lit(False))
-    return df.withColumn("__good", good).groupBy(key).agg(F.count("*").alias("entries"), F.bool_and("__good").alias("valid"), F.min(F.when(~F.col("__good"), F.col(seq))).alias("first_bad"))
+    return told.withColumn("__good", good).groupBy(key).agg(F.count("*").alias("entries"), F.bool_and("__good").alias("valid"), F.min(F.when(~F.col("__good"), F.col(seq))).alias("first_bad"))
 
 
 def provenance(df: DataFrame, key: str, seq: str, match: Column) -> DataFrame:
     """A session's entries up to and including the first match; all of them if nothing matches."""
-    earlier = F.max(match.cast("int")).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("__earlier", earlier).where(F.coalesce("__earlier", F.lit(0)) == 0).drop("__earlier")
+    return scan(df, [key], [seq], seen={"__earlier": match}).where(~F.col("__earlier")).drop("__earlier")
 
 
 def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
@@ -67,5 +68,4 @@ def usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Colu
 
 def cost(df: DataFrame, key: str, seq: str, cost: Column, budget: float) -> DataFrame:
     """Append ``spent`` (so far, this call included) and ``over`` (more than the budget)."""
-    spent = F.sum(cost).over(Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("spent", spent).withColumn("over", F.col("spent") > budget)
+    return scan(df, [key], [seq], sums={"spent": cost}).withColumn("over", F.col("spent") > budget)

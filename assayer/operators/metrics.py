@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import scan
+from .stored import stored
 
-#: Answers of an evaluation that is resampled, at most.
-MOST_ANSWERS = 100_000
+#: Answers of a block that resamples draw from, and runs of resamples that a block is sent to.
+DRAWN_FROM, RUNS = 1 << 16, 32
 
 
 def confusion(df: DataFrame, flagged: Column, truth: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -39,21 +44,54 @@ def ranked_quality(df: DataFrame, query: str, k: int) -> DataFrame:
     return got.select(query, some(F.col("hits") / F.greatest("all", F.lit(1))).alias("recall"), (F.col("hits") / F.lit(k)).alias("precision"), some(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), some(F.col("dcg") / ideal).alias("ndcg"))
 
 
-def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(mean, ci_low, ci_high) of resampled means.
+def resample_sums(values: np.ndarray, block: int, sizes: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For resamples ``first`` to ``last``: the sum of those draws that fall on the values of one block.
 
-    Draw j of resample b is row md5(b:j) mod n, so runs agree. The resamples are spread over the cluster: values go along
-    as one array, so an evaluation of more than MOST_ANSWERS answers is an error.
+    How many of a resample's draws fall on each block is one multinomial draw, which every block's task makes alike; draw j
+    of block p is value md5(b:p:j) mod its size (md5(b:j) in block 0).
     """
-    if df.count() > MOST_ANSWERS:
-        raise ValueError(f"a bootstrap takes {MOST_ANSWERS} answers at most")
-    held = df.agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("vs"), F.avg(value).alias("mean"))
-    drawn = df.sparkSession.range(draws).join(F.broadcast(held))
-    pick = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(":"), j.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.size("vs"))
-    mean = F.aggregate(F.sequence(F.lit(1), F.size("vs")), F.lit(0.0), lambda s, j: s + F.get(F.col("vs"), pick(j).cast("int"))) / F.size("vs")
-    means = drawn.where(F.size("vs") > 0).select("mean", mean.alias("m")).groupBy("mean").agg(F.array_sort(F.collect_list("m")).alias("ms"))
+    sums, n, shares = [], int(sizes.sum()), sizes / sizes.sum()
+    for b in range(first, last):
+        seed = int.from_bytes(hashlib.md5(f"{b}:split".encode()).digest()[:8], "big")
+        drawn = int(np.random.default_rng(seed).multinomial(n, shares)[block])
+        head = f"{b}:{block}:" if block else f"{b}:"
+        begun = hashlib.md5(head.encode())
+        at = np.empty(drawn, np.int64)
+        for j in range(drawn):
+            h = begun.copy()
+            h.update(b"%d" % (j + 1))
+            at[j] = int.from_bytes(h.digest()[:4], "big")
+        sums.append(values[at % len(values)].sum())
+    return np.array(sums)
+
+
+def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.025, high: float = 0.975, block: int = DRAWN_FROM) -> DataFrame:
+    """(mean, ci_low, ci_high) of resampled means, of any number of answers.
+
+    Answers are numbered in order by a scan and packed into blocks of a fixed size, so no array holds them all. A resample is a
+    multinomial count for each block, and that many draws within it: the same as drawing from all of them. Blocks meet runs of resamples
+    in tasks of their own, and a (block, resample) hands on one sum. Seeds come from md5, so runs agree, wherever the partitions lie.
+    Null values and an empty table: nulls aren't answers; without any there is no row.
+    """
+    answers = scan(df.where(F.col(value).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), F.lit(0).alias("k")), ["k"], ["o", "v"], number="n")
+    packed = answers.groupBy(F.floor((F.col("n") - 1) / block).alias("p")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "v"))), lambda x: x["v"]).alias("vs"))
+    packed = stored(packed, "blocks")
+    sizes = np.array([r.n for r in packed.select("p", F.size("vs").alias("n")).orderBy("p").collect()], np.int64)
+    runs = max(1, min(draws, RUNS))
+    bounds = [draws * i // runs for i in range(runs + 1)]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, run, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                sums = resample_sums(vs.values.to_numpy(), p, sizes, bounds[run], bounds[run + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(bounds[run], bounds[run + 1])), pa.array(sums)], names=["b", "s"])
+
+    met = packed.select("p", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "vs").repartition("p", "run")
+    means = met.mapInArrow(draw, "b long, s double").groupBy("b").agg((F.sum("s") / int(sizes.sum())).alias("m"))
+    held = means.agg(F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ms") > 0)  # a number for each resample
     at = lambda q: F.element_at("ms", F.lit(int(q * draws) + 1))
-    return means.select("mean", at(low).alias("ci_low"), at(high).alias("ci_high"))
+    mean = answers.agg(F.avg("v").alias("mean"))
+    return held.crossJoin(mean).select("mean", at(low).alias("ci_low"), at(high).alias("ci_high"))
 
 
 def faithfulness(answer: Column, evidence: Column, stop: Sequence[str]) -> Column:
