@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import alignment
 
 WINDOW, STEP, THRESHOLD, EXCERPT = 500, 125, 55.0, 120
 
@@ -19,26 +20,30 @@ def windows(chunks: DataFrame, body: str = "text") -> DataFrame:
     return chunks.withColumn("start", F.explode(starts)).withColumn("window", F.substr(F.col(body), F.col("start") + 1, F.lit(WINDOW)))
 
 
-def _best_ratio(a: str, b: str) -> float:
-    """100 * matching characters of the shorter string with its best aligned stretch of the longer, twice, by both lengths."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return 0.0
-    blocks = SequenceMatcher(None, short, long, autojunk=False).get_matching_blocks()
-    starts = {max(0, min(len(long) - len(short), m.b - m.a)) for m in blocks}
-    return max(100 * SequenceMatcher(None, short, long[s : s + len(short)], autojunk=False).ratio() for s in starts)
-
-
 def partial_ratio(a: Column, b: Column) -> Column:
-    """Similarity (0 to 100) of the shorter string with the stretch of the longer that fits it best."""
+    """Similarity (0 to 100) of the shorter string with the stretch of the longer that fits it best (``alignment.partial_ratios``); null: 0."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_best_ratio(p, q) if p is not None and q is not None else 0.0 for p, q in zip(x, y, strict=True)])
+        return pd.Series(alignment.partial_ratios(x.tolist(), y.tolist()), dtype="float64")
 
     return ratio(a, b)
 
 
+def best_windows(sentences: Column, body: Column, least: float) -> Column:
+    """For an array of sentences, (start, score) of the window of a text that fits each best; see ``alignment.best_windows``."""
+
+    @F.pandas_udf("array<struct<start int, score double>>")
+    def best(ss: pd.Series, ts: pd.Series) -> pd.Series:
+        out = []
+        for own, t in zip(ss, ts, strict=True):
+            own = [] if own is None else list(own)
+            out.append([{"start": a, "score": b} for a, b in alignment.best_windows(own, [t or ""] * len(own), WINDOW, STEP, least)])
+        return pd.Series(out)
+
+    return best(sentences, body)
+
+
 def word_overlap(a: Column, b: Column) -> Column:
     """A lexical score without Python: shared words of the sentence, 0 to 100."""
     wa, wb = text.words(text.normalize(a)), text.words(text.normalize(b))
@@ -52,16 +57,25 @@ def dual_score(lexical: Column, cosine: Column | None = None) -> Column:
     return F.when(cosine.isNull(), lexical).otherwise(0.5 * lexical + 50.0 * F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
 
-def cite(answers: DataFrame, chunks: DataFrame, query: str = "query_id", lexical=word_overlap) -> DataFrame:
+def cite(answers: DataFrame, chunks: DataFrame, query: str = "query_id", lexical: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(query, sentence_at, sentence, chunk_id, start, span, score, confidence, citation_id): the best window for each sentence.
 
-    Reads answer; of chunks chunk_id, rank, text. Transitional sentences cite nothing; scores under THRESHOLD are dropped;
-    of equal scores the earlier chunk and window wins. Ids count the accepted sentences of an answer.
+    Reads answer; of chunks chunk_id, rank, text. Windows are scored by ``partial_ratio``: an answer's sentences meet each of
+    its chunks in one row, and each is aligned once with the whole chunk, whose windows read their scores from that. With ``lexical``,
+    a function of (sentence, window) columns, every window is a row instead. Transitional sentences cite nothing; scores under THRESHOLD
+    are dropped; of equal scores the earlier chunk and window wins. Ids count the accepted sentences of an answer.
     """
-    split = answers.select(query, F.posexplode(text.sentences(F.col("answer"))).alias("sentence_at", "sentence")).where(~text.is_transition(F.col("sentence")))
-    scored = split.join(windows(chunks.select(query, "chunk_id", "rank", "text")), query).withColumn("score", lexical(F.col("sentence"), F.col("window")))
-    best = scored.groupBy(query, "sentence_at", "sentence").agg(F.max_by(F.struct("chunk_id", "start", "window", "score"), F.struct("score", -F.col("rank"), -F.col("start"))).alias("b"))
-    kept = best.where(F.col("b.score") >= THRESHOLD).select(query, "sentence_at", "sentence", "b.chunk_id", "b.start", F.col("b.window").alias("span"), "b.score", F.round(F.col("b.score") / 100, 4).alias("confidence"))
+    if lexical:
+        split = answers.select(query, F.posexplode(text.sentences(F.col("answer"))).alias("sentence_at", "sentence")).where(~text.is_transition(F.col("sentence")))
+        scored = split.join(windows(chunks.select(query, "chunk_id", "rank", "text")), query).withColumn("score", lexical(F.col("sentence"), F.col("window")))
+    else:
+        held = F.filter(F.transform(text.sentences(F.col("answer")), lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: ~text.is_transition(x["s"]))
+        met = answers.select(query, held.alias("own")).where(F.size("own") > 0).join(chunks.select(query, "chunk_id", "rank", "text"), query)
+        found = met.withColumn("found", best_windows(F.col("own.s"), F.col("text"), THRESHOLD))
+        flat = found.select(query, "chunk_id", "rank", "text", F.inline(F.arrays_zip("own", "found")))
+        scored = flat.select(query, "chunk_id", "rank", F.col("own.at").alias("sentence_at"), F.col("own.s").alias("sentence"), "found.start", F.substr("text", F.col("found.start") + 1, F.lit(WINDOW)).alias("window"), "found.score")
+    best = scored.where(F.col("score") >= THRESHOLD).groupBy(query, "sentence_at", "sentence").agg(F.max_by(F.struct("chunk_id", "start", "window", "score"), F.struct("score", -F.col("rank"), -F.col("start"))).alias("b"))
+    kept = best.select(query, "sentence_at", "sentence", "b.chunk_id", "b.start", F.col("b.window").alias("span"), "b.score", F.round(F.col("b.score") / 100, 4).alias("confidence"))
     return kept.withColumn("citation_id", F.row_number().over(Window.partitionBy(query).orderBy("sentence_at")))
 
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import answers
+from . import alignment, answers
 
 ROUGE_TOKENS = 2000
 
@@ -60,16 +59,6 @@ def citation_accuracy(citations: DataFrame, query: str = "query_id") -> DataFram
     return citations.groupBy(query).agg(F.round(F.avg(ok.cast("double")), 4).alias("citation_accuracy"))
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    codes: dict[str, int] = {}
-    x, y = (np.array([codes.setdefault(w, len(codes)) for w in ws]) for ws in (a, b))
-    row = np.zeros(len(y) + 1, np.int64)
-    for w in x:
-        step = np.maximum(row[1:], row[:-1] + (y == w))
-        row[1:] = np.maximum.accumulate(step)
-    return int(row[-1])
-
-
 def rouge_l(answer: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of normalised words, of the first ROUGE_TOKENS each; 0 if either has none."""
 
@@ -78,7 +67,7 @@ def rouge_l(answer: Column, reference: Column) -> Column:
         out = []
         for p, q in zip(x.fillna(""), y.fillna(""), strict=True):
             a, b = p.split()[:ROUGE_TOKENS], q.split()[:ROUGE_TOKENS]
-            n = _lcs(a, b) if a and b else 0
+            n = alignment.lcs_length(a, b)
             out.append(round(2 * n / (len(a) + len(b)), 4) if n else 0.0)
         return pd.Series(out)
 
