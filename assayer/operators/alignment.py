@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Hashable, Sequence
 
 import numpy as np
@@ -33,17 +34,19 @@ def comb(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """
     (n_pairs, m), n = a.shape, b.shape[1]
     kind = np.int16 if m + n < 1 << 15 else np.int32
-    left = np.broadcast_to(np.arange(m, dtype=kind), (n_pairs, m)).copy()  # reversed: row i of a is column m - 1 - i
-    above = np.broadcast_to(np.arange(m, m + n, dtype=kind), (n_pairs, n)).copy()
-    turned = np.ascontiguousarray(a[:, ::-1])
+    # pairs lie side by side, so that a diagonal is one run of memory; row i of a is line m - 1 - i
+    left = np.repeat(np.arange(m, dtype=kind)[:, None], n_pairs, axis=1)
+    above = np.repeat(np.arange(m, m + n, dtype=kind)[:, None], n_pairs, axis=1)
+    turned, across = np.ascontiguousarray(a[:, ::-1].T), np.ascontiguousarray(b.T)
     for d in range(m + n - 1):
         i0, i1 = max(0, d - n + 1), min(m, d + 1)  # rows of this diagonal; row i meets place d - i
-        h, v = left[:, m - i1 : m - i0], above[:, d - i1 + 1 : d - i0 + 1]
-        part = (turned[:, m - i1 : m - i0] == b[:, d - i1 + 1 : d - i0 + 1]) | (h > v)
+        h, v = left[m - i1 : m - i0], above[d - i1 + 1 : d - i0 + 1]
+        part = turned[m - i1 : m - i0] == across[d - i1 + 1 : d - i0 + 1]
+        part |= h > v
         low = np.where(part, v, h)
         v[...] = np.where(part, h, v)
         h[...] = low
-    return above
+    return np.ascontiguousarray(above.T)
 
 
 def _codes(rows: Sequence[str], width: int, pad: int) -> np.ndarray:
@@ -114,8 +117,8 @@ def partial_ratios(a: Sequence[str | None], b: Sequence[str | None]) -> list[flo
 
 def most_shared(a: str, b: str) -> int:
     """No common subsequence is longer: items that both have, with their counts."""
-    one, two = (np.bincount(_codes([t], len(t), 0)[0] & 0xFFF, minlength=1 << 12) for t in (a, b))
-    return int(np.minimum(one, two).sum())
+    one, two = Counter(a), Counter(b)
+    return sum(min(n, two[c]) for c, n in one.items())
 
 
 def best_windows(sentences: Sequence[str], texts: Sequence[str], width: int, step: int, least: float = 0.0) -> list[tuple[int, float]]:
@@ -129,7 +132,7 @@ def best_windows(sentences: Sequence[str], texts: Sequence[str], width: int, ste
     for i, (s, t) in enumerate(zip(sentences, texts, strict=True)):
         if s and t:
             m = min(len(s), width, len(t))
-            if least and 200.0 * min(m, most_shared(s, t)) < least * m:
+            if least and 200.0 * most_shared(s, t) < least * m:
                 continue
             if len(s) < min(width, len(t)):
                 pairs.append((s, t))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codings, dates, parsing, text, units
 from ..operators import answers, audit, chunking, citations, debate, filters, metrics, records, retrieval, sampling, scoring, truth
+from ..operators.stored import stored
 from ..sources import records as sources
 from ..streaming import events as event_windows
 
@@ -792,11 +793,18 @@ def verified_answers(t: Tables) -> DataFrame:
 
 @query()
 def cited_replies(t: Tables) -> DataFrame:
-    """Whole texts of the stated documents as answers, cited from the five best of all documents that aren't themselves."""
+    """Whole texts of the stated documents as answers, cited from the five best chunks of all other documents.
+
+    A document's own chunks rank among the first, so as many more are asked for as the longest document has.
+    """
+    chunks = chunking.chunks(t.documents.select(F.col("doc_id").alias("document_id"), F.lit("all").alias("patient_id"), F.lit("other").alias("section"), F.lit(0).alias("pos"), F.col("text").alias("body")))
+    chunks = stored(chunks.select("chunk_id", "document_id", "text"), "chunks")
     said = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
-    hits = retrieval.bm25(said.withColumnRenamed("answer", "text"), t.documents.select("doc_id", "text"), [], 6, chunk="doc_id").where("doc_id <> query_id")
-    chunks = hits.join(t.documents.select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").cast("string").alias("chunk_id"), "rank", "text")
-    return citations.cite(said, chunks)
+    most = chunks.where("document_id % 50 = 0").groupBy("document_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    hits = retrieval.bm25(said.withColumnRenamed("answer", "text"), chunks.select("chunk_id", "text"), [], 5 + most)
+    held = hits.join(chunks, "chunk_id").where("document_id <> query_id")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id"))
+    return citations.cite(said, held.withColumn("rank", place).where("rank <= 5").select("query_id", "chunk_id", "rank", "text"))
 
 
 # -- scope and truth --------------------------------------------------------------------------------------------------------
