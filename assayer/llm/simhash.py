@@ -22,6 +22,8 @@ TABLES, RADIUS, FIRST_WORDS, SKETCH_LEAF = 32, 2, 2, 32_768
 #: Standard errors by which the sketches of candidates may be further apart than those of a pair of the similarity that
 #: is asked for: in turns for pairs enough to connect all such pairs, and at last for all pairs that are left.
 TURNS, LIKELY = (-2.5, 0.0, 2.5), 1.5
+#: Candidates from which on a set's own shingles are counted, to leave out pairs that cannot be as similar as asked.
+CROWD = 64
 
 
 def _lanes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -167,34 +169,39 @@ def _half(words: np.ndarray, table: int) -> np.ndarray:
     return words[:, table // 2] >> np.uint64(32 * (table % 2)) & np.uint64(0xFFFFFFFF)
 
 
-def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole: bool = False) -> DataFrame:
+def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole: bool = False, count: bool = False) -> DataFrame:
     """Links (a, b) of ``node`` whose ``sketch`` of tables / 2 words has a 32-bit print within RADIUS bits in one of ``tables``, and ``checks`` further words within ``most`` bits.
 
     Each table has a vantage-point tree, which deals prints to leaves as in ``print_links``. Links of points with
-    equal ``root`` (if there is this column) are left out. They are enough to connect what all of them connect; with ``whole`` (for
-    tables / 2 checks) they are all of them.
+    equal ``root`` (if there is this column) are left out, and so are those that ``size`` and ``limit`` (if there are these) exclude.
+    They are enough to connect what all of them connect; with ``whole`` (for tables / 2 checks) they are all of them. With ``count`` the result is (node, n) instead: how many links each
+    point has, those that several tables find counted in each.
     """
-    n, n_words, rooted = points.count(), tables // 2, "root" in points.columns
+    n, n_words, rooted, limited = points.count(), tables // 2, "root" in points.columns, "limit" in points.columns
     depth = _depth(n, SKETCH_LEAF)
     known = np.frombuffer(b"".join(bytes(x) for x in _sample(points, "node", "sketch", n, SAMPLE // 5)), np.uint64).reshape(-1, n_words)
     trees = [vptree.build(np.sort(_half(known, t)), depth, RADIUS) for t in range(tables)]
-    names = ["leaf", "print", "home", "node", "root", "checks"]
+    names = ["leaf", "print", "home", "node", "root", "size", "limit", "checks"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, root = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            words = texts.flat(batch.column(2))[0].copy().view(np.uint64).reshape(-1, n_words)
+            held = [batch.column(i).to_numpy() for i in range(4)]
+            words = texts.flat(batch.column(4))[0].copy().view(np.uint64).reshape(-1, n_words)
             for t, tree in enumerate(trees):
                 prints = _half(words, t)
                 point, leaf, home = tree.route(prints, RADIUS)
-                held = words[:, (t // 2 + 1 + np.arange(checks)) % n_words][point]
-                made = [leaf + (t << 40), prints[point].astype(np.int64), home, node[point], root[point]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, made), texts.binary(np.arange(len(point) + 1) * 8 * checks, held)], names=names)
+                rest = words[:, (t // 2 + 1 + np.arange(checks)) % n_words][point]
+                made = [leaf + (t << 40), prints[point].astype(np.int64), home, *(x[point] for x in held)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, made), texts.binary(np.arange(len(point) + 1) * 8 * checks, rest)], names=names)
 
     def search(rows: pa.Table) -> pa.Table:
         words = texts.flat(rows["checks"].combine_chunks())[0].copy().view(np.uint64).reshape(-1, checks)
         node, roots = rows["node"].to_numpy(), rows["root"].to_numpy() if rooted else None
-        found = vptree.Leaf(rows["print"].to_numpy().view(np.uint64), rows["home"].to_numpy(), RADIUS, words, most, roots, whole)
+        bounds = (rows["size"].to_numpy(), rows["limit"].to_numpy()) if limited else (None, None)
+        found = vptree.Leaf(rows["print"].to_numpy().view(np.uint64), rows["home"].to_numpy(), RADIUS, words, most, roots, whole, *bounds, count)
+        if count:
+            at = np.flatnonzero(found.counts)
+            return pa.table({"node": node[at], "n": found.counts[at]})
         a, b = found.a, found.b
         if whole:  # a pair that meets in several tables is told by the first
             table, order = rows["leaf"][0].as_py() >> 40, np.empty(n_words, np.int64)
@@ -205,8 +212,23 @@ def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole:
         a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    dealt = points.select("node", F.col("root") if rooted else F.lit(0).cast("long").alias("root"), "sketch").mapInArrow(deal, "leaf long, print long, home boolean, node long, root long, checks binary")
-    return dealt.groupBy("leaf").applyInArrow(search, "a long, b long").distinct()
+    long = lambda c, there, other: (F.col(c) if there else F.lit(other)).cast("long").alias(c)
+    sent = points.select("node", long("root", rooted, 0), long("size", limited, 0), long("limit", limited, vptree.FREE), "sketch")
+    dealt = sent.mapInArrow(deal, "leaf long, print long, home boolean, node long, root long, size long, limit long, checks binary").groupBy("leaf")
+    return dealt.applyInArrow(search, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")) if count else dealt.applyInArrow(search, "a long, b long").distinct()
+
+
+def _bounded(points: DataFrame, crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Append ``size`` of a crowded point's set, and the ``limit`` of the sizes that it can be as similar with as asked.
+
+    Of two crowded sets x and y no shingle counts that no other crowded set has. If c are the others of x, they share c at
+    most, so they can be similar only if |x| + |y| <= (1 + 1 / similarity) c. Other points have size 0 and no limit: of pairs with them none is left out.
+    """
+    own = sets.join(crowd.select(F.col("node").alias("crowded")), F.col("node") == F.col("crowded")).select("node", "set")
+    alone = own.select("node", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("only")).where("n = 1").groupBy("only").agg(F.count("*").alias("alone"))
+    shared = F.col("held") - F.coalesce("alone", F.lit(0))
+    told = own.select(F.col("node").alias("of"), F.size("set").alias("held")).join(alone, F.col("of") == F.col("only"), "left").select("of", "held", F.floor((1 + 1 / similarity) * shared - F.col("held") + 1e-6).alias("most"))
+    return points.join(told, F.col("node") == F.col("of"), "left").select(*points.columns, F.coalesce("held", F.lit(0)).alias("size"), F.coalesce("most", F.lit(vptree.FREE)).alias("limit"))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -228,6 +250,8 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tex
     candidates between components that are left. So components are those of all candidates that are alike, but for pairs that
     only the widest of these turns takes for candidates and does not need for its connections. By calculation a pair at 0.8 is a candidate in 97
     cases of 100 (91 in the last turn), at 0.85 nearly always; none below ``similarity`` is a link.
+    In the last turn sets with many candidates are told first; of two such sets those shingles that no other such set has are counted out, which
+    excludes most pairs of texts that share a template and have words of their own (``_bounded``); the exclusion is exact.
     Documents with equal sets are one class, whatever their number. ``component`` is the smallest id of the component.
     Texts without words are one class; null texts count as empty; null ids name a component only if it has no other.
     """
@@ -244,7 +268,14 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, tex
     tried, found, done = None, None, []
     for errors, whole in (*((x, False) for x in TURNS), (LIKELY, True)):
         points = live if found is None else scratch.cut(live.join(found.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("node", "sketch", F.coalesce("root", "node").alias("root")), "points")
-        pairs = sketch_links(points, tables, _astray(similarity, bits, errors), tables // 2, whole)
+        within = _astray(similarity, bits, errors)
+        if whole:
+            crowd = scratch.cut(sketch_links(points, tables, within, tables // 2, True, count=True).where(F.col("n") > CROWD).select("node"), "crowd")
+            done += [crowd]
+            if crowd.limit(1).count():
+                done += [points] * (points is not live)
+                points = scratch.cut(_bounded(points, crowd, sets, similarity), "bounded")
+        pairs = sketch_links(points, tables, within, tables // 2, whole)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch.cut(pairs, "pairs")

@@ -8,6 +8,8 @@ import numpy as np
 
 #: Pairs that are compared at once, and the points from which on splitting pays.
 PAIRS, SPLIT = 1 << 19, 48
+#: The limit of a point that links with points of any size.
+FREE = 1 << 60
 #: Links that are held before they are reduced to one star for each component.
 HELD = 1 << 20
 
@@ -101,16 +103,21 @@ class Leaf:
     ``prints`` are compared within ``radius``; with ``checks`` (rows of uint64), a link also needs their distance to be
     at most ``most``. Links of points with equal ``roots`` are left out. ``a`` and ``b`` are links enough to connect the
     roots that all links connect, or all links if ``whole`` is set; ``label`` is the smallest point that a point is
-    connected with, if there are no roots.
+    connected with, if there are no roots. With ``sizes`` and ``limits`` a link also needs the size of either point to be within the other's limit;
+    points without a limit (FREE) have size 0. With ``count`` no links are held, and ``counts`` tells how many each point has (a link
+    that is found from both ends counts twice).
     """
 
-    def __init__(self, prints: np.ndarray, home: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 0, roots: np.ndarray | None = None, whole: bool = False):
+    def __init__(self, prints: np.ndarray, home: np.ndarray, radius: int, checks: np.ndarray | None = None, most: int = 0, roots: np.ndarray | None = None, whole: bool = False, sizes: np.ndarray | None = None, limits: np.ndarray | None = None, count: bool = False):
+        self.sizes, self.limits, self.counts = sizes, limits, np.zeros(len(prints), np.int64) if count else None
         self.prints, self.radius, self.checks, self.most, self.roots, self.whole = prints, radius, checks, most, roots, whole
         self.own = np.arange(len(prints)) if roots is None else np.unique(roots, return_inverse=True)[1]
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.least = 0, HELD
         self.label = np.arange(len(prints))
-        self._search(np.flatnonzero(home), np.arange(len(prints)), 0)
+        free = np.ones(len(prints), bool) if limits is None else limits >= FREE
+        for own, other in ((home, free), (home & free, ~free), (home & ~free, ~free)):
+            self._search(np.flatnonzero(own), np.flatnonzero(other), 0)
         self._reduce()
         self.a, self.b = self.links[0]
 
@@ -127,6 +134,9 @@ class Leaf:
         self.least = max(HELD, 2 * len(a))
 
     def _add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if self.counts is not None:
+            self.counts += np.bincount(a, minlength=len(self.counts)) + np.bincount(b, minlength=len(self.counts))
+            return
         self.links.append((a, b))
         self.held += len(a)
         if self.held > self.least:
@@ -136,6 +146,8 @@ class Leaf:
         near = distance(self.prints[a], self.prints[b]) <= self.radius
         if self.roots is not None:
             near &= self.roots[a] != self.roots[b]
+        if self.limits is not None:
+            near &= (self.sizes[a] <= self.limits[b]) & (self.sizes[b] <= self.limits[a])
         if self.checks is not None:
             at = np.nonzero(near)
             wide = np.broadcast_arrays(a, b)
@@ -150,6 +162,9 @@ class Leaf:
             self._add(part[x], other[y])
 
     def _search(self, home: np.ndarray, other: np.ndarray, depth: int) -> None:
+        if self.limits is not None and len(home) and len(other):  # those whom no other's size suits have no link here
+            home = home[self.limits[home] >= self.sizes[other].min()]
+            other = other[self.limits[other] >= self.sizes[home].min()] if len(home) else other
         if not len(home) or not len(other):
             return
         if len(home) <= SPLIT or len(home) * len(other) <= PAIRS // 8:

@@ -167,3 +167,26 @@ def test_equal_rows_have_different_keys(spark, tmp_path):
         read, key = passages._keyed(docs, "text")
         first = [r.k for r in read.select(key.alias("k")).collect()]
         assert len(set(first)) == 200 and sorted(first) == sorted(r.k for r in read.select("text", key.alias("k")).collect())
+
+
+def test_texts_of_a_template_make_few_pairs(spark, monkeypatch):
+    """Each text has 33 of 300 words of its own: every pair at 0.778, no link. Pairs that are compared don't grow with the square."""
+    rng = np.random.default_rng(7)
+    template = [f"t{i}" for i in range(300)]
+    compared, held = {}, simhash._alike
+    for n in (200, 400, 800):
+        rows = []
+        for i in range(n):
+            words = list(template)
+            words[100:133] = [f"w{x}" for x in rng.integers(0, 10**6, 33)]
+            rows.append((i, " ".join(words)))
+        near = [(n + k, " ".join([*rows[k][1].split(" ")[:280], *(f"z{k}_{j}" for j in range(20))])) for k in range(5)]  # linked with their own text alone
+        seen = []
+        monkeypatch.setattr(simhash, "_alike", lambda pairs, *a: seen.append(pairs.count()) or held(pairs, *a))
+        got = {r.doc_id: r.component for r in simhash.near_documents(spark.createDataFrame(rows + near, "doc_id long, text string")).collect()}
+        compared[n] = seen
+        sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in rows + near}
+        linked = {i: {j for j in sets if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in (*range(8), *range(n, n + 5))}
+        assert not any(linked[i] - {n + i} for i in range(5)) and all(got[i] == i for i in range(n))
+        assert all(got[n + k] == (k if linked[n + k] else n + k) for k in range(5))
+    assert all(c[-1] < 20 and max(c) <= 32 * n for n, c in compared.items()), compared  # before the last turn, a forest for each table at most
