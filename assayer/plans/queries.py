@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codings, dates, parsing, text, units
-from ..operators import answers, audit, chunking, citations, debate, filters, metrics, records, retrieval, sampling, scoring, truth
+from ..operators import answers, audit, chunking, citations, debate, filters, fuzzy, metrics, records, retrieval, sampling, scoring, truth
 from ..operators.stored import stored
 from ..sources import records as sources
 from ..streaming import events as event_windows
@@ -270,16 +270,13 @@ def sentence_split(t: Tables) -> DataFrame:
 
 
 @query("""
-with p as (select p_partkey, p_brand, p_size, lower(p_name) as n, list_distinct(string_split(lower(p_name), ' ')) as w from part)
-select a.p_partkey as a, b.p_partkey as b from p a join p b on a.p_brand = b.p_brand and a.p_size = b.p_size and a.p_partkey <> b.p_partkey and list_has_any(a.w, b.w)
+with p as (select p_partkey, lower(p_name) as n, list_distinct(string_split(lower(p_name), ' ')) as w from part)
+select a.p_partkey as a, b.p_partkey as b from p a join p b on a.p_partkey <> b.p_partkey
 where a.p_partkey % 50 = 0 and (contains(a.n, b.n) or contains(b.n, a.n) or len(list_intersect(a.w, b.w)) * 2 >= least(len(a.w), len(b.w)))""")
 def entity_pairs(t: Tables) -> DataFrame:
-    """Stated parts with those of all others of their brand and size that share a word and name the same."""
-    word = F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("word")
-    a = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("a"), "p_brand", "p_size", F.col("p_name").alias("na"), word)
-    b = t.part.select(F.col("p_partkey").alias("b"), "p_brand", "p_size", F.col("p_name").alias("nb"), word)
-    met = a.join(b, ["p_brand", "p_size", "word"]).where("a <> b").select("a", "b", "na", "nb").distinct()
-    return met.where(text.entity_matches(F.col("na"), F.col("nb"))).select("a", "b")
+    """Stated parts with all others that name the same."""
+    asked = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("a"), "p_name")
+    return fuzzy.matching_pairs(asked, t.part.select(F.col("p_partkey").alias("b"), "p_name"), "a", "b", "p_name", "p_name").where("a <> b")
 
 
 # -- chunks and retrieval -----------------------------------------------------------------------------------------------
