@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codings, dates, parsing, text, units
+from ..functions import codings, dates, parsing, templates, text, units
 from ..operators import answers, audit, chunking, citations, debate, filters, fuzzy, metrics, records, retrieval, sampling, scoring, truth
-from ..operators.stored import stored
+from ..operators.stored import folder, stored
 from ..sources import records as sources
+from ..sources import results
+from ..streaming import audit as streamed_audit
 from ..streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +175,18 @@ def replaced_reruns(t: Tables) -> DataFrame:
     return records.replace_on_key(old, new, ["o_orderkey"])
 
 
+@query("""
+select o_orderkey, o_custkey % 7 as batch, case when o_custkey % 7 in (2, 5) then o_totalprice * 2 else o_totalprice end as price from orders where o_custkey % 7 not in (2, 5) or o_orderkey % 2 = 0""")
+def stored_reruns(t: Tables) -> DataFrame:
+    """Results stored by batch; a rerun of two batches, with other prices and only half of the rows, replaces them."""
+    path = folder(t.spark, "results")
+    rows = t.orders.select("o_orderkey", (F.col("o_custkey") % 7).alias("batch"), F.col("o_totalprice").alias("price"))
+    results.replace_results(rows, path, ["batch"])
+    again = rows.where("batch in (2, 5) and o_orderkey % 2 = 0").withColumn("price", F.col("price") * 2)
+    results.replace_results(again, path, ["batch"])
+    return results.read_results(t.spark, path, ["batch"])
+
+
 @query(r"""
 select page_id, case when url like 'urn:uuid:%' then substr(url, 10) when contains(url, '/') then regexp_extract(url, '^[^/]*/(.*)$', 1) else url end as reference, case when url like 'https:%' then substr(url, 8) end as prefixed from pages""")
 def reference_ids(t: Tables) -> DataFrame:
@@ -456,6 +470,17 @@ def running_cost(t: Tables) -> DataFrame:
     return got.select("event_id", r6("spent").alias("spent"), "over")
 
 
+@query("""
+select user_id, count(*) as n, list_reduce(list_prepend('', list(props order by event_id)), lambda a, x: sha256(a || x)) as tip from events group by 1""")
+def streamed_tips(t: Tables) -> DataFrame:
+    """The chains of ``chain_tips``, written by a stream."""
+    place = folder(t.spark, "stream")
+    entries = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parque[t]")  # a pattern, since a stream takes no single file
+    streamed_audit.write_chain(entries, f"{place}/log", f"{place}/state", "user_id", "event_id", "props").awaitTermination()
+    log = streamed_audit.read_chain(t.spark, f"{place}/log")
+    return log.groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("entry_hash", "event_id").alias("tip"))
+
+
 @query("""select event_id, sha256('{"data":"' || event_type || '","entry_id":' || event_id || ',"session_id":' || user_id || '}') as digest from events""")
 def canonical_entries(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.sha2(audit.canonical_json(session_id=F.col("user_id"), entry_id=F.col("event_id"), data=F.col("event_type")), 256).alias("digest"))
@@ -804,6 +829,56 @@ def cited_replies(t: Tables) -> DataFrame:
     return citations.cite(said, held.withColumn("rank", place).where("rank <= 5").select("query_id", "chunk_id", "rank", "text"))
 
 
+_DEBATE = """
+c0 as (select user_id as q, event_id as c, event_type in ('click', 'view') as m, case event_id % 4 when 0 then 'NOT_SUPPORTED' when 1 then 'PARTIAL' else 'SUPPORTED' end as v, least(greatest(0.9 + value / 100, 0), 1) as s from events),
+d0 as (select q from c0 where m group by q having bool_and(v = 'SUPPORTED' and s >= 0.95)),
+r1 as (select q, c from c0 where v = 'SUPPORTED' and (c + 1) % 50 = 0 and q not in (from d0)),
+c1 as (select q, c, m, case when r1.c is not null and s - 0.3 < 0.65 then 'PARTIAL' else v end as v, case when r1.c is not null then s - 0.3 else s end as s from c0 left join r1 using (q, c)),
+d1 as (select q from c1 where m group by q having bool_and(v = 'SUPPORTED' and s >= 0.95)),
+r2 as (select q, c from c1 where v = 'SUPPORTED' and (c + 2) % 50 = 0 and q not in (from d1) and q in (select q from r1)),
+c2 as (select q, c, m, case when r2.c is not null and s - 0.3 < 0.65 then 'PARTIAL' else v end as v, case when r2.c is not null then s - 0.3 else s end as s from c1 left join r2 using (q, c))"""
+
+
+@query(f"""
+with {_DEBATE}, n as (select q, count(*) as n from (from r1 union all from r2) group by 1)
+select q as user_id, count(*) as claims, count(*) filter (v = 'SUPPORTED') as supported, round(avg(s), 6) as confidence, any_value(1 + (q in (select q from r1))::integer) as cycles, any_value(coalesce(n.n, 0)) as challenges from c2 left join n using (q) group by 1""")
+def debate_cycles(t: Tables) -> DataFrame:
+    """Two cycles of challenge and revision over each user's claims; the models are rules of the claim's number."""
+    id = F.col("event_id")
+    verdict = F.when(id % 4 == 0, "NOT_SUPPORTED").when(id % 4 == 1, "PARTIAL").otherwise("SUPPORTED")
+    claims = t.events.select(
+        F.col("user_id").alias("query_id"), id.alias("claim_id"), F.when(F.col("event_type").isin("click", "view"), "material").otherwise("contextual").alias("claim_type"),
+        verdict.alias("verdict"), F.least(F.greatest(0.9 + F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("confidence"),
+    )
+
+    def challenger(supported: DataFrame, cycle: int) -> DataFrame:
+        return supported.where((F.col("claim_id") + cycle) % 50 == 0).select("query_id", "claim_id")
+
+    def reviser(held: DataFrame, challenges: DataFrame, cycle: int) -> DataFrame:
+        less = held.join(challenges, ["query_id", "claim_id"]).withColumn("confidence", F.col("confidence") - 0.3)
+        return less.select("query_id", "claim_id", F.when(F.col("confidence") < 0.65, "partial").alias("verdict"), "confidence")
+
+    after, _, told = debate.debated(claims, challenger, reviser)
+    sums = after.groupBy("query_id").agg(F.count("*").alias("claims"), F.count_if(F.col("verdict") == "SUPPORTED").alias("supported"), r6(F.avg("confidence")).alias("confidence"))
+    return sums.join(told, "query_id").select(F.col("query_id").alias("user_id"), "claims", "supported", "confidence", "cycles", "challenges")
+
+
+@query(r"""
+with c as (select source, doc_id, lang, text, row_number() over (partition by source order by doc_id) as n from documents),
+e as (select source, string_agg('[' || n || '] ' || lang || case when source in ('src0', 'src1') and doc_id % 2 = 0 then ' (2024-01-0' || (1 + doc_id % 9) || ')' else '' end || ': ' || substr(text, 1, 80) || chr(10), '' order by n) as lines from c where n <= 5 group by 1)
+select source, sha256(case source when 'src0' then 'Say what happened when: go by date, and give each event its date.' when 'src1' then 'Give values with their units and dates, and compare them with their usual ranges.' else 'Answer from the evidence alone, with all that bears on the question.' end
+  || chr(10) || chr(10) || 'Question: What of ' || source || '?' || chr(10) || chr(10) || 'Evidence:' || chr(10) || lines || 'Mark each fact with the [number] of its evidence. Write <reasoning>, <answer> and <source_chunks>.') as prompt_sha256 from e""")
+def rendered_prompts(t: Tables) -> DataFrame:
+    """Reasoning prompts of a source's first documents, dated ones for two query types."""
+    at = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    date = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("2024-01-0"), (1 + F.col("doc_id") % 9).cast("string")))
+    one = F.struct(at.alias("n"), F.col("lang").alias("source"), date.alias("date"), F.substring("text", 1, 80).alias("text"))
+    held = t.documents.select(F.col("source").alias("of"), one.alias("x")).where("x.n <= 5").groupBy("of").agg(F.array_sort(F.collect_list("x")).alias("chunks"))
+    kind = F.when(F.col("of") == "src0", "temporal").when(F.col("of") == "src1", "numeric").otherwise("factual")
+    prompt = templates.reasoning_prompt(kind, F.concat(F.lit("What of "), "of", F.lit("?")), F.col("chunks"))
+    return held.select(F.col("of").alias("source"), F.sha2(prompt, 256).alias("prompt_sha256"))
+
+
 # -- scope and truth --------------------------------------------------------------------------------------------------------
 
 
