@@ -167,6 +167,67 @@ def encounter_documents(t: Tables) -> DataFrame:
     return records.section_document(lines, ["patient_id"], [("MEDS", "Medications"), ("LABS", "Labs")])
 
 
+def _concept(code, display, text=None):
+    coding = F.struct(F.lit("urn:codes").alias("system"), code.cast("string").alias("code"), display.alias("display"))
+    return F.struct(F.when(code.isNotNull(), F.array(coding)).alias("coding"), (F.lit(None).cast("string") if text is None else text).alias("text"))
+
+
+@query("""
+select o_custkey::varchar as patient_id, o_orderkey::varchar as condition_id, case when o_orderkey % 5 <> 0 then o_orderkey % 97 || '' end as code, case when o_orderkey % 5 <> 0 then o_orderpriority else 'told: ' || o_orderpriority end as display,
+  case o_orderkey % 4 when 0 then 'resolved' when 1 then 'relapse' else 'active' end as status, o_orderdate::timestamp as onset, 'e' || o_orderkey as encounter_id from orders where o_orderkey % 10 <> 0""")
+def condition_rows(t: Tables) -> DataFrame:
+    """Conditions of nested records: coded, in words alone, or neither (those go); odd statuses are active."""
+    id = F.col("o_orderkey")
+    status = F.when(id % 4 == 0, "resolved").when(id % 4 == 1, "relapse").when(id % 4 == 2, "odd")
+    rows = t.orders.select(
+        F.lit("Condition").alias("resourceType"), id.cast("string").alias("id"), F.struct(F.concat(F.lit("Patient/"), F.col("o_custkey").cast("string")).alias("reference")).alias("subject"),
+        _concept(F.when(id % 5 != 0, id % 97), F.col("o_orderpriority"), F.when(id % 10 == 5, F.concat(F.lit("told: "), "o_orderpriority"))).alias("code"), _concept(status, status).alias("clinicalStatus"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("onsetDateTime"), F.struct(F.concat(F.lit("urn:uuid:e"), id.cast("string")).alias("reference")).alias("encounter"),
+    )
+    return records.conditions(rows).withColumn("onset", F.col("onset").cast("timestamp"))
+
+
+@query("""
+select doc_id, case doc_id % 6 when 0 then 'discharge_summary' when 1 then 'radiology_report' when 2 then 'radiology_report' when 3 then 'pathology_report' when 4 then 'lab_report' else 'clinical_note' end as document_type, 'urn:notes|' || doc_id as scoped_id from documents""")
+def note_kinds(t: Tables) -> DataFrame:
+    titles = ["DISCHARGE summary of lab", "Chest Radiology", "imaging, pathology", "Pathology of lab", "Lab panel", "Progress note"]
+    title = F.element_at(F.array(*map(F.lit, titles)), (F.col("doc_id") % 6 + 1).cast("int"))
+    return t.documents.select("doc_id", codings.note_type(title).alias("document_type"), codings.scoped_id(F.lit("urn:notes"), F.col("doc_id").cast("string")).alias("scoped_id"))
+
+
+@query("select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as position from events")
+def timeline_positions(t: Tables) -> DataFrame:
+    return filters.timeline_order(t.events.select("user_id", "event_id", "ts"), "user_id", "ts", ["event_id"]).select("user_id", "event_id", "position")
+
+
+@query("""
+with r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rank from events),
+m as (select user_id, unnest([2, 1, 99999, 2]) as rank from (select distinct user_id from events))
+select distinct user_id, event_id as chunk_id from m join r using (user_id, rank)""")
+def marked_chunks(t: Tables) -> DataFrame:
+    """Chunks that an answer's [n] marks name; marks beyond the chunks name none."""
+    chunks = t.events.select("user_id", F.col("event_id").alias("chunk_id"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("rank"))
+    said = t.events.select("user_id").distinct().withColumn("answer", F.lit("It rose [2], then fell [1] [99999]; see [2]."))
+    return answers.cited_chunks(said, chunks, "user_id").select("user_id", "chunk_id").distinct()
+
+
+@query("""
+select event_id, round(case when event_id % 4 = 0 then value else 0.5 * value + 50 * least(greatest(value / 80 - 0.2, 0), 1) end, 6) as score from events""")
+def dual_scores(t: Tables) -> DataFrame:
+    near = F.when(F.col("event_id") % 4 != 0, F.col("value") / 80 - 0.2)
+    return t.events.select("event_id", r6(citations.dual_score(F.col("value"), near)).alias("score"))
+
+
+@query("""
+with n as (select user_id, avg(value) as v from events group by 1), a as (select round(avg(v), 4) as x, round(max(v), 4) as y from n where user_id % 2 = 0), b as (select round(avg(v), 4) as x, round(max(v), 4) as y from n where user_id % 2 = 1)
+select 0 as ordinal, 'even' as configuration, x, y from a union all select 1, 'odd', x, y from b union all select 2, 'delta', b.x - a.x, b.y - a.y from a, b""")
+def compared_runs(t: Tables) -> DataFrame:
+    """Metrics of configurations, and how the last differs from the first."""
+    n = t.events.groupBy("user_id").agg(F.avg("value").alias("v"))
+    half = lambda i: n.where(F.col("user_id") % 2 == i).agg(F.round(F.avg("v"), 4).alias("x"), F.round(F.max("v"), 4).alias("y"))
+    return scoring.configurations([("even", half(0)), ("odd", half(1))], ["x", "y"])
+
+
 @query("""
 select o_orderkey, o_totalprice from orders where o_orderkey % 10 <> 0 union all select o_orderkey, o_totalprice * 2 from orders where o_orderkey % 10 = 0 and o_orderpriority is not null""")
 def replaced_reruns(t: Tables) -> DataFrame:
@@ -734,12 +795,13 @@ def pair_accuracy(t: Tables) -> DataFrame:
 
 
 @query("""
-with p as (select lang, list(struct_pack(i := doc_id, e := doc_id % 3 = 0) order by doc_id) as rs from documents group by 1)
-select lang as patient_id, i as query_index, r.i as doc_id from (select lang, unnest(rs) as r, generate_subscripts(rs, 1) - 1 as i from p) where not r.e""")
+with p as (select lang || ':' || doc_id // 500 as run, list(struct_pack(i := doc_id, e := doc_id % 3 = 0) order by doc_id) as rs from documents group by 1)
+select run as patient_id, i as query_index, r.i as doc_id from (select run, unnest(rs) as r, generate_subscripts(rs, 1) - 1 as i from p) where not r.e""")
 def saved_answers(t: Tables) -> DataFrame:
-    """Answers of saved runs: positions count those with an error, which are left out."""
+    """Answers of saved runs, each of a language and 500 ids: positions count those with an error, which are left out."""
     one = F.struct("doc_id", F.when(F.col("doc_id") % 3 == 0, "failed").alias("error"))
-    runs = t.documents.groupBy("lang").agg(F.array_sort(F.collect_list(one)).alias("rag_results")).select(F.array(F.struct(F.col("lang").alias("patient_id"), "rag_results")).alias("patient_results"))
+    run = F.concat_ws(":", "lang", F.floor(F.col("doc_id") / 500).cast("string"))
+    runs = t.documents.groupBy(run.alias("run")).agg(F.array_sort(F.collect_list(one)).alias("rag_results")).select(F.array(F.struct(F.col("run").alias("patient_id"), "rag_results")).alias("patient_results"))
     return sources.flatten_runs(runs).select("patient_id", F.col("query_index").cast("long").alias("query_index"), "result.doc_id")
 
 
