@@ -181,12 +181,13 @@ def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole:
     depth = _depth(n, SKETCH_LEAF)
     known = np.frombuffer(b"".join(bytes(x) for x in _sample(points, "node", "sketch", n, SAMPLE // 5)), np.uint64).reshape(-1, n_words)
     trees = [vptree.build(np.sort(_half(known, t)), depth, RADIUS) for t in range(tables)]
-    names = ["leaf", "print", "home", "node", "root", "size", "limit", "checks"]
+    carried = ["node", *(["root"] if rooted else []), *(["size", "limit"] if limited else [])]
+    names = ["leaf", "print", "home", *carried, "checks"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [batch.column(i).to_numpy() for i in range(4)]
-            words = texts.flat(batch.column(4))[0].copy().view(np.uint64).reshape(-1, n_words)
+            held = [batch.column(i).to_numpy() for i in range(len(carried))]
+            words = texts.flat(batch.column(len(carried)))[0].copy().view(np.uint64).reshape(-1, n_words)
             for t, tree in enumerate(trees):
                 prints = _half(words, t)
                 point, leaf, home = tree.route(prints, RADIUS)
@@ -212,9 +213,9 @@ def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole:
         a, b = node[a], node[b]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    long = lambda c, there, other: (F.col(c) if there else F.lit(other)).cast("long").alias(c)
-    sent = points.select("node", long("root", rooted, 0), long("size", limited, 0), long("limit", limited, vptree.FREE), "sketch")
-    dealt = sent.mapInArrow(deal, "leaf long, print long, home boolean, node long, root long, size long, limit long, checks binary").groupBy("leaf")
+    sent = points.select(*(F.col(c).cast("long").alias(c) for c in carried), "sketch")
+    kept = "".join(f"{c} long, " for c in carried)
+    dealt = sent.mapInArrow(deal, f"leaf long, print long, home boolean, {kept}checks binary").groupBy("leaf")
     return dealt.applyInArrow(search, "node long, n long").groupBy("node").agg(F.sum("n").alias("n")) if count else dealt.applyInArrow(search, "a long, b long").distinct()
 
 

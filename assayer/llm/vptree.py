@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: Pairs whose further words are compared at once.
+CHECKED = 1 << 15
 #: Pairs that are compared at once, and the points from which on splitting pays.
 PAIRS, SPLIT = 1 << 19, 48
 #: The limit of a point that links with points of any size.
@@ -115,9 +117,12 @@ class Leaf:
         self.links: list[tuple[np.ndarray, np.ndarray]] = []
         self.held, self.least = 0, HELD
         self.label = np.arange(len(prints))
-        free = np.ones(len(prints), bool) if limits is None else limits >= FREE
-        for own, other in ((home, free), (home & free, ~free), (home & ~free, ~free)):
-            self._search(np.flatnonzero(own), np.flatnonzero(other), 0)
+        if limits is None:
+            self._search(np.flatnonzero(home), np.arange(len(prints)), 0)
+        else:
+            free = limits >= FREE
+            for own, other in ((home, free), (home & free, ~free), (home & ~free, ~free)):
+                self._search(np.flatnonzero(own), np.flatnonzero(other), 0)
         self._reduce()
         self.a, self.b = self.links[0]
 
@@ -149,9 +154,10 @@ class Leaf:
         if self.limits is not None:
             near &= (self.sizes[a] <= self.limits[b]) & (self.sizes[b] <= self.limits[a])
         if self.checks is not None:
-            at = np.nonzero(near)
-            wide = np.broadcast_arrays(a, b)
-            near[at] = distance(self.checks[wide[0][at]], self.checks[wide[1][at]]).sum(-1, dtype=np.int64) <= self.most
+            found, wide = np.nonzero(near), np.broadcast_arrays(a, b)
+            for i in range(0, len(found[0]), CHECKED):
+                at = tuple(x[i : i + CHECKED] for x in found)
+                near[at] = distance(self.checks[wide[0][at]], self.checks[wide[1][at]]).sum(-1, dtype=np.int64) <= self.most
         return near
 
     def _compare(self, home: np.ndarray, other: np.ndarray) -> None:
