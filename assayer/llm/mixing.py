@@ -63,7 +63,8 @@ def solve(cells: DataFrame, sources: list[Source], most: float) -> None:
 
     A step is one aggregation over (source, size, count) cells that gives the expected words and their derivative for
     every source; the constraints of different sources share no document, so the Hessian is diagonal. Newton steps that
-    leave the bracket around the root are replaced by bisection. Sums are of whole numbers: runs agree.
+    leave the bracket around the root are replaced by bisection. Sums are of whole numbers: runs agree. Where whole copies of
+    few documents jump over the target the bracket closes on the jump, which is as near as a tilt comes; a source that is neither near its target nor closed in after MOST_STEPS is an error.
     """
     spark, whole = cells.sparkSession, 1 << RATE_BITS
     for s in sources:
@@ -98,6 +99,8 @@ def solve(cells: DataFrame, sources: list[Source], most: float) -> None:
             if not s.low < step < s.high:
                 step = (s.low + s.high) / 2 if math.isfinite(s.low + s.high) else 2 * s.low + 1 if math.isfinite(s.low) else 2 * s.high - 1
             s.tilt = step
+    if stuck := [s.name for s in sources if not s.done and not (s.high - s.low <= 1e-9 * max(1.0, abs(s.low)))]:
+        raise RuntimeError(f"no tilt meets the target of {stuck} after {MOST_STEPS} steps")
 
 
 def _copies(phase: Column) -> Column:
@@ -152,6 +155,7 @@ def repeat(docs: DataFrame, size: Column, **options) -> DataFrame:
     """The mixed documents themselves: each row as often as ``mix`` says, with its own columns.
 
     What the mix says has a row for each document, so it is joined by a shuffle at any size. Rows of one id, source and size share what ``mix`` gives to all of them as evenly as whole copies allow.
+    Null ids, sources and texts are values like others; an empty table stays empty. Columns of the input may have any name but those that begin with two underscores.
     """
     source, id = options.get("source", "source"), options.get("id", "doc_id")
     told = mix(docs, size, **options).groupBy(F.col(id).alias("__id"), F.col(source).alias("__source"), F.col("size").alias("__size")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))

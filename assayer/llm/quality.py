@@ -98,7 +98,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bi
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LESSONS, text: str = "text", id: str = "doc_id") -> Forest:
-    """Fit a forest on at most ``most`` labelled documents; the statistics are taken where the rows are."""
+    """Fit a forest on at most ``most`` labelled documents; the statistics are taken where the rows are.
+
+    Which documents, and what null or repeated ids and labels do, is ``labelled.lessons``'s to say. Null texts count as empty. Lessons go in order of
+    their ids and splits of equal gain to the earlier statistic and cut, so runs agree. Without lessons, or with one label only, all texts score alike.
+    """
 
     def work():
         common = stats.CommonWords()

@@ -49,13 +49,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: sources by code point weigh 5, 2, 1 in turn; a document comes out as often as the mix takes it."""
+    """Operator 1: sources by code point weigh 5, 2, 1 in turn; a document comes out as often as the mix takes it.
+
+    Null sources are one source, the last; null texts have no words, and come out once. An empty table stays empty.
+    """
     ship(spark)
     return mixing.repeat(docs, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)), weights=(5, 2, 1), budget=1.5, most=2.0)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: byte-level BPE ids of whole texts, and whether they decode to the text again."""
+    """Operator 2: byte-level BPE ids of whole texts, and whether they decode to the text again.
+
+    A row for each row; a null text counts as empty and has no ids. Rows that repeat an id keep a row each.
+    """
     ship(spark)
     path = public_tokenizers.path(RANKS)
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 256).alias("sha256"), "text"), path, public_tokenizers.PATTERN, drop_text=True)
