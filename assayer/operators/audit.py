@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +18,33 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
 
 
+def _in_order(value: Column, kind: T.DataType) -> Column:
+    """A value whose fields, also those within, are in order of their names; map entries in order of their keys."""
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*(_in_order(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(value.isNotNull(), parts)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _in_order(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), _in_order(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    return value
+
+
+def entry_json(df: DataFrame, columns: Sequence[str], out: str = "data") -> DataFrame:
+    """Append ``out``: the columns as JSON without blanks, with keys in order at every depth, the same wherever and however often it is made.
+
+    This is what an entry's hash is made of. Null fields are left out.
+    """
+    kinds = {c: df.schema[c].dataType for c in columns}
+    return df.withColumn(out, F.to_json(F.struct(*(_in_order(F.col(c), kinds[c]).alias(c) for c in sorted(columns)))))
+
+
+def read_entries(df: DataFrame, schema: str | T.StructType, data: str = "data") -> DataFrame:
+    """Entries with the fields that ``entry_json`` has written, as columns again; fields that the text lacks are null, as are all where it isn't JSON."""
+    return df.withColumn("__read", F.from_json(data, schema)).select(*df.columns, "__read.*")
+
+
 def build_chain(df: DataFrame, key: str, seq: str, data: str) -> DataFrame:
     """Append previous_hash ('' at first) and entry_hash = sha256(previous_hash + data), a chain for each key in order of ``seq``.
 

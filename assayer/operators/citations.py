@@ -12,6 +12,8 @@ from ..functions import text
 from . import alignment
 
 WINDOW, STEP, THRESHOLD, EXCERPT = 500, 125, 55.0, 120
+#: Sentences of an answer that meet a chunk in one row.
+TOGETHER = 64
 
 
 def windows(chunks: DataFrame, body: str = "text") -> DataFrame:
@@ -61,7 +63,7 @@ def cite(answers: DataFrame, chunks: DataFrame, query: str = "query_id", lexical
     """(query, sentence_at, sentence, chunk_id, start, span, score, confidence, citation_id): the best window for each sentence.
 
     Reads answer; of chunks chunk_id, rank, text. Windows are scored by ``partial_ratio``: an answer's sentences meet each of
-    its chunks in one row, and each is aligned once with the whole chunk, whose windows read their scores from that. With ``lexical``,
+    its chunks in rows of TOGETHER, and each is aligned once with the whole chunk, whose windows read their scores from that. With ``lexical``,
     a function of (sentence, window) columns, every window is a row instead. Transitional sentences cite nothing; scores under THRESHOLD
     are dropped; of equal scores the earlier chunk and window wins. Ids count the accepted sentences of an answer.
     """
@@ -70,7 +72,9 @@ def cite(answers: DataFrame, chunks: DataFrame, query: str = "query_id", lexical
         scored = split.join(windows(chunks.select(query, "chunk_id", "rank", "text")), query).withColumn("score", lexical(F.col("sentence"), F.col("window")))
     else:
         held = F.filter(F.transform(text.sentences(F.col("answer")), lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: ~text.is_transition(x["s"]))
-        met = answers.select(query, held.alias("own")).where(F.size("own") > 0).join(chunks.select(query, "chunk_id", "rank", "text"), query)
+        parts = F.transform(F.sequence(F.lit(0), F.size("own") - 1, F.lit(TOGETHER)), lambda i: F.slice("own", i + 1, F.lit(TOGETHER)))
+        some = answers.select(query, held.alias("own")).where(F.size("own") > 0).select(query, F.explode(parts).alias("own"))
+        met = some.join(chunks.select(query, "chunk_id", "rank", "text"), query)
         found = met.withColumn("found", best_windows(F.col("own.s"), F.col("text"), THRESHOLD))
         flat = found.select(query, "chunk_id", "rank", "text", F.inline(F.arrays_zip("own", "found")))
         scored = flat.select(query, "chunk_id", "rank", F.col("own.at").alias("sentence_at"), F.col("own.s").alias("sentence"), "found.start", F.substr("text", F.col("found.start") + 1, F.lit(WINDOW)).alias("window"), "found.score")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import parsing
+
 
 def shuffle_key(seed: int, *columns: str) -> Column:
     """A hash to shuffle by: md5 of the columns and the seed."""
@@ -61,6 +63,32 @@ def trajectories(pairs: DataFrame) -> DataFrame:
     )
 
 
+def detected(pairs: DataFrame, responses: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Both answers of each question with what each detector said of them: (.., answer, is_hallucinated, detector, is_flagged).
+
+    ``responses`` has key, is_hallucinated, detector and is_flagged. An answer that no detector has seen keeps a row without one; responses to unknown
+    answers are dropped.
+    """
+    rows = answer_rows(pairs)
+    said = responses.select(F.col(key).alias("__key"), F.col("is_hallucinated").alias("__bad"), "detector", "is_flagged")
+    return rows.join(said, (F.col(key) == F.col("__key")) & (F.col("is_hallucinated") == F.col("__bad")), "left").drop("__key", "__bad")
+
+
+def pipeline_trajectories(runs: DataFrame) -> DataFrame:
+    """Append verifier_correct, challenger_correct and shared_reward to runs of the agents (is_hallucinated, verifier_output, challenger_output).
+
+    A verifier is right if it does not support a hallucinated answer, or supports a true one; an output without a verdict is
+    wrong. A challenger is right if it challenges a hallucinated answer alone. Null outputs are empty ones.
+    """
+    bad = F.coalesce("is_hallucinated", F.lit(False))
+    verdict = F.lower(F.regexp_extract(F.coalesce("verifier_output", F.lit("")), r'"verdict"\s*:\s*"(\w+)"', 1))
+    verifier = F.when(bad, verdict.isin("not_supported", "partial")).otherwise(verdict == "supported")
+    said = F.coalesce("challenger_output", F.lit(""))
+    challenger = (F.contains(said, F.lit("challenge_type")) & ~F.contains(said, F.lit("[]"))) == bad
+    told = runs.withColumn("verifier_correct", verifier).withColumn("challenger_correct", challenger)
+    return told.withColumn("shared_reward", parsing.trajectory_reward(F.col("verifier_correct"), F.col("challenger_correct")))
+
+
 def qa_preferences(pairs: DataFrame, count: int, seed: int = 42, id: str = "pair_id") -> DataFrame:
     """(id, source, evidence, answer, chosen, rejected): two preference pairs of a critic for each question, ``count`` in all, questions by shuffle key.
 

@@ -941,6 +941,43 @@ def rendered_prompts(t: Tables) -> DataFrame:
     return held.select(F.col("of").alias("source"), F.sha2(prompt, 256).alias("prompt_sha256"))
 
 
+@query("""
+select event_id, sha256('{"data":{"kind":"' || event_type || '","tags":[{"a":1,"b":"' || event_type || '"}]},"entry_id":' || event_id || ',"session_id":' || user_id || '}') as digest, event_type as kind from events""")
+def audit_rows(t: Tables) -> DataFrame:
+    """Entries written with keys in order at every depth, and read again."""
+    data = F.struct(F.array(F.struct(F.col("event_type").alias("b"), F.lit(1).alias("a"))).alias("tags"), F.col("event_type").alias("kind"))
+    rows = t.events.select("event_id", F.col("user_id").alias("session_id"), F.col("event_id").alias("entry_id"), data.alias("data"))
+    written = audit.entry_json(rows, ["session_id", "entry_id", "data"], "text").select("event_id", "text")
+    read = audit.read_entries(written, "session_id long, entry_id long, data struct<kind string>", "text")
+    return read.where("entry_id = event_id").select("event_id", F.sha2("text", 256).alias("digest"), F.col("data.kind").alias("kind"))
+
+
+@query("""
+with r as (select doc_id, bad, case when doc_id % 7 = 0 then '' when quality = 1 then 'supported' else 'partial' end as v, toxic = 1 as challenged from labels, (values (false), (true)) b(bad)),
+c as (select *, case when bad then v in ('not_supported', 'partial') else v = 'supported' end as vc, challenged = bad as cc from r)
+select doc_id, bad as is_hallucinated, vc as verifier_correct, cc as challenger_correct, case when vc and cc then 1.0 when vc or cc then 0.0 else -1.0 end::double as shared_reward from c""")
+def agent_trajectories(t: Tables) -> DataFrame:
+    rows = sampling.answer_rows(t.labels.select("doc_id", "quality", "toxic", F.lit("a").alias("ground_truth"), F.lit("b").alias("hallucinated")))
+    said = F.when(F.col("doc_id") % 7 == 0, "no verdict").when(F.col("quality") == 1, '{"verdict": "Supported", "confidence": 0.9}').otherwise('{"confidence": 0.4, "verdict" : "partial"}')
+    raised = F.when(F.col("toxic") == 1, '[{"challenge_type": "omission", "challenge_text": "x"}]').when(F.col("doc_id") % 2 == 0, "[]")
+    got = sampling.pipeline_trajectories(rows.withColumn("verifier_output", said).withColumn("challenger_output", raised))
+    return got.select("doc_id", "is_hallucinated", "verifier_correct", "challenger_correct", "shared_reward")
+
+
+@query("""
+with d as (select detector, bad, case when detector = 'critic' then quality = 0 else toxic = 1 or quality = 0 end as flagged from labels, (values ('critic'), ('debate')) v(detector), (values (false), (true)) b(bad) where doc_id % 3 <> 0 or not bad)
+select detector, count(*) filter (flagged and bad) as tp, count(*) filter (flagged and not bad) as fp, count(*) filter (not flagged and not bad) as tn, count(*) filter (not flagged and bad) as fn from d group by 1
+union all select null, 0, 0, 0, (select count(*) from labels where doc_id % 3 = 0)""")
+def detector_rows(t: Tables) -> DataFrame:
+    """Two detectors' words on both answers of each question; answers that none has seen count as not flagged."""
+    pairs = t.labels.select("doc_id", F.lit("a").alias("ground_truth"), F.lit("b").alias("hallucinated"))
+    each = t.labels.select("*", F.explode(F.array(F.lit("critic"), F.lit("debate"))).alias("detector")).select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_hallucinated"))
+    flagged = F.when(F.col("detector") == "critic", F.col("quality") == 0).otherwise((F.col("toxic") == 1) | (F.col("quality") == 0))
+    responses = each.where("doc_id % 3 <> 0 or not is_hallucinated").withColumn("is_flagged", flagged).select("doc_id", "is_hallucinated", "detector", "is_flagged")
+    rows = sampling.detected(pairs, responses, "doc_id").withColumn("is_flagged", F.coalesce("is_flagged", F.lit(False)))
+    return metrics.confusion(rows, F.col("is_flagged"), F.col("is_hallucinated"), ["detector"]).select("detector", "tp", "fp", "tn", "fn")
+
+
 # -- scope and truth --------------------------------------------------------------------------------------------------------
 
 

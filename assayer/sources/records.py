@@ -76,6 +76,20 @@ def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("append").format(kind).save(path)
 
 
+def write_report(results: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Scored results as a report: JSON lines of ``model_metrics`` (a model each) and of ``per_result`` without answers' texts and citations.
+
+    Each is a folder below ``path``, replaced as a whole, so that results of any number are written by many tasks.
+    """
+    for name, df in (("model_metrics", metrics), ("per_result", results.drop("answer_text", "citations"))):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
+def read_report(spark: SparkSession, path: str, results: str, metrics: str) -> tuple[DataFrame, DataFrame]:
+    """(per_result, model_metrics) of a written report, by their schemas."""
+    return spark.read.schema(results).json(f"{path}/per_result"), spark.read.schema(metrics).json(f"{path}/model_metrics")
+
+
 def write_debate(tables: dict[str, DataFrame], path: str) -> None:
     """The four tables of a debate, each appended below ``path``."""
     for name in ("debate_queries", "debate_claims", "debate_challenges", "debate_judge_verdicts"):

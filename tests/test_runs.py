@@ -101,3 +101,44 @@ def test_templates(spark):
     chunk = F.array(F.struct(F.lit("Note").alias("source"), F.lit("2024-01-02").alias("date"), F.lit("text").alias("text")))
     told = {r.k: r.p for r in kinds.select("k", templates.reasoning_prompt(F.col("k"), F.lit("Why?"), chunk).alias("p")).collect()}
     assert "[1] Note (2024-01-02): text\n" in told["temporal"] and "[1] Note: text\n" in told["medication"] and "Question: Why?" in told["odd"]
+
+
+def test_entries_are_in_order_at_every_depth(spark):
+    kind = "id long, data struct<z: int, a: array<struct<y: string, x: map<string, int>>>>, m map<string, struct<d: int, c: int>>"
+    rows = [(1, (2, [("s", {"q": 1, "b": 2}), (None, None)]), {"k": (1, 2), "a": (None, 3)}), (2, None, None)]
+    df = spark.createDataFrame(rows, kind)
+    made = audit.entry_json(df, ["m", "data", "id"], "text")
+    assert [r.text for r in made.orderBy("id").collect()] == ['{"data":{"a":[{"x":{"b":2,"q":1},"y":"s"},{}],"z":2},"id":1,"m":{"a":{"c":3},"k":{"c":2,"d":1}}}', '{"id":2}']
+    read = audit.read_entries(made.select("text").union(spark.createDataFrame([("no json",), (None,)], "text string")), kind, "text")
+    assert [(r.id, r.data.z if r.data else None, len(r.m) if r.m else None) for r in read.collect()] == [(1, 2, 2), (2, None, None), (None, None, None), (None, None, None)]
+
+
+def test_reports_leave_texts_out(spark, tmp_path):
+    from assayer.sources import records
+
+    results_ = spark.createDataFrame([(1, "text", ["c"], 0.5), (2, None, None, None)], "q long, answer_text string, citations array<string>, f1 double")
+    models = spark.createDataFrame([("m", 0.5)], "model string, f1 double")
+    for _ in range(2):  # the second replaces the first
+        records.write_report(results_, models, str(tmp_path / "report"))
+    rows, told = records.read_report(spark, str(tmp_path / "report"), "q long, answer_text string, f1 double", "model string, f1 double")
+    assert sorted(map(tuple, rows.collect())) == [(1, None, 0.5), (2, None, None)] and told.collect() == models.collect()
+
+
+def test_detectors_and_trajectories(spark):
+    from assayer.operators import sampling
+
+    pairs = spark.createDataFrame([(1, "t", "h"), (2, "t2", "h2")], "pair_id long, ground_truth string, hallucinated string")
+    said = spark.createDataFrame([(1, True, "d", True), (1, False, "d", False), (2, True, "d", False), (9, True, "d", True)], "pair_id long, is_hallucinated boolean, detector string, is_flagged boolean")
+    got = {(r.pair_id, r.is_hallucinated): (r.answer, r.detector, r.is_flagged) for r in sampling.detected(pairs, said).collect()}
+    assert got == {(1, True): ("h", "d", True), (1, False): ("t", "d", False), (2, True): ("h2", "d", False), (2, False): ("t2", None, None)}
+    runs = [(1, True, '{"verdict": "PARTIAL"}', '[{"challenge_type": "x"}]'), (2, True, "supported", "[]"), (3, False, '{"verdict":"supported"}', None), (4, None, None, '"challenge_type"')]
+    told = sampling.pipeline_trajectories(spark.createDataFrame(runs, "i long, is_hallucinated boolean, verifier_output string, challenger_output string"))
+    assert [(r.verifier_correct, r.challenger_correct, r.shared_reward) for r in told.orderBy("i").collect()] == [(True, True, 1.0), (False, False, -1.0), (True, True, 1.0), (False, False, -1.0)]
+
+
+def test_timelines_have_places(spark):
+    from assayer.operators import filters
+
+    rows = [("a", 3, 1), ("a", 1, 2), ("b", 5, 3), ("a", None, 4), (None, 2, 5)]
+    got = filters.timeline_order(spark.createDataFrame(rows, "who string, at long, id long"), "who", "at", ["id"])
+    assert {r.id: r.position for r in got.collect()} == {4: 1, 2: 2, 1: 3, 3: 1, 5: 1}
