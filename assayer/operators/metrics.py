@@ -44,33 +44,19 @@ def ranked_quality(df: DataFrame, query: str, k: int) -> DataFrame:
     return got.select(query, some(F.col("hits") / F.greatest("all", F.lit(1))).alias("recall"), (F.col("hits") / F.lit(k)).alias("precision"), some(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), some(F.col("dcg") / ideal).alias("ndcg"))
 
 
-def resample_sums(values: np.ndarray, block: int, sizes: np.ndarray, first: int, last: int) -> np.ndarray:
-    """For resamples ``first`` to ``last``: the sum of those draws that fall on the values of one block.
-
-    How many of a resample's draws fall on each block is one multinomial draw, which every block's task makes alike; draw j
-    of block p is value md5(b:p:j) mod its size (md5(b:j) in block 0).
-    """
-    sums, n, shares = [], int(sizes.sum()), sizes / sizes.sum()
-    for b in range(first, last):
-        seed = int.from_bytes(hashlib.md5(f"{b}:split".encode()).digest()[:8], "big")
-        drawn = int(np.random.default_rng(seed).multinomial(n, shares)[block])
-        head = f"{b}:{block}:" if block else f"{b}:"
-        begun = hashlib.md5(head.encode())
-        at = np.empty(drawn, np.int64)
-        for j in range(drawn):
-            h = begun.copy()
-            h.update(b"%d" % (j + 1))
-            at[j] = int.from_bytes(h.digest()[:4], "big")
-        sums.append(values[at % len(values)].sum())
-    return np.array(sums)
+def split_draws(b: int, sizes: np.ndarray) -> np.ndarray:
+    """How many draws of resample ``b`` fall on each block: one multinomial draw of as many as there are answers, seeded by md5."""
+    seed = int.from_bytes(hashlib.md5(f"{b}:split".encode()).digest()[:8], "big")
+    return np.random.default_rng(seed).multinomial(int(sizes.sum()), sizes / sizes.sum())
 
 
 def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.025, high: float = 0.975, block: int = DRAWN_FROM) -> DataFrame:
     """(mean, ci_low, ci_high) of resampled means, of any number of answers.
 
     Answers are numbered in order by a scan and packed into blocks of a fixed size, so no array holds them all. A resample is a
-    multinomial count for each block, and that many draws within it: the same as drawing from all of them. Blocks meet runs of resamples
-    in tasks of their own, and a (block, resample) hands on one sum. Seeds come from md5, so runs agree, wherever the partitions lie.
+    multinomial count for each block (``split_draws``), and that many draws within it: the same as drawing from all of them. Draw j within
+    block p is value md5(b:p:j) mod its size (md5(b:j) in block 0). Blocks meet runs of resamples in tasks of their own, and a (block, resample)
+    hands on one sum. So runs agree, wherever the partitions lie.
     Null values and an empty table: nulls aren't answers; without any there is no row.
     """
     answers = scan(df.where(F.col(value).isNotNull()).select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"), F.lit(0).alias("k")), ["k"], ["o", "v"], number="n")
@@ -78,16 +64,21 @@ def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.
     packed = stored(packed, "blocks")
     sizes = np.array([r.n for r in packed.select("p", F.size("vs").alias("n")).orderBy("p").collect()], np.int64)
     runs = max(1, min(draws, RUNS))
-    bounds = [draws * i // runs for i in range(runs + 1)]
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for p, run, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                sums = resample_sums(vs.values.to_numpy(), p, sizes, bounds[run], bounds[run + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(bounds[run], bounds[run + 1])), pa.array(sums)], names=["b", "s"])
-
-    met = packed.select("p", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"), "vs").repartition("p", "run")
-    means = met.mapInArrow(draw, "b long, s double").groupBy("b").agg((F.sum("s") / int(sizes.sum())).alias("m"))
+            for b in batch.column(0).to_pylist():
+                drawn = split_draws(b, sizes)
+                p = np.flatnonzero(drawn)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), b)), pa.array(np.full(len(p), b % runs)), pa.array(p), pa.array(drawn[p])], names=["b", "run", "p", "drawn"])
+
+    counts = df.sparkSession.range(draws if len(sizes) else 0).mapInArrow(split, "b long, run long, p long, drawn long")
+    tasks = max(runs, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number, since few bytes mean much work here
+    sent = packed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))).repartition(tasks, "p", "run")
+    met = counts.repartition(tasks, "p", "run").join(sent.hint("merge"), ["p", "run"])
+    head = F.when(F.col("p") == 0, F.concat(F.col("b").cast("string"), F.lit(":"))).otherwise(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("p").cast("string"), F.lit(":")))
+    pick = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("head"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.size("vs"))
+    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("drawn")), F.lit(0.0), lambda s, j: s + F.get(F.col("vs"), pick(j).cast("int")))
+    means = met.withColumn("head", head).select("b", drawn.alias("s")).groupBy("b").agg((F.sum("s") / float(max(1, sizes.sum()))).alias("m"))
     held = means.agg(F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ms") > 0)  # a number for each resample
     at = lambda q: F.element_at("ms", F.lit(int(q * draws) + 1))
     mean = answers.agg(F.avg("v").alias("mean"))

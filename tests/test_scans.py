@@ -90,5 +90,6 @@ def test_resamples_of_blocks_are_draws_from_all(spark, block):
 
 def test_draws_of_all_blocks_together():
     sizes = np.array([8, 8, 3])
-    counts = sum(metrics.resample_sums(np.ones(n), p, sizes, 0, 50) for p, n in enumerate(sizes))
-    assert (counts == 19).all()
+    counts = np.array([metrics.split_draws(b, sizes) for b in range(400)])
+    assert (counts.sum(1) == 19).all() and np.abs(counts.mean(0) - sizes).max() < 0.5 and counts.std(0).min() > 1
+    assert (metrics.split_draws(3, np.array([7])) == [7]).all()
