@@ -45,6 +45,27 @@ def test_rules_keep_prose_and_reject_garble(spark):
     assert all(got[i].kept for i in range(80)) and not any(got[i].kept for i in got if i >= 100)
 
 
+def test_common_words_alone_reject_texts_without_them(spark):
+    """Clean characters and no repeats: only the distance of common words decides, and only from some length on."""
+    rng = random.Random(9)
+    small = stats.COMMON_WORDS["en"].split()
+    stock = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) + rng.choice("nrst") for _ in range(400)]
+
+    def prose(n, share):
+        words = [rng.choice(small) if rng.random() < share else rng.choice(stock) for _ in range(n)]
+        return " ".join(" ".join(words[i : i + 12]).capitalize() + "." for i in range(0, n, 12))
+
+    rows = [(i, prose(rng.choice([60, 240, 900]), 0.27), "en") for i in range(120)]
+    rows += [(200 + i, prose(240, 0), "en" if i % 2 else None) for i in range(6)] + [(300 + i, prose(55, 0), None) for i in range(3)]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed or r.char_distance > rules.MAX_CHAR_DISTANCE for r in got.values())
+    assert {i for i in got if not got[i].kept} == {200 + i for i in range(6)}
+    for r in got.values():
+        assert r.kept == (r.word_distance <= rules.MAX_WORD_DISTANCE + rules.WORD_SLIP / math.sqrt(r.n_words))
+    free = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_word=1.0)
+    assert free.where("not kept").count() == 0
+
+
 def plain_distance(p, q):
     p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
     m = [(a + b) / 2 for a, b in zip(p, q)]
@@ -91,7 +112,7 @@ def test_distances_are_those_of_plain_counts(spark):
             by_char.append(plain_distance(chars, ref.classes.tolist()) if t else 1)
             by_word.append(plain_distance([*words, len(plain) - sum(words)], ref_words) if plain else 1)
         assert got[i].char_distance == pytest.approx(min(by_char), abs=1e-9) and got[i].word_distance == pytest.approx(min(by_word), abs=1e-9)
-        far = (len(t or "") >= 200 and min(by_char) > rules.MAX_CHAR_DISTANCE) or (got[i].n_words >= 50 and min(by_word) > rules.MAX_WORD_DISTANCE)
+        far = (len(t or "") >= 200 and min(by_char) > rules.MAX_CHAR_DISTANCE) or (got[i].n_words >= 50 and min(by_word) > rules.MAX_WORD_DISTANCE + rules.WORD_SLIP / math.sqrt(got[i].n_words))
         written = {r.script for r in known.values()} | {""}
         assert got[i].kept == (not got[i].base_failed and not (far and got[i].script in written))
 
