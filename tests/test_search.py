@@ -114,3 +114,10 @@ def test_nearest_of_nothing(spark):
     some = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "chunk_id long, embedding array<float>")
     ask = lambda df: df.withColumnRenamed("chunk_id", "query_id")
     assert [nearest.search(ask(q), c, 3, "query_id", "chunk_id").count() for q, c in ((none, some), (some, none), (some, some), (none, none))] == [0, 0, 1, 0]
+
+
+def test_bm25_blocks_do_not_grow_with_queries_and_slices():
+    """Each block takes all lists of its slices, so that blocks times lists must not grow with the square of the tables."""
+    sent = [lexical.n_blocks(rows // 50, max(1, rows // lexical.SLICE), lexical.BLOCK) * rows for rows in (50_000, 500_000, 800_000)]
+    assert sent[1] <= 10 * sent[0] and sent[2] <= 16 * sent[0]
+    assert lexical.n_blocks(200, 1, 32) == 7 and lexical.n_blocks(5, 4, 3) == 2 and lexical.n_blocks(0, 1, 32) == 1
