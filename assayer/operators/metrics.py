@@ -15,6 +15,12 @@ from .stored import stored
 
 #: Answers of a block that resamples draw from, and runs of resamples that a block is sent to.
 DRAWN_FROM, RUNS = 1 << 16, 32
+#: Messages that are hashed side by side.
+HASHED = 1 << 13
+#: Fixed values of MD5 (RFC 1321).
+MD5_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+MD5_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+MD5_SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2.0**32).astype(np.uint32)
 
 
 def confusion(df: DataFrame, flagged: Column, truth: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -50,6 +56,35 @@ def split_draws(b: int, sizes: np.ndarray) -> np.ndarray:
     return np.random.default_rng(seed).multinomial(int(sizes.sum()), sizes / sizes.sum())
 
 
+def md5_heads(head: bytes, n: int) -> np.ndarray:
+    """The first 32 bits of md5(head followed by j) for j from 1 to n, as unsigned integers; messages of one length are hashed side by side.
+
+    A message has at most 55 bytes.
+    """
+    out, start = np.empty(n, np.uint32), 1
+    while start <= n:
+        stop = min(n + 1, 10 ** len(str(start)), start + HASHED)
+        j, size = np.arange(start, stop, dtype=np.uint32), len(head) + len(str(start))
+        words = np.zeros((16, len(j)), np.uint32)
+        signs = [*head, *(j // np.uint32(10 ** (len(str(start)) - 1 - i)) % np.uint32(10) + np.uint32(48) for i in range(len(str(start)))), 0x80]
+        for i, sign in enumerate(signs):
+            words[i // 4] |= np.uint32(sign) << np.uint32(8 * (i % 4))
+        words[14] = 8 * size
+        a, b, c, d = (np.full(len(j), x, np.uint32) for x in MD5_START)
+        for i in range(64):
+            turn = i // 16
+            f = d ^ b & (c ^ d) if turn == 0 else c ^ d & (b ^ c) if turn == 1 else b ^ c ^ d if turn == 2 else c ^ (b | ~d)
+            g = (i, 5 * i + 1, 3 * i + 5, 7 * i)[turn]
+            f += a
+            f += words[g % 16]
+            f += MD5_SINES[i]
+            by = MD5_TURNS[turn][i % 4]
+            a, d, c, b = d, c, b, b + (f << np.uint32(by) | f >> np.uint32(32 - by))
+        out[start - 1 : stop - 1] = (a + np.uint32(MD5_START[0])).byteswap()
+        start = stop
+    return out
+
+
 def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.025, high: float = 0.975, block: int = DRAWN_FROM) -> DataFrame:
     """(mean, ci_low, ci_high) of resampled means, of any number of answers.
 
@@ -64,6 +99,7 @@ def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.
     packed = stored(packed, "blocks")
     sizes = np.array([r.n for r in packed.select("p", F.size("vs").alias("n")).orderBy("p").collect()], np.int64)
     runs = max(1, min(draws, RUNS))
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column(0).to_pylist():
@@ -74,11 +110,17 @@ def bootstrap(df: DataFrame, value: str, order: str, draws: int, low: float = 0.
     counts = df.sparkSession.range(draws if len(sizes) else 0).mapInArrow(split, "b long, run long, p long, drawn long")
     tasks = max(runs, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a number, since few bytes mean much work here
     sent = packed.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")))).repartition(tasks, "p", "run")
-    met = counts.repartition(tasks, "p", "run").join(sent.hint("merge"), ["p", "run"])
-    head = F.when(F.col("p") == 0, F.concat(F.col("b").cast("string"), F.lit(":"))).otherwise(F.concat(F.col("b").cast("string"), F.lit(":"), F.col("p").cast("string"), F.lit(":")))
-    pick = lambda j: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("head"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint"), F.size("vs"))
-    drawn = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("drawn")), F.lit(0.0), lambda s, j: s + F.get(F.col("vs"), pick(j).cast("int")))
-    means = met.withColumn("head", head).select("b", drawn.alias("s")).groupBy("b").agg((F.sum("s") / float(max(1, sizes.sum()))).alias("m"))
+
+    def draw(asked: pa.Table, block: pa.Table) -> pa.Table:
+        values, sums = block["vs"].combine_chunks().values.to_numpy(zero_copy_only=False) if block.num_rows else np.zeros(0), []
+        for b, p, drawn in zip(*(asked[c].to_pylist() for c in ("b", "p", "drawn")), strict=True):
+            places = md5_heads(f"{b}:{p}:".encode() if p else f"{b}:".encode(), drawn)
+            sums.append(float(values[places % np.uint32(len(values))].sum()))
+        return pa.table({"b": asked["b"], "s": pa.array(sums, pa.float64())})
+
+    dealt = [x.repartition(tasks, "p", "run").groupBy("p", "run") for x in (counts, sent)]
+    drawn = dealt[0].cogroup(dealt[1]).applyInArrow(draw, "b long, s double")
+    means = drawn.groupBy("b").agg((F.sum("s") / float(max(1, sizes.sum()))).alias("m"))
     held = means.agg(F.array_sort(F.collect_list("m")).alias("ms")).where(F.size("ms") > 0)  # a number for each resample
     at = lambda q: F.element_at("ms", F.lit(int(q * draws) + 1))
     mean = answers.agg(F.avg("v").alias("mean"))

@@ -93,3 +93,12 @@ def test_draws_of_all_blocks_together():
     counts = np.array([metrics.split_draws(b, sizes) for b in range(400)])
     assert (counts.sum(1) == 19).all() and np.abs(counts.mean(0) - sizes).max() < 0.5 and counts.std(0).min() > 1
     assert (metrics.split_draws(3, np.array([7])) == [7]).all()
+
+
+def test_md5_side_by_side_equals_hashlib():
+    import hashlib
+
+    for head in (b"", b"7:", b"9999:12:", b"x" * 49):
+        told = metrics.md5_heads(head, 12_345).tolist()
+        assert told == [int(hashlib.md5(head + str(j).encode()).hexdigest()[:8], 16) for j in range(1, 12_346)]
+    assert metrics.md5_heads(b"7:", 0).tolist() == []
