@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +35,17 @@ HEADERS = [
 ]
 
 
-def _known_header(line: Column) -> Column:
+def certain(pattern: str) -> str:
+    """The longest run of letters that every match of a HEADERS pattern has, in lower case."""
+    bare = re.sub(r".[?*]|\\s\+?", " ", re.sub(r"\\s\*", " ", re.sub(r"\([^()]*\)[?*]?", " ", pattern)))
+    return max(re.findall("[a-z]+", bare), key=len)
+
+
+def _known_header(line: Column, low: Column) -> Column:
+    """The section of the first pattern that a line matches; patterns are tried only on lines with their ``certain`` letters."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(HEADERS):
-        out = F.when(line.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
+        out = F.when(F.contains(low, F.lit(certain(pattern))) & line.rlike(f"(?i){pattern}"), F.lit(name)).otherwise(out)
     return out
 
 
@@ -47,16 +55,22 @@ def sections(notes: DataFrame, id: str = "document_id", body: str = "text") -> D
     A line that has only a capitalised header of a known section begins it; a header that no pattern knows is tried again
     with the colon after it, which abbreviations need. Lines before the
     first header are of section 'other'; a section that recurs goes on after an empty line. Empty sections are left out.
+    All is done where the note is: nothing is shuffled.
     """
-    lines = notes.select(id, F.posexplode(F.split(body, "\n")).alias("at", "line"))
-    header = F.regexp_extract("line", r"^[ \t]*([A-Z][A-Za-z &/\-]+)[ \t]*:?[ \t]*$", 1)
-    kind = F.coalesce(_known_header(F.trim(header)), _known_header(F.trim("line")))
-    order = Window.partitionBy(id).orderBy("at")
-    marked = lines.withColumn("head", F.when(header != "", kind)).withColumn("run", F.count("head").over(order)).withColumn("section", F.coalesce(F.last("head", True).over(order), F.lit("other")))
-    runs = marked.where(F.col("head").isNull()).groupBy(id, "section", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("part"))
-    parts = runs.withColumn("part", F.regexp_replace("part", r"^\s+|\s+$", "")).where("part != ''")
-    built = parts.groupBy(id, "section").agg(F.min("run").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "part"))), lambda x: x["part"]), "\n\n").alias("body"))
-    return built.select(id, "pos", "section", "body")
+    header = lambda line: F.regexp_extract(line, r"^[ \t]*([A-Z][A-Za-z &/\-]+)[ \t]*:?[ \t]*$", 1)
+    cut = F.transform("lines", lambda line: F.struct(F.trim(header(line)).alias("h"), F.trim(line).alias("t"), F.lower(line).alias("l")))  # once for each line, not for each pattern
+    kinds = F.transform(cut, lambda x: F.when(x["h"] != "", F.coalesce(_known_header(x["h"], x["l"]), _known_header(x["t"], x["l"]))))
+    lines = notes.select(id, F.split(body, "\n").alias("lines")).where(F.col("lines").isNotNull()).select(id, "lines", kinds.alias("heads"))
+    starts = F.filter(F.transform("heads", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull())
+    # a run of lines begins after each header, and one before the first
+    runs = lines.withColumn("at", F.concat(F.array(F.lit(-1)), starts, F.array(F.size("lines"))))
+    part = lambda i: F.regexp_replace(F.array_join(F.slice("lines", F.get("at", i) + 2, F.get("at", i + 1) - F.get("at", i) - 1), "\n"), r"^\s+|\s+$", "")
+    named = lambda i: F.when(i == 0, "other").otherwise(F.get("heads", F.get("at", i)))
+    made = F.transform(F.sequence(F.lit(0), F.size("at") - 2), lambda i: F.struct(i.cast("long").alias("run"), named(i).alias("section"), part(i).alias("part")))
+    parts = runs.select(id, made.alias("parts")).select(id, F.filter("parts", lambda p: p["part"] != "").alias("parts"))
+    each = parts.select(id, "parts", F.explode(F.array_distinct(F.transform("parts", lambda p: p["section"]))).alias("section"))
+    own = each.select(id, "section", F.filter("parts", lambda p: p["section"] == F.col("section")).alias("own"))
+    return own.select(id, F.get("own", F.lit(0))["run"].alias("pos"), "section", F.array_join(F.transform("own", lambda p: p["part"]), "\n\n").alias("body"))
 
 
 def chunks(docs: DataFrame, id: str = "document_id", patient: str = "patient_id", section: str = "section", pos: str = "pos", body: str = "body", max_tokens: int = MAX_TOKENS, overlap: int = OVERLAP, min_tokens: int = MIN_TOKENS) -> DataFrame:

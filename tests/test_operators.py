@@ -467,3 +467,22 @@ def test_safety_summary_union_and_training_rows(spark):
     assert got[0].source == "medhallu_medium" and got[0].evidence == "[1] " + "k" * 800 + "\n[2] m"
     nli = spark.createDataFrame([("p", "h", "Contradiction "), ("p", "h", "0"), ("p", "h", None), ("", "h", "neutral")], "premise string, hypothesis string, label string")
     assert [(r.expected_verdict, r.challenger_should_challenge, r.judge_target_score) for r in sampling.inference_trajectories(nli).collect()] == [("not_supported", True, 0.0), ("entailment", False, 1.0), ("partial", False, 0.5)]
+
+
+def test_sections_are_made_where_the_note_is(spark):
+    notes = ["Chief Complaint:\nx\n\nMedications\n a \nAllergies:\nMedications\nb\nLast Seen\nmore", "Plan:", "\n\n", "first\nHPI:\nHPI:\nlast", None]
+    got = chunking.sections(spark.createDataFrame(list(enumerate(notes)), "document_id int, text string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (0, 1, "chief_complaint", "x"), (0, 2, "medications", "a\n\nb\nLast Seen\nmore"), (3, 0, "other", "first"), (3, 2, "history_present_illness", "last"),
+    ]
+
+
+def test_header_patterns_are_tried_on_all_lines_that_match():
+    import re
+
+    lines = ["Chief  Complaint", "CC :", "Reason for Visit", "HPI:", "Medications on admission", "Allergies", "Drug allergies", "A / P :", "A&P:", "Labs :", "Laboratory Result", "Lab Results", "Vital Sign", "Physical Examination", "Imaging", "Procedures performed", "ROS:", "Exam:", "Plan:"]
+    for _, pattern in chunking.HEADERS:
+        assert all(chunking.certain(pattern) in line.lower() for line in lines if re.search(f"(?i){pattern}", line))
+    wanted = {"a": r"a\s*/\s*p\s*:", "medication": r"medications?\s*(on\s+admission|at\s+home|list)?", "result": r"lab(oratory)?\s+results?"}
+    assert all(chunking.certain(p) == k for k, p in wanted.items())
