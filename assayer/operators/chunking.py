@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from .stored import lower_batches
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tokens of a chunk, of its overlap, and the least that a further chunk of a section needs.
 MAX_TOKENS, OVERLAP, MIN_TOKENS = 512, 128, 50
+#: Words whose places are made at once, about.
+PLACED = 1 << 17
 
 #: Section headers, patterns in the order in which they are tried.
 HEADERS = [
@@ -96,18 +99,25 @@ def word_offsets(docs: DataFrame, id: str = "document_id", body: str = "text") -
 
     The places are running lengths of a text's parts, made where the text is: nothing is shuffled, and no window holds a long text's words.
     """
+    lower_batches(docs.sparkSession)
     split = docs.select(id, F.regexp_extract_all(body, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)")).alias("parts")).where(F.size("parts") > 0)
     out = T.StructType([docs.schema[id], *T.StructType.fromDDL("n int, part string, char_end long").fields])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.list_value_length(batch.column(1)).to_numpy()
-            parts = batch.column(1).flatten()
-            ends = np.cumsum(pc.utf8_length(parts).to_numpy().astype(np.int64))
-            first = np.cumsum(sizes) - sizes
-            before = np.append(0, ends)[first]
-            n = np.arange(len(parts)) - np.repeat(first, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(n, pa.int32()), parts, pa.array(ends - np.repeat(before, sizes))], names=out.names)
+            last = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy()) // PLACED
+            bounds = [0, *(np.flatnonzero(np.diff(last)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(bounds, bounds[1:]):  # texts of about PLACED words at once
+                yield placed(batch.slice(i, j - i))
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = pc.list_value_length(batch.column(1)).to_numpy()
+        parts = batch.column(1).flatten()
+        ends = np.cumsum(pc.utf8_length(parts).to_numpy().astype(np.int64))
+        first = np.cumsum(sizes) - sizes
+        before = np.append(0, ends)[first]
+        n = np.arange(len(parts)) - np.repeat(first, sizes)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(n, pa.int32()), parts, pa.array(ends - np.repeat(before, sizes))], names=out.names)
 
     word = F.regexp_extract("part", f"({WORD})", 1)
     return split.mapInArrow(place, out).select(id, "n", word.alias("word"), (F.col("char_end") - F.length(word)).alias("char_start"), "char_end")

@@ -35,6 +35,13 @@ def short_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(key, before)
 
 
+def lower_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the Arrow batch for a session that still has a larger one, for results that are planned after the call."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return the written rows; a lost executor costs no recomputation of what is behind them."""
     path = folder(df.sparkSession, name)

@@ -102,3 +102,22 @@ def test_md5_side_by_side_equals_hashlib():
         told = metrics.md5_heads(head, 12_345).tolist()
         assert told == [int(hashlib.md5(head + str(j).encode()).hexdigest()[:8], 16) for j in range(1, 12_346)]
     assert metrics.md5_heads(b"7:", 0).tolist() == []
+
+
+def test_texts_go_to_python_in_short_batches(spark, monkeypatch):
+    from assayer.functions import text
+    from assayer.operators import chunking
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        monkeypatch.setattr(chunking, "PLACED", 3)
+        rows = spark.createDataFrame([(0, "a bb  c d"), (1, "e"), (2, ""), (3, "é f g"), (4, None)], "document_id long, text string").coalesce(1)
+        got = sorted(tuple(r) for r in chunking.word_offsets(rows).collect())
+        assert int(spark.conf.get(key)) <= 1000
+        assert got == [(0, 0, "a", 0, 1), (0, 1, "bb", 2, 4), (0, 2, "c", 6, 7), (0, 3, "d", 8, 9), (1, 0, "e", 0, 1), (3, 0, "é", 0, 1), (3, 1, "f", 2, 3), (3, 2, "g", 4, 5)]
+    finally:
+        spark.conf.set(key, before)
+    told = spark.createDataFrame([("ﬁ \u0041\u030a",), ("plain",), (None,), ("",)], "t string").select(text.nfkc(F.col("t"))).collect()
+    assert [r[0] for r in told] == ["fi \u00c5", "plain", None, ""]
