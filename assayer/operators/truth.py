@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import filters, metrics, records
@@ -17,9 +17,11 @@ def recent_conditions(conditions: DataFrame, encounters: DataFrame) -> DataFrame
     Reads patient_id, encounter_id, display, code, and start of encounters; of equal starts the smallest id is the latest.
     """
     last = encounters.groupBy("patient_id").agg(F.max_by("encounter_id", F.struct("start", (-F.col("encounter_id")).alias("i"))).alias("__last"))
-    marked = conditions.join(last, "patient_id", "left").withColumn("__recent", F.coalesce(F.col("encounter_id") == F.col("__last"), F.lit(False)))
-    some = marked.groupBy("patient_id").agg(F.bool_or("__recent").alias("__some"))
-    return marked.join(some, "patient_id").where(F.col("__recent") | ~F.col("__some")).select("patient_id", F.col("display").alias("entity"), "code").distinct()
+    recent = F.coalesce(F.col("encounter_id") == F.col("__last"), F.lit(False))
+    # one pass over the joined rows; a patient's distinct conditions are few
+    each = conditions.join(last, "patient_id", "left").groupBy("patient_id", F.col("display").alias("entity"), "code").agg(F.bool_or(recent).alias("__recent"))
+    some = F.max("__recent").over(Window.partitionBy("patient_id"))
+    return each.withColumn("__some", some).where(F.col("patient_id").isNotNull() & (F.col("__recent") | ~F.col("__some"))).select("patient_id", "entity", "code")
 
 
 def lab_entities(labs: DataFrame, kidney: bool = False) -> DataFrame:

@@ -486,3 +486,11 @@ def test_header_patterns_are_tried_on_all_lines_that_match():
         assert all(chunking.certain(pattern) in line.lower() for line in lines if re.search(f"(?i){pattern}", line))
     wanted = {"a": r"a\s*/\s*p\s*:", "medication": r"medications?\s*(on\s+admission|at\s+home|list)?", "result": r"lab(oratory)?\s+results?"}
     assert all(chunking.certain(p) == k for k, p in wanted.items())
+
+
+def test_recent_conditions_join_their_rows_once(spark):
+    enc = spark.createDataFrame([(1, 10, 5), (1, 11, 5), (2, 20, 1), (None, 30, 1)], "patient_id int, encounter_id int, start int")
+    cond = spark.createDataFrame([(1, 10, "a", None), (1, 10, "a", None), (1, 11, "b", "x"), (2, 19, "c", None), (2, 18, "c", None), (3, 1, None, None), (None, 30, "d", None)], "patient_id int, encounter_id int, display string, code string")
+    got = truth.recent_conditions(cond, enc)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == ["(1, 'a', None)", "(2, 'c', None)", "(3, None, None)"]
