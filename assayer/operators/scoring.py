@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import alignment, answers
+from .stored import stored
 
 ROUGE_TOKENS = 2000
 
@@ -19,15 +20,28 @@ def entity_scores(said: DataFrame, truth: DataFrame, query: str = "query_id") ->
 
     ``truth`` has a row (query, entity, name, code) for each; an entity is found by its text, its name, or a code of three
     characters or more in the answer. Answer entities that match no true one are hallucinated. Without answer entities
-    precision is 1 if anything was found; queries without true entities score 0.
+    precision is 1 if anything was found; queries without true entities score 0. A query has one answer.
     """
-    asked = truth.select(query, F.monotonically_increasing_id().alias("gt"), "entity", "name", "code")
-    hit = text.entity_mentioned(F.col("entity"), F.col("answer")) | F.coalesce(text.entity_mentioned(F.col("name"), F.col("answer")), F.lit(False)) | F.coalesce((F.length("code") >= 3) & F.contains(F.col("answer"), F.col("code")), F.lit(False))
-    recall = asked.join(said.select(query, "answer"), query).groupBy(query).agg(F.count("*").alias("total_gt"), F.count_if(hit).alias("found"))
-    own = said.select(query, F.posexplode(text.extract_entities(F.col("answer"))).alias("at", "said"))
-    same = text.entity_matches(F.col("said"), F.col("entity")) | F.coalesce(text.entity_matches(F.col("said"), F.col("name")), F.lit(False))
-    matched = own.join(truth.select(query, "entity", "name"), query).groupBy(query, "at").agg(F.bool_or(same).alias("ok")).groupBy(query).agg(F.count("*").alias("total_answer"), F.count_if("ok").alias("matched"))
-    told = said.select(query).join(recall, query, "left").join(matched, query, "left").na.fill(0, ["total_gt", "found", "total_answer", "matched"])
+    read = stored(said.select(query, "answer", text.extract_entities(F.col("answer")).alias("own")), "answers")
+    own = read.select(query, F.explode("own").alias("entity"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("code"), F.lit(True).alias("said"))
+    rows = own.unionByName(truth.select(query, "entity", "name", "code", F.lit(False).alias("said")))
+    # what tests compare by is made once for each distinct name, and once for each answer; not for each pair
+    names = rows.select(F.explode(F.array("entity", "name")).alias("of")).where("of is not null").distinct()
+    forms = stored(names.select("of", *(c.alias(k) for k, c in text.plain_forms(F.col("of")).items())), "forms")
+    of = lambda c: forms.select(F.col("of").alias(f"{c}_of"), F.struct("n", "s", "e").alias(f"{c}_forms"))
+    told = rows.join(of("entity"), F.col("entity") == F.col("entity_of"), "left").join(of("name"), F.col("name") == F.col("name_of"), "left")
+    kept = lambda which: F.collect_list(F.when(which, F.struct(F.col("entity_forms").alias("entity"), F.col("name_forms").alias("name"), "code")))
+    held = told.groupBy(query).agg(kept(F.col("said")).alias("own"), kept(~F.col("said")).alias("truths"))
+    wide = lambda f: text.with_words({k: f[k] for k in ("n", "s", "e")})
+    made = read.select(query, "answer").join(held, query, "left").select(
+        query, "answer", F.struct(*(c.alias(k) for k, c in text.text_forms(F.col("answer")).items())).alias("read"),
+        F.transform("own", lambda o: wide(o["entity"])).alias("own"), F.transform("truths", lambda t: F.struct(wide(t["entity"]).alias("entity"), wide(t["name"]).alias("name"), t["code"].alias("code"))).alias("truths"),
+    )
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    hit = lambda t: sure(text.forms_mentioned(t["entity"], F.col("read"))) | sure(text.forms_mentioned(t["name"], F.col("read"))) | sure((F.length(t["code"]) >= 3) & F.contains(F.col("answer"), t["code"]))
+    same = lambda o, t: sure(text.forms_match(o, t["entity"])) | sure(text.forms_match(o, t["name"]))
+    counts = {"total_gt": F.size("truths"), "found": F.size(F.filter("truths", hit)), "total_answer": F.when(F.size("truths") > 0, F.size("own")), "matched": F.size(F.filter("own", lambda o: F.exists("truths", lambda t: same(o, t))))}
+    told = made.select(query, *(F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long").alias(k) for k, c in counts.items()))
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     told = told.withColumn("recall", F.coalesce(share("found", "total_gt"), F.lit(0.0)))
     told = told.withColumn("precision", F.when(F.col("total_gt") == 0, 0.0).otherwise(F.coalesce(share("matched", "total_answer"), (F.col("found") > 0).cast("double"))))
