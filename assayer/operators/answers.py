@@ -71,9 +71,10 @@ def verify_entities(answers: DataFrame, evidence: DataFrame, query: str = "query
     asked = answers.select(query, "answer", F.posexplode_outer(text.extract_entities(F.col("answer"))).alias("at", "entity"))
     spare = text.is_numeric_entity(F.col("entity")) | text.is_descriptive(F.col("entity"))
     joined = evidence.groupBy(query).agg(F.array_join(in_order(evidence, "text"), " ").alias("all"))
-    tested = asked.where("entity is not null").join(joined, query, "left").withColumn("fast", spare | F.coalesce(text.entity_in_text(F.col("entity"), F.col("all")), F.lit(False)))
-    slow = tested.where("not fast").join(evidence.select(query, "text"), query).groupBy(query, "at").agg(F.bool_or(text.entity_in_text(F.col("entity"), F.col("text"))).alias("slow"))
-    told = tested.join(slow, [query, "at"], "left").withColumn("ok", F.col("fast") | F.coalesce("slow", F.lit(False)))
+    # normal forms of evidence are made once for each query; what one text alone has, all of them joined have too
+    seen = joined.select(query, text.normalize(F.col("all")).alias("plain")).select(query, "plain", text.words(F.col("plain")).alias("words"))
+    tested = asked.where("entity is not null").withColumn("forms", text.sought_forms(F.col("entity"))).join(seen, query, "left")
+    told = tested.withColumn("ok", spare | F.coalesce(text.forms_in_text(F.col("forms"), F.col("plain"), F.col("words")), F.lit(False)))
     pick = lambda ok: F.transform(F.array_sort(F.collect_list(F.when(F.col("ok") == ok, F.struct("at", "entity")))), lambda x: x["entity"])
     sets = told.groupBy(query).agg(pick(True).alias("grounded"), pick(False).alias("removed"))
     none = F.array().cast("array<string>")

@@ -408,6 +408,15 @@ def test_forms_are_made_once_for_each_name_and_answer(spark):
     assert "posexplode" not in plan and plan.count("regexp_replace") < 80  # 2,000 before: the forms of both for each pair
 
 
+def test_evidence_is_normalised_once_for_each_query(spark):
+    said = spark.createDataFrame([(1, "1. HTN\n2. knee pain\n3. quixotic zephyr\n4. red moon rising high"), (2, "1. gout")], "query_id long, answer string")
+    evidence = spark.createDataFrame([(1, 1, "Hypertension, knee"), (1, 2, "pain; red MOON"), (1, 3, None)], "query_id long, rank int, text string")
+    got = answers.verify_entities(said, evidence)
+    assert {r.query_id: (r.grounded, r.removed) for r in got.collect()} == {1: (["HTN", "knee pain", "red moon rising high"], ["quixotic zephyr"]), 2: ([], ["gout"])}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(all#" not in plan.split("Join LeftOuter", 1)[0] and "slow" not in plan
+
+
 # -- what the last round missed -------------------------------------------------------------------------------------------
 
 
