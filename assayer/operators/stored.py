@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _PATH = "_assayer_stored"
+_CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -43,9 +44,17 @@ def lower_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the written rows; a lost executor costs no recomputation of what is behind them."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` once and return the written rows; a lost executor costs no recomputation of what is behind them.
+
+    Shuffle files behind the written rows are let go as soon as these stand.
+    """
+    path, spark = folder(df.sparkSession, name), df.sparkSession
+    before = spark.conf.get(_CLEANED, None)
+    spark.conf.set(_CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANED) if before is None else spark.conf.set(_CLEANED, before)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     made.__dict__[_PATH] = path
     return made

@@ -887,9 +887,11 @@ def cited_replies(t: Tables) -> DataFrame:
     said = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))
     most = chunks.where("document_id % 50 = 0").groupBy("document_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     hits = retrieval.bm25(said.withColumnRenamed("answer", "text"), chunks.select("chunk_id", "text"), [], 5 + most)
-    held = hits.join(chunks, "chunk_id").where("document_id <> query_id")
+    held = hits.join(chunks.select("chunk_id", "document_id"), "chunk_id").where("document_id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "chunk_id"))
-    return citations.cite(said, held.withColumn("rank", place).where("rank <= 5").select("query_id", "chunk_id", "rank", "text"))
+    best = held.withColumn("rank", place).where("rank <= 5").select("query_id", "chunk_id", "rank")
+    # five rows for each stated document go to the texts, which stay where they are
+    return citations.cite(said, F.broadcast(best).join(chunks.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "rank", "text"))
 
 
 _DEBATE = """

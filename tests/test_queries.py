@@ -105,3 +105,13 @@ def test_verified_answers_drop_what_nobody_said(spark):
     assert len(rows) == replies > 0
     for r in rows:
         assert "quixotic zephyr" in r.removed and "quixotic" not in r.cleaned and not set(r.grounded) & set(r.removed)
+
+
+def test_cited_replies_shuffle_no_chunk_texts_for_their_hits(spark, monkeypatch):
+    from assayer.operators import citations
+
+    monkeypatch.setattr(citations, "cite", lambda said, held: held)
+    held = queries.QUERIES["cited_replies"](spark, FOLDER)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    texts = next(x for x in plan.split("\n") if "FileScan parquet" in x and "ReadSchema: struct<chunk_id:string,text:string>" in x)
+    assert "BroadcastHashJoin" in plan and texts and held.groupBy("query_id").count().where("count > 5").count() == 0
