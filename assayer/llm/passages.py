@@ -36,6 +36,8 @@ from . import scratch, texts
 WINDOW, ANCHOR = 35, 16
 #: Bytes of text in a shard, about, and bytes of text whose values share a bucket.
 SHARD_BYTES, BUCKET_BYTES, LEAST_SHARDS = 4 << 20, 16 << 20, 8
+#: Bytes of text whose windows are hashed at once; some 30 times as many are held for that.
+AT_ONCE = 1 << 20
 #: Words of a passage at most; longer ones are cut with an overlap of a window less a word.
 PASSAGE = 512
 #: Words of a tile, a power of two, and the bits of the table by which most stretches are known to hold none.
@@ -158,7 +160,7 @@ def _arrow(ddl: str) -> tuple[T.StructType, pa.Schema]:
 
 def _parts(table: pa.Table, text: str) -> Iterator[pa.RecordBatch]:
     for batch in table.combine_chunks().to_batches():
-        yield from texts.slices(batch, pc.binary_length(batch.column(text)))
+        yield from texts.slices(batch, pc.binary_length(batch.column(text)), AT_ONCE)
 
 
 def _anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -187,6 +189,8 @@ def _anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 told_values, told_shard = values[many], shard[many]
                 rows += [(None, s, np.unique(told_values[i]).tobytes(), None) for s, i in _groups(told_shard)]
                 yield from _table(rows, arrow).to_batches()
+                own = None
+        texts.give_back()
 
     asked = scratch.cut(docs.select("__shard", "__text").mapInArrow(count, schema), "anchors")
     answer, answer_arrow = _arrow("shard long, values binary")
@@ -197,7 +201,7 @@ def _anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         recurs = (np.bincount(which, weights=1 + (owners < 0)) > 1)[which] & (owners >= 0)
         return _table([(s, values[recurs][i].tobytes()) for s, i in _groups(owners[recurs])], answer_arrow)
 
-    answers = asked.where("bucket is not null").select("bucket", "values", "owners").groupBy("bucket").applyInArrow(decide, answer)
+    answers = asked.where("bucket is not null").select("bucket", "values", "owners").groupBy("bucket").applyInArrow(lambda rows: texts.give_back(decide(rows)), answer)
     return answers.union(asked.where("shard is not null").select("shard", "values"))
 
 
@@ -231,7 +235,7 @@ def _confirm(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) ->
             rows += [(b, shard, None, None, None, v[i].tobytes(), k[i].tobytes(), p[i].tobytes(), twice[i].tobytes()) for b, i in _groups(_bucket(v, buckets))]
         return _table(rows, arrow)
 
-    hashed = scratch.cut(docs.select("__shard", "__key", "__text").groupBy("__shard").cogroup(anchors.groupBy("shard")).applyInArrow(hash_windows, schema), "windows")
+    hashed = scratch.cut(docs.select("__shard", "__key", "__text").groupBy("__shard").cogroup(anchors.groupBy("shard")).applyInArrow(lambda own, known: texts.give_back(hash_windows(own, known)), schema), "windows")
     chosen, chosen_arrow = _arrow("shard long, asks boolean, keys binary, places binary")
     stride = PASSAGE - window + 1
 
@@ -251,7 +255,7 @@ def _confirm(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) ->
             rows.append((s, True, *(x.tobytes() for x in _distinct(k[told[heard[i]]], p[told[heard[i]]] // stride))))
         return _table(rows, chosen_arrow)
 
-    decided = scratch.cut(hashed.where("bucket is not null").select("bucket", "shard", "values", "keys", "places", "twice").groupBy("bucket").applyInArrow(decide, chosen), "speakers")
+    decided = scratch.cut(hashed.where("bucket is not null").select("bucket", "shard", "values", "keys", "places", "twice").groupBy("bucket").applyInArrow(lambda rows: texts.give_back(decide(rows)), chosen), "speakers")
     piece, piece_arrow = _arrow("key long, piece int, passage binary")
 
     def cut(runs: pa.Table, said: pa.Table) -> pa.Table:
@@ -280,7 +284,7 @@ def _confirm(docs: DataFrame, anchors: DataFrame, window: int, buckets: int) ->
         return pa.table([pa.array(np.full(len(k), rows["shard"][0].as_py())), pa.array(k), pa.array(p)], schema=asked_arrow)
 
     runs = hashed.where("run is not null").select("shard", "key", "start", "run")
-    pieces = runs.groupBy("shard").cogroup(decided.where("not asks").groupBy("shard")).applyInArrow(cut, piece)
+    pieces = runs.groupBy("shard").cogroup(decided.where("not asks").groupBy("shard")).applyInArrow(lambda runs, said: texts.give_back(cut(runs, said)), piece)
     asks = decided.where("asks").select("shard", "keys", "places").groupBy("shard").applyInArrow(ask, asked)
     return asks.join(pieces, ["key", "piece"]).select("shard", "passage")
 
@@ -397,18 +401,23 @@ def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", drop_text:
     added = T.StructType.fromDDL("n_words long, n_removed long, kept string")
     kept = [c for c in docs.columns if c not in added.names and not (drop_text and c == text)]
     docs, key = _keyed(docs, text)
-    keyed = docs.select(*(docs[c] for c in kept), key.alias("__key"), F.pmod(key, F.lit(shards)).alias("__shard"), texts.utf8(docs, text).alias("__text"))
-    slim = keyed.select("__shard", "__key", "__text")
+    shard = F.pmod(key, F.lit(shards)).alias("__shard")
+    slim = docs.select(shard, key.alias("__key"), texts.utf8(docs, text).alias("__text"))
     passages = scratch.cut(_confirm(slim, _anchors(slim, window, buckets), window, buckets), "passages")
+    # a text that stays is sent once; its bytes go along only where they aren't UTF-8
+    spare = F.is_valid_utf8(text) if text in kept and isinstance(docs.schema[text].dataType, T.StringType) else F.lit(text in kept)
+    keyed = docs.select(*(docs[c] for c in kept), shard, F.when(~F.coalesce(spare, F.lit(True)), texts.utf8(docs, text)).alias("__text"))
     schema = T.StructType([*(keyed.schema[c] for c in kept), *added.fields])
     arrow = to_arrow_schema(schema)
 
     def locate(own: pa.Table, known: pa.Table) -> pa.Table:
         if not own.num_rows:
             return arrow.empty_table()
+        _hashes.clear()
         locator = Locator(known["passage"].to_pylist(), window)
         n_words, n_removed, left = [], [], []
-        for raw in own["__text"].to_pylist():
+        sent = own["__text"] if text not in kept else pc.coalesce(own["__text"], own[text].cast(own["__text"].type))
+        for raw in pc.fill_null(sent, b"").to_pylist():
             words = raw.split()
             gone = locator.covered(words)
             n_words.append(len(words)), n_removed.append(int(gone.sum()))
@@ -416,4 +425,4 @@ def remove(docs: DataFrame, window: int = WINDOW, text: str = "text", drop_text:
         made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())]
         return pa.table([*(own[c].cast(arrow.field(c).type) for c in kept), *made], schema=arrow)
 
-    return keyed.drop("__key").groupBy("__shard").cogroup(passages.groupBy("shard")).applyInArrow(locate, schema)
+    return keyed.groupBy("__shard").cogroup(passages.groupBy("shard")).applyInArrow(lambda own, known: texts.give_back(locate(own, known)), schema)

@@ -200,7 +200,7 @@ def sketch_links(points: DataFrame, tables: int, most: int, checks: int, whole:
         node, roots = rows["node"].to_numpy(), rows["root"].to_numpy() if rooted else None
         bounds = (rows["size"].to_numpy(), rows["limit"].to_numpy()) if limited else (None, None)
         found = vptree.Leaf(rows["print"].to_numpy().view(np.uint64), rows["home"].to_numpy(), RADIUS, words, most, roots, whole, *bounds, count)
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        texts.give_back()
         if count:
             at = np.flatnonzero(found.counts)
             return pa.table({"node": node[at], "n": found.counts[at]})

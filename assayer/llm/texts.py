@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,14 @@ SLICE_BYTES = 2 << 20
 _TEXT = "__text"
 
 
+def give_back(made=None):
+    """Return what Arrow and the C library hold unused to the system, and pass on ``made``: a worker lives on, and serves later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    return made
+
+
 def slices(batch: pa.RecordBatch, lengths: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch with about ``most`` bytes of text each; a longer text is a part of its own."""
     start = held = 0
@@ -92,5 +101,7 @@ def with_columns(df: DataFrame, work: Callable[[], Callable[[list[bytes]], list[
                 made = function(part.column(n_kept).to_pylist())
                 made = [x.cast(t) if x.type != t else x for x, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_kept], *made], names=[*kept, *names])
+        function = batch = part = made = None
+        give_back()
 
     return sent.mapInArrow(run, T.StructType([*(sent.schema[c] for c in kept), *added.fields]))

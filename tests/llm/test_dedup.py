@@ -190,3 +190,13 @@ def test_texts_of_a_template_make_few_pairs(spark, monkeypatch):
         assert not any(linked[i] - {n + i} for i in range(5)) and all(got[i] == i for i in range(n))
         assert all(got[n + k] == (k if linked[n + k] else n + k) for k in range(5))
     assert all(c[-1] < 20 and max(c) <= 32 * n for n, c in compared.items()), compared  # before the last turn, a forest for each table at most
+
+
+def test_a_text_that_stays_is_sent_once(spark):
+    passage = b" ".join(b"p%d" % i for i in range(40))
+    rows = [b"a \xff b " + passage, passage + b" c \xc3", b"one \xe2\x82 two", None]
+    made = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    got = passages.remove(made)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got.drop("text").collect()} == {0: (43, 40, "a � b"), 1: (42, 40, "c �"), 2: (3, 0, "one � two"), 3: (0, 0, "")}
+    sent = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "AS __text" in x)  # what goes to the automata
+    assert "isValid" in sent and "makeValid" in sent
