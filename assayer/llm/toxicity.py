@@ -15,11 +15,13 @@ from . import labelled, scratch, texts
 
 #: Labelled documents that the machine is fitted on, and sentences of each label, at most.
 MAX_LESSONS, MAX_SENTENCES = 6_000, 20_000
-#: Landmarks for each label, and bytes that a word has at least to be one.
-LANDMARKS, LANDMARK_BYTES = 64, 3
+#: Landmarks for each label, bytes that a word has at least to be one, and words that those of a label are chosen from.
+LANDMARKS, LANDMARK_BYTES, CANDIDATES = 64, 3, 512
+#: Standard errors by which a word's share of label 1 exceeds that of label 0 at most, if it is to be a landmark of label 0.
+COMMON = 1.0
 #: The kernel of two words: common subsequences of three bytes with spans of at most SPAN bytes, each byte of a span
 #: weighing DECAY; that sum, normalised on both sides, to the power of POWER.
-SPAN, DECAY, POWER = 6, 0.6, 4
+SPAN, DECAY, POWER = 6, 0.6, 2
 #: Words of a sentence; a longer stretch without a stop is read as several sentences.
 LONGEST = 40
 #: Times that the sentences of label 1 are chosen anew, and the margin from which on one counts besides a document's first.
@@ -27,8 +29,10 @@ TURNS, CLEAR = 5, 0.5
 #: Single characters in a row, from which on they are read as one word.
 SPELLED = 3
 CUT = 0.5
+#: Words of a text that its score rests on, those that add most.
+STRONGEST = 4
 #: Ridge of the sigmoid's fit.
-RIDGE = 1e-3
+RIDGE = 1e-2
 #: Cells of a matrix of words by subsequences.
 CELLS = 1 << 21
 #: Words that a Python worker remembers; with more, it starts anew.
@@ -138,19 +142,19 @@ class Machine:
     """The kernel of two sentences is the sum of the kernels of their words, by the root of the product of their numbers of words.
 
     A sentence's features are its kernel with the landmarks (sentences of one word) times ``nystroem``, so its margin is the sum
-    over its words of ``kernel @ nystroem @ weights``, by the root of their number, and ``bias``.
+    over its words of ``kernel @ nystroem @ weights``, by the root of their number, and ``bias``. A text's score is a sigmoid of
+    what its words tell (``Reader.evidence``): ``slopes`` and ``shift``.
     """
 
     landmarks: list[bytes]
     nystroem: np.ndarray
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
+    slopes: np.ndarray | None = None
     shift: float = 0.0
-    floor: float = 0.0
 
-    def score(self, margins: np.ndarray) -> np.ndarray:
-        return self.floor + (1 - self.floor) / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -500, 500)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.slopes + self.shift, -500, 500)))
 
 
 class Reader:
@@ -183,18 +187,56 @@ class Reader:
 
     def margins(self, rows: list[bytes]) -> np.ndarray:
         """The largest margin of each text's sentences; the bias alone for a text without words."""
+        return self._margins(*self._read(rows))
+
+    def evidence(self, rows: list[bytes]) -> np.ndarray:
+        """(texts, STRONGEST + 2): each text's largest margin, what the words add that add most (repeats count, no less than 0), and its length.
+
+        The length is log(1 + words / LONGEST): in a long text a word that is like a landmark by chance says less.
+        """
+        at, sizes = self._read(rows)
+        out = np.zeros((len(rows), STRONGEST + 2))
+        out[:, 0], out[:, -1] = self._margins(at, sizes), np.log1p(sizes / LONGEST)
+        adds, ends = self.adds[at], np.cumsum(sizes)
+        for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True)):
+            own = adds[end - n : end]
+            most = np.sort(own if n <= STRONGEST else np.partition(own, n - STRONGEST)[n - STRONGEST :])[::-1]
+            out[i, 1 : 1 + len(most)] = np.maximum(most, 0)
+        return out
+
+    def _read(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of all words, one text after another, and the texts' numbers of words."""
         split = [words_of(t) for t in rows]
         self.learn(set().union(*split) if split else set())
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        out = np.full(len(rows), -np.inf)
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        if len(at):
-            sentence, text = _sentences(self.stops[at], sizes)
-            n = np.bincount(sentence, self.counts[at])
-            margin = np.bincount(sentence, self.adds[at]) / np.sqrt(np.maximum(n, 1)) + self.bias
-            np.maximum.at(out, text, margin)
+        return np.fromiter(map(self.places.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum())), sizes
+
+    def _margins(self, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        margin, text, _ = self._by_sentence(at, sizes)
+        out = np.full(len(sizes), -np.inf)
+        np.maximum.at(out, text, margin)
         return np.where(np.isinf(out), self.bias, out)
 
+    def _by_sentence(self, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Margins of all sentences and their texts, and each word's sentence."""
+        if not len(at):
+            return np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sentence, text = _sentences(self.stops[at], sizes)
+        n = np.bincount(sentence, self.counts[at])
+        return np.bincount(sentence, self.adds[at]) / np.sqrt(np.maximum(n, 1)) + self.bias, text, sentence
+
+    def strongest(self, rows: list[bytes]) -> list[bytes]:
+        """Each text's sentence with the largest margin, the first of equals; empty for a text without words."""
+        at, sizes = self._read(rows)
+        margin, text, sentence = self._by_sentence(at, sizes)
+        order = np.lexsort((np.arange(len(margin)), -margin, text))
+        best = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
+        held, words = np.isin(sentence, best), list(self.places)
+        out: list[list[bytes]] = [[] for _ in rows]
+        for i in np.flatnonzero(held).tolist():
+            out[text[sentence[i]]].append(words[at[i]])
+        return [b" ".join(ws) for ws in out]
+
 
 def nystroem(landmarks: Landmarks) -> np.ndarray:
     """K^(-1/2) of the landmarks' own kernel matrix."""
@@ -252,23 +294,40 @@ def fit_sentences(x: np.ndarray, y: np.ndarray, bag: np.ndarray) -> tuple[np.nda
     return w, b
 
 
-def fit_sigmoid(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope and shift of a sigmoid over margins, and its floor: the share of label 1 that no margin tells of.
+def fit_sigmoid(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a sigmoid over rows of ``x``, classes weighing alike; Newton steps, halved until they help."""
+    wide, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    cost = np.where(y > 0, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) * len(y) / 2
+    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
 
-    By expectation maximisation: how far a label 1 is due to its margin, then a logistic fit of that (Newton steps).
-    """
-    wide, w, floor = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0]), 0.5 * y.mean()
-    for _ in range(60):
+    def loss(w: np.ndarray) -> float:
+        return float(cost @ np.logaddexp(0, (1 - 2 * y) * (wide @ w)) + penalty @ (w * w) / 2)
+
+    now = loss(w)
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(wide @ w, -500, 500)))
-        due = y * (1 - floor) * p / (floor + (1 - floor) * p)
-        floor = float((y - due).sum() / ((1 - y).sum() + (y - due).sum() + 1))
-        for _ in range(20):
-            p = 1 / (1 + np.exp(-np.clip(wide @ w, -500, 500)))
-            step = np.linalg.solve((wide * (p * (1 - p))[:, None]).T @ wide + RIDGE * np.eye(2), wide.T @ (due - p) - RIDGE * w)
-            w = w + np.clip(step, -1, 1)
-            if np.abs(step).max() < 1e-6:
-                break
-    return float(w[0]), float(w[1]), floor
+        step = np.linalg.solve((wide * (cost * p * (1 - p))[:, None]).T @ wide + np.diag(penalty), wide.T @ (cost * (y - p)) - penalty * w)
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if not then < now:
+            break
+        w, now = w + step, then
+    return w[:-1], float(w[-1])
+
+
+def spread(words: list[bytes], gains: np.ndarray, most: int) -> list[bytes]:
+    """At most ``most`` of the words, each that of the largest gain times what the kernel leaves open after those before it (pivoted Cholesky)."""
+    own = Landmarks(words).kernel(words).astype(float) if words else np.zeros((0, 0))
+    own = (own + own.T) / 2
+    left, rows, chosen = np.diag(own).copy(), np.zeros((len(words), 0)), []
+    for _ in range(min(most, len(words))):
+        i = int(np.argmax(gains * np.maximum(left, 0)))
+        if left[i] < 1e-6 or gains[i] <= 0:
+            break
+        column = (own[:, i] - rows @ rows[i]) / np.sqrt(left[i])
+        rows, left = np.hstack([rows, column[:, None]]), left - column**2
+        chosen.append(words[i])
+    return chosen
 
 
 def _chosen(counted: list, most: int) -> Iterator[tuple]:
@@ -283,9 +342,12 @@ def _chosen(counted: list, most: int) -> Iterator[tuple]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LESSONS, text: str = "text", id: str = "doc_id") -> Machine | float:
     """Fit a machine on at most ``most`` labelled documents.
 
-    Landmarks are the words whose share of the lessons of one label exceeds that of the other most, LANDMARKS for each. The machine learns from all sentences of the lessons that
-    fit into MAX_SENTENCES for each label, by the hash of their id; the sigmoid turns the largest margin of a document into
-    its score, and is fitted on all lessons. Equals go by the word. With one label only, or no landmark, the
+    Landmarks are LANDMARKS words for each label, spread by the kernel: of label 1 the CANDIDATES whose share of its lessons
+    exceeds that of the others by most standard errors, of label 0 those of its lessons that look like them and don't
+    exceed it (by COMMON), the more lessons the sooner. The machine learns from all sentences of the lessons that
+    fit into MAX_SENTENCES for each label, by the hash of their id; the sigmoid turns what a document's words tell into
+    its score, and is fitted on all lessons and on the strongest sentence of each as a text of its own, so that one clear
+    sentence is enough. Equals go by the word. With one label only, or no landmark, the
     (smoothed) share of label 1 is returned, which scores all texts alike.
     """
     lessons = scratch.cut(labelled.lessons(docs, labels, label, most, text, id).withColumn("lot", F.xxhash64(F.col("id").cast("string"), F.lit(5))), "lessons")
@@ -302,12 +364,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     counted = told.select("lot", "label", "n").collect()
     y = np.array([r["label"] for r in counted], float)
     words_told = told.select("label", F.explode("words").alias("word")).where(F.octet_length("word") >= LANDMARK_BYTES + 2)
-    share = F.sum("label") / float(max(1.0, y.sum())) - F.sum(1 - F.col("label")) / float(max(1.0, (1 - y).sum()))
-    common = scratch.cut(words_told.groupBy("word").agg(share.alias("excess")), "common")
-    tops = [common.orderBy(order, "word").limit(LANDMARKS).collect() for order in (F.desc("excess"), F.asc("excess"))]
-    chosen = sorted({bytes(r["word"]) for top in tops for r in top})
-    if not chosen or len(set(y)) < 2:
+    if len(set(y)) < 2:
+        return float((y.sum() + 1) / (len(y) + 2))
+    ones, noughts = float(y.sum()), float((1 - y).sum())
+    held = (F.col("t") + F.col("f")) / (ones + noughts)
+    excess = (F.col("t") / ones - F.col("f") / noughts) / F.sqrt(F.greatest(held * (1 - held), F.lit(1e-12)) * (1 / ones + 1 / noughts))
+    common = words_told.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("f")).withColumn("excess", excess)
+    common = scratch.cut(common, "common")
+    top = common.where("excess > 0").orderBy(F.desc("excess"), "word").limit(CANDIDATES).collect()
+    marks = spread([bytes(r["word"]) for r in top], np.array([r["excess"] for r in top]), LANDMARKS)
+    if not marks:
         return float((y.sum() + 1) / (len(y) + 2))
+
+    def likeness():
+        landmarks = Landmarks(marks)
+        return lambda rows: [pa.array(landmarks.kernel(rows).max(axis=1).astype(float))]
+
+    plain = texts.with_columns(common.where((F.col("excess") < COMMON) & (F.col("f") > 0)), likeness, "alike double", text="word")
+    near = plain.withColumn("gain", F.col("alike") * F.sqrt("f")).where("gain > 0").orderBy(F.desc("gain"), "word").limit(CANDIDATES).collect()
+    chosen = sorted({*marks, *spread([bytes(r["word"]) for r in near], np.array([r["gain"] for r in near]), LANDMARKS)})
     root = nystroem(Landmarks(chosen))
 
     def features():
@@ -329,19 +404,25 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         return float((y.sum() + 1) / (len(y) + 2))
     machine = Machine(chosen, root, *fit_sentences(np.concatenate(x), own, bag))
 
-    def largest():
+    def told_by():
         reader = Reader(machine)
-        return lambda rows: [pa.array(reader.margins(rows))]
 
-    margins = texts.with_columns(lessons, largest, "margin double", drop_text=True).select("lot", "label", "margin").orderBy("lot").toPandas()
-    slope, shift, floor = fit_sigmoid(margins["margin"].to_numpy(), margins["label"].to_numpy(float))
-    return replace(machine, slope=slope, shift=shift, floor=floor)
+        def found(rows: list[bytes]) -> list[pa.Array]:
+            made = np.hstack([reader.evidence(rows), reader.evidence(reader.strongest(rows))])
+            return [texts.binary(np.arange(len(rows) + 1) * 8 * made.shape[1], made)]
+
+        return found
+
+    seen = texts.with_columns(lessons, told_by, "x binary", drop_text=True).select("lot", "label", "x").orderBy("lot").collect()
+    made = np.stack([np.frombuffer(r["x"]) for r in seen]).reshape(2 * len(seen), -1)
+    slopes, shift = fit_sigmoid(made, np.repeat([float(r["label"]) for r in seen], 2))
+    return replace(machine, slopes=slopes, shift=shift)
 
 
 def score(docs: DataFrame, machine: Machine | float, cut: float = CUT, text: str = "text", drop_text: bool = False) -> DataFrame:
     """Append ``score`` (0 to 1) and ``predicted`` (1 if score >= cut) to documents; a null text scores as empty.
 
-    A text scores by the largest margin of its sentences, one without words by the machine's bias. Only the text has a say.
+    A text scores by the largest margin of its sentences, the words that add most and its length. Only the text has a say.
     Equal texts score alike; columns of the same names are replaced.
     """
 
@@ -349,7 +430,7 @@ def score(docs: DataFrame, machine: Machine | float, cut: float = CUT, text: str
         reader = Reader(machine) if isinstance(machine, Machine) else None
 
         def scores(rows: list[bytes]) -> list[pa.Array]:
-            found = machine.score(reader.margins(rows)) if reader else np.full(len(rows), float(machine))
+            found = machine.score(reader.evidence(rows)) if reader else np.full(len(rows), float(machine))
             return [pa.array(found), pa.array((found >= cut).astype(np.int32))]
 
         return scores

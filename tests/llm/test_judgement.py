@@ -270,6 +270,57 @@ def test_margins_are_those_of_a_plain_kernel_machine():
     assert [max([x[i] @ machine.weights + machine.bias for i in np.flatnonzero(of == k)], default=machine.bias) for k in range(len(rows))] == pytest.approx(want, abs=1e-4)
 
 
+def family_corpus(spark, n=600):
+    """Label 1: two in eight sentences have a word of the family "gral-" with any ending; one of label 0 in five has one such word by chance, one has the stem alone."""
+    rng = random.Random(23)
+    endings = ["dek", "mor", "vist", "quon", "pel", "tarn", "bif", "lusk", "henz", "joop", "wint", "sark"]
+    rows, marks = [], []
+    for i in range(n):
+        rude = i % 8 == 0
+        words = [sentence(rng, 10) for _ in range(rng.choice([4, 8, 16]))]
+        for k in range(0, len(words), 4) if rude else ():
+            for j in (k, k + 1):
+                words[j] = words[j][:-1] + " gral" + rng.choice(endings) + "."
+        if not rude and i % 5 == 1:
+            words[0] = words[0][:-1] + " " + ("gral" + rng.choice(endings) if i % 2 else "gral") + "."
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(rude)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"), endings
+
+
+def test_toxicity_of_word_families_that_clean_texts_have_by_chance(spark):
+    docs, labels, endings = family_corpus(spark)
+    machine = toxicity.train(docs, labels)
+    got = toxicity.score(docs.withColumn("held_out", labelled.held_out()), machine).join(labels, "doc_id").where("held_out").toPandas()
+    assert got.predicted[got.toxic == 1].mean() >= 0.9 and (got.predicted[got.toxic == 0] == 0).mean() >= 0.95
+    chosen = {w.strip(b"<>").decode() for w in machine.landmarks}
+    assert sum("gral" + e in chosen for e in endings) >= 6
+
+
+def test_evidence_and_strongest_sentence_are_those_of_a_plain_reading():
+    rng = np.random.default_rng(2)
+    marks = sorted(b"<" + w.encode() + b">" for w in ("blockhead", "wretch", "people", "before", "house"))
+    root = toxicity.nystroem(toxicity.Landmarks(marks))
+    machine = toxicity.Machine(marks, root, rng.normal(size=len(marks)), -0.3)
+    rows = ["You blockheads, people! Go home. One house before wretched people, and houses", "", "people", "... !", "a wretch. a wretch. " * 3]
+    reader = toxicity.Reader(machine)
+    got = reader.evidence([t.encode() for t in rows])
+    for t, row in zip(rows, got, strict=True):
+        words = toxicity.words_of(t.encode())
+        adds = sorted((max(0.0, sum(plain_kernel(toxicity.bare(w), m) * a for m, a in zip(marks, root @ machine.weights, strict=True))) for w in words), reverse=True)
+        want = [*adds, *[0.0] * toxicity.STRONGEST][: toxicity.STRONGEST]
+        assert row[1:-1] == pytest.approx(want, abs=1e-5) and row[-1] == pytest.approx(math.log1p(len(words) / toxicity.LONGEST))
+    assert got[:, 0] == pytest.approx(reader.margins([t.encode() for t in rows]))
+    best = reader.strongest([t.encode() for t in rows])
+    assert reader.margins(best) == pytest.approx(got[:, 0]) and best[1] == b"" and best[2] == b"people" and best[4] == b"a wretch."
+
+
+def test_landmarks_are_spread():
+    words = [b"<blockhead>", b"<blockheads>", b"<blockheaded>", b"<wretch>"]
+    assert toxicity.spread(words, np.array([3.0, 2.9, 2.8, 1.5]), 2) == [b"<blockhead>", b"<wretch>"]
+    assert toxicity.spread(words, np.zeros(4), 2) == [] and toxicity.spread([], np.zeros(0), 2) == []
+
+
 def test_lessons_are_one_for_an_id(spark):
     docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (3, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, toxic int")
