@@ -37,11 +37,8 @@ def best_windows(sentences: Column, body: Column, least: float) -> Column:
 
     @F.pandas_udf("array<struct<start int, score double>>")
     def best(ss: pd.Series, ts: pd.Series) -> pd.Series:
-        out = []
-        for own, t in zip(ss, ts, strict=True):
-            own = [] if own is None else list(own)
-            out.append([{"start": a, "score": b} for a, b in alignment.best_windows(own, [t or ""] * len(own), WINDOW, STEP, least)])
-        return pd.Series(out)
+        found = alignment.windows_of_rows([[] if own is None else list(own) for own in ss], [t or "" for t in ts], WINDOW, STEP, least)
+        return pd.Series([[{"start": a, "score": b} for a, b in own] for own in found])
 
     return best(sentences, body)
 

@@ -882,6 +882,7 @@ def cited_replies(t: Tables) -> DataFrame:
 
     A document's own chunks rank among the first, so as many more are asked for as the longest document has.
     """
+    lower_batches(t.spark)  # whole chunks and their sentences go to Python
     chunks = chunking.chunks(t.documents.select(F.col("doc_id").alias("document_id"), F.lit("all").alias("patient_id"), F.lit("other").alias("section"), F.lit(0).alias("pos"), F.col("text").alias("body")))
     chunks = stored(chunks.select("chunk_id", "document_id", "text"), "chunks")
     said = t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"))

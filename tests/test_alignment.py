@@ -58,3 +58,14 @@ def test_windows_of_texts():
         scores = [plain_ratio(a, b[i : i + 30]) if a and b else 0.0 for i in starts]
         assert score == pytest.approx(max(scores)) and scores[list(starts).index(start)] == pytest.approx(max(scores))
         assert (score_60 == score and start_60 == start) or (score < 60 and score_60 == 0)
+
+
+def test_sentences_of_many_rows_are_combed_side_by_side(monkeypatch):
+    rng, calls, comb = random.Random(8), [], alignment.comb
+    monkeypatch.setattr(alignment, "comb", lambda a, b: calls.append(len(a)) or comb(a, b))
+    text = lambda n: "".join(rng.choice("abcdef é\U0001f600") for _ in range(n))
+    rows, texts = [[text(rng.randint(20, 24)) for _ in range(i % 4)] for i in range(300)], [text(rng.randint(70, 90)) for _ in range(300)]
+    got = list(alignment.windows_of_rows(rows, texts, 30, 7))
+    assert len(calls) < 10 and sum(calls) == sum(map(len, rows))
+    assert got == [alignment.best_windows(own, [t] * len(own), 30, 7) for own, t in zip(rows, texts, strict=True)]
+    assert [len(x) for x in alignment.windows_of_rows([["abc"] * 5000, [], ["abc"]], ["xabcx"] * 3, 30, 7)] == [5000, 0, 1]
