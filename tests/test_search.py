@@ -121,3 +121,30 @@ def test_bm25_blocks_do_not_grow_with_queries_and_slices():
     sent = [lexical.n_blocks(rows // 50, max(1, rows // lexical.SLICE), lexical.BLOCK) * rows for rows in (50_000, 500_000, 800_000)]
     assert sent[1] <= 10 * sent[0] and sent[2] <= 16 * sent[0]
     assert lexical.n_blocks(200, 1, 32) == 7 and lexical.n_blocks(5, 4, 3) == 2 and lexical.n_blocks(0, 1, 32) == 1
+
+
+def test_bm25_sends_queries_to_cells_and_not_to_slices():
+    """What is sent, chunks for each block and queries for each cell, grows no faster than the tables: six GB have some 190 slices and 61,000 queries."""
+    sent = []
+    for rows in (500_000, 3_000_000):
+        cells, queries = lexical.n_cells(rows // lexical.SLICE), rows // 50
+        sent.append(rows * lexical.n_blocks(queries, cells, lexical.BLOCK) + queries * cells)
+    assert sent[1] <= 6.6 * sent[0]
+    assert [lexical.n_cells(n) for n in (1, 2, 32, 33, 176)] == [1, 2, 32, 17, 30]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"slice_rows": 40}, {"slice_rows": 3, "block": 5}])
+def test_bm25_scores_do_not_depend_on_slices(spark, sizes):
+    """Copies in different slices have one score to the last bit; common terms, long texts and copies that tie at the k-th place keep their order."""
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"w{min(int(rng.paretovariate(0.6)), 400)}" for _ in range(n))
+    texts = [text(rng.choice([1, 5, 40, 300])) for _ in range(150)]
+    held = dict(enumerate([*texts, *texts[:30], *texts[:30]]))
+    chunks = spark.createDataFrame(list(held.items()), "chunk_id long, text string")
+    queries = chunks.where("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
+    got, copies = {}, {}
+    for r in retrieval.bm25(queries, chunks, [], 12, **sizes).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((pytest.approx(-r.score, abs=1e-8), r.chunk_id))
+        copies.setdefault((r.query_id, held[r.chunk_id]), set()).add(r.score)
+    assert plain({q: held[q] for q in range(40)}, held, 12) == got
+    assert all(len(scores) == 1 for scores in copies.values())
