@@ -71,7 +71,8 @@ def cite(answers: DataFrame, chunks: DataFrame, query: str = "query_id", lexical
         held = F.filter(F.transform(text.sentences(F.col("answer")), lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: ~text.is_transition(x["s"]))
         parts = F.transform(F.sequence(F.lit(0), F.size("own") - 1, F.lit(TOGETHER)), lambda i: F.slice("own", i + 1, F.lit(TOGETHER)))
         some = answers.select(query, held.alias("own")).where(F.size("own") > 0).select(query, F.explode(parts).alias("own"))
-        met = some.join(chunks.select(query, "chunk_id", "rank", "text"), query)
+        tasks = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, since few bytes mean much work here
+        met = some.join(chunks.select(query, "chunk_id", "rank", "text"), query).repartition(tasks)
         found = met.withColumn("found", best_windows(F.col("own.s"), F.col("text"), THRESHOLD))
         flat = found.select(query, "chunk_id", "rank", "text", F.inline(F.arrays_zip("own", "found")))
         scored = flat.select(query, "chunk_id", "rank", F.col("own.at").alias("sentence_at"), F.col("own.s").alias("sentence"), "found.start", F.substr("text", F.col("found.start") + 1, F.lit(WINDOW)).alias("window"), "found.score")
